@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe_lexicon, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_lexicon_bpe": bpe_lexicon.op1_lexicon_bpe,
         "op7_line_quality": quality_rules.op7_line_quality,
     }
 
