@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe_lexicon, quality_rules
+from . import bpe_lexicon, language_id, quality_ranking, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_lexicon_bpe": bpe_lexicon.op1_lexicon_bpe,
+        "op6_pairwise_quality": quality_ranking.op6_pairwise_quality,
         "op7_line_quality": quality_rules.op7_line_quality,
+        "op10_ecoc_language": language_id.op10_ecoc_language,
     }
 
 
