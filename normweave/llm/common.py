@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,6 +39,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 4_000_000) -> None:
+    """Let no Arrow batch to Python exceed about `most` bytes (a single longer row goes alone), whatever the rows' length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not now or int(now[1]) > most:
+        spark.conf.set(key, str(most))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -50,7 +59,6 @@ def dense_positions(df: DataFrame, group: list[str], order: list[str], weight: s
     into order-preserving buckets of about rows_a_bucket rows, so no task sorts a whole group: bucket sums give
     each bucket's offset, a window inside the bucket gives the rest. The number of buckets follows the rows.
     """
-    spark = df.sparkSession
     bits = max(0, min(40, (max(1, df.count()) // rows_a_bucket).bit_length()))
     lead = "__bucket"
     df = df.withColumn(lead, F.shiftright(F.col(order[0]), 64 - bits) if bits else F.lit(0).cast("long"))
@@ -62,5 +70,4 @@ def dense_positions(df: DataFrame, group: list[str], order: list[str], weight: s
     on = (F.col(lead) == F.col("__o_bucket"))
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"__o_{g}"))
-    del spark
     return df.join(offsets, on).withColumn(out, (F.col("__offset") + F.col("__inside")).cast("long")).drop(lead, "__o_bucket", "__offset", "__inside", *[f"__o_{g}" for g in group])

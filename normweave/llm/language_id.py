@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .bpe_lexicon import by_bytes
-from .common import read
+from .common import read, small_batches
 
 #: Learning takes about so many labelled rows of each language at most, chosen by a hash of their id.
 TRAIN_ROWS_PER_LANGUAGE = 5_000
@@ -91,6 +91,7 @@ class EcocModel:
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE) -> EcocModel:
     """Learn from about rows_per_language rows of each language; trigrams are counted by the executors, and the
     driver gets at most 2**BUCKET_BITS counts a language."""
+    small_batches(rows.sparkSession)
     rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("lang"), F.col(key).alias("key"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -123,6 +124,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 
 def predict(docs: DataFrame, model: EcocModel, text: str = "text") -> DataFrame:
     """docs with lang_pred string, score double and ambiguous boolean."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**BUCKET_BITS numbers
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe_lexicon, language_id, quality_ranking, quality_rules
+from . import ans_store, bpe_lexicon, language_id, quality_ranking, quality_rules, telephony_audio
 
 
 def queries() -> dict:
     return {
         "op1_lexicon_bpe": bpe_lexicon.op1_lexicon_bpe,
+        "op3_ans_token_files": ans_store.op3_ans_token_files,
         "op6_pairwise_quality": quality_ranking.op6_pairwise_quality,
         "op7_line_quality": quality_rules.op7_line_quality,
+        "op9_telephony_audio": telephony_audio.op9_telephony_audio,
         "op10_ecoc_language": language_id.op10_ecoc_language,
     }
 
