@@ -52,22 +52,25 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def dense_positions(df: DataFrame, group: list[str], order: list[str], weight: str, out: str, rows_a_bucket: int = 20_000) -> DataFrame:
-    """Add column `out`: the sum of `weight` over the rows of the same group that precede the row in `order`.
+def dense_positions(df: DataFrame, group: list[str], order: list[str], weight: str | None, out: str, bucket: Column | None = None, rows: int | None = None, rows_a_bucket: int = 20_000) -> DataFrame:
+    """Add column `out`: the sum of `weight` (None: the number) of the rows of the same group before the row in `order`.
 
-    order[0] must be a long spread evenly over all 64-bit values (a hash). Its top bits deal each group's rows
-    into order-preserving buckets of about rows_a_bucket rows, so no task sorts a whole group: bucket sums give
-    each bucket's offset, a window inside the bucket gives the rest. The number of buckets follows the rows.
+    Buckets that ascend with `order` split each group, so no task sorts a whole group: sums of buckets give each
+    bucket's offset, a window inside the bucket the rest. `bucket` may give them; else order[0] must be a long
+    spread evenly over 64 bits (a hash), whose top bits make buckets of about rows_a_bucket rows out of `rows`.
+    df is read twice and must give the same rows each time (cut it before).
     """
-    bits = max(0, min(40, (max(1, df.count()) // rows_a_bucket).bit_length()))
-    lead = "__bucket"
-    df = df.withColumn(lead, F.shiftright(F.col(order[0]), 64 - bits) if bits else F.lit(0).cast("long"))
-    sums = df.groupBy(*group, lead).agg(F.sum(weight).alias("__sum"))
-    before = W.partitionBy(*group).orderBy(lead).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(g).alias(f"__o_{g}") for g in group], F.col(lead).alias("__o_bucket"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    inside = W.partitionBy(*group, lead).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn("__inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    on = (F.col(lead) == F.col("__o_bucket"))
+    if bucket is None:
+        bits = (max(1, df.count() if rows is None else rows) // rows_a_bucket).bit_length()
+        bucket = F.shiftright(F.col(order[0]), 64 - bits) if bits else F.lit(0).cast("long")
+    size = F.col(weight) if weight else F.lit(1)
+    df = df.withColumn("__bucket", bucket)
+    sums = df.groupBy(*group, "__bucket").agg(F.sum(size).cast("long").alias("__sum"))
+    before = W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(g).alias(f"__o_{g}") for g in group], F.col("__bucket").alias("__o_bucket"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    inside = W.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    df = df.withColumn("__inside", F.coalesce(F.sum(size).over(inside), F.lit(0)).cast("long"))
+    on = F.col("__bucket") == F.col("__o_bucket")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"__o_{g}"))
-    return df.join(offsets, on).withColumn(out, (F.col("__offset") + F.col("__inside")).cast("long")).drop(lead, "__o_bucket", "__offset", "__inside", *[f"__o_{g}" for g in group])
+    return df.join(offsets, on).withColumn(out, F.col("__offset") + F.col("__inside")).drop("__bucket", "__o_bucket", "__offset", "__inside", *[f"__o_{g}" for g in group])

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import ans_store, bpe_lexicon, language_id, quality_ranking, quality_rules, telephony_audio
+from . import ans_store, bpe_lexicon, chat_events, language_id, quality_ranking, quality_rules, shard_balance, source_mixing, telephony_audio
 
 
 def queries() -> dict:
     return {
         "op1_lexicon_bpe": bpe_lexicon.op1_lexicon_bpe,
         "op3_ans_token_files": ans_store.op3_ans_token_files,
+        "op4_chat_events": chat_events.op4_chat_events,
+        "op5_label_shards": shard_balance.op5_label_shards,
         "op6_pairwise_quality": quality_ranking.op6_pairwise_quality,
         "op7_line_quality": quality_rules.op7_line_quality,
+        "op8_golden_mix": source_mixing.op8_golden_mix,
         "op9_telephony_audio": telephony_audio.op9_telephony_audio,
         "op10_ecoc_language": language_id.op10_ecoc_language,
     }
@@ -18,5 +21,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op4_chat_events": chat_events.OP4_SQL,
         "op7_line_quality": quality_rules.OP7_SQL,
     }
