@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ans_store, bpe_lexicon, chat_events, language_id, quality_ranking, quality_rules, shard_balance, source_mixing, telephony_audio
+from . import ans_store, bpe_lexicon, chat_events, jaccard_join, language_id, quality_ranking, quality_rules, shard_balance, source_mixing, telephony_audio
 
 
 def queries() -> dict:
     return {
         "op1_lexicon_bpe": bpe_lexicon.op1_lexicon_bpe,
+        "op2_lsh_forest_join": jaccard_join.op2_lsh_forest_join,
         "op3_ans_token_files": ans_store.op3_ans_token_files,
         "op4_chat_events": chat_events.op4_chat_events,
         "op5_label_shards": shard_balance.op5_label_shards,
