@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import read
+from .common import read, small_batches
 
 #: Words in the transducer; what the driver holds is bounded by it.
 LEXICON_WORDS = 50_000
@@ -40,7 +41,7 @@ LEXICON_WORDS = 50_000
 COUNTER_ENTRIES = 300_000
 REPORTED_WORDS = 60_000
 LOCKSTEP_SYMBOLS = 64
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 3_000_000
 NO_RANK = np.int32(2**31 - 1)
 _CHUNK_SPLIT = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -340,7 +341,7 @@ def encode_texts(model: WordBpe, lexicon: Transducer, texts: list[str | None]) -
 
 def by_bytes(batch: pa.RecordBatch, text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `most` bytes of text, a single longer text alone."""
-    sizes = np.array([len(x) if x else 0 for x in batch.column(text).to_pylist()], dtype=np.int64) if batch.num_rows else np.zeros(0, dtype=np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > most:
@@ -372,6 +373,7 @@ def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             words[w] += n
         yield pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
+    small_batches(docs.sparkSession)
     return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -392,25 +394,30 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", words: int = L
     return name
 
 
-def encode(docs: DataFrame, path: str, lexicon: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with `out`: array<int> of the text's ids."""
-    docs = docs.drop(out) if out != text else docs
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+def encode(docs: DataFrame, path: str, lexicon: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with `out`: array<int> of the text's ids; with `decoded`, also the text that these ids decode to, in the
+    same pass."""
+    small_batches(docs.sparkSession)
+    docs = docs.drop(*[c for c in (out, decoded) if c and c != text])
+    added = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, automaton = _model(path), _transducer(lexicon)
         for whole in batches:
             for batch in by_bytes(whole, text):
                 offsets, ids = encode_texts(model, automaton, batch.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], names=[*batch.schema.names, out])
+                new = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
+                if decoded:
+                    new.append(pa.array([model.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *[f.name for f in added]])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with `out`: the text of the ids, tokens joined by one space as a tokenizer without decoder does."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(out)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
@@ -418,7 +425,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
             texts = [model.decode(x or []) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def default_path() -> str:
@@ -430,7 +437,7 @@ def default_path() -> str:
 def op1_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_path()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, path, build_lexicon(docs, path)).select("doc_id", "ids"), path)
+    coded = encode(docs, path, build_lexicon(docs, path), decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
