@@ -1,10 +1,47 @@
-"""The corpus pipeline: five operators over documents, each stage written and read again."""
+"""The corpus pipeline: five operators over documents, each stage written as Parquet and read again.
+
+Stages: line rules reject poor documents; language ID rejects documents without a clear language; of each class of
+near copies one document stays; the mix drops or repeats documents towards the sources' target weights; BPE encodes
+what is left. A stage takes and returns DataFrames, so any stage can be run again from the table before it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from normweave.llm import bpe_lexicon, jaccard_join, language_id, quality_rules, source_mixing
+from normweave.llm.common import cut
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_identified(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return source_mixing.repeat(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = bpe_lexicon.default_path()
+    coded = bpe_lexicon.encode(docs.select("doc_id", "lang", "source", "text"), path, bpe_lexicon.build_lexicon(docs, path))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality rules", rules), ("language ID", language), ("near copies", near_copies), ("mixing", mixture), ("BPE", tokens)]
+#: No SQL expresses the language model, the forest and the merges; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -272,18 +272,16 @@ def blocks(found: DataFrame) -> DataFrame:
     return whole.unionByName(paired)
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links, copy_id, n_copies), a row for each input row.
-
-    class_id: the least doc_id of the documents linked with it in any number of steps; n_links: the different
-    shingle sets that its own is linked with; copy_id and n_copies: the least doc_id and the rows of its own set.
-    """
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, sets). rows: (doc_id, th, sfp) of each input row, th its text's md5, sfp its shingle set's name.
+    sets: (sfp, doc_id, th, n_copies, n_links, keep), doc_id and th of the set's first row, keep those of the first
+    row of its class."""
     named = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.md5(F.col("text").cast("binary")))
     signed = cut(signatures(named), "jaccard-signatures")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     sets = signed.groupBy("sfp").agg(F.min(first).alias("own"), F.count("*").alias("n_copies"))
     sets = cut(sets.select(F.monotonically_increasing_id().alias("node"), "sfp", "own.doc_id", "own.th", "n_copies"), "jaccard-sets")
-    # one row of a set brings its prefixes; other rows of the same id and text are the same
+    # one row of a set brings its prefixes; other rows of the same set have the same
     one = signed.where("n > 0").dropDuplicates(["sfp"]).select("sfp", "n", "prefixes")
     trie = cut(sets.select("node", "sfp").join(one, "sfp").select("node", "n", "prefixes"), "jaccard-trie")
     comps = candidates(trie.select("node", "prefixes"))
@@ -294,11 +292,30 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     seen = cut(verify(blocks(found).join(texts, "node")), "jaccard-links")
     degree = seen.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = connected(seen.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    least = sets.join(classes, "node").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")).select("label", F.col("least.doc_id").alias("class_id"))
-    grouped = classes.join(least, "label").select("node", "class_id", F.lit(True).alias("grouped"))
-    of_set = sets.join(degree, "node", "left").join(grouped, "node", "left")
-    of_set = of_set.select("sfp", F.when(F.col("grouped"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), "n_copies")
-    return signed.select("doc_id", "sfp").join(of_set, "sfp").select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+    least = sets.join(classes, "node").groupBy("label").agg(F.min(first).alias("keep"))
+    grouped = classes.join(least, "label").select("node", "keep")
+    sets = sets.join(degree, "node", "left").join(grouped, "node", "left")
+    return signed.select("doc_id", "th", "sfp"), sets.select("sfp", "doc_id", "th", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("keep", first).alias("keep"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links, copy_id, n_copies), a row for each input row.
+
+    class_id: the least doc_id of the documents linked with it in any number of steps; n_links: the different
+    shingle sets that its own is linked with; copy_id and n_copies: the least doc_id and the rows of its own set.
+    """
+    rows, sets = link(docs, key, text)
+    of_set = sets.select("sfp", F.col("keep.doc_id").alias("class_id"), "n_links", F.col("doc_id").alias("copy_id"), "n_copies")
+    return rows.select("doc_id", "sfp").join(of_set, "sfp").select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first document of each class, with all its columns: the one of the least id, then of the least text hash."""
+    _, sets = link(docs, key, text)
+    kept = sets.select(F.col("keep.doc_id").alias("__doc"), F.col("keep.th").alias("__th")).distinct()
+    named = docs.withColumn("__row_th", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    own = named.join(kept, (named["__row_th"] == kept["__th"]) & named[key].eqNullSafe(kept["__doc"])).drop("__doc", "__th")
+    return own.dropDuplicates([key, "__row_th"]).drop("__row_th")
 
 
 def op2_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,14 @@ def predict(docs: DataFrame, model: EcocModel, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> DataFrame:
+    """The rows whose language is found and not ambiguous, with all their columns; learns from their labels."""
+    model = fit(docs, text, label, key)
+    named = docs.withColumns({f"__{c}": F.col(c) for c in ("lang_pred", "score", "ambiguous") if c in docs.columns})
+    kept = predict(named, model, text).where((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
+    return kept.select(*[F.col(f"__{c}" if c in ("lang_pred", "score", "ambiguous") else c).alias(c) for c in docs.columns])
+
+
 def held_out(key: str = "doc_id", of: int = 5, rest: int = 0):
     """crc32 of the id as text; rows without an id are never held out, nor learned from."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of)) == rest

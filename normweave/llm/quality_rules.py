@@ -110,6 +110,11 @@ def line_first_clean(df: DataFrame, text: str = "text", out: str = "quality") ->
     return df.withColumn(out, measure(F.col(text)))
 
 
+def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that the rules keep, with all their columns."""
+    return df.where(measure(F.col(text))["kept"])
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     q = F.col("quality")

@@ -68,12 +68,17 @@ def schedule(aims: DataFrame, slots: int, spark: SparkSession) -> DataFrame:
     return dense_positions(dealt, ["ord"], ["slot"], None, "rank", bucket=F.shiftright("slot", SLOT_CHUNK.bit_length() - 1))
 
 
+def place_hash(key: str, text: str) -> Column:
+    """What shuffles a source's documents: a hash of id and text."""
+    return F.xxhash64(F.lit(SEED), F.col(key), F.coalesce(F.col(text), F.lit("")))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, share: float = SHARE, epochs: int = EPOCHS) -> tuple[DataFrame, DataFrame]:
     """(plan, documents). plan: (slot, row, doc_id, epoch, first_word, n_words), the mix's pieces by slot.
-    documents: (row, doc_id, size, source, source_size, target, taken), a row for each input row."""
+    documents: (row, doc_id, h, size, source, source_size, target, taken), a row for each input row."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(body)).cast("long").alias("size"), F.xxhash64(F.lit(SEED), F.col(key), body).alias("h"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(body)).cast("long").alias("size"), place_hash(key, text).alias("h"))
     base = cut(base, "mix-documents")
     aims = cut(targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     total = aims.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("t")).first()["t"]
@@ -89,7 +94,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     slots = schedule(aims, int(-(-total // block)), spark)
     plan = slots.join(pieces, ["ord", "rank"]).select("slot", "row", "doc_id", "epoch", "first_word", "n_words")
     taken = plan.groupBy("row").agg(F.sum("n_words").alias("taken"))
-    return plan, base.join(taken, "row", "left").select("row", "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return plan, base.join(taken, "row", "left").select("row", "doc_id", "h", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs with all their columns, each as often as the mix takes it: 0 to EPOCHS times, taken / size rounded half
+    up. Documents without words are not taken."""
+    _, documents = mix(docs, key, text, source)
+    same = W.partitionBy("__doc", "__h").orderBy("row")
+    plan = documents.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), "row", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("__times"))
+    plan = plan.withColumn("__nth", F.row_number().over(same)).where("__times > 0").drop("row")
+    rows = docs.withColumn("__row_h", place_hash(key, text))
+    rows = rows.withColumn("__row_nth", F.row_number().over(W.partitionBy(key, "__row_h").orderBy(F.lit(0))))
+    taken = rows.join(plan, rows[key].eqNullSafe(plan["__doc"]) & (rows["__row_h"] == plan["__h"]) & (rows["__row_nth"] == plan["__nth"]))
+    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[taken[c] for c in docs.columns])
 
 
 def op8_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
