@@ -5,8 +5,8 @@ belongs to lane t mod LANES; all lanes step together in numpy and share one stre
 CHECKPOINT_STEPS steps the lanes' states and the place in the stream are kept, so parts of a long block decode in
 parallel; each block has checksums of its stream and of its ids.
 
-A store is a folder: `table` (id, freq), `blocks` (part, seq, documents, lane states, stream, checksums), `offsets`
-(part, first): Spark tables, so any file system that Spark writes serves. Blocks ascend by (part, seq), and so do
+A store is a folder: `table` (id, freq), `blocks` (part, seq, documents, first token, lane states, stream, checksums), `offsets`
+(part, first token): Spark tables, so any file system that Spark writes serves. Blocks ascend by (part, seq), and so do
 document ids over them; null ids come first; rows of one id are ordered by their ids' hash.
 
 Defined results: null and empty texts hold the end id only; very long texts make one long block with checkpoints;
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,22 +29,26 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .bpe_lexicon import by_bytes
 from .common import cut, read, scratch_path, small_batches
 
-SCALE_BITS = 20
+SCALE_BITS = 18
 LOW = np.uint64(1 << 31)
-LANES = 512
+LANES = 1024
 CHECKPOINT_STEPS = 128
 BLOCK_TOKENS = LANES * CHECKPOINT_STEPS
-CACHE_ENTRIES = 600_000
+#: Pieces that a worker remembers at most, and pieces in one call of the library.
+MEMORY_PIECES, CALL_PIECES = 700_000, 2_000
+MARKS = ".,;:!?$&%*#\")]}"
 BATCH_BYTES = 4_000_000
 #: A space between two white-space characters, or last after one: there, pieces of a text can't be coded alone.
 _TIED_SPACE = re.compile(r"\s (?:\s|$)")
 
 
 class PieceTokenizer:
-    """A byte-level tokenizer of the `tokenizers` library, asked once for each distinct piece of text.
+    """A byte-level tokenizer of the `tokenizers` library, asked once for each distinct piece of text of a worker.
 
     Its pattern starts a new word at every single space, so pieces cut before spaces code alone as they do within
-    the text. Texts with runs of white space around a space, or with special tokens, are coded whole.
+    the text. The library codes many unknown pieces in one call, with a carriage return between. Texts with runs of
+    white space around a space, or with special tokens, are coded whole. What comes first stays in the bounded
+    memory, for frequent pieces come early.
     """
 
     def __init__(self, path: str):
@@ -55,39 +60,75 @@ class PieceTokenizer:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.between = self.tokenizer.encode("\r", add_special_tokens=False).ids
+        self.pieces: dict[str, bytes] = {}  # of pieces after a space, which the key leaves out
+        self.cores: dict[str, bytes] = {}  # of pieces without the marks at their end
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _call(self, pieces: list[str]) -> dict[str, bytes]:
+        # a piece that neither begins nor ends in white space can't reach into its neighbours
+        calm = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and "\r" not in p] if len(self.between) == 1 else []
+        out: dict[str, bytes] = {}
+        for low in range(0, len(calm), CALL_PIECES):
+            part = calm[low : low + CALL_PIECES]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\r ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = np.flatnonzero(ids == self.between[0])
+            if len(ends) != len(part) - 1:
+                continue
+            starts, packed = np.concatenate(([0], ends + 1)) * self.kind.itemsize, ids.tobytes()
+            stops = np.append(ends, len(ids)) * self.kind.itemsize
+            out.update((p, packed[i:j]) for p, i, j in zip(part, starts.tolist(), stops.tolist()))
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, self.whole([" " + p for p in rest])))
+        return out
+
+    def _code(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces. A word always ends between a letter or digit and the marks after it, so these code apart."""
+        cores, split, plain = set(), [], []
+        for p in pieces:
+            core = p.rstrip(MARKS)
+            if len(core) < len(p) and core and (core[-1].isalpha() or core[-1].isdecimal()):
+                split.append((p, core, p[len(core) :]))
+                cores.add(core)
+            else:
+                plain.append(p)
+        cores.update(plain)
+        known = self.cores
+        new = self._call([c for c in cores if c not in known])
+        both = ChainMap(new, known) if len(known) + len(new) > MEMORY_PIECES else known
+        if both is known:
+            known.update(new)
+        ends = list({m for _, _, m in split} - self.marks.keys())
+        self.marks.update(zip(ends, self.whole(ends)))
+        out = {p: both[p] for p in plain}
+        out.update((p, both[c] + self.marks[m]) for p, c, m in split)
+        if len(self.marks) > MEMORY_PIECES:
+            self.marks = {}
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        pieces, alone, new = [], [], {}
-        for i, t in enumerate(texts):
+        rows, unknown, find = [], set(), self.pieces.get
+        for t in texts:
             if any(s in t for s in self.specials) or _TIED_SPACE.search(t):
-                alone.append(i)
-                pieces.append([])
+                rows.append((t, [], [], []))
                 continue
-            first, *rest = t.split(" ")
-            own = [first, *[f" {p}" for p in rest]] if rest else [first]
-            pieces.append(own)
-            new.update(dict.fromkeys(own))
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known = {}
-        unknown = [p for p in new if p not in self.known]
-        if unknown:
-            encoded = self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)
-            lens = np.fromiter((len(e) for e in encoded), dtype=np.int64, count=len(encoded))
-            packed = np.array([i for e in encoded for i in e.ids], dtype=self.kind).tobytes()
-            ends = (np.cumsum(lens) * self.kind.itemsize).tolist()
-            start = 0
-            for p, end in zip(unknown, ends):
-                self.known[p] = packed[start:end]
-                start = end
-        get = self.known.__getitem__
-        out = [b"".join(map(get, own)) for own in pieces]
-        for i, ids in zip(alone, self.whole([texts[i] for i in alone])):
-            out[i] = ids
+            head, *own = t.split(" ")
+            found = list(map(find, own))
+            gaps = [k for k, v in enumerate(found) if v is None]
+            unknown.update([own[k] for k in gaps])
+            rows.append((head, own, found, gaps))
+        new = self._code(unknown) if unknown else {}
+        if len(self.pieces) + len(new) <= MEMORY_PIECES:
+            self.pieces.update(new)
+        out = []
+        for packed, (_, own, found, gaps) in zip(self.whole([r[0] for r in rows]), rows):
+            for k in gaps:
+                found[k] = new[own[k]]
+            out.append(packed + b"".join(found))
         return out
 
 
@@ -121,7 +162,7 @@ def encode(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: s
 
 
 def frequencies(ids: DataFrame, size: int) -> np.ndarray:
-    """Counts of all ids scaled to 2**SCALE_BITS, at least 1 each; the driver gets `size` counts at most."""
+    """Counts of all ids, scaled; the driver gets `size` counts at most."""
     kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +180,13 @@ def frequencies(ids: DataFrame, size: int) -> np.ndarray:
 
 
 def scaled(n: np.ndarray) -> np.ndarray:
-    spare = (1 << SCALE_BITS) - len(n)
-    freq = 1 + np.floor(n / max(1.0, n.sum()) * spare).astype(np.int64)
-    freq[int(np.argmax(freq))] += (1 << SCALE_BITS) - int(freq.sum())
+    """Frequencies that sum to 2**SCALE_BITS (more bits for larger vocabularies), at least 1 for ids that occur."""
+    seen = n > 0
+    if not seen.any():
+        return np.zeros(len(n), dtype=np.int64)
+    bits = max(SCALE_BITS, int(seen.sum()).bit_length() + 1)
+    freq = np.where(seen, 1 + np.floor(n / n.sum() * ((1 << bits) - int(seen.sum()))), 0).astype(np.int64)
+    freq[int(np.argmax(freq))] += (1 << bits) - int(freq.sum())
     return freq
 
 
@@ -149,7 +194,8 @@ class Ans:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(self.freq) - self.freq).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.uint32), freq)
+        self.bits = max(1, len(self.symbol)).bit_length() - 1
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
         """(stream, lane states at each checkpoint, words before each checkpoint); the coder runs backwards."""
@@ -158,7 +204,7 @@ class Ans:
         grid = np.zeros(steps * lanes, dtype=np.int64)
         grid[: len(ids)] = ids
         freq, start = self.freq[grid].reshape(steps, lanes), self.start[grid].reshape(steps, lanes)
-        limit = freq << np.uint64(63 - SCALE_BITS)
+        limit = freq << np.uint64(63 - self.bits)
         state = np.full(lanes, LOW, dtype=np.uint64)
         words, out = np.zeros((steps, lanes), dtype="<u4"), np.zeros((steps, lanes), dtype=bool)
         states = np.zeros((-(-steps // CHECKPOINT_STEPS), lanes), dtype=np.uint64)
@@ -170,7 +216,7 @@ class Ans:
             words[t, :live] = x & np.uint64(0xFFFFFFFF)
             x = np.where(full, x >> np.uint64(32), x)
             q = x // f
-            state[:live] = (q << np.uint64(SCALE_BITS)) + (x - q * f) + start[t, :live]
+            state[:live] = (q << np.uint64(self.bits)) + (x - q * f) + start[t, :live]
             if t % CHECKPOINT_STEPS == 0:
                 states[t // CHECKPOINT_STEPS] = state
         per_step = out.sum(axis=1)
@@ -187,21 +233,21 @@ class Ans:
 
     def _part(self, n: int, lanes: int, words: np.ndarray, state: np.ndarray, at: int, first: int, out: np.ndarray) -> None:
         """Steps from one checkpoint to the next; needs nothing of what stands before it."""
-        mask = np.uint64((1 << SCALE_BITS) - 1)
+        mask = np.uint64((1 << self.bits) - 1)
         for t in range(first, min(first + CHECKPOINT_STEPS, len(out))):
             live = min(lanes, n - t * lanes)
             x = state[:live]
             slot = x & mask
             s = self.symbol[slot.astype(np.int64)]
             out[t, :live] = s
-            x = self.freq[s] * (x >> np.uint64(SCALE_BITS)) + slot - self.start[s]
+            x = self.freq[s] * (x >> np.uint64(self.bits)) + slot - self.start[s]
             low = np.flatnonzero(x < LOW)
             x[low] = x[low] << np.uint64(32) | words[at : at + len(low)]
             at += len(low)
             state[:live] = x
 
 
-BLOCKS = "part int, seq int, keys array<{kind}>, lens array<int>, states binary, before array<int>, stream binary, stream_crc32 long, ids_crc32 long"
+BLOCKS = "part int, seq int, first long, n long, keys array<{kind}>, lens array<int>, states binary, before array<int>, stream binary, stream_crc32 long, ids_crc32 long"
 
 
 def write(ids: DataFrame, path: str, size: int, key: str = "doc_id") -> None:
@@ -216,23 +262,23 @@ def write(ids: DataFrame, path: str, size: int, key: str = "doc_id") -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = Ans(shared.value), TaskContext.get().partitionId(), 0
-        keys, held, lens, total = [], [], [], 0
+        keys, held, lens, total, first = [], [], [], 0, 0
         schema = None
 
         def block() -> pa.RecordBatch:
             all_ids = np.frombuffer(b"".join(held), dtype=unpacked).astype("<u4")
             stream, states, before = coder.encode(all_ids)
-            row = {"part": part, "seq": seq, "keys": keys, "lens": lens, "states": states.astype("<u8").tobytes(), "before": before.tolist(), "stream": stream, "stream_crc32": zlib.crc32(stream), "ids_crc32": zlib.crc32(all_ids.tobytes())}
+            row = {"part": part, "seq": seq, "first": first, "n": total, "keys": keys, "lens": lens, "states": states.astype("<u8").tobytes(), "before": before.tolist(), "stream": stream, "stream_crc32": zlib.crc32(stream), "ids_crc32": zlib.crc32(all_ids.tobytes())}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
             key_type = batch.schema.field(key).type
-            schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("keys", pa.list_(key_type)), ("lens", pa.list_(pa.int32())), ("states", pa.binary()), ("before", pa.list_(pa.int32())), ("stream", pa.binary()), ("stream_crc32", pa.int64()), ("ids_crc32", pa.int64())])
+            schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(key_type)), ("lens", pa.list_(pa.int32())), ("states", pa.binary()), ("before", pa.list_(pa.int32())), ("stream", pa.binary()), ("stream_crc32", pa.int64()), ("ids_crc32", pa.int64())])
             for k, raw in zip(batch.column(key).to_pylist(), batch.column("ids").to_pylist()):
                 n = len(raw) // unpacked.itemsize
                 if held and total + n > BLOCK_TOKENS:
                     yield block()
-                    keys, held, lens, total, seq = [], [], [], 0, seq + 1
+                    keys, held, lens, total, seq, first = [], [], [], 0, seq + 1, first + total
                 keys.append(k)
                 held.append(raw)
                 lens.append(n)
@@ -243,20 +289,19 @@ def write(ids: DataFrame, path: str, size: int, key: str = "doc_id") -> None:
     tie = "__tie"
     order = ids.select(key, "ids", F.xxhash64("ids").alias(tie)).repartitionByRange(F.asc_nulls_first(key), tie).sortWithinPartitions(F.asc_nulls_first(key), tie).drop(tie)
     order.mapInArrow(run, BLOCKS.format(kind=key_kind)).write.parquet(f"{path}/blocks")
-    parts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    parts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each file only
     parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("first")).write.parquet(f"{path}/offsets")
 
 
-def read_store(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, ids binary of little-endian 32-bit ids) of all documents in a store."""
+def read_store(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """(key, start, n_tokens, ids_crc32 and, if with_ids, ids: binary of little-endian 32-bit ids) of all documents
+    in a store; start counts the ids of all documents before."""
     small_batches(spark)
-    blocks, offsets = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/offsets")
+    # a row for each file of the store, so at most one for each task that wrote it
+    blocks = spark.read.parquet(f"{path}/blocks").join(F.broadcast(spark.read.parquet(f"{path}/offsets").withColumnRenamed("first", "file_first")), "part")
     # the table is as large as the vocabulary
     freq = spark.sparkContext.broadcast(spark.read.parquet(f"{path}/table").orderBy("id").toPandas()["freq"].to_numpy())
-    sizes = blocks.select("part", "seq", F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    inside = W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    firsts = sizes.join(offsets, "part").select("part", "seq", (F.col("first") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first"))
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,22 +309,23 @@ def read_store(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame
         for batch in batches:
             coder = coder or Ans(freq.value)
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                if zlib.crc32(row["stream"]) != row["stream_crc32"]:
-                    raise ValueError(f"checksum of block {row['part']}/{row['seq']}")
-                n = sum(row["lens"])
-                states = np.frombuffer(row["states"], dtype="<u8").reshape(len(row["before"]), -1)
-                ids = coder.decode(n, row["stream"], states, np.array(row["before"])).astype("<u4").tobytes()
-                if zlib.crc32(ids) != row["ids_crc32"]:
-                    raise ValueError(f"checksum of the ids of block {row['part']}/{row['seq']}")
-                ends = np.cumsum(row["lens"])
-                starts = ends - row["lens"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["keys"], batch.schema.field("keys").type.value_type), pa.array(starts + row["first"], pa.int64()), pa.array(np.array(row["lens"], dtype=np.int64)), pa.array([ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())],
-                    names=["key", "start", "n_tokens", "ids"],
-                )
-
-    return blocks.join(firsts, ["part", "seq"]).mapInArrow(run, f"key {kind}, start long, n_tokens long, ids binary").withColumnRenamed("key", key)
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                name, stream = f"{row['part']}/{row['seq']}", row["stream"].as_py()
+                if zlib.crc32(stream) != row["stream_crc32"].as_py():
+                    raise ValueError(f"checksum of block {name}")
+                before = row["before"].values.to_numpy()
+                states = np.frombuffer(row["states"].as_py(), dtype="<u8").reshape(len(before), -1)
+                ids = memoryview(coder.decode(row["n"].as_py(), stream, states, before).astype("<u4")).cast("B")
+                if zlib.crc32(ids) != row["ids_crc32"].as_py():
+                    raise ValueError(f"checksum of the ids of block {name}")
+                lens = row["lens"].values.to_numpy().astype(np.int64)
+                ends = np.cumsum(lens)
+                own = [ids[4 * a : 4 * b] for a, b in zip((ends - lens).tolist(), ends.tolist())]
+                arrays = [row["keys"].values, pa.array(ends - lens + row["first"].as_py() + row["file_first"].as_py()), pa.array(lens), pa.array(list(map(zlib.crc32, own)), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array([bytes(x) for x in own], pa.binary())] if with_ids else [])], names=names)
+
+    names = ["key", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
+    return blocks.mapInArrow(run, f"key {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids).withColumnRenamed("key", key)
 
 
 def default_path() -> str:
@@ -295,4 +341,4 @@ def op3_ans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, store = default_path(), scratch_path(spark, "ans-store")
     ids = cut(encode(read(spark, sf_dir, "documents"), path, END_ID), "token-ids")
     write(ids, store, vocabulary(path))
-    return read_store(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_store(spark, store, with_ids=False)
