@@ -1,15 +1,453 @@
-"""Registered queries of the policy engine."""
+"""Registered queries of the policy engine, each with its DuckDB equivalent where SQL can say it."""
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from normweave.functions import text as T
+from normweave.operators import artifacts, clauses, lineage, mapping, metrics, rules, structure, validation, views
+from normweave.plans import corpus, oracle, pipeline
+
+AS_OF = datetime.datetime(2026, 1, 1)
+FORMATS = ("yaml", "sql")
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        name = f.__name__.strip("_")
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _validated(spark: SparkSession, sf_dir: str, formats: tuple[str, ...] = FORMATS) -> DataFrame:
+    return pipeline.compile_chunks(corpus.chunks(spark, sf_dir), corpus.registry(spark), formats)
+
+
+def _rules(spark: SparkSession, sf_dir: str, formats: tuple[str, ...]) -> DataFrame:
+    return artifacts.compile_rules(mapping.map_clauses(corpus.parsed(spark, sf_dir), corpus.registry(spark)), formats)
+
+
+flagship_sql = f"WITH {oracle.artifacts_cte(FORMATS)} SELECT type, validation_status, count(*) AS n, round(avg(confidence_score), 6) AS avg_confidence FROM valid GROUP BY ALL"
+
+
+@query(flagship_sql)
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return pipeline.status_by_type(_validated(spark, sf_dir))
+
+
+# -- documents and structure
+
+
+@query("SELECT p_partkey, trim(regexp_replace(upper(p_name), '[^A-Z0-9]+', '_', 'g'), '_') AS doc_key FROM part")
+def doc_key_normalize(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select("p_partkey", T.doc_key(F.col("p_name")).alias("doc_key"))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
+def doc_hash_dedup(spark, sf_dir):
+    return structure.first_of_equal(_read(spark, sf_dir, "documents"))
+
+
+@query("SELECT lang, count(*) AS docs, sum(length(text) // 4)::BIGINT AS tokens, max(length(text) // 4)::INTEGER AS longest FROM documents GROUP BY lang")
+def token_count_by_lang(spark, sf_dir):
+    n = T.token_count(F.col("text"))
+    return _read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(n).alias("tokens"), F.max(n).alias("longest"))
+
+
+@query(r"""SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> ''))::INTEGER AS sentences FROM documents""")
+def sentence_split_counts(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
+
+
+@query()
+def chunk_fold(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("doc_key"), "text")
+    return structure.chunks(structure.markdown_sections(docs)).select("doc_id", "chunk_id", "token_count", F.sha2("text", 256).alias("text_hash"))
+
+
+@query(r"""SELECT page_id, 1 AS section_ord, trim(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS section_title, 1 AS hierarchy_level FROM pages""")
+def html_sections(spark, sf_dir):
+    return structure.html_sections(_read(spark, sf_dir, "pages")).select("page_id", "section_ord", "section_title", "hierarchy_level")
+
+
+@query(f"""WITH {oracle.SECTION_CTE} SELECT s.doc_id, s.doc_id || '_S' || lpad(s.sec::VARCHAR, 3, '0') AS section_id, s.sec::INTEGER AS section_ord, s.title AS section_title, s.lvl::INTEGER AS hierarchy_level,
+  s.doc_id || '_S' || lpad((SELECT max(p.sec) FROM sec p WHERE p.sec < s.sec AND p.lvl < s.lvl)::VARCHAR, 3, '0') AS parent_section, s.text FROM sections s""")
+def markdown_hierarchy(spark, sf_dir):
+    return corpus.sections(spark, sf_dir)
+
+
+# -- clauses
+
+
+@query(f"WITH {oracle.CLAUSE_CTE} SELECT doc_id, section_id, chunk_id, clause_ord, clause_id, source_text FROM named")
+def clause_split_context(spark, sf_dir):
+    return clauses.split_clauses(corpus.chunks(spark, sf_dir))
+
+
+@query(f"WITH {oracle.PARSED_CTE} SELECT type, count(*) AS n FROM parsed GROUP BY type")
+def clause_type_counts(spark, sf_dir):
+    return corpus.parsed(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {oracle.PARSED_CTE} SELECT clause_id, type, actor, verb, nullif(object, '') AS object, trigger FROM parsed")
+def clause_components(spark, sf_dir):
+    return corpus.parsed(spark, sf_dir).select("clause_id", "type", "actor", "verb", "object", "trigger")
+
+
+@query(f"WITH {oracle.PARSED_CTE} SELECT clause_id, deadline, duration, frequency FROM parsed WHERE coalesce(deadline, duration, frequency) IS NOT NULL")
+def clause_temporal(spark, sf_dir):
+    return clauses.nested(corpus.parsed(spark, sf_dir)).where("temporal_scope IS NOT NULL").select("clause_id", "temporal_scope.deadline", "temporal_scope.duration", "temporal_scope.frequency")
+
+
+@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents)
+SELECT doc_id, count(*) AS n FROM s WHERE regexp_matches(s, '(?i)(^|[^\p{L}\p{N}_])(must|shall|may|should|required|prohibited|permitted|means|defined|except|unless|if|when|where)($|[^\p{L}\p{N}_])') GROUP BY doc_id""")
+def clause_when_documents(spark, sf_dir):
+    s = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+    return s.where(clauses.is_regulatory(F.col("s"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {oracle.PARSED_CTE}, refs AS (SELECT clause_id, doc_id, unnest(list_distinct(regexp_extract_all(source_text, '(?i)\\bsection\\s+(\\d+(?:\\.\\d+)*)', 1))) AS ref FROM parsed)
+SELECT clause_id, ref, doc_id || '_S' || lpad(ref, 3, '0') IN (SELECT doc_id || '_S' || lpad(sec::VARCHAR, 3, '0') FROM sections) AS known FROM refs""")
+def crossref_integrity(spark, sf_dir):
+    parsed = corpus.parsed(spark, sf_dir).withColumn("ref", F.explode(clauses.cross_references(F.col("source_text"))))
+    known = corpus.sections(spark, sf_dir).select("section_id", F.lit(True).alias("__known"))
+    target = F.concat("doc_id", F.lit("_S"), F.lpad("ref", 3, "0"))
+    return parsed.select("clause_id", "ref", target.alias("section_id")).join(known, "section_id", "left").select("clause_id", "ref", F.coalesce("__known", F.lit(False)).alias("known"))
+
+
+# -- mapping
+
+
+def _entities(spark, sf_dir):
+    return mapping.mentions(corpus.parsed(spark, sf_dir)).select("entity").distinct()
+
+
+@query(f"WITH {oracle.MAPPED_CTE} SELECT entity, schema_id, path FROM by_o")
+def map_override(spark, sf_dir):
+    return mapping.by_override(_entities(spark, sf_dir), corpus.registry(spark))
+
+
+@query(f"WITH {oracle.MAPPED_CTE} SELECT entity, schema_id, path FROM by_x")
+def map_exact(spark, sf_dir):
+    return mapping.by_name(_entities(spark, sf_dir), corpus.registry(spark))
+
+
+@query(f"WITH {oracle.MAPPED_CTE} SELECT entity, schema_id, path FROM by_s")
+def map_synonym(spark, sf_dir):
+    return mapping.by_synonym(_entities(spark, sf_dir), corpus.registry(spark))
+
+
+@query(f"WITH {oracle.MAPPED_CTE} SELECT entity, rn::INTEGER AS place, schema_id, path, sim AS similarity FROM sims WHERE rn <= 3")
+def hash_embedding_cosine(spark, sf_dir):
+    reg = corpus.registry(spark)
+    rest = mapping.map_entities(_entities(spark, sf_dir), reg).where("mapping_method IS NULL OR mapping_method = 'semantic'").select("entity")
+    return mapping.nearest(rest, reg).select("entity", F.posexplode("top").alias("pos", "t")).select("entity", (F.col("pos") + 1).alias("place"), "t.schema_id", "t.path", "t.similarity")
+
+
+@query(f"WITH {oracle.MAPPED_CTE} SELECT clause_id, source_role, entity, target_path, target_schema, confidence::DOUBLE AS confidence, mapping_method FROM mention JOIN hit USING (entity)")
+def map_cascade(spark, sf_dir):
+    return mapping.map_mentions(mapping.mentions(corpus.parsed(spark, sf_dir)), corpus.registry(spark)).select("clause_id", "source_role", "entity", "target_path", "target_schema", "confidence", "mapping_method")
+
+
+@query(f"WITH {oracle.MAPPED_CTE} SELECT mapping_status, count(*) AS n FROM mapped GROUP BY 1")
+def mapping_status(spark, sf_dir):
+    return mapping.status_counts(mapping.map_clauses(corpus.parsed(spark, sf_dir), corpus.registry(spark)))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_cosine_similarity(q.e, i.e), 6) AS similarity FROM v q, v i WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM s) SELECT query_id, item_id, similarity, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
+def embedding_topk(spark, sf_dir):
+    v = _read(spark, sf_dir, "embeddings")
+    top = mapping.top_k(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("item_id"), "embedding"), 3)
+    return top.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("""WITH s AS (SELECT * FROM (VALUES ('people', 0), ('books', 1), ('archive', 2)) t(schema_id, o)) SELECT schema_id, CASE schema_id WHEN 'archive' THEN 2 WHEN 'people' THEN 3 ELSE 1 END AS schema_ord, CASE schema_id WHEN 'people' THEN 1 WHEN 'books' THEN 3 ELSE 2 END::BIGINT AS n_fields FROM s""")
+def registry_upsert(spark, sf_dir):
+    reg = corpus.registry(spark)
+    new = reg.fields.where("field_name = 'client_id'").withColumn("schema_ord", F.lit(0))
+    return reg.with_schema(new).fields.groupBy("schema_id", "schema_ord").agg(F.count("*").alias("n_fields"))
+
+
+# -- artifacts
+
+
+@query(f"""WITH {oracle.artifacts_cte(("yaml", "sql", "json"))} SELECT artifact_id, file_path, format || '/' || CASE WHEN format = 'yaml' AND type IN ('obligation', 'prohibition') THEN type ELSE 'default' END AS template_used,
+  CASE type WHEN 'prohibition' THEN 'critical' WHEN 'obligation' THEN 'high' ELSE 'medium' END AS severity, mapping_confidence FROM artifact""")
+def artifact_matrix(spark, sf_dir):
+    return _rules(spark, sf_dir, ("yaml", "sql", "json")).select("artifact_id", "file_path", "template_used", "severity", "mapping_confidence")
+
+
+@query(f"""WITH {oracle.MAPPED_CTE} SELECT clause_id, type, actor, actor_path, nullif(object, '') AS object, CASE WHEN object <> '' THEN object_path END AS object_path, CASE type WHEN 'obligation' THEN 'require' WHEN 'prohibition' THEN 'block' ELSE 'allow' END AS enforcement, mapping_confidence AS confidence FROM mapped""")
+def render_json(spark, sf_dir):
+    kind = "type string, rule_id string, confidence double, actor struct<entity:string,mapped_to:string>, action struct<enforcement:string>, object struct<entity:string,mapped_to:string>"
+    r = _rules(spark, sf_dir, ("json",)).select(F.from_json("content", kind).alias("r")).select("r.*")
+    return r.select(F.col("rule_id").alias("clause_id"), "type", F.col("actor.entity").alias("actor"), F.col("actor.mapped_to").alias("actor_path"), F.col("object.entity").alias("object"), F.col("object.mapped_to").alias("object_path"), F.col("action.enforcement").alias("enforcement"), "confidence")
+
+
+@query(f"""WITH {oracle.MAPPED_CTE}, n AS (SELECT *, coalesce(nullif(regexp_extract(actor_path, '^([^.]*)\\.', 1), ''), nullif(regexp_extract(object_path, '^([^.]*)\\.', 1), ''), 'compliance_table') AS tbl, lower(replace(replace(clause_id, '-', '_'), '.', '_')) AS rule,
+  lower(verb) || '_status' AS st, CASE WHEN length(source_text) > 200 THEN left(source_text, 200) || '...' ELSE source_text END AS txt, CASE WHEN length(source_text) > 70 THEN left(source_text, 70) || '...' ELSE source_text END AS head FROM mapped)
+SELECT clause_id, '-- From: ' || head || chr(10) || '-- Clause: ' || clause_id || chr(10) || '-- Confidence: ' || mapping_confidence::VARCHAR || chr(10) ||
+  CASE WHEN type IN ('obligation', 'prohibition') THEN 'ALTER TABLE ' || tbl || ' ADD CONSTRAINT chk_' || rule || CASE WHEN type = 'prohibition' THEN '_prohibit' ELSE '' END || ' CHECK (' || CASE WHEN type = 'prohibition' THEN 'NOT ' || st ELSE st || ' = TRUE' END || ');' || chr(10) ||
+  'COMMENT ON CONSTRAINT chk_' || rule || CASE WHEN type = 'prohibition' THEN '_prohibit' ELSE '' END || ' ON ' || tbl ELSE 'COMMENT ON TABLE ' || tbl END || ' IS ''' || replace(txt, '''', '''''') || ''';' || chr(10) AS content FROM n""")
+def render_sql(spark, sf_dir):
+    return _rules(spark, sf_dir, ("sql",)).select("clause_id", "content")
+
+
+def _rendered(name: str):
+    def run(spark, sf_dir):
+        return _rules(spark, sf_dir, (name,)).select("artifact_id", "content")
+
+    run.__name__ = f"render_{name}"
+    return query()(run)
+
+
+for _name in ("yaml", "python", "terraform", "rego"):
+    _rendered(_name)
+
+
+@query(f"""WITH {oracle.artifacts_cte(("yaml", "sql", "python", "terraform", "rego", "json"))} SELECT format, count(*) AS n, count(*) AS n_valid, 0::BIGINT AS n_warned FROM artifact GROUP BY format""")
+def artifact_syntax(spark, sf_dir):
+    a = artifacts.check_syntax(_rules(spark, sf_dir, tuple(artifacts.EXTENSIONS)))
+    return a.groupBy("format").agg(F.count("*").alias("n"), F.count_if("syntax_valid").alias("n_valid"), F.count_if(F.size("warnings") > 0).alias("n_warned"))
+
+
+# -- validation and lineage
+
+
+@query(f"""WITH {oracle.artifacts_cte(FORMATS)} SELECT trace_id, artifact_id, validation_status, confidence_score, trace >= 0.85 AS confident, concat_ws(',', CASE WHEN trace < 0.7 THEN 'low_confidence' WHEN trace < 0.85 THEN 'below_threshold' END, CASE WHEN drift THEN 'semantic_drift' END) AS flags FROM valid""")
+def validation_checks(spark, sf_dir):
+    v = _validated(spark, sf_dir)
+    return v.select("trace_id", "artifact_id", "validation_status", "confidence_score", F.col("validation_checks")[2]["passed"].alias("confident"), F.array_join("review_flags", ",").alias("flags"))
+
+
+@query(f"WITH {oracle.artifacts_cte(FORMATS)} SELECT count(*) AS total, count(*) FILTER (validation_status = 'passed') AS passed, count(*) FILTER (validation_status = 'failed') AS failed, count(*) FILTER (validation_status = 'needs_review') AS needs_review FROM valid")
+def validation_status_summary(spark, sf_dir):
+    return validation.summary(_validated(spark, sf_dir))
+
+
+@query(f"WITH {oracle.artifacts_cte(FORMATS)} SELECT CASE WHEN trace < 0.7 THEN 'low_confidence' ELSE 'below_threshold' END AS flag, count(*) AS n FROM valid WHERE trace < 0.85 GROUP BY 1 UNION ALL SELECT 'semantic_drift', count(*) FROM valid WHERE drift")
+def review_flag_counts(spark, sf_dir):
+    return validation.flag_counts(_validated(spark, sf_dir))
+
+
+_graph = f"""WITH {oracle.artifacts_cte(FORMATS)}, nodes AS (SELECT DISTINCT 'document:' || doc_id AS node_id, 'document' AS node_type FROM valid UNION SELECT 'section:' || section_id, 'section' FROM valid UNION SELECT 'chunk:' || chunk_id, 'chunk' FROM valid
+  UNION SELECT 'clause:' || clause_id, 'clause' FROM valid UNION SELECT 'artifact:' || artifact_id, 'artifact' FROM valid),
+pairs AS (SELECT DISTINCT 'document:' || doc_id AS source_id, 'section:' || section_id AS target_id, 'CONTAINS_SECTION' AS relationship, NULL::DOUBLE AS confidence FROM valid UNION SELECT 'section:' || section_id, 'chunk:' || chunk_id, 'CONTAINS_CHUNK', NULL FROM valid
+  UNION SELECT 'chunk:' || chunk_id, 'clause:' || clause_id, 'PARSED_TO', NULL FROM valid UNION SELECT 'clause:' || clause_id, 'artifact:' || artifact_id, 'COMPILED_TO', confidence_score FROM valid)"""
+
+
+@query(_graph + " SELECT node_id, node_type FROM nodes")
+def prov_nodes(spark, sf_dir):
+    return lineage.nodes(_validated(spark, sf_dir)).select("node_id", "node_type")
+
+
+@query(_graph + " SELECT 'e:' || source_id || '->' || target_id AS edge_id, source_id, target_id, relationship, confidence FROM pairs")
+def prov_edges(spark, sf_dir):
+    return lineage.edges(_validated(spark, sf_dir))
+
+
+@query(_graph + " SELECT artifact_id, 'clause:' || clause_id AS clause, 'chunk:' || chunk_id AS chunk, 'section:' || section_id AS section, 'document:' || doc_id AS document FROM valid")
+def lineage_trace(spark, sf_dir):
+    v = _validated(spark, sf_dir)
+    return lineage.trace(lineage.edges(v), v.select("artifact_id"))
+
+
+@query(_graph + """ SELECT 0 AS ord, '' AS id, 'digraph provenance {' AS line UNION ALL SELECT 3, '', '}' UNION ALL
+SELECT 1, node_id, '  "' || node_id || '" [label="' || string_split(node_id, ':')[-1] || '", shape=' || CASE node_type WHEN 'document' THEN 'box' WHEN 'section' THEN 'folder' WHEN 'chunk' THEN 'note' WHEN 'clause' THEN 'ellipse' ELSE 'component' END || '];' FROM nodes UNION ALL
+SELECT 2, 'e:' || source_id || '->' || target_id, '  "' || source_id || '" -> "' || target_id || '" [label="' || relationship || '"];' FROM pairs""")
+def graph_dot(spark, sf_dir):
+    v = _validated(spark, sf_dir)
+    return lineage.dot_lines(lineage.nodes(v), lineage.edges(v))
+
+
+# -- rules over data
+
+
+@query("SELECT l_orderkey, l_linenumber, 'quantity' AS rule FROM lineitem WHERE NOT coalesce(l_quantity <= 45, true) UNION ALL SELECT l_orderkey, l_linenumber, 'late_return' FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate < TIMESTAMP '1995-01-01'")
+def rule_check_violations(spark, sf_dir):
+    li = _read(spark, sf_dir, "lineitem")
+    late = (F.col("l_returnflag") == "R") & (F.col("l_shipdate") < F.lit(datetime.datetime(1995, 1, 1)))
+    of = lambda p, name: rules.check_violations(li, p).select("l_orderkey", "l_linenumber", F.lit(name).alias("rule"))
+    return of(F.col("l_quantity") <= 45, "quantity").unionByName(of(rules.prohibition_predicate(late), "late_return"))
+
+
+#: (rule_id, type, actor, action, object, has_condition, severity)
+RULES = (
+    ("R1", "obligation", "automobile", "close", "order", False, "high"), ("R2", "prohibition", "building", "hold", "order", False, "critical"), ("R3", "permission", "machinery", "review", None, False, "medium"),
+    ("R4", "obligation", "building", "close", None, True, "high"), ("R5", "prohibition", "furniture", "close", None, False, "critical"),
+)
+_RULE_CTE = f"rule(rule_id, type, actor, action, object, has_condition, severity) AS ({corpus.values([(*r[:5], str(r[5]).lower() == 'true', r[6]) for r in RULES]).replace('True', 'true').replace('False', 'false')})"
+_FACT_CTE = _RULE_CTE + """, fact AS (SELECT o_orderkey AS entity_id, lower(c_mktsegment) AS actor, CASE o_orderstatus WHEN 'F' THEN 'close' WHEN 'O' THEN 'hold' ELSE 'review' END AS action, 'order' AS object,
+  CASE WHEN o_totalprice > 300000 THEN 'violation' ELSE 'ok' END AS status, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'F' END AS completed, o_orderstatus = 'O' AS attempted, o_orderpriority LIKE '1%' AS condition_met, o_orderdate AS ts
+  FROM orders JOIN customer ON o_custkey = c_custkey), hit AS (SELECT f.*, r.rule_id, r.type AS r_type, r.action AS r_action, r.object AS r_object, r.has_condition, r.severity FROM fact f JOIN rule r ON lower(f.actor) = lower(r.actor))"""
+
+
+def _rule_table(spark):
+    return spark.createDataFrame(list(RULES), "rule_id string, type string, actor string, action string, object string, has_condition boolean, severity string")
+
+
+def _facts(spark, sf_dir):
+    o, c = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    s = F.col("o_orderstatus")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("entity_id"), F.lower("c_mktsegment").alias("actor"), F.when(s == "F", "close").when(s == "O", "hold").otherwise("review").alias("action"), F.lit("order").alias("object"),
+        F.when(F.col("o_totalprice") > 300000, "violation").otherwise("ok").alias("status"), F.when(s != "P", s == "F").alias("completed"), (s == "O").alias("attempted"), F.col("o_orderpriority").startswith("1").alias("condition_met"), F.col("o_orderdate").alias("ts"),
+    )
+
+
+@query(f"""WITH {_FACT_CTE} SELECT entity_id, rule_id, CASE r_type WHEN 'obligation' THEN 'obligation_not_met' WHEN 'prohibition' THEN 'prohibition_violated' ELSE r_type || '_triggered' END AS violation_type,
+  CASE WHEN r_type = 'prohibition' THEN 'critical' ELSE severity END AS severity, r_type IN ('obligation', 'prohibition') AS blocking, ts FROM hit WHERE CASE r_type WHEN 'obligation' THEN NOT coalesce(completed, false) WHEN 'prohibition' THEN attempted ELSE true END""")
+def rule_trigger_audit(spark, sf_dir):
+    return rules.trigger_log(_facts(spark, sf_dir), _rule_table(spark))
+
+
+@query(f"""WITH {_FACT_CTE} SELECT rule_id, count(*) AS n, count(*) FILTER (CASE r_type WHEN 'obligation' THEN NOT coalesce(completed, false) WHEN 'prohibition' THEN attempted ELSE status = 'violation' END) AS violations FROM hit GROUP BY rule_id""")
+def rule_validator_outcomes(spark, sf_dir):
+    return rules.validator_outcomes(_facts(spark, sf_dir), _rule_table(spark)).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("violated").alias("violations"))
+
+
+@query(f"""WITH {_FACT_CTE}, d AS (SELECT entity_id, bool_or(CASE r_type WHEN 'obligation' THEN action = r_action AND (r_object IS NULL OR object = r_object) AND (NOT has_condition OR condition_met) WHEN 'prohibition' THEN NOT (action = r_action AND (r_object IS NULL OR object = r_object)) ELSE true END) AS allow,
+  count(*) FILTER (CASE r_type WHEN 'obligation' THEN NOT coalesce(completed, false) WHEN 'prohibition' THEN action = r_action AND (r_object IS NULL OR object = r_object) ELSE false END) AS violations FROM hit GROUP BY entity_id)
+SELECT entity_id, coalesce(allow, false) AS allow, coalesce(violations, 0)::BIGINT AS violations FROM fact LEFT JOIN d USING (entity_id)""")
+def policy_decisions(spark, sf_dir):
+    return rules.decisions(_facts(spark, sf_dir), _rule_table(spark))
+
+
+@query("SELECT l_orderkey AS plan_id, bool_and(NOT (l_linestatus = 'O' AND l_discount > 0.08)) AS passed, 'hard-mandatory' AS level FROM lineitem GROUP BY 1")
+def plan_policy_all(spark, sf_dir):
+    li = _read(spark, sf_dir, "lineitem")
+    changes = li.select(F.col("l_orderkey").alias("plan_id"), F.col("l_linestatus").alias("resource"), (F.col("l_discount") > 0.08).alias("enabled"))
+    return rules.plan_verdicts(changes, "prohibition", "O")
+
+
+@query(f"WITH {_RULE_CTE} SELECT rule_id || '_' || p AS entity_id, actor, CASE WHEN type = 'prohibition' THEN NULL ELSE p = 'compliant' END AS completed, type = 'prohibition' AND p = 'violating' AS attempted FROM rule, (VALUES ('compliant'), ('violating')) t(p)")
+def rule_fixtures(spark, sf_dir):
+    return rules.fixture_pairs(_rule_table(spark)).select("entity_id", "actor", "completed", "attempted")
+
+
+# -- reports
+
+
+@query(f"""WITH {oracle.artifacts_cte(FORMATS)} SELECT doc_id, count(DISTINCT clause_id) AS clause_count, count(DISTINCT artifact_id) AS artifact_count, round(avg(confidence), 6)::DOUBLE AS avg_confidence, 0.75::DOUBLE AS avg_clause_confidence FROM valid GROUP BY doc_id""")
+def document_summary(spark, sf_dir):
+    parsed = corpus.parsed(spark, sf_dir)
+    docs = corpus.documents(spark, sf_dir).select("doc_id")
+    s = views.document_summary(docs, parsed, _rules(spark, sf_dir, FORMATS))
+    return s.select("doc_id", "clause_count", "artifact_count", F.round("avg_confidence", 6).alias("avg_confidence"), F.round("avg_clause_confidence", 6).alias("avg_clause_confidence"))
+
+
+@query(f"WITH {oracle.artifacts_cte(FORMATS)} SELECT validation_status, count(*) AS count, round(avg(confidence_score), 6) AS avg_confidence FROM valid GROUP BY 1")
+def validation_summary(spark, sf_dir):
+    return views.validation_summary(_validated(spark, sf_dir))
+
+
+_AUDIT_CTE = """audit AS (SELECT event_id AS id, event_type AS violation_type, CASE WHEN user_id % 2 = 0 THEN 'client' ELSE 'payment' END AS table_name, CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, value > 50 AS resolved, ts AS occurred_at FROM events WHERE value IS NOT NULL)"""
+
+
+def _audit(spark, sf_dir):
+    k = F.col("event_id") % 4
+    return _read(spark, sf_dir, "events").where("value IS NOT NULL").select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("violation_type"), F.when(F.col("user_id") % 2 == 0, "client").otherwise("payment").alias("table_name"),
+        F.when(k == 0, "critical").when(k == 1, "high").when(k == 2, "medium").otherwise("low").alias("severity"), (F.col("value") > 50).alias("resolved"), F.col("ts").cast("timestamp").alias("occurred_at"),
+    )
+
+
+@query(f"WITH {_AUDIT_CTE} SELECT id, violation_type, severity, round((epoch_us(TIMESTAMP '2026-01-01') - epoch_us(occurred_at)) / 3600000000.0, 6)::DOUBLE AS hours_open FROM audit WHERE NOT resolved")
+def unresolved_violations(spark, sf_dir):
+    as_of = F.timestamp_micros(F.lit(int((AS_OF - datetime.datetime(1970, 1, 1)).total_seconds() * 1_000_000)))
+    return views.unresolved(_audit(spark, sf_dir), as_of).select("id", "violation_type", "severity", F.round("hours_open", 6).alias("hours_open"))
+
+
+@query(f"WITH {_AUDIT_CTE} SELECT violation_type, table_name, severity, count(*) AS total, count(*) FILTER (resolved) AS resolved_count, count(*) FILTER (NOT resolved) AS unresolved_count, epoch_us(min(occurred_at)) AS first_us, epoch_us(max(occurred_at)) AS last_us FROM audit GROUP BY ALL")
+def violation_summary(spark, sf_dir):
+    s = views.violation_summary(_audit(spark, sf_dir))
+    return s.withColumns({"first_us": F.unix_micros("first_at"), "last_us": F.unix_micros("last_at")}).drop("first_at", "last_at")
+
+
+@query(f"WITH {oracle.artifacts_cte(FORMATS)} SELECT artifact_id FROM artifact WHERE doc_id NOT IN ('DESK_1', 'DESK_2')")
+def erase_document(spark, sf_dir):
+    gone = spark.createDataFrame([("DESK_1",), ("DESK_2",)], "doc_id string")
+    return views.erase(_rules(spark, sf_dir, FORMATS), corpus.parsed(spark, sf_dir), gone).select("artifact_id")
+
+
+@query("SELECT 'orders' AS child, count(*) AS orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'repeated orders', (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1))")
+def referential_integrity(spark, sf_dir):
+    o, c, li = (_read(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
+    count = lambda df, name: df.agg(F.lit(name).alias("child"), F.count("*").alias("orphans"))
+    lost = count(views.orphans(o.select(F.col("o_custkey").alias("k")), c.select(F.col("c_custkey").alias("k")), "k"), "orders")
+    return lost.unionByName(count(views.orphans(li.select(F.col("l_orderkey").alias("k")), o.select(F.col("o_orderkey").alias("k")), "k"), "lineitem")).unionByName(count(views.repeated_keys(o, "o_orderkey"), "repeated orders"))
+
+
+@query(f"WITH {oracle.artifacts_cte(('yaml', 'sql', 'json'))} SELECT clause_id, min(artifact_id) AS artifact_id FROM artifact GROUP BY 1")
+def rule_lookup_first(spark, sf_dir):
+    return views.first_artifact(_rules(spark, sf_dir, ("yaml", "sql", "json")).select("clause_id", "artifact_id"))
+
+
+@query("SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
+def job_status_latest(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    return views.latest(e.select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("updated_at"), F.col("event_type").alias("status"))).select("job_id", "status")
+
+
+@query(f"""WITH {oracle.CLAUSE_CTE}, changed AS (SELECT doc_id || chr(7) || clause_id AS x, clause_id, clause_ord FROM named) SELECT clause_id, CASE WHEN clause_ord = 1 THEN 'same' WHEN clause_ord = 2 THEN 'changed' ELSE 'removed' END AS change FROM changed""")
+def clause_version_diff(spark, sf_dir):
+    old = clauses.split_clauses(corpus.chunks(spark, sf_dir))
+    new = old.where("clause_ord < 3").withColumn("source_text", F.when(F.col("clause_ord") == 1, F.concat(F.lit(" "), F.upper("source_text"))).otherwise(F.concat("source_text", F.lit(" again"))))
+    return views.version_diff(old, new)
+
+
+# -- metrics
+
+
+@query("SELECT event_type, round(sum(value), 4) AS total, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+def metric_counters(spark, sf_dir):
+    return metrics.counters(_read(spark, sf_dir, "events").where("value IS NOT NULL"), ["event_type"]).withColumn("total", F.round("total", 4))
+
+
+_ORDERED = "SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL"
+
+
+@query(f"""WITH o AS ({_ORDERED}) SELECT event_type, count(*) AS count, round(sum(v), 4) AS sum, round(avg(v), 6) AS avg, min(v) AS min, max(v) AS max, max(v) FILTER (i = least(floor(n * 0.5), n - 1)) AS p50,
+  max(v) FILTER (i = CASE WHEN n >= 20 THEN floor(n * 0.95) ELSE n - 1 END) AS p95, max(v) FILTER (i = CASE WHEN n >= 100 THEN floor(n * 0.99) ELSE n - 1 END) AS p99 FROM o GROUP BY 1""")
+def metric_histogram_stats(spark, sf_dir):
+    s = metrics.histogram_stats(_read(spark, sf_dir, "events"), ["event_type"])
+    return s.withColumns({"sum": F.round("sum", 4), "avg": F.round("avg", 6)})
+
+
+@query("WITH b(le, v) AS (VALUES ('0.005', 0.005), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1', 1), ('2.5', 2.5), ('5', 5), ('10', 10), ('+Inf', 1e300)) SELECT event_type, le, count(*) FILTER (value <= v) AS cumulative FROM events, b GROUP BY ALL")
+def metric_buckets(spark, sf_dir):
+    return metrics.buckets(_read(spark, sf_dir, "events"), ["event_type"])
 
 
-def queries() -> dict:
-    return {}
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM events")
+def gauge_running(spark, sf_dir):
+    return metrics.gauge_running(_read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("event_id", F.round("running", 4).alias("running"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query(f"""WITH o AS ({_ORDERED}) SELECT event_type, count(*) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stdev, round(median(v), 6) AS median, max(v) FILTER (i = floor(n * 0.9)) AS p90, max(v) FILTER (i = floor(n * 0.95)) AS p95, max(v) FILTER (i = floor(n * 0.99)) AS p99,
+  count(*) FILTER (v > 95) AS failures, count(*) FILTER (v > 95) <= 0.1 * count(*) AS passed FROM o GROUP BY 1""")
+def load_stats(spark, sf_dir):
+    s = metrics.load_stats(_read(spark, sf_dir, "events").where("value IS NOT NULL"), ["event_type"], failed=F.col("value") > 95)
+    return s.select("event_type", "count", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"), F.round("median", 6).alias("median"), "p90", "p95", "p99", "failures", "passed")
