@@ -130,18 +130,27 @@ def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None) ->
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(a, b) longs to (node, label): the least node of each node's component. Each round takes the least label
-    among the neighbours, then the label's label; rounds end when nothing changes."""
-    both = cut(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    state = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
-    while True:
-        near = both.join(state, both["b"] == state["node"]).groupBy("a").agg(F.min("label").alias("seen"))
-        step = cut(state.join(near, state["node"] == near["a"]).select("node", F.least("label", "seen").alias("label"), F.col("label").alias("was")), "labels")
-        jump = step.select(F.col("node").alias("__node"), F.col("label").alias("further"))
-        new = cut(step.join(jump, step["label"] == jump["__node"], "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels")
-        if new.where("label <> was").isEmpty():
-            return new.select("node", "label")
-        state = new.select("node", "label")
+    """(a, b) longs to (node, label): the least node of each node's component.
+
+    Each round hooks every node to its least neighbour's least neighbour and contracts the graph to the nodes that
+    were hooked to, so rounds get shorter; at the end the hooks are followed from the last round back to the first.
+    """
+    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    hooks = []
+    while not hooks or not edges.isEmpty():
+        near = cut(both(edges).groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("up")), "hooks")
+        far = near.select(F.col("node").alias("__node"), F.col("up").alias("__far"))
+        step = cut(near.join(far, near["up"] == far["__node"]).select("node", F.col("__far").alias("up")), "hooks")
+        hooks.append(step)
+        left, right = step.select(F.col("node").alias("a"), F.col("up").alias("x")), step.select(F.col("node").alias("b"), F.col("up").alias("y"))
+        moved = edges.join(left, "a").join(right, "b").where("x <> y")
+        edges = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    out = hooks.pop().select("node", F.col("up").alias("label"))
+    while hooks:
+        step, after = hooks.pop(), out.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+        out = step.join(after, step["up"] == after["__node"], "left").select("node", F.coalesce("__label", "up").alias("label"))
+    return cut(out, "labels")
 
 
 def candidates(sets: DataFrame) -> DataFrame:
