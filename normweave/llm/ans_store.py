@@ -18,15 +18,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .bpe_lexicon import by_bytes
+from .bpe_lexicon import by_bytes, gather
 from .common import cut, read, scratch_path, small_batches
 
 SCALE_BITS = 18
@@ -35,8 +35,8 @@ LANES = 1024
 CHECKPOINT_STEPS = 128
 BLOCK_TOKENS = LANES * CHECKPOINT_STEPS
 #: Pieces that a worker remembers at most, and pieces in one call of the library.
-MEMORY_PIECES, CALL_PIECES = 700_000, 2_000
-MARKS = ".,;:!?$&%*#\")]}"
+MEMORY_PIECES, CALL_PIECES = 1_200_000, 2_000
+WORD_AND_MARKS = r"(?s)^(?P<word>.*[\p{L}\p{Nd}])(?P<marks>[.,;:!?$&%*#\")\]}]+)$"
 BATCH_BYTES = 4_000_000
 #: A space between two white-space characters, or last after one: there, pieces of a text can't be coded alone.
 _TIED_SPACE = re.compile(r"\s (?:\s|$)")
@@ -46,9 +46,10 @@ class PieceTokenizer:
     """A byte-level tokenizer of the `tokenizers` library, asked once for each distinct piece of text of a worker.
 
     Its pattern starts a new word at every single space, so pieces cut before spaces code alone as they do within
-    the text. The library codes many unknown pieces in one call, with a carriage return between. Texts with runs of
-    white space around a space, or with special tokens, are coded whole. What comes first stays in the bounded
-    memory, for frequent pieces come early.
+    the text. Arrow splits a batch and finds its distinct pieces; only these are looked up in Python, and numpy lays
+    their ids out in the texts' order. The library codes many unknown pieces in one call, with a carriage return
+    between. Texts with runs of white space around a space, or with special tokens, are coded whole. What comes first
+    stays in the bounded memory, for frequent pieces come early.
     """
 
     def __init__(self, path: str):
@@ -61,14 +62,14 @@ class PieceTokenizer:
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.between = self.tokenizer.encode("\r", add_special_tokens=False).ids
-        self.pieces: dict[str, bytes] = {}  # of pieces after a space, which the key leaves out
-        self.cores: dict[str, bytes] = {}  # of pieces without the marks at their end
-        self.marks: dict[str, bytes] = {}
+        self.cores: dict[str, int] = {}  # of pieces after a space, which the key leaves out: numbers in the pool
+        self.marks: dict[str, int] = {}
+        self.sizes, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=self.kind)  # the pool
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _call(self, pieces: list[str]) -> dict[str, bytes]:
+    def _after_space(self, pieces: list[str]) -> list[bytes]:
         # a piece that neither begins nor ends in white space can't reach into its neighbours
         calm = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and "\r" not in p] if len(self.between) == 1 else []
         out: dict[str, bytes] = {}
@@ -83,53 +84,52 @@ class PieceTokenizer:
             out.update((p, packed[i:j]) for p, i, j in zip(part, starts.tolist(), stops.tolist()))
         rest = [p for p in pieces if p not in out]
         out.update(zip(rest, self.whole([" " + p for p in rest])))
-        return out
-
-    def _code(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces. A word always ends between a letter or digit and the marks after it, so these code apart."""
-        cores, split, plain = set(), [], []
-        for p in pieces:
-            core = p.rstrip(MARKS)
-            if len(core) < len(p) and core and (core[-1].isalpha() or core[-1].isdecimal()):
-                split.append((p, core, p[len(core) :]))
-                cores.add(core)
-            else:
-                plain.append(p)
-        cores.update(plain)
-        known = self.cores
-        new = self._call([c for c in cores if c not in known])
-        both = ChainMap(new, known) if len(known) + len(new) > MEMORY_PIECES else known
-        if both is known:
-            known.update(new)
-        ends = list({m for _, _, m in split} - self.marks.keys())
-        self.marks.update(zip(ends, self.whole(ends)))
-        out = {p: both[p] for p in plain}
-        out.update((p, both[c] + self.marks[m]) for p, c, m in split)
-        if len(self.marks) > MEMORY_PIECES:
-            self.marks = {}
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
-        rows, unknown, find = [], set(), self.pieces.get
-        for t in texts:
-            if any(s in t for s in self.specials) or _TIED_SPACE.search(t):
-                rows.append((t, [], [], []))
-                continue
-            head, *own = t.split(" ")
-            found = list(map(find, own))
-            gaps = [k for k, v in enumerate(found) if v is None]
-            unknown.update([own[k] for k in gaps])
-            rows.append((head, own, found, gaps))
-        new = self._code(unknown) if unknown else {}
-        if len(self.pieces) + len(new) <= MEMORY_PIECES:
-            self.pieces.update(new)
-        out = []
-        for packed, (_, own, found, gaps) in zip(self.whole([r[0] for r in rows]), rows):
-            for k in gaps:
-                found[k] = new[own[k]]
-            out.append(packed + b"".join(found))
-        return out
+        return [out[p] for p in pieces]
+
+    def _lists(self, known: dict[str, int], keys: pa.Array, code) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of the keys. New keys enter the memory as far as it has room."""
+        distinct = keys.dictionary_encode()
+        names = distinct.dictionary.to_pylist()
+        numbers = list(map(known.get, names))
+        gaps = [i for i, n in enumerate(numbers) if n is None]
+        new = [names[i] for i in gaps]
+        first, packed = len(self.sizes), code(new)
+        for i, n in zip(gaps, range(first, first + len(new))):
+            numbers[i] = n
+        sizes = np.concatenate((self.sizes, np.fromiter(map(len, packed), dtype=np.int64, count=len(new)) // self.kind.itemsize))
+        ids = np.concatenate((self.ids, np.frombuffer(b"".join(packed), dtype=self.kind)))
+        kept = new[: max(0, MEMORY_PIECES - first)]
+        known.update(zip(kept, range(first, first + len(kept))))
+        self.sizes = sizes[: first + len(kept)]
+        self.ids = ids[: len(ids) - int(sizes[first + len(kept) :].sum())]
+        return gather(np.array(numbers, dtype=np.int64)[distinct.indices.to_numpy()], np.concatenate(([0], np.cumsum(sizes))), ids)
+
+    def _code(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of pieces. A word always ends between a letter or digit and the marks after it, so these
+        code apart."""
+        parts = pc.extract_regex(pieces, WORD_AND_MARKS)
+        at, ids = self._lists(self.cores, pc.coalesce(pc.struct_field(parts, "word"), pieces), self._after_space)
+        end_at, end_ids = self._lists(self.marks, pc.coalesce(pc.struct_field(parts, "marks"), ""), self.whole)
+        order = np.arange(2 * len(pieces)).reshape(2, -1).T.reshape(-1)
+        both_at, both = gather(order, np.concatenate((at, at[-1] + end_at[1:])), np.concatenate((ids, end_ids)))
+        return both_at[::2], both
+
+    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of the texts, each with the id `end` behind."""
+        plain = [not (any(s in t for s in self.specials) or _TIED_SPACE.search(t)) for t in texts]
+        heads = [t.partition(" ")[0] if p else t for t, p in zip(texts, plain)]
+        lists = pc.split_pattern(pa.array([t[len(h) :] for t, h in zip(texts, heads)], pa.string()), " ")  # each begins with ''
+        found = lists.values.dictionary_encode()
+        at, ids = self._code(found.dictionary)
+        packed = self.whole(heads)
+        head_sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.kind.itemsize
+        more = np.append(np.cumsum(head_sizes), head_sizes.sum() + 1)
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        numbers = found.indices.to_numpy().astype(np.int64)
+        numbers[starts[:-1]] = len(at) - 1 + np.arange(len(texts))
+        numbers = np.insert(numbers, starts[1:], len(at) - 1 + len(texts))
+        flat_at, flat = gather(numbers, np.concatenate((at, at[-1] + more)), np.concatenate((ids, np.frombuffer(b"".join(packed), dtype=self.kind), np.array([end], dtype=self.kind))))
+        return flat_at[starts + np.arange(len(starts))], flat
 
 
 _OPEN: dict[str, PieceTokenizer] = {}
@@ -150,11 +150,11 @@ def encode(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenizer(path)
-        end = np.array([end_id], dtype=coder.kind).tobytes()
         for whole in batches:
             for batch in by_bytes(whole, "text", BATCH_BYTES):
-                ids = coder.encode([t or "" for t in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([x + end for x in ids], pa.binary())], names=["key", "ids"])
+                at, ids = coder.encode([t or "" for t in batch.column("text").to_pylist()], end_id)
+                packed = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * coder.kind.itemsize), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), packed.cast(pa.binary())], names=["key", "ids"])
 
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
