@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation (native).
 
 Documents start in shards by hash. In each round, joins over the links move linked documents towards the shard
-where most of their neighbours are, as far as the shard's quota leaves room. At the end every shard is brought to
-its exact share of rows: documents over the quota, those without links first, go to shards that lack some.
+where most of their neighbours are, as far as the shard's quota and those that leave it make room. At the end every shard is brought to
+its exact share of rows: documents over the quota, those without links or of a hot key first, go to shards that lack some.
 
 Links are (row, key): rows with an equal key are neighbours. Votes are counted by key and shard before they are
 joined, so a key that holds a third of all rows sends at most one count a shard. Law `rows`: sizes differ by one
@@ -30,9 +30,17 @@ def _choose(by: Column, values: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), by + 1)
 
 
-def _sizes(rows: DataFrame, shards: int) -> list[int]:
-    found = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    return [found.get(s, 0) for s in range(shards)]
+def _accepted(wanted: list[list[int]], held: list[int], quota: list[int]) -> list[float]:
+    """The share of each shard's applicants that it takes: as many as fill its quota once those that leave it for
+    other shards have gone. Shares start at 1 and only fall, so this ends at the largest shares that fit."""
+    shards = range(len(quota))
+    share = [1.0] * len(quota)
+    for _ in range(100):
+        for s in shards:
+            leave = sum(wanted[s][to] * share[to] for to in shards)
+            ask = sum(wanted[now][s] for now in shards)
+            share[s] = min(share[s], max(0.0, (quota[s] - held[s] + leave) / ask)) if ask else 0.0
+    return share
 
 
 def _round(state: DataFrame, quota: list[int], shards: int, turn: int, hot: int) -> DataFrame:
@@ -44,12 +52,25 @@ def _round(state: DataFrame, quota: list[int], shards: int, turn: int, hot: int)
     choice = F.struct("votes", F.xxhash64("main.key", "shard").alias("tie"), "shard")
     best = per_row.groupBy("row").agg(F.max(choice).alias("best"), F.first("now").alias("now"), F.max("main").alias("main"))
     wish = cut(best.select("row", "now", F.when(F.col("best.shard") != F.col("now"), F.col("best.shard")).alias("to"), "main"), "shard-wishes")
-    held = _sizes(wish.select(F.col("now").alias("shard")), shards)
-    asked = _sizes(wish.where("to IS NOT NULL").select(F.col("to").alias("shard")), shards)
-    room = [min(_UNIT, max(0, quota[s] - held[s]) * _UNIT // max(1, asked[s])) for s in range(shards)]
+    wish = wish.withColumn("loose", F.col("main.key_n") > hot)
+    counts = wish.groupBy("loose", "now", "to").agg(F.count("*").alias("n")).collect()  # at most 2 * shards * (shards + 1) rows
+    # rows of hot keys fill what others leave, as rows without links do: they don't stand in the others' way
+    held, room = [0] * shards, []
+    for loose in (False, True):
+        wanted = [[0] * shards for _ in range(shards)]
+        for r in counts:
+            if r["loose"] == loose:
+                held[r["now"]] += r["n"]
+                if r["to"] is not None:
+                    wanted[r["now"]][r["to"]] += r["n"]
+        share = _accepted(wanted, held, quota)
+        held = [held[s] + int(sum(wanted[now][s] * share[s] - wanted[s][now] * share[now] for now in range(shards))) for s in range(shards)]
+        room.append([int(_UNIT * x) for x in share])
     # a key's rows move together, those of a hot key one by one
-    lot = F.pmod(F.xxhash64(F.lit(turn), F.when(F.col("main.key_n") > hot, F.col("row").cast("string")).otherwise(F.col("main.key"))), F.lit(_UNIT))
-    moved = wish.select("row", F.when(F.col("to").isNotNull() & (lot < _choose(F.coalesce("to", F.lit(0)), room)), F.col("to")).otherwise(F.col("now")).alias("shard"))
+    lot = F.pmod(F.xxhash64(F.lit(turn), F.when(F.col("loose"), F.col("row").cast("string")).otherwise(F.col("main.key"))), F.lit(_UNIT))
+    to = F.coalesce("to", F.lit(0))
+    moves = F.col("to").isNotNull() & (lot < F.when(F.col("loose"), _choose(to, room[1])).otherwise(_choose(to, room[0])))
+    moved = wish.select("row", F.when(moves, F.col("to")).otherwise(F.col("now")).alias("shard"))
     return cut(state.drop("shard").join(moved, "row"), "shard-state")
 
 
@@ -64,13 +85,14 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
     for turn in range(rounds):
         state = _round(state, quota, shards, turn, hot)
     linked = state.groupBy("row").agg(F.first("shard").alias("moved"), F.max(F.struct("key_n", "key")).alias("main"))
-    lot = F.when(F.col("main").isNull() | (F.col("main.key_n") > hot), F.xxhash64(F.lit(SEED + 1), "row")).otherwise(F.xxhash64("main.key"))
-    placed = rows.select("row").join(linked, "row", "left").select("row", F.coalesce("moved", start).alias("shard"), F.col("main").isNull().cast("int").alias("alone"), lot.alias("h"))
-    placed = cut(dense_positions(cut(placed, "shard-placed"), ["shard", "alone"], ["h", "row"], None, "place", rows=n), "shard-ranked")
-    counts = {(r["shard"], r["alone"]): r["n"] for r in placed.groupBy("shard", "alone").agg(F.count("*").alias("n")).collect()}
-    first_alone = [counts.get((s, 0), 0) for s in range(shards)]
-    held = [first_alone[s] + counts.get((s, 1), 0) for s in range(shards)]
-    place = F.col("place") + F.when(F.col("alone") == 1, _choose(F.col("shard"), first_alone)).otherwise(F.lit(0))
+    loose = F.col("main").isNull() | (F.col("main.key_n") > hot)
+    lot = F.when(loose, F.xxhash64(F.lit(SEED + 1), "row")).otherwise(F.xxhash64("main.key"))
+    placed = rows.select("row").join(linked, "row", "left").select("row", F.coalesce("moved", start).alias("shard"), loose.cast("int").alias("loose"), lot.alias("h"))
+    placed = cut(dense_positions(cut(placed, "shard-placed"), ["shard", "loose"], ["h", "row"], None, "place", rows=n), "shard-ranked")
+    counts = {(r["shard"], r["loose"]): r["n"] for r in placed.groupBy("shard", "loose").agg(F.count("*").alias("n")).collect()}
+    first_loose = [counts.get((s, 0), 0) for s in range(shards)]
+    held = [first_loose[s] + counts.get((s, 1), 0) for s in range(shards)]
+    place = F.col("place") + F.when(F.col("loose") == 1, _choose(F.col("shard"), first_loose)).otherwise(F.lit(0))
     placed = placed.select("row", "h", "shard", place.alias("slot"), (place < _choose(F.col("shard"), quota)).alias("stays"))
     over = dense_positions(placed.where("NOT stays").select("row", F.xxhash64(F.lit(SEED + 2), "row").alias("h"), F.lit(0).alias("all")), ["all"], ["h", "row"], None, "rank", rows=max(1, sum(max(0, held[s] - quota[s]) for s in range(shards))))
     gaps, at = [], 0  # (first rank, shard) of each gap
