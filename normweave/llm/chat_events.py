@@ -41,19 +41,19 @@ def unescape_role(role: Column) -> Column:
 
 def fold(events: DataFrame) -> DataFrame:
     """events: (conv_id, seq, kind, message, role, payload) to final messages (conv_id, message, role, text)."""
-    # a regeneration of an earlier message drops those that began before it
-    cuts = events.where("kind = 'regenerate'").groupBy("conv_id").agg(F.collect_list(F.struct("seq", "message")).alias("cuts"))
     per = events.groupBy("conv_id", "message").agg(
         F.min("seq").alias("begun"),
+        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
         F.max(F.when(F.col("kind") == "start", F.struct(F.col("seq"), F.col("role")))).alias("opened"),
         F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.struct(F.col("seq"), F.when(F.col("kind") == "edit", F.coalesce("payload", F.lit(""))).otherwise(F.lit("")).alias("payload")))).alias("reset"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", F.struct(F.col("seq"), F.coalesce("payload", F.lit("")).alias("payload"))))).alias("deltas"),
     )
     late = F.filter("deltas", lambda d: F.col("reset").isNull() | (d["seq"] > F.col("reset.seq")))
     text = F.concat(F.coalesce("reset.payload", F.lit("")), F.array_join(F.transform(late, lambda d: d["payload"]), ""))
-    own, other = per.alias("p"), cuts.select(F.col("conv_id").alias("__conv"), "cuts")
-    dropped = F.coalesce(F.exists("cuts", lambda c: (c["message"] < F.col("message")) & (c["seq"] > F.col("begun"))), F.lit(False))
-    return own.join(other, F.col("conv_id").eqNullSafe(F.col("__conv")), "left").where(~dropped).select("conv_id", "message", F.coalesce("opened.role", F.lit("")).alias("role"), text.alias("text"))
+    # a regeneration of an earlier message drops those that began before it
+    earlier = W.partitionBy("conv_id").orderBy("message").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumn("dropped", F.coalesce(F.max("again").over(earlier) > F.col("begun"), F.lit(False)))
+    return per.where("NOT dropped").select("conv_id", "message", F.coalesce("opened.role", F.lit("")).alias("role"), text.alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ replace columns of these names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .bpe_lexicon import by_bytes
@@ -29,7 +29,7 @@ BUCKET_BITS = 14
 EVIDENCE = 64.0
 AMBIGUOUS_BELOW = 0.75
 BATCH_BYTES = 1_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Letters and bytes of non-ASCII characters stay; all else is a gap.
 _KEEP = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], dtype=np.uint8)
 
