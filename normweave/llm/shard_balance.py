@@ -2,7 +2,10 @@
 
 Documents start in shards by hash. In each round, joins over the links move linked documents towards the shard
 where most of their neighbours are, as far as the shard's quota and those that leave it make room. At the end every shard is brought to
-its exact share of rows: documents over the quota, those without links or of a hot key first, go to shards that lack some.
+its exact share of rows: documents over the quota go to shards that lack some, those without links first, then those
+of keys that no shard can hold, then those of small keys, key by key. A large key that a shard can hold is dealt to one
+shard before the first round, the largest first, and stays there whole; small keys that full shards kept apart to the
+end are dealt again, side by side.
 
 Links are (row, key): rows with an equal key are neighbours. Votes are counted by key and shard before they are
 joined, so a key that holds a third of all rows sends at most one count a shard. Law `rows`: sizes differ by one
@@ -23,6 +26,8 @@ SHARDS = 16
 ROUNDS = 4
 SEED = 23
 _UNIT = 1 << 20
+#: Who stays first: pinned keys, small keys, keys that no shard holds, rows without links; rows of cut small keys go.
+_CLASSES, _CUT = 5, 4
 
 
 def _choose(by: Column, values: list[int]) -> Column:
@@ -43,18 +48,31 @@ def _accepted(wanted: list[list[int]], held: list[int], quota: list[int]) -> lis
     return share
 
 
-def _round(state: DataFrame, quota: list[int], shards: int, turn: int, hot: int) -> DataFrame:
-    """One round over (row, key, key_n, shard); a row may have several keys and then stands once for each."""
+def _pins(large: list[tuple[str, int]], quota: list[int]) -> tuple[dict[str, int], list[int]]:
+    """The shard of each (key, rows) that fits one whole, the largest first to the emptiest, and the room then left."""
+    room, pins = list(quota), {}
+    for key, size in sorted(large, key=lambda x: (-x[1], x[0])):
+        s = max(range(len(room)), key=lambda s: (room[s], -s))
+        if size <= room[s]:
+            pins[key] = s
+            room[s] -= size
+    return pins, room
+
+
+def _round(state: DataFrame, quota: list[int], room_left: list[int], shards: int, turn: int, hot: int) -> DataFrame:
+    """One round over (row, key, key_n, pinned, shard); a row may have several keys and then stands once for each."""
     votes = state.groupBy("key", "shard").agg(F.count("*").alias("votes"))
-    seen = state.select("row", "key", "key_n", F.col("shard").alias("now")).join(votes, "key")
-    per_row = seen.groupBy("row", "shard").agg(F.sum("votes").alias("votes"), F.first("now").alias("now"), F.max(F.struct("key_n", "key")).alias("main"))
-    # ties fall alike for all rows of a key, so that two neighbours don't just change places
-    choice = F.struct("votes", F.xxhash64("main.key", "shard").alias("tie"), "shard")
-    best = per_row.groupBy("row").agg(F.max(choice).alias("best"), F.first("now").alias("now"), F.max("main").alias("main"))
-    wish = cut(best.select("row", "now", F.when(F.col("best.shard") != F.col("now"), F.col("best.shard")).alias("to"), "main"), "shard-wishes")
-    wish = wish.withColumn("loose", F.col("main.key_n") > hot)
+    seen = state.select("row", "key", "key_n", "pinned", F.col("shard").alias("now")).join(votes, "key")
+    per_row = seen.groupBy("row", "shard").agg(F.sum("votes").alias("votes"), F.first("now").alias("now"), F.first("pinned").alias("pinned"), F.max(F.struct("key_n", "key")).alias("main"))
+    # ties fall alike for all rows of a key, so that two neighbours don't just change places, and to each shard in
+    # proportion to the room that pinned keys leave in it
+    even = (F.pmod(F.xxhash64("main.key", "shard"), F.lit(_UNIT)) + 0.5) / _UNIT
+    choice = F.struct("votes", (F.log(even) / F.greatest(_choose(F.col("shard"), room_left), F.lit(0.5))).alias("tie"), "shard")
+    best = per_row.groupBy("row").agg(F.max(choice).alias("best"), F.first("now").alias("now"), F.first("pinned").alias("pinned"), F.max("main").alias("main"))
+    wish = cut(best.select("row", "now", F.when(~F.col("pinned") & (F.col("best.shard") != F.col("now")), F.col("best.shard")).alias("to"), "pinned", "main"), "shard-wishes")
+    wish = wish.withColumn("loose", ~F.col("pinned") & (F.col("main.key_n") > hot))
     counts = wish.groupBy("loose", "now", "to").agg(F.count("*").alias("n")).collect()  # at most 2 * shards * (shards + 1) rows
-    # rows of hot keys fill what others leave, as rows without links do: they don't stand in the others' way
+    # rows of hot keys that aren't pinned fill what others leave, as rows without links do: they don't stand in the others' way
     held, room = [0] * shards, []
     for loose in (False, True):
         wanted = [[0] * shards for _ in range(shards)]
@@ -81,20 +99,34 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
     hot = max(1, n // shards // 4)
     start = F.pmod(F.xxhash64(F.lit(SEED), "row"), F.lit(shards)).cast("int")
     sizes = links.groupBy("key").agg(F.count("*").alias("key_n")).where("key_n > 1")
-    state = cut(links.join(sizes, "key").withColumn("shard", start), "shard-links")
+    state = links.join(sizes, "key").withColumns({"pinned": F.lit(False), "shard": start})
+    # fewer than 4 * shards keys for each key that a row has
+    large = [(r["key"], r["key_n"]) for r in sizes.where((F.col("key_n") > hot) & (F.col("key_n") <= max(quota))).collect()]
+    pins, room_left = _pins(large, quota)
+    if pins:
+        dealt = F.broadcast(rows.sparkSession.createDataFrame(list(pins.items()), "key string, pin int"))
+        pinned = links.join(sizes, "key").join(dealt, "key").groupBy("row").agg(F.max(F.struct("key_n", "key", "pin"))["pin"].alias("pin"))
+        state = state.join(pinned, "row", "left").withColumns({"pinned": F.col("pin").isNotNull(), "shard": F.coalesce("pin", "shard")}).drop("pin")
+    state = cut(state, "shard-links")
     for turn in range(rounds):
-        state = _round(state, quota, shards, turn, hot)
-    linked = state.groupBy("row").agg(F.first("shard").alias("moved"), F.max(F.struct("key_n", "key")).alias("main"))
-    loose = F.col("main").isNull() | (F.col("main.key_n") > hot)
-    lot = F.when(loose, F.xxhash64(F.lit(SEED + 1), "row")).otherwise(F.xxhash64("main.key"))
-    placed = rows.select("row").join(linked, "row", "left").select("row", F.coalesce("moved", start).alias("shard"), loose.cast("int").alias("loose"), lot.alias("h"))
-    placed = cut(dense_positions(cut(placed, "shard-placed"), ["shard", "loose"], ["h", "row"], None, "place", rows=n), "shard-ranked")
-    counts = {(r["shard"], r["loose"]): r["n"] for r in placed.groupBy("shard", "loose").agg(F.count("*").alias("n")).collect()}
-    first_loose = [counts.get((s, 0), 0) for s in range(shards)]
-    held = [first_loose[s] + counts.get((s, 1), 0) for s in range(shards)]
-    place = F.col("place") + F.when(F.col("loose") == 1, _choose(F.col("shard"), first_loose)).otherwise(F.lit(0))
-    placed = placed.select("row", "h", "shard", place.alias("slot"), (place < _choose(F.col("shard"), quota)).alias("stays"))
-    over = dense_positions(placed.where("NOT stays").select("row", F.xxhash64(F.lit(SEED + 2), "row").alias("h"), F.lit(0).alias("all")), ["all"], ["h", "row"], None, "rank", rows=max(1, sum(max(0, held[s] - quota[s]) for s in range(shards))))
+        state = _round(state, quota, room_left, shards, turn, hot)
+    linked = state.groupBy("row").agg(F.first("shard").alias("moved"), F.first("pinned").alias("pinned"), F.max(F.struct("key_n", "key")).alias("main"), F.count("*").alias("keys"))
+    linked = cut(linked, "shard-linked")
+    # small keys that full shards kept apart, whose rows have no other key, are dealt again, side by side
+    apart = linked.where(~F.col("pinned") & (F.col("main.key_n") <= hot)).groupBy("main.key").agg(F.min("moved").alias("low"), F.max("moved").alias("high"), F.max("keys").alias("keys"))
+    apart = apart.where("low < high AND keys = 1").select(F.col("key").alias("apart"))
+    linked = linked.join(apart, F.col("main.key") == F.col("apart"), "left")
+    rank = F.when(F.col("main").isNull(), 3).when(F.col("pinned"), 0).when(F.col("main.key_n") > hot, 2).when(F.col("apart").isNotNull(), _CUT).otherwise(1)
+    lot = F.when(rank.isin(1, _CUT), F.xxhash64("main.key")).otherwise(F.xxhash64(F.lit(SEED + 1), "row"))
+    placed = rows.select("row").join(linked, "row", "left").select("row", F.coalesce("moved", start).alias("shard"), rank.alias("class"), lot.alias("h"))
+    placed = cut(dense_positions(cut(placed, "shard-placed"), ["shard", "class"], ["h", "row"], None, "place", rows=n), "shard-ranked")
+    counts = {(r["shard"], r["class"]): r["n"] for r in placed.groupBy("shard", "class").agg(F.count("*").alias("n")).collect()}
+    held = [sum(counts.get((s, c), 0) for c in range(_CUT)) for s in range(shards)]
+    before = [sum(counts.get((s, d), 0) for d in range(c)) for s in range(shards) for c in range(_CLASSES)]
+    place = F.col("place") + _choose(F.col("shard") * _CLASSES + F.col("class"), before)
+    placed = placed.select("row", "h", "shard", place.alias("slot"), ((F.col("class") < _CUT) & (place < _choose(F.col("shard"), quota))).alias("stays"))
+    # by the hash of the lot, so that the rows of a small key that must go fill neighbouring places
+    over = dense_positions(placed.where("NOT stays").select("row", F.xxhash64(F.lit(SEED + 2), "h").alias("h"), F.lit(0).alias("all")), ["all"], ["h", "row"], None, "rank", rows=max(1, sum(max(0, held[s] - quota[s]) + counts.get((s, _CUT), 0) for s in range(shards))))
     gaps, at = [], 0  # (first rank, shard) of each gap
     for s in range(shards):
         if held[s] < quota[s]:

@@ -180,6 +180,20 @@ def test_shards_with_a_hot_group(spark):
     assert shard_balance.propagate(rows.limit(0), rows.limit(0).select("row", F.lit("x").alias("key"))).count() == 0
 
 
+def test_a_large_group_that_fits_a_shard_stays_whole(spark):
+    n = 3200  # a group of 3 % of the rows; the others are without links, or in pairs
+    rows = spark.range(n).select(F.col("id").alias("row"))
+    alone = F.when(F.col("row") < 96, "big").otherwise(F.concat(F.lit("k"), F.col("row").cast("string")))
+    pairs = F.when(F.col("row") < 288, F.concat(F.lit("big"), (F.col("row") % 3).cast("string"))).otherwise(F.concat(F.lit("k"), F.floor(F.col("row") / 2).cast("string")))
+    for key in (alone, pairs):
+        out = shard_balance.propagate(rows, rows.select("row", key.alias("key"))).collect()
+        check_shards(out)
+        of = {r["row"]: r["shard"] for r in out}
+        groups = [range(96)] if key is alone else [range(k, 288, 3) for k in range(3)]
+        assert all(len({of[i] for i in g}) == 1 for g in groups)
+    assert sum(of[i] != of[i + 1] for i in range(288, n, 2)) <= 32  # at the edges of shards and gaps only
+
+
 def test_chats_round_trip(spark):
     hard = ["<|im_end|>", "\\", "\\<|", "<\\|im_start|>", "a\nb", "<", "|>", "\\n", "<<||", "é😀", "", "\\\\<|im_end|>\\"]
     turns = [(1, i, role, t) for i, (role, t) in enumerate(itertools.product(("user", "assistant", "od\nd\\<|x"), hard))] + [(2, 0, None, None), (None, None, "assistant", "x"), (3, 0, "assistant", "same"), (3, 0, "assistant", "same")]
