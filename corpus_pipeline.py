@@ -2,7 +2,7 @@
 
 Stages: line rules reject poor documents; language ID rejects documents without a clear language; of each class of
 near copies one document stays; the mix drops or repeats documents towards the sources' target weights; BPE encodes
-what is left. A stage takes and returns DataFrames, so any stage can be run again from the table before it.
+what is left and decodes it again, of which the stage returns the SHA-256. A stage takes and returns DataFrames, so any stage can be run again from the table before it.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = bpe_lexicon.default_path()
-    coded = bpe_lexicon.encode(docs.select("doc_id", "lang", "source", "text"), path, bpe_lexicon.build_lexicon(docs, path))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    coded = bpe_lexicon.encode(docs.select("doc_id", "lang", "source", "text"), path, bpe_lexicon.build_lexicon(docs, path), decoded="decoded")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality rules", rules), ("language ID", language), ("near copies", near_copies), ("mixing", mixture), ("BPE", tokens)]

@@ -1,6 +1,7 @@
 """Each stage of the pipeline against brute force on its own input."""
 
 import collections
+import hashlib
 
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -45,3 +46,9 @@ def test_empty(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = cut(stage(spark, docs, sf), "test-empty")
         assert docs.count() == 0
+
+
+def test_tokens_decode(spark, sf):
+    docs = spark.createDataFrame([(1, "en", "a", "Rules apply, \u00e9\U0001f600 to  all."), (2, "en", "a", ""), (3, None, None, None)], "doc_id long, lang string, source string, text string")
+    lib, rows = Tokenizer.from_file(bpe_lexicon.default_path()), corpus_pipeline.tokens(spark, docs, sf).collect()
+    assert len(rows) == 3 and all(r["decoded_sha256"] == hashlib.sha256(lib.decode(r["ids"], skip_special_tokens=False).encode()).hexdigest() for r in rows)
