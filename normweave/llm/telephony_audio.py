@@ -186,11 +186,11 @@ def describe(codec: str, pcm: np.ndarray) -> str:
     return f"{codec};{len(pcm)};{int(np.abs(pcm.astype(np.int32)).max())};{rms:.0f};{int(np.count_nonzero(sign[1:] != sign[:-1]))};{zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
-def decode(rows: DataFrame, media: str = "media", pcm: bool = True) -> DataFrame:
+def decode(rows: DataFrame, media: str = "media", pcm: bool = True, feature: bool = True) -> DataFrame:
     """rows without the media, with codec, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature and, if pcm, pcm: binary of little-endian 16-bit samples at RATE_OUT."""
+    feature, if wanted, and, if pcm, pcm: binary of little-endian 16-bit samples at RATE_OUT."""
     small_batches(rows.sparkSession)
-    added = {"codec": pa.string(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+    added = {"codec": pa.string(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), **({"feature": pa.string()} if feature else {})}
     rows = rows.drop(*added, "pcm")
     kept = [f for f in rows.schema.fields if f.name != media]
     kinds = {pa.string(): T.StringType(), pa.int64(): T.LongType()}
@@ -208,7 +208,7 @@ def decode(rows: DataFrame, media: str = "media", pcm: bool = True) -> DataFrame
                             c.append(None)
                         continue
                     codec, _, payload, samples = x
-                    values = (codec, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), describe(codec, samples), *([samples.astype("<i2").tobytes()] if pcm else []))
+                    values = (codec, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), *([describe(codec, samples)] if feature else []), *([samples.astype("<i2").tobytes()] if pcm else []))
                     for c, v in zip(columns.values(), values):
                         c.append(v)
                 others = [f.name for f in kept]
@@ -218,6 +218,20 @@ def decode(rows: DataFrame, media: str = "media", pcm: bool = True) -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
+def features(rows: DataFrame) -> DataFrame:
+    """rows (codec, pcm, ...) of decode without the pcm, with the feature of the stored samples."""
+    small_batches(rows.sparkSession)
+    kept = [f for f in rows.drop("feature").schema.fields if f.name != "pcm"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if x is None else describe(c, np.frombuffer(x, dtype="<i2")) for c, x in zip(batch.column("codec").to_pylist(), batch.column("pcm").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(found, pa.string())], names=[*[f.name for f in kept], "feature"])
+
+    return rows.drop("feature").mapInArrow(run, T.StructType([*kept, T.StructField("feature", T.StringType())]))
+
+
 def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = cut(store(read(spark, sf_dir, "documents").select("doc_id", "text")), "telephony")
-    return decode(stored, pcm=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.col("tail_crc32"), "media_bytes", "media_sha256", "feature")
+    resampled = cut(decode(stored, feature=False), "telephony-pcm")
+    return features(resampled).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.col("tail_crc32"), "media_bytes", "media_sha256", "feature")

@@ -208,3 +208,18 @@ def test_language_edges(spark):
     kept = language_id.keep_identified(train.withColumn("score", F.lit("mine")))
     assert kept.columns == [*train.columns, "score"] and {r["score"] for r in kept.collect()} == {"mine"} and kept.where("doc_id = 50").count() == 0
     assert language_id.predict(rows.limit(0), model).count() == 0
+
+
+def test_telephony_stores_the_resampled_pcm(spark, sf, monkeypatch):
+    tables = {}
+
+    def cut(df, name, plain=telephony_audio.cut):
+        tables[name] = plain(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(telephony_audio, "cut", cut)
+    out = {r["doc_id"]: r["feature"] for r in QUERIES["op9_telephony_audio"](spark, sf).collect()}
+    pcm = {r["doc_id"]: (r["codec"], np.frombuffer(r["pcm"], dtype="<i2")) for t in tables.values() if "pcm" in t.columns for r in t.collect()}
+    assert len(out) == len(pcm) and all(f == telephony_audio.describe(*pcm[k]) for k, f in out.items())
+    bad = telephony_audio.decode(spark.createDataFrame([(1, None)], "doc_id long, media binary"), feature=False)
+    assert [r["feature"] for r in telephony_audio.features(bad).collect()] == [None]
