@@ -15,6 +15,8 @@ from normweave.functions.text import cosine, first_words, hash_embedding
 
 OVERRIDE, EXACT, SYNONYM = 1.0, 0.95, 0.85
 THRESHOLD, REVIEW_BELOW, SUGGESTIONS = 0.7, 0.8, 3
+#: Rows of a block of queries and of items in top_k.
+QUERY_BLOCK, ITEM_BLOCK = 512, 8192
 
 
 @dataclass(frozen=True)
@@ -172,13 +174,22 @@ def status_counts(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy("mapping_status").agg(F.count("*").alias("n"))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, embedding: str = "embedding") -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, embedding: str = "embedding", query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
     """(query_id, item_id, similarity, rank) of the k items nearest to each query by cosine, ties by item_id.
 
-    The rank limit below the window lets Spark keep the k best of each query in every task before it shuffles (its
-    group limit), so a shuffle carries queries x k rows a task and never all pairs. `queries` (query_id, embedding) is a stated, bounded set and is sent to all tasks.
+    Queries and items are cut into blocks of about query_block and item_block rows by hash, and each pair of blocks is
+    joined by itself: no side goes through the driver, and neither may be bounded. The k best of a query in a pair of
+    blocks are kept by a window before they are merged, so the merge gets k rows a query and item block, never all pairs.
     """
-    q = queries.select("query_id", F.col(embedding).alias("q"))
-    near = items.select("item_id", F.col(embedding).alias("i")).join(F.broadcast(q), F.lit(True)).select("query_id", "item_id", F.round(cosine(F.col("q"), F.col("i")), 9).alias("similarity"))
-    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    n_q, n_i = blocks(queries, query_block), blocks(items, item_block)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", F.col(embedding).alias("q"), block("query_id", n_q).alias("q_block"), every(n_i).alias("i_block"))
+    i = items.select("item_id", F.col(embedding).alias("i"), block("item_id", n_i).alias("i_block"), every(n_q).alias("q_block"))
+    pairs = q.hint("shuffle_hash").join(i, ["q_block", "i_block"])
+    near = pairs.select("q_block", "i_block", "query_id", "item_id", F.round(cosine(F.col("q"), F.col("i")), 9).alias("similarity"))
+    order = [F.desc("similarity"), F.col("item_id")]
+    of_block = near.withColumn("rank", F.row_number().over(W.partitionBy("q_block", "i_block", "query_id").orderBy(*order))).where(F.col("rank") <= k)
+    best = of_block.select("query_id", "item_id", "similarity").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+    return best.where(F.col("rank") <= k)

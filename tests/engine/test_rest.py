@@ -153,3 +153,14 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         stream.validated(stream.ingested(spark, source), lambda b: pipeline.compile_chunks(b, reg), out, str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(out).groupBy("format").count().collect()[0]["count"] == 3
+
+
+def test_top_k_in_blocks(spark):
+    v = {n: [float(n % 7 + 1), float(n % 5), float(n % 3)] for n in range(60)}
+    df = spark.createDataFrame(list(v.items()), "id long, embedding array<double>")
+    out = mapping.top_k(df.where("id % 4 = 0").withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "item_id"), 3, query_block=4, item_block=7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "BroadcastExchange" not in plan
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    want = {(q, n, i) for q in v if q % 4 == 0 for n, i in enumerate(sorted(v, key=lambda i: (-round(cos(v[q], v[i]), 9), i))[:3], 1)}
+    assert {(r["query_id"], r["rank"], r["item_id"]) for r in out.collect()} == want
