@@ -1,12 +1,12 @@
 """N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
 
 Every text becomes its set of five-word shingles (64-bit hashes); texts of equal sets are copies and stand as one
-set from then on. A forest of TREES prefix tries holds the sets' MinHash labels; the matched prefix is shortened from
-LEVELS until pairs at the threshold meet in some tree with the target recall. Sets that share a prefix in any tree
-fall into one candidate component. Inside a component all sets are compared exactly, in blocks: a task gets two
+set from then on. TREES bands of MinHash labels, each of one fixed depth, stand in for a forest of prefix tries: no trie
+is kept, and no matched prefix is shortened by what it finds. The depth is the longest of at most LEVELS at which pairs
+at the threshold meet in some band with the target recall. Sets that share a band fall into one candidate component. Inside a component all sets are compared exactly, in blocks: a task gets two
 blocks of bounded size and reports, for each set, its number of links and one set that it is linked with, never the
 pairs. So a large group of near copies costs comparisons but no rows, and no link inside it is missed; a link is
-missed only if its two sets share no chain of prefixes, which is below 1 - RECALL.
+missed only if its two sets share no chain of bands, for which 1 - RECALL is the expected bound; there is no exact way for it.
 
 Defined results: null text is empty; a text of one to four words has one shingle, all its words; texts without a
 word are copies of equal texts only; repeated rows are copies; ties of ids fall to the lowest, nulls last; an empty
