@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .bpe_lexicon import by_bytes, gather
+from .batches import by_bytes, gather
 from .common import cut, read, scratch_path, small_batches
 
 SCALE_BITS = 18

@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .batches import by_bytes, gather
 from .common import read, small_batches
 
 #: Words in the transducer; what the driver holds is bounded by it.
@@ -179,14 +179,6 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-def gather(codes: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The value lists of codes, one after another, as (offsets, values)."""
-    sizes = (offsets[1:] - offsets[:-1])[codes]
-    out = np.concatenate(([0], np.cumsum(sizes)))
-    at = np.arange(out[-1]) + np.repeat(offsets[codes] - out[:-1], sizes)
-    return out, values[at]
-
-
 class Transducer:
     """Minimal acyclic automaton with numbered words and their ids, over one memory-mapped file of int32."""
 
@@ -339,19 +331,6 @@ def encode_texts(model: WordBpe, lexicon: Transducer, texts: list[str | None]) -
     return flat_at[np.concatenate(([0], np.cumsum(lens))).astype(np.int64)], ids
 
 
-def by_bytes(batch: pa.RecordBatch, text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about `most` bytes of text, a single longer text alone."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(word, n): counts over all texts. Each task counts lossily in bounded memory: a word whose share of the task
     is below 1 / COUNTER_ENTRIES may be missing or low, a more frequent one never is missing."""
@@ -404,7 +383,7 @@ def encode(docs: DataFrame, path: str, lexicon: str, text: str = "text", out: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, automaton = _model(path), _transducer(lexicon)
         for whole in batches:
-            for batch in by_bytes(whole, text):
+            for batch in by_bytes(whole, text, BATCH_BYTES):
                 offsets, ids = encode_texts(model, automaton, batch.column(text).to_pylist())
                 new = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
                 if decoded:

@@ -14,37 +14,69 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """This application's folder below spark.checkpoint.dir. Where that is unset, a local session gets a temporary
+    folder; on a cluster that is an error, for executors on other machines could not share it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="normweave-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="normweave-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/normweave-{spark.sparkContext.applicationId}"
 
 
+def _fs_path(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the scratch folder, which goes when the driver ends."""
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    fs, jvm_path = _fs_path(spark, path)
+    fs.deleteOnExit(jvm_path)
     return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back, so that later steps neither
-    recompute it nor depend on the executors that made it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    recompute it nor depend on the executors that made it. Arrow batches are small while it is written."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_BATCH_BYTES)
+    small_batches(spark)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by cut that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        root = scratch(spark).partition(":")[2].lstrip("/") if ":" in scratch(spark) else scratch(spark).lstrip("/")
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if f"/{root}/" in folder:
+                fs, jvm_path = _fs_path(spark, folder)
+                fs.delete(jvm_path, True)
+
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession, most: int = 4_000_000) -> None:
-    """Let no Arrow batch to Python exceed about `most` bytes (a single longer row goes alone), whatever the rows' length."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    """Let no Arrow batch to Python exceed about `most` bytes (a single longer row goes alone), whatever the rows'
+    length. DataFrames are lazy, so where an operator returns one that still has to pass through Python, this stays
+    set for the session; what the operators write themselves (cut) runs under it and puts the old value back."""
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH_BYTES))
     if not now or int(now[1]) > most:
-        spark.conf.set(key, str(most))
+        spark.conf.set(_BATCH_BYTES, str(most))
+
+
+def pack(df: DataFrame, **columns: Column) -> DataFrame:
+    """(row, *columns): all columns of df in one struct `row`, so that a work column can't clash with any of them."""
+    return df.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
 
 
 def let(value: Column, body) -> Column:

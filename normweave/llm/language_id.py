@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .bpe_lexicon import by_bytes
+from .batches import by_bytes
 from .common import read, small_batches
 
 #: Learning takes about so many labelled rows of each language at most, chosen by a hash of their id.

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .bpe_lexicon import by_bytes
+from .batches import by_bytes
 from .common import cut, read, small_batches
 
 RATE, RATE_OUT = 8_000, 16_000

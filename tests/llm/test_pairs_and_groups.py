@@ -89,7 +89,7 @@ def test_join_edges(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (5, 5)], "a long, b long")
     assert {r["node"]: r["label"] for r in jaccard_join.connected(edges).collect()} == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
     assert jaccard_join.connected(edges.limit(0)).count() == 0
-    assert 1 - (1 - 0.8 ** jaccard_join.depth_for()) ** jaccard_join.TREES >= jaccard_join.RECALL
+    assert 1 - (1 - 0.8 ** jaccard_join.LONGEST) ** jaccard_join.TREES >= jaccard_join.RECALL
 
 
 def check_mix(rows, docs, block=source_mixing.BLOCK):
