@@ -20,7 +20,7 @@ threshold, and there is no exact way for these.
 
 Defined results: null text is empty; a text of one to four words has one shingle, all its words; texts without a
 word are copies of equal texts only; repeated rows are copies; ties of ids fall to the lowest, nulls last; of rows
-equal in id and text, keep_one keeps the first as JSON; an empty table gives an empty table; only the named columns
+equal in id and text, keep_one keeps the first by a hash of all columns; an empty table gives an empty table; only the named columns
 are read, and the rows that keep_one gives are packed while it works, so that no column's name can clash.
 """
 
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .batches import by_bytes
-from .common import cut, discard, pack, read
+from .common import cut, discard, pack, read, row_hash
 from .shingles import minhash, overlaps, shingle_sets
 
 #: The threshold as a fraction, compared in integers.
@@ -154,14 +154,16 @@ def listed(asked: DataFrame, tries: DataFrame, dealt: DataFrame, near: DataFrame
     return pairs.join(near, ["x", "y"], "left_anti").select("a", "b")
 
 
-def blocks(asked: DataFrame, sizes: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """asked: (node, key, size), sizes: (node, n). Returns (node, block), a row for each set below a node of more
+def blocks(asked: DataFrame, tries: DataFrame, sizes: DataFrame, crowd: int = CROWD, shortest: int = SHORTEST) -> tuple[DataFrame, DataFrame]:
+    """asked: (node, key, size), tries: of forest, sizes: (node, n). Returns (node, block), a row for each set below a node of more
     than `crowd` sets, and (x, y): the blocks, x <= y, that share such a node and whose sizes may be similar.
 
-    A block takes sets of one largest node and one class of size, in which sizes differ by the threshold at most.
+    A block takes sets of one largest node of the shortest length, which most of a group share, and of one class of
+    size, in which sizes differ by the threshold at most.
     """
-    large = asked.where(F.col("size") > crowd)
-    main = large.groupBy("node").agg(F.max(F.struct("size", "key"))["key"].alias("main"), F.collect_set("key").alias("keys"))
+    keys = asked.where(F.col("size") > crowd).groupBy("node").agg(F.collect_set("key").alias("keys"))  # a key a tree at most
+    widest = tries.where(F.col("level") == shortest).groupBy("node").agg(F.max(F.struct("size", "key"))["key"].alias("main"))
+    main = keys.join(widest, "node")
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(OF / SIMILAR)) + 1e-9).cast("int")
     main = main.join(sizes, "node").withColumn("class", step)
     parts = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("long")
@@ -277,7 +279,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     sets = cut(sets.select(F.monotonically_increasing_id().alias("node"), "sfp", "own.doc_id", "own.th", "n_copies", "n", "labels"), "jaccard-sets")
     tries = forest(sets.where("n > 0"))
     asked = cut(queries(tries), "jaccard-queries")
-    dealt, near = blocks(asked, sets.select("node", "n"))
+    dealt, near = blocks(asked, tries, sets.select("node", "n"))
     near = cut(near, "jaccard-block-pairs")
     pairs = cut(listed(asked, tries, dealt, near), "jaccard-pairs")
 
@@ -290,7 +292,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     sides = near.join(of_block("x"), "x").withColumn("side", F.lit(0)).unionByName(near.where("x < y").join(of_block("y"), "y").withColumn("side", F.lit(1)))
     found = verify_pairs(grouped.join(texts, "node")).unionByName(verify_blocks(sides.join(texts, "node")))
     seen = cut(found, "jaccard-links")
-    discard(texts, near, pairs, asked, tries, dealt)
+    discard(texts, near, pairs, asked, tries)
     degree = seen.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = connected(seen.select(F.col("node").alias("a"), F.col("head").alias("b")))
     least = sets.join(classes, "node").groupBy("label").agg(F.min(first).alias("keep"))
@@ -312,12 +314,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The first document of each class, with all its columns: the one of the least id, then of the least text hash,
-    then of the first JSON form."""
+    then by a hash of all columns."""
     _, sets = link(docs, key, text)
     kept = sets.select(F.col("keep.doc_id").alias("kept_id"), F.col("keep.th").alias("kept_th")).distinct()
-    packed = pack(docs, doc_id=F.col(key), th=F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    packed = pack(docs, doc_id=F.col(key), th=F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), tie=row_hash(docs))
     own = packed.join(kept, (packed["th"] == kept["kept_th"]) & packed["doc_id"].eqNullSafe(kept["kept_id"]))
-    return own.groupBy("doc_id", "th").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return own.groupBy("doc_id", "th").agg(F.min_by("row", "tie").alias("row")).select("row.*")
 
 
 def op2_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
