@@ -2,8 +2,9 @@
 
 One shared frequency table, counted over all ids, codes independent blocks of whole documents. In a block, token t
 belongs to lane t mod LANES; all lanes step together in numpy and share one stream of 32-bit words. Every
-CHECKPOINT_STEPS steps the lanes' states and the place in the stream are kept, so parts of a long block decode in
-parallel; each block has checksums of its stream and of its ids.
+CHECKPOINT_STEPS steps the lanes' states and the place in the stream are kept, with checksums of the stream and of the
+ids up to the next checkpoint. A block of several checkpoints is one long document; its parts decode in tasks of their
+own, and their checksums join to that of the document.
 
 A store is a folder: `table` (id, freq), `blocks` (part, seq, documents, first token, lane states, stream, checksums), `offsets`
 (part, first token): Spark tables, so any file system that Spark writes serves. Blocks ascend by (part, seq), and so do
@@ -16,15 +17,17 @@ checksum fails raises an error.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .batches import by_bytes, gather
 from .common import cut, read, scratch_path, small_batches
@@ -38,8 +41,35 @@ BLOCK_TOKENS = LANES * CHECKPOINT_STEPS
 MEMORY_PIECES, CALL_PIECES = 1_200_000, 2_000
 WORD_AND_MARKS = r"(?s)^(?P<word>.*[\p{L}\p{Nd}])(?P<marks>[.,;:!?$&%*#\")\]}]+)$"
 BATCH_BYTES = 4_000_000
-#: A space between two white-space characters, or last after one: there, pieces of a text can't be coded alone.
-_TIED_SPACE = re.compile(r"\s (?:\s|$)")
+#: A space between two white-space or control characters, or last after one: there, pieces of a text can't be coded alone.
+_TIED_SPACE = r"[\pZ\pC] (?:[\pZ\pC]|\z)"
+#: A piece that such a character begins or ends, or that holds a carriage return.
+_LOOSE_ENDS = r"^[\pZ\pC]|[\pZ\pC]\z|\r|\A\z"
+
+
+class Pool:
+    """Id lists by number, in arrays that grow by doubling."""
+
+    def __init__(self, kind: np.dtype):
+        self.at, self.ids, self.n = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 12, dtype=kind), 0
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, used = self.n + len(sizes), int(self.at[self.n])
+        if n >= len(self.at):
+            self.at = np.concatenate((self.at[: self.n + 1], np.zeros(2 * n, dtype=np.int64)))
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids[:used], np.zeros(used + 2 * len(ids), dtype=self.ids.dtype)))
+        np.cumsum(sizes, out=self.at[self.n + 1 : n + 1])
+        self.at[self.n + 1 : n + 1] += used
+        self.ids[used : used + len(ids)] = ids
+        self.n = n
+
+    def keep(self, n: int) -> None:
+        """Forget the lists from number n on."""
+        self.n = min(self.n, n)
+
+    def lists(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return gather(numbers, self.at[: self.n + 1], self.ids)
 
 
 class PieceTokenizer:
@@ -53,6 +83,7 @@ class PieceTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,71 +95,82 @@ class PieceTokenizer:
         self.between = self.tokenizer.encode("\r", add_special_tokens=False).ids
         self.cores: dict[str, int] = {}  # of pieces after a space, which the key leaves out: numbers in the pool
         self.marks: dict[str, int] = {}
-        self.sizes, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=self.kind)  # the pool
+        self.pool = Pool(self.kind)
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of the texts."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return sizes, np.fromiter(chain.from_iterable(found), dtype=self.kind, count=int(sizes.sum()))
 
-    def _after_space(self, pieces: list[str]) -> list[bytes]:
+    def _after_space(self, pieces: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(pieces in another order, sizes, ids), each coded as after a space."""
         # a piece that neither begins nor ends in white space can't reach into its neighbours
-        calm = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace() and "\r" not in p] if len(self.between) == 1 else []
-        out: dict[str, bytes] = {}
-        for low in range(0, len(calm), CALL_PIECES):
-            part = calm[low : low + CALL_PIECES]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\r ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
-            ends = np.flatnonzero(ids == self.between[0])
+        calm = pc.invert(pc.match_substring_regex(pieces, _LOOSE_ENDS)) if len(self.between) == 1 else pa.array([False] * len(pieces), pa.bool_())
+        names, rest = pieces.filter(calm).to_pylist(), pieces.filter(pc.invert(calm)).to_pylist()
+        done, sizes, ids = [], [], []
+        for low in range(0, len(names), CALL_PIECES):
+            part = names[low : low + CALL_PIECES]
+            found = np.array(self.tokenizer.encode_batch_fast([" " + "\r ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = np.flatnonzero(found == self.between[0])
             if len(ends) != len(part) - 1:
+                rest += part
                 continue
-            starts, packed = np.concatenate(([0], ends + 1)) * self.kind.itemsize, ids.tobytes()
-            stops = np.append(ends, len(ids)) * self.kind.itemsize
-            out.update((p, packed[i:j]) for p, i, j in zip(part, starts.tolist(), stops.tolist()))
-        rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, self.whole([" " + p for p in rest])))
-        return [out[p] for p in pieces]
-
-    def _lists(self, known: dict[str, int], keys: pa.Array, code) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of the keys. New keys enter the memory as far as it has room."""
+            done += part
+            sizes.append(np.diff(np.concatenate(([-1], ends, [len(found)]))) - 1)
+            ids.append(np.delete(found, ends))
+        if rest:
+            n, more = self.whole([" " + p for p in rest])
+            sizes, ids = [*sizes, n], [*ids, more]
+        empty = np.zeros(0, dtype=np.int64)
+        return done + rest, np.concatenate([empty, *sizes]), np.concatenate([empty.astype(self.kind), *ids])
+
+    def _alone(self, pieces: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        return pieces.to_pylist(), *self.whole(pieces.to_pylist())
+
+    def _numbers(self, known: dict[str, int], keys: pa.Array, code) -> np.ndarray:
+        """The pool's numbers of the keys; new keys are coded into the pool and noted in `known`."""
         distinct = keys.dictionary_encode()
-        names = distinct.dictionary.to_pylist()
-        numbers = list(map(known.get, names))
-        gaps = [i for i, n in enumerate(numbers) if n is None]
-        new = [names[i] for i in gaps]
-        first, packed = len(self.sizes), code(new)
-        for i, n in zip(gaps, range(first, first + len(new))):
-            numbers[i] = n
-        sizes = np.concatenate((self.sizes, np.fromiter(map(len, packed), dtype=np.int64, count=len(new)) // self.kind.itemsize))
-        ids = np.concatenate((self.ids, np.frombuffer(b"".join(packed), dtype=self.kind)))
-        kept = new[: max(0, MEMORY_PIECES - first)]
-        known.update(zip(kept, range(first, first + len(kept))))
-        self.sizes = sizes[: first + len(kept)]
-        self.ids = ids[: len(ids) - int(sizes[first + len(kept) :].sum())]
-        return gather(np.array(numbers, dtype=np.int64)[distinct.indices.to_numpy()], np.concatenate(([0], np.cumsum(sizes))), ids)
-
-    def _code(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of pieces. A word always ends between a letter or digit and the marks after it, so these
-        code apart."""
-        parts = pc.extract_regex(pieces, WORD_AND_MARKS)
-        at, ids = self._lists(self.cores, pc.coalesce(pc.struct_field(parts, "word"), pieces), self._after_space)
-        end_at, end_ids = self._lists(self.marks, pc.coalesce(pc.struct_field(parts, "marks"), ""), self.whole)
-        order = np.arange(2 * len(pieces)).reshape(2, -1).T.reshape(-1)
-        both_at, both = gather(order, np.concatenate((at, at[-1] + end_at[1:])), np.concatenate((ids, end_ids)))
-        return both_at[::2], both
+        names = distinct.dictionary
+        numbers = list(map(known.get, names.to_pylist(), repeat(-1)))
+        numbers = np.array(numbers, dtype=np.int64)
+        gaps = np.flatnonzero(numbers < 0)
+        if len(gaps):
+            new, sizes, ids = code(names.take(pa.array(gaps)))
+            known.update(zip(new, range(self.pool.n, self.pool.n + len(new))))
+            self.pool.add(sizes, ids)
+            numbers[gaps] = list(map(known.__getitem__, names.take(pa.array(gaps)).to_pylist()))
+        return numbers[distinct.indices.to_numpy()]
+
+    def _forget(self) -> None:
+        """Drop what came into the pool beyond the bound."""
+        if self.pool.n > MEMORY_PIECES:
+            for known in (self.cores, self.marks):
+                while known and next(reversed(known.values())) >= MEMORY_PIECES:  # the latest come last
+                    known.popitem()
+            self.pool.keep(MEMORY_PIECES)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts, each with the id `end` behind."""
-        plain = [not (any(s in t for s in self.specials) or _TIED_SPACE.search(t)) for t in texts]
-        heads = [t.partition(" ")[0] if p else t for t, p in zip(texts, plain)]
+        tied = pc.match_substring_regex(pa.array(texts, pa.large_string()), _TIED_SPACE).to_pylist()
+        heads = [t if tie or any(s in t for s in self.specials) else t.partition(" ")[0] for t, tie in zip(texts, tied)]
         lists = pc.split_pattern(pa.array([t[len(h) :] for t, h in zip(texts, heads)], pa.string()), " ")  # each begins with ''
         found = lists.values.dictionary_encode()
-        at, ids = self._code(found.dictionary)
-        packed = self.whole(heads)
-        head_sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // self.kind.itemsize
+        # a word always ends between a letter or digit and the marks after it, so these code apart
+        pieces = found.dictionary
+        parts = pc.extract_regex(pieces, WORD_AND_MARKS)
+        words = self._numbers(self.cores, pc.coalesce(pc.struct_field(parts, "word"), pieces), self._after_space)
+        marks = self._numbers(self.marks, pc.coalesce(pc.struct_field(parts, "marks"), ""), self._alone)
+        at, ids = self.pool.lists(np.stack((words, marks), axis=1).reshape(-1))
+        self._forget()
+        at = at[::2]
+        head_sizes, packed = self.whole(heads)
         more = np.append(np.cumsum(head_sizes), head_sizes.sum() + 1)
         starts = lists.offsets.to_numpy().astype(np.int64)
         numbers = found.indices.to_numpy().astype(np.int64)
         numbers[starts[:-1]] = len(at) - 1 + np.arange(len(texts))
         numbers = np.insert(numbers, starts[1:], len(at) - 1 + len(texts))
-        flat_at, flat = gather(numbers, np.concatenate((at, at[-1] + more)), np.concatenate((ids, np.frombuffer(b"".join(packed), dtype=self.kind), np.array([end], dtype=self.kind))))
+        flat_at, flat = gather(numbers, np.concatenate((at, at[-1] + more)), np.concatenate((ids, packed, np.array([end], dtype=self.kind))))
         return flat_at[starts + np.arange(len(starts))], flat
 
 
@@ -223,18 +265,13 @@ class Ans:
         before = np.concatenate(([0], np.cumsum(per_step)))[:steps:CHECKPOINT_STEPS] if steps else np.zeros(0, dtype=np.int64)
         return words[out].tobytes(), states, before
 
-    def decode(self, n: int, stream: bytes, states: np.ndarray, before: np.ndarray) -> np.ndarray:
-        lanes = min(LANES, max(1, n))
-        words = np.frombuffer(stream, dtype="<u4")
-        out = np.empty((-(-n // lanes), lanes), dtype=np.uint32)
-        for c in range(len(before)):
-            self._part(n, lanes, words, states[c].copy(), int(before[c]), c * CHECKPOINT_STEPS, out)
-        return out.reshape(-1)[:n]
-
-    def _part(self, n: int, lanes: int, words: np.ndarray, state: np.ndarray, at: int, first: int, out: np.ndarray) -> None:
-        """Steps from one checkpoint to the next; needs nothing of what stands before it."""
+    def decode(self, n: int, stream: bytes, states: bytes) -> np.ndarray:
+        """The n ids from one checkpoint to the next, from its lane states and its part of the stream."""
+        state = np.frombuffer(states, dtype="<u8").astype(np.uint64)
+        words, lanes, at = np.frombuffer(stream, dtype="<u4"), len(state), 0
+        out = np.empty((-(-n // lanes), lanes), dtype="<u4")
         mask = np.uint64((1 << self.bits) - 1)
-        for t in range(first, min(first + CHECKPOINT_STEPS, len(out))):
+        for t in range(len(out)):
             live = min(lanes, n - t * lanes)
             x = state[:live]
             slot = x & mask
@@ -245,9 +282,33 @@ class Ans:
             x[low] = x[low] << np.uint64(32) | words[at : at + len(low)]
             at += len(low)
             state[:live] = x
+        return out.reshape(-1)[:n]
+
 
+def joined_crc32(parts: list[tuple[int, int]]) -> int:
+    """The CRC-32 of concatenated parts of (CRC-32, bytes): a part's CRC shifted by n bytes is its product with
+    x**(8 n) modulo the polynomial, in the reflected bit order."""
 
-BLOCKS = "part int, seq int, first long, n long, keys array<{kind}>, lens array<int>, states binary, before array<int>, stream binary, stream_crc32 long, ids_crc32 long"
+    def times(a: int, b: int) -> int:
+        out = 0
+        for k in range(31, -1, -1):
+            if b >> k & 1:
+                out ^= a
+            a = a >> 1 ^ (0xEDB88320 if a & 1 else 0)
+        return out
+
+    total = 0
+    for crc, n in parts:
+        power, square = 1 << 31, 1 << 23  # 1 and x**8
+        while n:
+            if n & 1:
+                power = times(power, square)
+            square, n = times(square, square), n >> 1
+        total = times(total, power) ^ crc
+    return total
+
+
+BLOCKS = "part int, seq int, first long, n long, keys array<{kind}>, lens array<int>, states binary, before array<int>, stream binary, stream_crc32 array<long>, ids_crc32 array<long>"
 
 
 def write(ids: DataFrame, path: str, size: int, key: str = "doc_id") -> None:
@@ -268,12 +329,15 @@ def write(ids: DataFrame, path: str, size: int, key: str = "doc_id") -> None:
         def block() -> pa.RecordBatch:
             all_ids = np.frombuffer(b"".join(held), dtype=unpacked).astype("<u4")
             stream, states, before = coder.encode(all_ids)
-            row = {"part": part, "seq": seq, "first": first, "n": total, "keys": keys, "lens": lens, "states": states.astype("<u8").tobytes(), "before": before.tolist(), "stream": stream, "stream_crc32": zlib.crc32(stream), "ids_crc32": zlib.crc32(all_ids.tobytes())}
+            ends = [4 * x for x in [*before[1:].tolist(), len(stream) // 4]]
+            row = {"part": part, "seq": seq, "first": first, "n": total, "keys": keys, "lens": lens, "states": states.astype("<u8").tobytes(), "before": before.tolist(), "stream": stream}
+            row["stream_crc32"] = [zlib.crc32(stream[4 * x : y]) for x, y in zip(before.tolist(), ends)]
+            row["ids_crc32"] = [zlib.crc32(all_ids[x : x + BLOCK_TOKENS].tobytes()) for x in range(0, total, BLOCK_TOKENS)]
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
             key_type = batch.schema.field(key).type
-            schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(key_type)), ("lens", pa.list_(pa.int32())), ("states", pa.binary()), ("before", pa.list_(pa.int32())), ("stream", pa.binary()), ("stream_crc32", pa.int64()), ("ids_crc32", pa.int64())])
+            schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(key_type)), ("lens", pa.list_(pa.int32())), ("states", pa.binary()), ("before", pa.list_(pa.int32())), ("stream", pa.binary()), ("stream_crc32", pa.list_(pa.int64())), ("ids_crc32", pa.list_(pa.int64()))])
             for k, raw in zip(batch.column(key).to_pylist(), batch.column("ids").to_pylist()):
                 n = len(raw) // unpacked.itemsize
                 if held and total + n > BLOCK_TOKENS:
@@ -304,28 +368,60 @@ def read_store(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bo
     freq = spark.sparkContext.broadcast(spark.read.parquet(f"{path}/table").orderBy("id").toPandas()["freq"].to_numpy())
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
 
+    def part_of(coder: Ans, row: dict, n: int, stream: bytes, states: bytes, c: int) -> memoryview:
+        name = f"block {row['part']}/{row['seq']}, checkpoint {c}"
+        if zlib.crc32(stream) != row["stream_crc32"][c].as_py():
+            raise ValueError(f"checksum of {name}")
+        ids = memoryview(coder.decode(n, stream, states)).cast("B")
+        if zlib.crc32(ids) != row["ids_crc32"][c].as_py():
+            raise ValueError(f"checksum of the ids of {name}")
+        return ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
             coder = coder or Ans(freq.value)
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                name, stream = f"{row['part']}/{row['seq']}", row["stream"].as_py()
-                if zlib.crc32(stream) != row["stream_crc32"].as_py():
-                    raise ValueError(f"checksum of block {name}")
-                before = row["before"].values.to_numpy()
-                states = np.frombuffer(row["states"].as_py(), dtype="<u8").reshape(len(before), -1)
-                ids = memoryview(coder.decode(row["n"].as_py(), stream, states, before).astype("<u4")).cast("B")
-                if zlib.crc32(ids) != row["ids_crc32"].as_py():
-                    raise ValueError(f"checksum of the ids of block {name}")
+                ids = part_of(coder, row, row["n"].as_py(), row["stream"].as_py(), row["states"].as_py(), 0)
                 lens = row["lens"].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(lens)
                 own = [ids[4 * a : 4 * b] for a, b in zip((ends - lens).tolist(), ends.tolist())]
                 arrays = [row["keys"].values, pa.array(ends - lens + row["first"].as_py() + row["file_first"].as_py()), pa.array(lens), pa.array(list(map(zlib.crc32, own)), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array([bytes(x) for x in own], pa.binary())] if with_ids else [])], names=names)
 
+    def run_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = None
+        for batch in batches:
+            coder = coder or Ans(freq.value)
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                c = row["c"].as_py()
+                ids = part_of(coder, row, row["part_n"].as_py(), row["stream"].as_py(), row["states"].as_py(), c)
+                out = {"key": row["keys"].values[0].as_py(), "start": row["first"].as_py() + row["file_first"].as_py(), "part": row["part"].as_py(), "seq": row["seq"].as_py(), "c": c, "n": len(ids) // 4, "crc": zlib.crc32(ids)}
+                yield pa.RecordBatch.from_pylist([out | ({"ids": bytes(ids)} if with_ids else {})], schema=parts_schema)
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(x, key=lambda p: p["c"]) for x in batch.column("parts").to_pylist()]
+            crc = [joined_crc32([(p["crc"], 4 * p["n"]) for p in x]) for x in found]
+            arrays = [batch.column("key"), batch.column("start"), pa.array([sum(p["n"] for p in x) for x in found], pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array([b"".join(p["ids"] for p in x) for x in found], pa.binary())] if with_ids else [])], names=names)
+
     names = ["key", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
-    return blocks.mapInArrow(run, f"key {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids).withColumnRenamed("key", key)
+    more = ", ids binary" * with_ids
+    parts_schema = pa.schema([("key", to_arrow_type(blocks.schema["keys"].dataType.elementType)), ("start", pa.int64()), ("part", pa.int32()), ("seq", pa.int32()), ("c", pa.int32()), ("n", pa.int64()), ("crc", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
+    schema = f"key {kind}, start long, n_tokens long, ids_crc32 long" + more
+    short = blocks.where(F.size("before") <= 1).mapInArrow(run, schema)
+    # a block with more checkpoints is one long document; its parts decode in tasks of their own
+    c, total = F.col("c"), F.col("n")
+    begin, end = F.get("before", c), F.coalesce(F.get("before", c + 1), (F.octet_length("stream") / 4).cast("int"))
+    lane_bytes = (F.octet_length("states") / F.size("before")).cast("int")
+    long = blocks.where(F.size("before") > 1).withColumn("c", F.explode(F.sequence(F.lit(0), F.size("before") - 1)))
+    long = long.withColumns({"part_n": F.least(F.lit(BLOCK_TOKENS), total - c.cast("long") * BLOCK_TOKENS), "stream": F.substring("stream", 4 * begin + 1, 4 * (end - begin)), "states": F.substring("states", lane_bytes * c + 1, lane_bytes)})
+    parts = long.repartition("part", "seq", "c").mapInArrow(run_parts, f"key {kind}, start long, part int, seq int, c int, n long, crc long" + more)
+    parts = parts.groupBy("part", "seq", "key", "start").agg(F.collect_list(F.struct("c", "n", "crc", *(["ids"] if with_ids else []))).alias("parts"))
+    return short.unionByName(parts.select("key", "start", "parts").mapInArrow(run_joined, schema)).withColumnRenamed("key", key)
 
 
 def default_path() -> str:
