@@ -38,14 +38,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back, so that later steps neither
-    recompute it nor depend on the executors that made it. Arrow batches are small while it is written."""
+    recompute it nor depend on the executors that made it. Arrow batches are small while it is written. `level` is
+    that of zstd: higher for large tables that compress well."""
     spark = df.sparkSession
     path, before = scratch_path(spark, name), spark.conf.get(_BATCH_BYTES)
     small_batches(spark)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     finally:
         spark.conf.set(_BATCH_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -79,6 +80,11 @@ def pack(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns: an order for rows that agree in everything an operator reads."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in df.schema[n].dataType.simpleString() else c for n in df.columns for c in [F.col(f"`{n.replace('`', '``')}`")]])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -92,10 +98,13 @@ def dense_positions(df: DataFrame, group: list[str], order: list[str], weight: s
     spread evenly over 64 bits (a hash), whose top bits make buckets of about rows_a_bucket rows out of `rows`.
     df is read twice and must give the same rows each time (cut it before).
     """
+    size = F.col(weight) if weight else F.lit(1)
     if bucket is None:
         bits = (max(1, df.count() if rows is None else rows) // rows_a_bucket).bit_length()
-        bucket = F.shiftright(F.col(order[0]), 64 - bits) if bits else F.lit(0).cast("long")
-    size = F.col(weight) if weight else F.lit(1)
+        if not bits:  # one bucket: the window alone does it
+            before = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+            return df.withColumn(out, F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+        bucket = F.shiftright(F.col(order[0]), 64 - bits)
     df = df.withColumn("__bucket", bucket)
     sums = df.groupBy(*group, "__bucket").agg(F.sum(size).cast("long").alias("__sum"))
     before = W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)

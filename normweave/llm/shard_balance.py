@@ -20,7 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, dense_positions, read
+from .common import cut, dense_positions, discard, read
 
 SHARDS = 16
 ROUNDS = 4
@@ -59,10 +59,19 @@ def _pins(large: list[tuple[str, int]], quota: list[int]) -> tuple[dict[str, int
     return pins, room
 
 
-def _round(state: DataFrame, quota: list[int], room_left: list[int], shards: int, turn: int, hot: int) -> DataFrame:
+def _by_key(rows: DataFrame, table: DataFrame, large: list[str]) -> DataFrame:
+    """rows joined with table by key. The rows of large keys, fewer than 4 * shards keys for each key that a row has,
+    stay where they are: their part of the table, which has a row for each key and shard at most, goes to them."""
+    if not large:
+        return rows.join(table, "key")
+    is_large = F.col("key").isin(large)
+    return rows.where(~is_large).join(table.where(~is_large), "key").unionByName(rows.where(is_large).join(F.broadcast(table.where(is_large)), "key"))
+
+
+def _round(state: DataFrame, quota: list[int], room_left: list[int], shards: int, turn: int, hot: int, large: list[str]) -> DataFrame:
     """One round over (row, key, key_n, pinned, shard); a row may have several keys and then stands once for each."""
     votes = state.groupBy("key", "shard").agg(F.count("*").alias("votes"))
-    seen = state.select("row", "key", "key_n", "pinned", F.col("shard").alias("now")).join(votes, "key")
+    seen = _by_key(state.select("row", "key", "key_n", "pinned", F.col("shard").alias("now")), votes, large)
     per_row = seen.groupBy("row", "shard").agg(F.sum("votes").alias("votes"), F.first("now").alias("now"), F.first("pinned").alias("pinned"), F.max(F.struct("key_n", "key")).alias("main"))
     # ties fall alike for all rows of a key, so that two neighbours don't just change places, and to each shard in
     # proportion to the room that pinned keys leave in it
@@ -89,7 +98,9 @@ def _round(state: DataFrame, quota: list[int], room_left: list[int], shards: int
     to = F.coalesce("to", F.lit(0))
     moves = F.col("to").isNotNull() & (lot < F.when(F.col("loose"), _choose(to, room[1])).otherwise(_choose(to, room[0])))
     moved = wish.select("row", F.when(moves, F.col("to")).otherwise(F.col("now")).alias("shard"))
-    return cut(state.drop("shard").join(moved, "row"), "shard-state")
+    after = cut(state.drop("shard").join(moved, "row"), "shard-state")
+    discard(wish, state)
+    return after
 
 
 def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -98,24 +109,26 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     hot = max(1, n // shards // 4)
     start = F.pmod(F.xxhash64(F.lit(SEED), "row"), F.lit(shards)).cast("int")
-    sizes = links.groupBy("key").agg(F.count("*").alias("key_n")).where("key_n > 1")
-    state = links.join(sizes, "key").withColumns({"pinned": F.lit(False), "shard": start})
+    sizes = cut(links.groupBy("key").agg(F.count("*").alias("key_n")).where("key_n > 1"), "shard-keys")
     # fewer than 4 * shards keys for each key that a row has
-    large = [(r["key"], r["key_n"]) for r in sizes.where((F.col("key_n") > hot) & (F.col("key_n") <= max(quota))).collect()]
-    pins, room_left = _pins(large, quota)
+    large = [(r["key"], r["key_n"]) for r in sizes.where(F.col("key_n") > hot).collect()]
+    names = [k for k, _ in large]
+    state = _by_key(links, sizes, names).withColumns({"pinned": F.lit(False), "shard": start})
+    pins, room_left = _pins([x for x in large if x[1] <= max(quota)], quota)
     if pins:
         dealt = F.broadcast(rows.sparkSession.createDataFrame(list(pins.items()), "key string, pin int"))
-        pinned = links.join(sizes, "key").join(dealt, "key").groupBy("row").agg(F.max(F.struct("key_n", "key", "pin"))["pin"].alias("pin"))
+        pinned = _by_key(links, sizes, names).join(dealt, "key").groupBy("row").agg(F.max(F.struct("key_n", "key", "pin"))["pin"].alias("pin"))
         state = state.join(pinned, "row", "left").withColumns({"pinned": F.col("pin").isNotNull(), "shard": F.coalesce("pin", "shard")}).drop("pin")
     state = cut(state, "shard-links")
     for turn in range(rounds):
-        state = _round(state, quota, room_left, shards, turn, hot)
+        state = _round(state, quota, room_left, shards, turn, hot, names)
     linked = state.groupBy("row").agg(F.first("shard").alias("moved"), F.first("pinned").alias("pinned"), F.max(F.struct("key_n", "key")).alias("main"), F.count("*").alias("keys"))
     linked = cut(linked, "shard-linked")
     # small keys that full shards kept apart, whose rows have no other key, are dealt again, side by side
     apart = linked.where(~F.col("pinned") & (F.col("main.key_n") <= hot)).groupBy("main.key").agg(F.min("moved").alias("low"), F.max("moved").alias("high"), F.max("keys").alias("keys"))
     apart = apart.where("low < high AND keys = 1").select(F.col("key").alias("apart"))
-    linked = linked.join(apart, F.col("main.key") == F.col("apart"), "left")
+    small = F.col("main.key_n") <= hot
+    linked = linked.where(small).join(apart, F.col("main.key") == F.col("apart"), "left").unionByName(linked.where(~small).withColumn("apart", F.lit(None).cast("string")))
     rank = F.when(F.col("main").isNull(), 3).when(F.col("pinned"), 0).when(F.col("main.key_n") > hot, 2).when(F.col("apart").isNotNull(), _CUT).otherwise(1)
     lot = F.when(rank.isin(1, _CUT), F.xxhash64("main.key")).otherwise(F.xxhash64(F.lit(SEED + 1), "row"))
     placed = rows.select("row").join(linked, "row", "left").select("row", F.coalesce("moved", start).alias("shard"), rank.alias("class"), lot.alias("h"))
