@@ -11,6 +11,7 @@ gives an empty table; only the named columns are read, and added columns replace
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,9 @@ HEADER, STEPS_MAX = 4, 88
 #: WAV format tags.
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 CODECS = tuple(sorted(TAGS))
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
+#: Of the stored tables: audio is kept, so its size weighs more than the time to write it.
+ZSTD_LEVEL = 9
 #: Fixed values of the IMA ADPCM format: quantiser steps and index moves by the code's low three bits.
 STEP = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
@@ -93,6 +96,26 @@ def double_rate(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
+def to_planes(pcm: np.ndarray) -> bytes:
+    """The even samples, then the odd ones less the mean of their neighbours (wrapping at 16 bits): the same PCM in
+    an order that compresses, for samples made by interpolation leave zeros."""
+    even = pcm[0::2]
+    return even.astype("<i2").tobytes() + (pcm[1::2] - _between(even)[: len(pcm) // 2]).astype("<i2").tobytes()
+
+
+def from_planes(stored: bytes) -> np.ndarray:
+    both = np.frombuffer(stored, dtype="<i2")
+    even, odd = np.split(both, [(len(both) + 1) // 2])
+    out = np.empty(len(both), dtype=np.int16)
+    out[0::2] = even
+    out[1::2] = odd + _between(even)[: len(odd)]
+    return out
+
+
+def _between(even: np.ndarray) -> np.ndarray:
+    return ((even.astype(np.int32) + np.append(even[1:], even[-1:])) >> 1).astype(np.int16)
+
+
 def wav(payload: bytes, codec: str) -> bytes:
     """A WAV container around encoded samples; ADPCM in blocks of BLOCK bytes."""
     adpcm = codec == "adpcm"
@@ -177,18 +200,19 @@ def decode_batch(media: list[bytes | None]) -> list[tuple[str, int, bytes, np.nd
 
 
 def describe(codec: str, pcm: np.ndarray) -> str:
-    """codec;samples;peak;rms;zero crossings;crc32 of the PCM bytes, of the resampled PCM."""
+    """codec;samples;peak;rms, rounded down;zero crossings;crc32 of the PCM bytes, of the resampled PCM."""
     if not len(pcm):
         return f"{codec};0;0;0;0;0"
-    wide = pcm.astype(np.float32)
+    wide = pcm.astype(np.int64)
     sign = pcm < 0
-    rms = float(np.sqrt(np.dot(wide, wide) / len(pcm)))
-    return f"{codec};{len(pcm)};{int(np.abs(pcm.astype(np.int32)).max())};{rms:.0f};{int(np.count_nonzero(sign[1:] != sign[:-1]))};{zlib.crc32(pcm.astype('<i2').tobytes())}"
+    rms = math.isqrt(int(np.dot(wide, wide)) // len(pcm))
+    return f"{codec};{len(pcm)};{int(np.abs(wide).max())};{rms};{int(np.count_nonzero(sign[1:] != sign[:-1]))};{zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
-def decode(rows: DataFrame, media: str = "media", pcm: bool = True, feature: bool = True) -> DataFrame:
+def decode(rows: DataFrame, media: str = "media", pcm: bool = True, feature: bool = True, planes: bool = False) -> DataFrame:
     """rows without the media, with codec, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature, if wanted, and, if pcm, pcm: binary of little-endian 16-bit samples at RATE_OUT."""
+    feature, if wanted, and, if pcm, pcm: binary of little-endian 16-bit samples at RATE_OUT, as to_planes orders them if
+    planes."""
     small_batches(rows.sparkSession)
     added = {"codec": pa.string(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), **({"feature": pa.string()} if feature else {})}
     rows = rows.drop(*added, "pcm")
@@ -208,7 +232,7 @@ def decode(rows: DataFrame, media: str = "media", pcm: bool = True, feature: boo
                             c.append(None)
                         continue
                     codec, _, payload, samples = x
-                    values = (codec, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), *([describe(codec, samples)] if feature else []), *([samples.astype("<i2").tobytes()] if pcm else []))
+                    values = (codec, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), *([describe(codec, samples)] if feature else []), *([to_planes(samples) if planes else samples.astype("<i2").tobytes()] if pcm else []))
                     for c, v in zip(columns.values(), values):
                         c.append(v)
                 others = [f.name for f in kept]
@@ -218,20 +242,22 @@ def decode(rows: DataFrame, media: str = "media", pcm: bool = True, feature: boo
     return rows.mapInArrow(run, schema)
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """rows (codec, pcm, ...) of decode without the pcm, with the feature of the stored samples."""
+def features(rows: DataFrame, planes: bool = False) -> DataFrame:
+    """rows (codec, pcm, ...) of decode without the pcm, with the feature of the stored samples; planes: as in decode."""
     small_batches(rows.sparkSession)
     kept = [f for f in rows.drop("feature").schema.fields if f.name != "pcm"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if x is None else describe(c, np.frombuffer(x, dtype="<i2")) for c, x in zip(batch.column("codec").to_pylist(), batch.column("pcm").to_pylist())]
+            codecs, stored = batch.column("codec").to_pylist(), batch.column("pcm")
+            samples = (x.as_py() for x in stored)
+            found = [None if x is None else describe(c, from_planes(x) if planes else np.frombuffer(x, dtype="<i2")) for c, x in zip(codecs, samples)]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(found, pa.string())], names=[*[f.name for f in kept], "feature"])
 
     return rows.drop("feature").mapInArrow(run, T.StructType([*kept, T.StructField("feature", T.StringType())]))
 
 
 def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = cut(store(read(spark, sf_dir, "documents").select("doc_id", "text")), "telephony")
-    resampled = cut(decode(stored, feature=False), "telephony-pcm")
-    return features(resampled).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.col("tail_crc32"), "media_bytes", "media_sha256", "feature")
+    stored = cut(store(read(spark, sf_dir, "documents").select("doc_id", "text")), "telephony", ZSTD_LEVEL)
+    resampled = cut(decode(stored, feature=False, planes=True), "telephony-pcm", ZSTD_LEVEL)
+    return features(resampled, planes=True).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.col("tail_crc32"), "media_bytes", "media_sha256", "feature")
