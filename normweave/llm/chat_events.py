@@ -2,12 +2,13 @@
 
 A log of events is partitioned by conversation, sorted by sequence and folded: `start` opens a message with its
 role, `delta` appends to it, `edit` replaces its text so far, and `regenerate` empties it and drops every message
-that stood after it by then. What remains is rendered.
+that stood after it by then, for good, also where its own message has been dropped. What remains is rendered.
 
 The template marks turns as <|im_start|>role, line end, text, <|im_end|>, line end. In texts and roles a backslash
 becomes two and `<|` becomes `<\\|`, so no control string survives inside them and the text comes back exactly; a
 line end in a role becomes a backslash and n. Defined results: null texts, roles and payloads are empty; events of
-equal place are ordered by kind and payload; repeated rows are turns of their own; null conversation ids form one
+equal place come in the order of KINDS, then of payload or role; events of other kinds are left out; a null place comes
+first; repeated rows are turns of their own; null conversation ids form one
 conversation; a message without `start` has the empty role; an empty log gives an empty table. A conversation is
 one row of output, so its turns meet in one task, as its text must.
 """
@@ -20,6 +21,8 @@ from .common import cut, let, read
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
+#: Kinds of events, in the order in which those of one place are applied.
+KINDS = ("start", "regenerate", "edit", "delta")
 
 
 def escape(text: Column) -> Column:
@@ -41,14 +44,17 @@ def unescape_role(role: Column) -> Column:
 
 def fold(events: DataFrame) -> DataFrame:
     """events: (conv_id, seq, kind, message, role, payload) to final messages (conv_id, message, role, text)."""
+    rank = F.element_at(F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(k))]), F.col("kind"))
+    payload = F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.coalesce("payload", F.lit("")))
+    events = events.where(F.col("kind").isin(*KINDS)).withColumns({"at": F.struct("seq", rank.alias("rank")), "step": F.struct("seq", rank.alias("rank"), payload.alias("payload"))})
     per = events.groupBy("conv_id", "message").agg(
-        F.min("seq").alias("begun"),
-        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
-        F.max(F.when(F.col("kind") == "start", F.struct(F.col("seq"), F.col("role")))).alias("opened"),
-        F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.struct(F.col("seq"), F.when(F.col("kind") == "edit", F.coalesce("payload", F.lit(""))).otherwise(F.lit("")).alias("payload")))).alias("reset"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", F.struct(F.col("seq"), F.coalesce("payload", F.lit("")).alias("payload"))))).alias("deltas"),
+        F.min("at").alias("begun"),
+        F.max(F.when(F.col("kind") == "regenerate", F.col("at"))).alias("again"),
+        F.max(F.when(F.col("kind") == "start", F.struct("seq", "role"))).alias("opened"),
+        F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.col("step"))).alias("reset"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", F.col("step")))).alias("deltas"),
     )
-    late = F.filter("deltas", lambda d: F.col("reset").isNull() | (d["seq"] > F.col("reset.seq")))
+    late = F.filter("deltas", lambda d: F.col("reset").isNull() | (d > F.col("reset")))
     text = F.concat(F.coalesce("reset.payload", F.lit("")), F.array_join(F.transform(late, lambda d: d["payload"]), ""))
     # a regeneration of an earlier message drops those that began before it
     earlier = W.partitionBy("conv_id").orderBy("message").rowsBetween(W.unboundedPreceding, -1)

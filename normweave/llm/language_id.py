@@ -141,9 +141,9 @@ def predict(docs: DataFrame, model: EcocModel, text: str = "text") -> DataFrame:
 def keep_identified(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> DataFrame:
     """The rows whose language is found and not ambiguous, with all their columns; learns from their labels."""
     model = fit(docs, text, label, key)
-    named = docs.withColumns({f"__{c}": F.col(c) for c in ("lang_pred", "score", "ambiguous") if c in docs.columns})
-    kept = predict(named, model, text).where((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
-    return kept.select(*[F.col(f"__{c}" if c in ("lang_pred", "score", "ambiguous") else c).alias(c) for c in docs.columns])
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]) if len(docs.columns) > 1 else F.lit(0)
+    kept = predict(docs.select(others.alias("row"), F.col(text).alias("text")), model).where((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
+    return kept.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def held_out(key: str = "doc_id", of: int = 5, rest: int = 0):

@@ -7,15 +7,16 @@ document is taken in pieces and at most EPOCHS times.
 
 Counts, ranks and places come from bucketed sums (common.dense_positions): no source is sorted by one task.
 Defined results: null and empty texts have size 0 and nothing taken; a null source is a source, the last; repeated
-rows are documents of their own; ties in hash order are broken by id and text hash, and rows equal in all are
-interchangeable; an empty table gives an empty table; only the named columns are read.
+rows are documents of their own; ties in hash order are broken by id and, in repeat, by a hash of all columns, so
+rows that still tie are equal; an empty table gives an empty table; only the named columns are read, and
+repeat packs the rows while it works, so that no column's name can clash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import cut, dense_positions, read
+from .common import cut, dense_positions, pack, read, row_hash
 from .quality_rules import words
 
 BLOCK = 128
@@ -73,18 +74,20 @@ def place_hash(key: str, text: str) -> Column:
     return F.xxhash64(F.lit(SEED), F.col(key), F.coalesce(F.col(text), F.lit("")))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, share: float = SHARE, epochs: int = EPOCHS) -> tuple[DataFrame, DataFrame]:
-    """(plan, documents). plan: (slot, row, doc_id, epoch, first_word, n_words), the mix's pieces by slot.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, share: float = SHARE, epochs: int = EPOCHS, row: str | None = None, tie: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(plan, documents); `row` and `tie` may name columns that number the rows and order those equal in id and text. plan: (slot, row, doc_id, epoch, first_word, n_words), the mix's pieces by slot.
     documents: (row, doc_id, h, size, source, source_size, target, taken), a row for each input row."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(body)).cast("long").alias("size"), place_hash(key, text).alias("h"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    own = [F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(body)).cast("long").alias("size"), place_hash(key, text).alias("h")]
+    base = docs.select(number.alias("row"), *own, (F.col(tie) if tie else F.lit(0)).cast("long").alias("tie"))
     base = cut(base, "mix-documents")
     aims = cut(targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
     total = aims.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("t")).first()["t"]
     own = aims.select(F.col("source").alias("__source"), "source_size", "ord", "target")
     base = base.join(own, base["source"].eqNullSafe(own["__source"])).drop("__source")
-    placed = dense_positions(base.where("size > 0"), ["ord"], ["h", "doc_id", "row"], "size", "start", rows=base.count())
+    placed = dense_positions(base.where("size > 0"), ["ord"], ["h", "doc_id", "tie", "row"], "size", "start", rows=base.count())
     at = F.col("start") + F.col("epoch") * F.col("source_size")
     pieces = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("at", at)
     pieces = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
@@ -100,14 +103,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with all their columns, each as often as the mix takes it: 0 to EPOCHS times, taken / size rounded half
     up. Documents without words are not taken."""
-    _, documents = mix(docs, key, text, source)
-    same = W.partitionBy("__doc", "__h").orderBy("row")
-    plan = documents.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), "row", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("__times"))
-    plan = plan.withColumn("__nth", F.row_number().over(same)).where("__times > 0").drop("row")
-    rows = docs.withColumn("__row_h", place_hash(key, text))
-    rows = rows.withColumn("__row_nth", F.row_number().over(W.partitionBy(key, "__row_h").orderBy(F.lit(0))))
-    taken = rows.join(plan, rows[key].eqNullSafe(plan["__doc"]) & (rows["__row_h"] == plan["__h"]) & (rows["__row_nth"] == plan["__nth"]))
-    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[taken[c] for c in docs.columns])
+    stored = cut(pack(docs, place=F.monotonically_increasing_id(), tie=row_hash(docs)), "mix-rows")
+    field = lambda c, name: F.col("row").getField(c).alias(name)
+    _, documents = mix(stored.select("place", "tie", field(key, "doc_id"), field(text, "text"), field(source, "source")), row="place", tie="tie")
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    plan = documents.select(F.col("row").alias("place"), times.alias("times")).where("times > 0")
+    return stored.join(plan, "place").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op8_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

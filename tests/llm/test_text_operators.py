@@ -74,7 +74,7 @@ def test_ans_edges(spark, tmp_path, monkeypatch):
     path = ans_store.default_path()
     lib, rng = Tokenizer.from_file(path), random.Random(9)
     mixed = ["".join(rng.choice("ab é'\n\t.1  ") for _ in range(rng.randint(0, 60))) for _ in range(200)]
-    texts = [*HARD, None, *mixed, "long words " * 20_000]
+    texts = [*HARD, None, *mixed, "long words " * 20_000, "x1 y22 " * 120_000]
     df = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") == 3, None).otherwise(F.col("doc_id")))
     df = df.unionByName(df.limit(4))
     ids = ans_store.encode(df, path, 7)
@@ -96,20 +96,54 @@ def test_ans_blocks(n):
     ids = np.random.default_rng(n).zipf(1.3, size=n).clip(max=60_000)
     coder = ans_store.Ans(ans_store.scaled(np.bincount(ids, minlength=70_000).astype(float)))
     stream, states, before = coder.encode(ids)
-    assert (coder.decode(n, stream, states, before) == ids).all() and len(before) == -(-n // ans_store.BLOCK_TOKENS)
-    if len(before) > 1:  # a part decodes alone
-        out = np.zeros((-(-n // ans_store.LANES), ans_store.LANES), dtype=np.uint32)
-        coder._part(n, ans_store.LANES, np.frombuffer(stream, dtype="<u4"), states[1].copy(), int(before[1]), ans_store.CHECKPOINT_STEPS, out)
-        part = slice(ans_store.BLOCK_TOKENS, 2 * ans_store.BLOCK_TOKENS)
-        assert (out.reshape(-1)[part] == ids[part]).all()
+    assert len(before) == -(-n // ans_store.BLOCK_TOKENS)
+    ends, parts = [*before[1:].tolist(), len(stream) // 4], []
+    for c in reversed(range(len(before))):  # each part decodes alone
+        own = ids[c * ans_store.BLOCK_TOKENS : (c + 1) * ans_store.BLOCK_TOKENS]
+        assert (coder.decode(len(own), stream[4 * int(before[c]) : 4 * ends[c]], states[c].tobytes()) == own).all()
+        parts.append((zlib.crc32(own.astype("<u4").tobytes()), 4 * len(own)))
+    assert ans_store.joined_crc32(parts[::-1]) == zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def plain_pcm(codec, payload):
+    """The samples of a payload at twice the rate, one by one."""
+    if codec == "adpcm":
+        samples = [x for at in range(0, len(payload), 192) for x in plain_adpcm(payload[at : at + 192])]
+    elif codec == "mulaw":
+        samples = []
+        for b in payload:
+            b ^= 255
+            size = (((b & 15) * 2 + 33) << (b >> 4 & 7)) * 4 - 132
+            samples.append(-size if b & 128 else size)
+    else:
+        samples = []
+        for b in payload:
+            b ^= 85
+            size = (b & 15) * 16 + 8 if not b & 112 else (b & 15) * 16 + 264 << (b >> 4 & 7) - 1
+            samples.append(size if b & 128 else -size)
+    out = []
+    for k, x in enumerate(samples):
+        out += [x, (x + samples[min(k + 1, len(samples) - 1)]) // 2]
+    return out
 
 
 def test_audio_query(spark, sf):
-    texts = texts_of(spark, sf)
-    for r in QUERIES["op9_telephony_audio"](spark, sf).collect():
+    """Every field, by plain loops."""
+    texts, rows = texts_of(spark, sf), QUERIES["op9_telephony_audio"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for k, r in enumerate(sorted(rows, key=lambda r: r["doc_id"])):
         raw = texts[r["doc_id"]].encode()
         padded = raw.ljust(max(192, -(-len(raw) // 192) * 192))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        codec = ("adpcm", "alaw", "mulaw")[zlib.crc32(padded) % 3]
+        media = telephony_audio.wav(padded, codec)
+        assert media.endswith(padded) and (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        if k < 40:
+            pcm = plain_pcm(codec, padded)
+            squares = sum(x * x for x in pcm) // len(pcm)
+            crossings = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+            want = (codec, len(pcm), max(map(abs, pcm)), int(squares**0.5), crossings, zlib.crc32(struct.pack(f"<{len(pcm)}h", *pcm)))
+            assert r["feature"] == ";".join(map(str, want))
 
 
 def plain_adpcm(block):
@@ -173,16 +207,49 @@ def test_ranking(spark):
 
 
 def test_ranking_edges(spark):
-    df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "a " * 50_000, 1), (3, "a " * 50_000, 1)], "doc_id long, text string, f int")
+    df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "a " * 50_000, 1), (3, "a " * 50_000, 1), (4, "\ud83d\ude00 \u6f22\u5b57\u3002", 1)], "doc_id long, text string, f int")
     f = quality_ranking.features(df)
-    assert f.count() == 4 and f.columns == ["doc_id", "f"] and quality_ranking.features(df.limit(0)).count() == 0
-    model = quality_ranking.fit(f.withColumn("quality", F.lit(1)))
-    assert {round(r["s"], 6) for r in f.select(model.score(F.col("f")).alias("s")).collect()} == {0.7}
+    assert f.count() == 5 and f.columns == ["doc_id", "f"] and quality_ranking.features(df.limit(0)).count() == 0
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (None, 1), (4, None), (99, 0)], "doc_id long, quality int")
+    model = quality_ranking.fit(labels, df)  # no pair: the only bad label has no document
+    assert {round(r["score"], 6) for r in quality_ranking.score(df, model).collect()} == {0.7}
+    assert quality_ranking.score(df.limit(0), model).count() == 0
+    wrong = quality_ranking.fit(labels.where("doc_id < 3").unionByName(spark.createDataFrame([(3, 0), (3, 1)], "doc_id long, quality int")), df.unionByName(df))
+    assert all(0 <= r["score"] <= 1 for r in quality_ranking.score(df, wrong).collect())
+
+
+def test_measure():
+    plain = dict(zip(quality_ranking.FEATURES, quality_ranking.measure(["Ab1 \u0436\u6f22\u5b57\u3002\n!$", ""])[0]))
+    share = lambda n: pytest.approx(n / 12, abs=1e-6)  # noqa: E731  eleven characters and the space behind
+    assert [plain[c] for c in ("lower", "upper", "letter", "digit", "sentence", "shout", "line", "code")] == [share(n) for n in (2, 1, 2, 1, 1, 1, 1, 1)]
+    words = sum(plain[f"word_{k}"] ** 2 for k in range(quality_ranking.WORD_BUCKETS))
+    grams = sum(plain[f"gram_{k}"] ** 2 for k in range(quality_ranking.GRAM_BUCKETS))
+    assert words == pytest.approx(1, abs=1e-5) and grams == pytest.approx(1, abs=1e-5)
+
+
+def test_ranking_is_the_optimum_of_the_pair_loss():
+    """Brute force: no small step lowers the plain regularised loss over all pairs."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, len(quality_ranking.FEATURES)))
-    good = x[:, 3] + 0.1 * rng.normal(size=400) < 0.5
+    x = rng.normal(size=(60, 4))
+    good = x[:, 3] + 0.5 * rng.normal(size=60) < 0.3
     m = quality_ranking.BradleyTerry(x, good)
-    assert np.argmax(np.abs(m.weights)) == 3 and m.weights[3] < 0
+    spread = x.std(axis=0)
+
+    def loss(w):
+        total = m.ridge * sum(v * v for v in w) / 2
+        for i, j in zip(*m.pairs):
+            total += np.log1p(np.exp(-sum(w[k] * (x[i, k] - x[j, k]) / spread[k] for k in range(4))))
+        return total
+
+    best = m.weights * spread
+    assert np.argmax(np.abs(best)) == 3 and best[3] < 0
+    for k in range(4):
+        for step in (-0.01, 0.01):
+            moved = best.copy()
+            moved[k] += step
+            assert loss(moved) > loss(best)
+    s = x @ m.weights
+    assert (s >= m.threshold).sum() == good.sum() and m.score(np.array(x[np.argmax(s)])) > quality_ranking.CUT_SCORE
 
 
 def test_language(spark):
@@ -213,13 +280,13 @@ def test_language_edges(spark):
 def test_telephony_stores_the_resampled_pcm(spark, sf, monkeypatch):
     tables = {}
 
-    def cut(df, name, plain=telephony_audio.cut):
-        tables[name] = plain(df, name)
+    def cut(df, name, level, plain=telephony_audio.cut):
+        tables[name] = plain(df, name, level)
         return tables[name]
 
     monkeypatch.setattr(telephony_audio, "cut", cut)
     out = {r["doc_id"]: r["feature"] for r in QUERIES["op9_telephony_audio"](spark, sf).collect()}
-    pcm = {r["doc_id"]: (r["codec"], np.frombuffer(r["pcm"], dtype="<i2")) for t in tables.values() if "pcm" in t.columns for r in t.collect()}
+    pcm = {r["doc_id"]: (r["codec"], telephony_audio.from_planes(r["pcm"])) for t in tables.values() if "pcm" in t.columns for r in t.collect()}
     assert len(out) == len(pcm) and all(f == telephony_audio.describe(*pcm[k]) for k, f in out.items())
     bad = telephony_audio.decode(spark.createDataFrame([(1, None)], "doc_id long, media binary"), feature=False)
     assert [r["feature"] for r in telephony_audio.features(bad).collect()] == [None]
