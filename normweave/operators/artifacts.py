@@ -6,6 +6,7 @@ for its format. A format is rendered by the renderer for its clause type, else b
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -183,6 +184,16 @@ def json_rule() -> Column:
     ), {"ignoreNullFields": "false"})
 
 
+def from_text(template: str) -> Renderer:
+    """A renderer that puts columns of `context` in place of `{{ name }}`; nulls become empty."""
+    parts = re.split(r"\{\{\s*(\w+)\s*\}\}", template)
+
+    def render() -> Column:
+        return F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+    return render
+
+
 #: Renderers by format and clause type; `default` serves the types that have none of their own.
 TEMPLATES: dict[str, dict[str, Renderer]] = {
     "yaml": {"obligation": yaml_rule, "prohibition": yaml_rule, "default": yaml_rule}, "sql": {"default": sql_rule}, "python": {"default": python_rule},
@@ -256,8 +267,9 @@ def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def check_syntax(artifacts: DataFrame) -> DataFrame:
-    """Add syntax_valid and warnings. Only YAML and Python contents are sent to Python."""
+def check_syntax(artifacts: DataFrame, formats: tuple[str, ...] | None = None) -> DataFrame:
+    """Add syntax_valid and warnings. Only YAML and Python contents are sent to Python; where `formats`, those that the
+    artifacts have, names neither, no row is."""
     c = F.coalesce("content", F.lit(""))
     first = F.regexp_extract(F.regexp_replace(c, r"(?m)^\s*--.*$", ""), r"(?i)^\s*(select|insert|update|delete|create|alter|drop|comment|grant|revoke|with|begin)\b", 1)
     warn = F.when(F.col("format") == "sql", F.array_compact(F.array(F.when(first == "", "statement of unknown kind")))).when(
@@ -268,5 +280,7 @@ def check_syntax(artifacts: DataFrame) -> DataFrame:
         .when(F.col("format") == "terraform", (_count(c, "{") == _count(c, "}")) & (_count(c, '"') % 2 == 0)).otherwise(F.lit(True))
     )
     by_parser = F.col("format").isin("yaml", "python")
+    if formats is not None and not {"yaml", "python"} & set(formats):
+        return artifacts.withColumn("warnings", F.coalesce(warn, F.array().cast("array<string>"))).withColumn("syntax_valid", native)
     parsed = _parses(F.col("format"), F.when(by_parser, c))  # other rows send a null
     return artifacts.withColumn("warnings", F.coalesce(warn, F.array().cast("array<string>"))).withColumn("syntax_valid", F.when(by_parser, parsed).otherwise(native))

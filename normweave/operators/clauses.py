@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from normweave.functions.text import extract, first_words, sentences, strip
 
@@ -90,6 +94,29 @@ def parse(clauses: DataFrame) -> DataFrame:
     })
 
 
+#: Fields that a model's answer may give, as text.
+_ANSWER = "type string, actor string, verb string, object string, trigger string, deadline string, duration string, frequency string, confidence double"
+
+
+def parse_by_client(clauses: DataFrame, client: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """parse, with what a language model answers in place of the patterns' findings.
+
+    client: takes the texts of one Arrow batch and gives an answer for each, JSON with any of the fields, bare, fenced
+    or inside prose; it runs on the executors, so it must be picklable and batch its own requests. Where an answer is
+    null or holds no JSON, the patterns stand.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(client(texts.tolist()), dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    asked = F.pandas_udf(run, StringType())
+    rows = parse(clauses).withColumn("__answer", asked("source_text")).withColumn("__answer", F.from_json(recovered_json(F.col("__answer")), _ANSWER))
+    names = [f.split()[0] for f in _ANSWER.split(", ")]
+    return rows.withColumns({c: F.coalesce(F.col(f"__answer.{c}"), F.col(c)) for c in names}).drop("__answer")
+
+
 def nested(parsed: DataFrame) -> DataFrame:
     """Parsed clauses in nested form, with null structs for absent parts."""
     empty = F.array().cast("array<string>")

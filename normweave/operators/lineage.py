@@ -41,13 +41,17 @@ def edges(validations: DataFrame) -> DataFrame:
     return rows.withColumn("edge_id", F.concat(F.lit("e:"), "source_id", F.lit("->"), "target_id")).dropDuplicates(["edge_id"]).select("edge_id", "source_id", "target_id", "relationship", "confidence")
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str = "node_id") -> DataFrame:
-    """stored with the rows of new in place of those of equal key."""
-    return stored.join(new.select(key), key, "left_anti").select(*stored.columns).unionByName(new.dropDuplicates([key]))
+def upsert(stored: DataFrame, new: DataFrame, key: str = "node_id", order: str | None = None) -> DataFrame:
+    """stored with the rows of new in place of those of equal key. Of several new rows of a key the one of the greatest
+    `order` wins, ties and no order by the greatest row."""
+    rest = [F.struct(F.to_json(F.col(c))) if "map<" in new.schema[c].dataType.simpleString() else F.col(c) for c in stored.columns if c != key]
+    last = new.groupBy(key).agg(F.max_by(F.struct(*stored.columns), F.struct(*([order] if order else []), *rest)).alias("__last")).select("__last.*")
+    return stored.join(last.select(key), key, "left_anti").select(*stored.columns).unionByName(last)
 
 
 def trace(graph_edges: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """(artifact_id) to the nodes up to its document: four joins, one for each relation."""
+    """(artifact_id) to the nodes up to its document: four joins, one for each relation. For validations, whose rows
+    hold their chain, `traced` needs none. The edges are read four times, so they should be stored."""
     out = artifacts.select("artifact_id", F.concat(F.lit("artifact:"), "artifact_id").alias("artifact"))
     for i in range(3, -1, -1):
         step = graph_edges.where(F.col("relationship") == RELATIONS[i]).select(F.col("target_id").alias(LEVELS[i + 1]), F.col("source_id").alias(LEVELS[i]))
@@ -55,6 +59,25 @@ def trace(graph_edges: DataFrame, artifacts: DataFrame) -> DataFrame:
     return out.select("artifact_id", "clause", "chunk", "section", "document")
 
 
+def traced(validations: DataFrame) -> DataFrame:
+    """(artifact_id, clause, chunk, section, document) from the chain in each validation, broken off where a node lacks."""
+    c = validations.select("artifact_id", *[_node(k, F.col(f"lineage.{n}")).alias(k) for k, n in (("clause", "clause_id"), ("chunk", "chunk_id"), ("section", "section_id"), ("document", "document_id"))])
+    upto = lambda *names: F.when(F.coalesce(*[F.when(F.col(n).isNull(), True) for n in names], F.lit(False)), None).otherwise(F.col(names[-1])).alias(names[-1])
+    return c.select("artifact_id", upto("clause"), upto("clause", "chunk"), upto("clause", "chunk", "section"), upto("clause", "chunk", "section", "document"))
+
+
+def json_lines(graph_nodes: DataFrame, graph_edges: DataFrame) -> DataFrame:
+    """(ord, id, line): the graph as one JSON object by lines, {"nodes": [...], "edges": [...]}, to be written in order
+    of (ord, id). Commas begin every line but the first of its list, so no line depends on the whole."""
+    keep = {"ignoreNullFields": "false"}
+    n = graph_nodes.select("node_id", F.to_json(F.struct("node_id", "node_type", "properties"), keep).alias("line"))
+    e = graph_edges.select("edge_id", F.to_json(F.struct("edge_id", "source_id", "target_id", "relationship", "confidence"), keep).alias("line"))
+    first = lambda df, key: df.agg(F.min(key).alias("__first"))  # noqa: E731  one row
+    of = lambda df, key, at: df.crossJoin(first(df, key)).select(F.lit(at).alias("ord"), F.col(key).alias("id"), F.concat(F.when(F.col(key) == F.col("__first"), "").otherwise(","), "line").alias("line"))
+    frame = F.array(*[F.struct(F.lit(at).alias("ord"), F.lit("").alias("id"), F.lit(line).alias("line")) for at, line in ((0, '{"nodes":['), (2, '],"edges":['), (4, "]}"))])
+    return graph_nodes.sparkSession.range(1).select(F.explode(frame).alias("f")).select("f.*").unionByName(of(n, "node_id", 1)).unionByName(of(e, "edge_id", 3))
+
+
 def dot_lines(graph_nodes: DataFrame, graph_edges: DataFrame) -> DataFrame:
     """(ord, id, line): a DOT file by lines, to be written in order of (ord, id)."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))

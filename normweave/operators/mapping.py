@@ -12,11 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from normweave.functions.text import cosine, first_words, hash_embedding
+from normweave.sources.store import stored
 
 OVERRIDE, EXACT, SYNONYM = 1.0, 0.95, 0.85
 THRESHOLD, REVIEW_BELOW, SUGGESTIONS = 0.7, 0.8, 3
 #: Rows of a block of queries and of items in top_k.
 QUERY_BLOCK, ITEM_BLOCK = 512, 8192
+#: Distinct entities whose mappings go to all tasks at most.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -151,23 +154,42 @@ def mentions(parsed: DataFrame) -> DataFrame:
     return parsed.select("clause_id", F.explode(F.filter(every, lambda m: F.coalesce(m["entity"], F.lit("")) != "")).alias("m")).select("clause_id", "m.*")
 
 
-def map_mentions(found: DataFrame, registry: Registry, threshold: float = THRESHOLD, default_schema: str = "default") -> DataFrame:
+def _small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """table, stored; marked for broadcast if it has `most` rows at most."""
+    table = stored(table, "entities")
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def map_mentions(found: DataFrame, registry: Registry, threshold: float = THRESHOLD, default_schema: str = "default", embed=hash_embedding) -> DataFrame:
     """mentions with the mapping of their entities."""
-    return found.join(map_entities(found.select("entity").distinct(), registry, threshold, default_schema), "entity")
+    return found.join(_small(map_entities(found.select("entity").distinct(), registry, threshold, default_schema, embed)), "entity")
 
 
-def map_clauses(parsed: DataFrame, registry: Registry, threshold: float = THRESHOLD) -> DataFrame:
-    """Parsed clauses with mapped and unmapped entities and mapping_status; clauses without mentions are complete."""
-    found = map_mentions(mentions(parsed), registry, threshold)
-    mapped, lost = F.col("target_path").isNotNull(), F.col("target_path").isNull() & (F.col("source_role") != "condition_subject")
-    per = found.groupBy("clause_id").agg(
-        F.array_sort(F.collect_list(F.when(mapped, F.struct("role_ord", "source_role", F.col("entity").alias("source_entity"), "target_path", "target_schema", "confidence", "mapping_method")))).alias("mapped_entities"),
-        F.array_sort(F.collect_list(F.when(lost, F.struct("role_ord", "source_role", "entity", "reason", "suggestions")))).alias("unmapped_entities"),
-    )
+def map_clauses(parsed: DataFrame, registry: Registry, threshold: float = THRESHOLD, default_schema: str = "default", embed=hash_embedding) -> DataFrame:
+    """Parsed clauses with mapped and unmapped entities and mapping_status; clauses without mentions are complete.
+
+    Each distinct entity is mapped once; then a clause finds the mappings of its two or three mentions beside its own
+    row. parsed is read twice, so it should be stored where it is costly.
+    """
+    of_role = {"actor": F.col("actor"), "object": F.col("object"), "condition_subject": first_words(F.col("trigger"), 3)}
+    entity = {role: F.nullif(F.coalesce(e, F.lit("")), F.lit("")) for role, e in of_role.items()}
+    names = parsed.select(F.explode(F.array_compact(F.array(*entity.values()))).alias("entity")).distinct()
+    hits = _small(map_entities(names, registry, threshold, default_schema, embed))
+    rows = parsed
+    for n, (role, e) in enumerate(entity.items()):
+        own = hits.select(F.col("entity").alias(f"__e{n}"), F.struct(F.lit(n).alias("role_ord"), F.lit(role).alias("source_role"), "*").alias(f"__m{n}"))
+        rows = rows.join(own, e == F.col(f"__e{n}"), "left").drop(f"__e{n}")
+    found = F.array_compact(F.array(*[F.col(f"__m{n}") for n in range(len(entity))]))
+    hit = lambda m: m["target_path"].isNotNull()
+    lost = lambda m: m["target_path"].isNull() & (m["source_role"] != "condition_subject")
+    part = lambda m, *names: F.struct(*[(m["entity"] if c == "source_entity" else m[c]).alias(c) for c in names])
+    rows = rows.withColumn("__found", found).withColumns({
+        "mapped_entities": F.transform(F.filter("__found", hit), lambda m: part(m, "role_ord", "source_role", "source_entity", "target_path", "target_schema", "confidence", "mapping_method")),
+        "unmapped_entities": F.transform(F.filter("__found", lost), lambda m: part(m, "role_ord", "source_role", "entity", "reason", "suggestions")),
+    })
     low = F.exists("mapped_entities", lambda m: m["confidence"] < REVIEW_BELOW)
-    n_mapped, n_lost = F.coalesce(F.size("mapped_entities"), F.lit(0)), F.coalesce(F.size("unmapped_entities"), F.lit(0))
-    status = F.when((n_lost <= 0) & F.coalesce(low, F.lit(False)), "needs_review").when(n_lost <= 0, "complete").when(n_mapped > 0, "partial").otherwise("needs_review")
-    return parsed.join(per, "clause_id", "left").withColumn("mapping_status", status)
+    status = F.when((F.size("unmapped_entities") == 0) & low, "needs_review").when(F.size("unmapped_entities") == 0, "complete").when(F.size("mapped_entities") > 0, "partial").otherwise("needs_review")
+    return rows.withColumn("mapping_status", status).drop("__found", *[f"__m{n}" for n in range(len(entity))])
 
 
 def status_counts(mapped: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: Upper bounds of the histogram's buckets in seconds.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -21,17 +21,44 @@ def gauge_last(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return events.groupBy(*by).agg(F.max_by("value", F.struct(*order)).alias("last_value"))
 
 
+def running_total(rows: DataFrame, by: list[str], order: list[str], value: str, out: str, parts: int = 256) -> DataFrame:
+    """rows with `out`: the sum of `value` over the rows of the group up to each row in order.
+
+    No task takes a whole group: approximate percentiles of the first order column, from a sketch of bounded size,
+    cut a group into `parts` ranges of like mass; sums of ranges give each range's offset, a window inside it the rest.
+    Nulls of that column come first. rows are read three times, so they should be cheap or stored.
+    """
+    at = F.unix_micros(F.col(order[0]).cast("timestamp")) if rows.schema[order[0]].dataType.typeName().startswith("timestamp") else F.col(order[0])
+    rows = rows.withColumn("__at", at)
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("__at", [k / parts for k in range(1, parts)], 4 * parts).alias("__cuts"))
+    same = lambda left, right: [left[c].eqNullSafe(right[f"__k_{c}"]) for c in by]
+    keyed = lambda df, *more: df.select(*[F.col(c).alias(f"__k_{c}") for c in by], *more)
+    cuts = keyed(cuts, F.array_distinct("__cuts").alias("__cuts"))
+    cuts = cuts.withColumn("__coarse", F.filter("__cuts", lambda _, k: k % 16 == 15))
+    below = lambda c: c < F.col("__at")
+    whole = F.size(F.filter("__coarse", below)) * 16  # these cuts lie below; then at most 16 are compared
+    part = F.when(F.col("__at").isNull(), -1).otherwise(whole + F.size(F.filter(F.slice("__cuts", whole + 1, F.lit(16)), below)))
+    rows = rows.join(cuts, same(rows, cuts)).withColumn("__part", part).select(*rows.columns, "__part")
+    sums = rows.groupBy(*by, "__part").agg(F.sum(value).alias("__sum"))
+    before = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # `parts` rows a group
+    offsets = keyed(sums.withColumn("__offset", F.sum("__sum").over(before)), F.col("__part").alias("__k_part"), "__offset")
+    inside = W.partitionBy(*by, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("__inside", F.sum(value).over(inside))
+    rows = rows.join(offsets, [*same(rows, offsets), rows["__part"] == offsets["__k_part"]])
+    total = F.when(F.col("__offset").isNull(), F.col("__inside")).when(F.col("__inside").isNull(), F.col("__offset")).otherwise(F.col("__offset") + F.col("__inside"))
+    return rows.withColumn(out, total).drop("__at", "__part", "__inside", "__offset", "__k_part", *[f"__k_{c}" for c in by])
+
+
 def gauge_running(events: DataFrame, by: list[str], order: list[str], delta: str = "value") -> DataFrame:
     """Add `running`: the gauge after each increment or decrement."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return events.withColumn("running", F.sum(delta).over(w))
+    return running_total(events, by, order, delta, "running")
 
 
 def distinct_sorted(events: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """(by, counts): each group's sorted values as (value, count, up to here): equal values meet before the shuffle."""
+    """(by, __v, __c, __upto): each group's distinct values, their counts and the counts up to them: equal values meet
+    before the shuffle, and no task sorts a whole group."""
     per = events.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    w = W.partitionBy(*by).orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return per.withColumn("__upto", F.sum("__c").over(w))
+    return running_total(per, by, ["__v"], "__c", "__upto")
 
 
 def histogram_stats(events: DataFrame, by: list[str], value: str = "value", guard: bool = True) -> DataFrame:
@@ -56,15 +83,73 @@ def buckets(events: DataFrame, by: list[str], value: str = "value", bounds: tupl
 def load_stats(requests: DataFrame, by: list[str], value: str = "value", failed: Column | None = None) -> DataFrame:
     """Response statistics of a load run by endpoint, with the sample deviation, the median and unguarded p90, p95, p99."""
     sums = requests.groupBy(*by).agg(
-        F.count("*").alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"), F.percentile(value, F.lit(0.5)).alias("median"),
+        F.count("*").alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"),
         (F.count_if(failed) if failed is not None else F.lit(0).cast("long")).alias("failures"),
     )
     ranked = distinct_sorted(requests, by, value).join(sums.select(*by, "count"), by)
     pick = lambda p: F.min(F.when(F.col("__upto") > F.least(F.floor(F.col("count") * p), F.col("count") - 1), F.col("__v")))
-    return sums.join(ranked.groupBy(*by).agg(pick(0.9).alias("p90"), pick(0.95).alias("p95"), pick(0.99).alias("p99")), by).withColumn("passed", F.col("failures") <= 0.1 * F.col("count"))
+    at = lambda place: F.min(F.when(F.col("__upto") > place, F.col("__v")))
+    median = (at(F.floor((F.col("count") - 1) / 2)) + at(F.floor(F.col("count") / 2))) / 2
+    places = ranked.groupBy(*by).agg(median.alias("median"), pick(0.9).alias("p90"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
+    return sums.join(places, by).withColumn("passed", F.col("failures") <= 0.1 * F.col("count"))
+
+
+#: Kinds and help texts of the metrics that the engine's jobs record, by name after the prefix.
+DEFAULTS = (
+    ("requests_total", "counter", "Total number of API requests"), ("request_duration_seconds", "histogram", "Request duration in seconds"), ("request_errors_total", "counter", "Total number of request errors"),
+    ("documents_processed_total", "counter", "Total number of documents processed"), ("document_processing_duration_seconds", "histogram", "Document processing duration in seconds"), ("documents_in_progress", "gauge", "Number of documents currently being processed"),
+    ("clauses_extracted_total", "counter", "Total number of clauses extracted"), ("clauses_per_document", "histogram", "Number of clauses extracted per document"), ("artifacts_generated_total", "counter", "Total number of artifacts generated"),
+    ("compilation_duration_seconds", "histogram", "Artifact compilation duration in seconds"), ("validations_total", "counter", "Total number of validations performed"), ("validation_failures_total", "counter", "Total number of validation failures"),
+    ("llm_requests_total", "counter", "Total number of LLM API requests"), ("llm_request_duration_seconds", "histogram", "LLM API request duration in seconds"), ("llm_tokens_used_total", "counter", "Total number of LLM tokens used"), ("active_connections", "gauge", "Number of active connections"),
+)
+
+
+def default_metrics(spark: SparkSession, prefix: str = "normweave_") -> DataFrame:
+    """(name, kind, help)"""
+    return spark.createDataFrame([(prefix + n, k, h) for n, k, h in DEFAULTS], "name string, kind string, help string")
+
+
+def observed(events: DataFrame) -> DataFrame:
+    """events (name, kind, labels map, value, ts) to (name, kind, label_key, labels, total, last, count, stats, buckets):
+    a row for each metric and its labels; counters have a total, gauges a last value, histograms statistics."""
+    e = events.withColumn("label_key", label_key("labels"))
+    by = ["name", "kind", "label_key"]
+    base = e.groupBy(*by).agg(F.any_value("labels").alias("labels"), F.sum("value").alias("total"), F.max_by("value", "ts").alias("last"), F.count("value").alias("count"))
+    own = e.where("kind = 'histogram'")
+    stats = histogram_stats(own, by).select(*by, F.struct("count", "sum", "avg", "min", "max", "p50", "p95", "p99").alias("stats"))
+    bounds = buckets(own, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("le") == "+Inf", float("inf")).otherwise(F.col("le").cast("double")).alias("bound"), "le", "cumulative"))).alias("buckets"))
+    return base.join(stats, by, "left").join(bounds, by, "left")
+
+
+def _label_pairs(names: Column, value) -> Column:
+    escaped = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return F.array_join(F.transform(names, lambda n: F.concat(n, F.lit('="'), escaped(value(n)), F.lit('"'))), ",")
 
 
 def exposition(counts: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
-    """Lines of the Prometheus text format."""
-    pairs = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) for c in labels])
+    """Lines of the Prometheus text format, for one table of one metric."""
+    pairs = F.concat_ws(",", *[_label_pairs(F.array(F.lit(c)), lambda _, c=c: F.col(c).cast("string")) for c in labels])
     return counts.select(F.concat(F.lit(name + "{"), pairs, F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+def prometheus(metrics: DataFrame, seen: DataFrame) -> DataFrame:
+    """(name, ord, label_key, line): the text format of all metrics (name, kind, help) with what `observed` found, to be
+    written in this order: HELP and TYPE of each metric, then its samples."""
+    pairs = _label_pairs(F.array_sort(F.map_keys("labels")), lambda n: F.element_at("labels", n))
+    braces = lambda inner: F.when(inner != "", F.concat(F.lit("{"), inner, F.lit("}"))).otherwise("")
+    line = lambda suffix, inner, value: F.concat(F.col("name"), F.lit(suffix), braces(inner), F.lit(" "), value.cast("string"))
+    with_le = lambda le: F.concat_ws(",", F.nullif(pairs, F.lit("")), F.concat(F.lit('le="'), le, F.lit('"')))
+    histogram = F.concat(F.transform("buckets", lambda b: line("_bucket", with_le(b["le"]), b["cumulative"])), F.array(line("_sum", pairs, F.col("stats.sum")), line("_count", pairs, F.col("count"))))
+    lines = F.when(F.col("kind") == "histogram", histogram).when(F.col("kind") == "gauge", F.array(line("", pairs, F.col("last")))).otherwise(F.array(line("", pairs, F.col("total"))))
+    samples = seen.select("name", "label_key", F.posexplode(lines).alias("pos", "line")).select("name", (F.col("pos") + 2).alias("ord"), "label_key", "line")
+    heads = F.array(F.concat(F.lit("# HELP "), "name", F.lit(" "), "help"), F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind"))
+    return metrics.select("name", F.posexplode(heads).alias("ord", "line")).select("name", "ord", F.lit("").alias("label_key"), "line").unionByName(samples)
+
+
+def metrics_json(metrics: DataFrame, seen: DataFrame) -> DataFrame:
+    """(name, json): each metric as an object with its type, description and values by labels; a metric has few labels."""
+    value = F.when(F.col("kind") == "histogram", F.to_json("stats")).when(F.col("kind") == "gauge", F.col("last").cast("string")).otherwise(F.col("total").cast("string"))
+    values = seen.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("label_key", value.alias("value")))).alias("v"))
+    entry = F.transform("v", lambda x: F.concat(F.regexp_replace(F.to_json(F.struct(x["label_key"].alias("k"))), r'^\{"k":|\}$', ""), F.lit(":"), x["value"]))
+    head = F.regexp_replace(F.to_json(F.struct(F.col("kind").alias("type"), F.col("help").alias("description"))), r"\}$", "")
+    return metrics.join(values, "name", "left").select("name", F.concat(head, F.lit(',"values":{'), F.coalesce(F.array_join(entry, ","), F.lit("")), F.lit("}}")).alias("json"))

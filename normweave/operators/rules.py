@@ -20,9 +20,18 @@ def prohibition_predicate(status: Column, as_emitted: bool = False) -> Column:
     return status if as_emitted else ~status
 
 
-def joined(facts: DataFrame, rules: DataFrame) -> DataFrame:
+#: Rules that go to all tasks at most; beyond, facts and rules meet by actor and salt.
+BROADCAST_RULES, SALT = 10_000, 64
+
+
+def joined(facts: DataFrame, rules: DataFrame, most: int = BROADCAST_RULES) -> DataFrame:
+    """Facts with the rules of their actor. Few actors may hold most facts, so facts are not shuffled by actor alone."""
     r = rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
-    return facts.join(r, F.lower("actor") == F.lower("r_actor"))
+    if rules.count() <= most:
+        return facts.join(F.broadcast(r), F.lower("actor") == F.lower("r_actor"))
+    r = r.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = facts.withColumn("__salt", F.pmod(F.xxhash64("entity_id"), F.lit(SALT)).cast("int"))
+    return salted.join(r, (F.lower("actor") == F.lower("r_actor")) & (F.col("__salt") == F.col("__r_salt"))).drop("__salt", "__r_salt")
 
 
 def trigger_log(facts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -45,6 +54,16 @@ def validator_outcomes(facts: DataFrame, rules: DataFrame) -> DataFrame:
     return joined(facts, rules).select("entity_id", F.col("r_rule_id").alias("rule_id"), violated.alias("violated"), F.array_compact(F.array(F.when(warned, F.concat(F.lit("no value for "), "r_object")))).alias("warnings"))
 
 
+def enforce(facts: DataFrame, rules: DataFrame, raise_on_violation: bool = True) -> DataFrame:
+    """validator_outcomes; unless told otherwise, the first violation that a task meets ends the job with the rule's and
+    the entity's id."""
+    out = validator_outcomes(facts, rules)
+    if not raise_on_violation:
+        return out
+    message = F.format_string("rule %s violated by entity %s", F.col("rule_id"), F.col("entity_id").cast("string"))
+    return out.withColumn("violated", F.when(F.col("violated"), F.raise_error(message).cast("boolean")).otherwise(False))
+
+
 def decisions(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """(entity_id, allow, violations): a request is allowed if any rule allows it; without a rule it is denied."""
     same = lambda a, b: F.lower(a) == F.lower(b)

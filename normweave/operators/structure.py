@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -34,7 +35,8 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_key, text) to (doc_id, section_id, section_ord, section_title, hierarchy_level, parent_section, text).
 
     The text is cut before each heading inside its row, and a fold over the levels finds the parents, so nothing is
-    shuffled. Text before the first heading goes; without any heading the document is one section.
+    shuffled. Text before the first heading goes; without any heading the document is one section; a
+    null or blank document has none.
     """
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
     parts = F.filter(F.split(text, r"(?m)^(?=#{1,6}[ \t]+\S)"), lambda p: p.rlike(r"\A#{1,6}[ \t]+\S"))
@@ -53,7 +55,7 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
         level(p).alias("level"), strip(F.regexp_extract(p, r"\A#{1,6}[ \t]+([^\n]*)", 1)).alias("title"), strip(F.regexp_replace(p, r"\A[^\n]*\n?", "")).alias("body"), F.get(F.col("__above"), i).alias("parent"),
     ))
     whole = F.array(F.struct(F.lit(1).alias("level"), F.lit(DEFAULT_TITLE).alias("title"), strip(F.col("__text")).alias("body"), F.lit(0).alias("parent")))
-    rows = rows.withColumn("__above", above).select("doc_id", "doc_key", F.posexplode(F.when(F.size("__parts") > 0, found).otherwise(whole)).alias("pos", "s"))
+    rows = rows.withColumn("__above", above).select("doc_id", "doc_key", F.posexplode(F.when(F.size("__parts") > 0, found).when(strip(F.col("__text")) != "", whole)).alias("pos", "s"))
     return rows.select(
         "doc_id", section_id(F.col("doc_key"), F.col("pos") + 1).alias("section_id"), (F.col("pos") + 1).alias("section_ord"), F.col("s.title").alias("section_title"), F.col("s.level").alias("hierarchy_level"),
         F.when(F.col("s.parent") > 0, section_id(F.col("doc_key"), F.col("s.parent"))).alias("parent_section"), F.col("s.body").alias("text"),
@@ -61,29 +63,47 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
 
 
 _DROPPED = r"(?is)<(script|style|nav|footer|header)\b.*?</\1\s*>|<!--.*?-->"
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Characters by the names of HTML's named entities, from the standard library's rule.
+_NAMED = {name: chr(point) for name, point in name2codepoint.items()} | {"nbsp": " ", "apos": "'"}
+
+
+def unescape_html(text: Column) -> Column:
+    """Named and numeric character references as characters; unknown ones stay as they are."""
+    names = F.create_map(*[F.lit(x) for kv in _NAMED.items() for x in kv])
+
+    def part(p: Column) -> Column:  # what follows an ampersand
+        name, rest = F.regexp_extract(p, r"(?s)^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|\w{1,31});", 1), F.regexp_replace(p, r"(?s)^[^;]*;", "")
+        digits = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).when(name.startswith("#"), F.substring(name, F.lit(2), F.length(name))).cast("long")
+        usable = digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
+        numeric = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32"))
+        char = F.coalesce(numeric, F.element_at(names, name))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), p))
+
+    parts = F.split(text, "&")
+    first = F.element_at(parts, 1)
+    decoded = F.concat(first, F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), part), ""))
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def plain_html(html: Column) -> Column:
     """Text of an HTML fragment: block tags become blank lines, others go, entities turn into characters."""
     text = F.regexp_replace(html, r"(?i)</?(p|div|section|article|ul|ol|li|table|tr|br|h[1-6])\b[^>]*>", "\n\n")
     text = F.regexp_replace(text, "<[^>]*>", "")
-    for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return strip(F.regexp_replace(text, r"[ \t]*\n\s*\n\s*", "\n\n"))
+    return strip(F.regexp_replace(unescape_html(text), r"[ \t]*\n\s*\n\s*", "\n\n"))
 
 
-def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, section_ord, section_title, hierarchy_level, text): each heading opens a section up to the next one;
-    a page without headings is one section of all its text."""
+def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, section_ord, section_title, hierarchy_level, text): each heading opens a section up to the next
+    one; a page without headings is one section of all its text, a blank page none."""
     clean = F.regexp_replace(F.coalesce(html, F.lit("")), _DROPPED, " ")
     heading = r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>(.*?)(?=<h[1-6]\b|\z)"
     part = lambda n: F.regexp_extract_all("__clean", F.lit(heading), F.lit(n))
     found = F.arrays_zip(part(1).alias("level"), part(2).alias("title"), part(3).alias("body"))
     whole = F.array(F.struct(F.lit("1").alias("level"), F.lit(DEFAULT_TITLE).alias("title"), F.col("__clean").alias("body")))
-    rows = pages.select(key, clean.alias("__clean")).select(key, "__clean", found.alias("__found"))
-    rows = rows.select(key, F.posexplode(F.when(F.size("__found") > 0, F.col("__found")).otherwise(whole)).alias("pos", "s"))
-    return rows.select(key, (F.col("pos") + 1).alias("section_ord"), plain_html(F.col("s.title")).alias("section_title"), F.col("s.level").cast("int").alias("hierarchy_level"), plain_html(F.col("s.body")).alias("text"))
+    rows = pages.select(key, *keep, clean.alias("__clean")).select(key, *keep, "__clean", found.alias("__found"))
+    blank = plain_html(F.col("__clean")) == ""
+    rows = rows.select(key, *keep, F.posexplode(F.when(F.size("__found") > 0, F.col("__found")).when(~blank, whole)).alias("pos", "s"))
+    return rows.select(key, *keep, (F.col("pos") + 1).alias("section_ord"), plain_html(F.col("s.title")).alias("section_title"), F.col("s.level").cast("int").alias("hierarchy_level"), plain_html(F.col("s.body")).alias("text"))
 
 
 def chunk_texts(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SEVERITIES = ("critical", "high", "medium", "low")
 
@@ -80,5 +80,17 @@ def version_diff(old: DataFrame, new: DataFrame, key: str = "clause_id", text: s
     return both.select(key, F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("__old") == F.col("__new"), "same").otherwise("changed").alias("change"))
 
 
-def numbered(table: DataFrame, group: str, order: str) -> DataFrame:
-    return table.withColumn("n", F.row_number().over(W.partitionBy(group).orderBy(order)))
+def list_documents(documents: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, sections, chunks): every document with what it was cut into."""
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    out = documents.select("doc_id").join(count(sections, "sections"), "doc_id", "left").join(count(chunks, "chunks"), "doc_id", "left")
+    return out.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("sections", "chunks")])
+
+
+def filter_clauses(parsed: DataFrame, kind: str | None = None, doc_ids: tuple[str, ...] | None = None, least_confidence: float | None = None) -> DataFrame:
+    """Clauses of a type, of some documents, of a confidence; what is None doesn't filter."""
+    if kind is not None:
+        parsed = parsed.where(F.col("type") == kind)
+    if doc_ids is not None:
+        parsed = parsed.where(F.col("doc_id").isin(*doc_ids))
+    return parsed if least_confidence is None else parsed.where(F.col("confidence") >= least_confidence)

@@ -19,6 +19,7 @@ SECTIONS = (
     (2, "Retention", "Record must ensure retention period, as section 14 says. Backups run weekly. The vault is old. {actor} must submit annual report by end of march."),
     (1, "Closing Notes", "If a request fails, the clerk logs it. Where duties clash, the stricter rule applies. Notification requires care. Nothing else applies here."),
     (2, "Plain Words", "All desks keep calm. Nothing binds them."),
+    (3, "Night Desk", "Quiet house must submit statement monthly. Quiet house shall not copy record."),
     (4, "Reporting", "The following paragraph concerns every statement that leaves the house on paper or by wire and nothing else. Bank must provide statement annually. Bank and client shall confirm amount monthly."),
 )
 
@@ -32,6 +33,7 @@ FIELDS = (
     ("books", "payment", "amount", "DECIMAL", ("amount", "value"), "money moved"),
     ("books", "statement", "statement", "VARCHAR", ("statement", "annual report"), "what is sent out"),
     ("archive", "ledger", "record", "VARCHAR", ("record", "document"), ""),
+    ("archive", "ledger", "Quiet house", "VARCHAR", (), ""),
     ("archive", "ledger", "retention_period", "INTERVAL", ("retention",), "how long a record stays"),
 )
 #: (term, synonyms)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from normweave.operators import artifacts, clauses, mapping, structure, validation
 from normweave.operators.mapping import Registry
+from normweave.sources.store import stored
 
 
 def ingest(docs: DataFrame) -> DataFrame:
@@ -13,15 +14,24 @@ def ingest(docs: DataFrame) -> DataFrame:
     return structure.chunks(structure.markdown_sections(docs))
 
 
-def compile_chunks(chunks: DataFrame, registry: Registry, formats: tuple[str, ...] = ("yaml", "sql"), threshold: float = mapping.THRESHOLD) -> DataFrame:
-    """Chunks to validations of all their artifacts.
+def parse_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks to parsed clauses, stored, for the mapping reads them twice."""
+    return stored(clauses.parse(clauses.split_clauses(chunks)).withColumn("cross_references", F.array().cast("array<string>")), "clauses")
+
+
+def compile_clauses(parsed: DataFrame, registry: Registry, formats: tuple[str, ...] = ("yaml", "sql"), threshold: float = mapping.THRESHOLD) -> DataFrame:
+    """Parsed clauses to validations of all their artifacts.
 
     A clause and its mappings stay beside its artifacts, so the validation needs no join. The parser finds no cross
     references, so none can be unknown.
     """
-    parsed = clauses.parse(clauses.split_clauses(chunks)).withColumn("cross_references", F.array().cast("array<string>"))
     rules = artifacts.compile_rules(mapping.map_clauses(parsed, registry, threshold), formats, carry=True)
-    return validation.judge(artifacts.check_syntax(rules).withColumn("invalid_refs", F.lit(None).cast("array<string>")))
+    return validation.judge(artifacts.check_syntax(rules, formats).withColumn("invalid_refs", F.lit(None).cast("array<string>")))
+
+
+def compile_chunks(chunks: DataFrame, registry: Registry, formats: tuple[str, ...] = ("yaml", "sql"), threshold: float = mapping.THRESHOLD) -> DataFrame:
+    """Chunks to validations of all their artifacts."""
+    return compile_clauses(parse_chunks(chunks), registry, formats, threshold)
 
 
 def status_by_type(validations: DataFrame) -> DataFrame:

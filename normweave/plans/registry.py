@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from normweave.functions import text as T
 from normweave.operators import artifacts, clauses, lineage, mapping, metrics, rules, structure, validation, views
 from normweave.plans import corpus, oracle, pipeline
+from normweave.sources import stages
+from normweave.sources.store import scratch_path, stored
 
 AS_OF = datetime.datetime(2026, 1, 1)
 FORMATS = ("yaml", "sql")
@@ -40,12 +42,20 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.parse_chunks(corpus.chunks(spark, sf_dir))
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.map_clauses(_parsed(spark, sf_dir), corpus.registry(spark))
+
+
 def _validated(spark: SparkSession, sf_dir: str, formats: tuple[str, ...] = FORMATS) -> DataFrame:
-    return pipeline.compile_chunks(corpus.chunks(spark, sf_dir), corpus.registry(spark), formats)
+    return pipeline.compile_clauses(_parsed(spark, sf_dir), corpus.registry(spark), formats)
 
 
 def _rules(spark: SparkSession, sf_dir: str, formats: tuple[str, ...]) -> DataFrame:
-    return artifacts.compile_rules(mapping.map_clauses(corpus.parsed(spark, sf_dir), corpus.registry(spark)), formats)
+    return artifacts.compile_rules(_mapped(spark, sf_dir), formats)
 
 
 flagship_sql = f"WITH {oracle.artifacts_cte(FORMATS)} SELECT type, validation_status, count(*) AS n, round(avg(confidence_score), 6) AS avg_confidence FROM valid GROUP BY ALL"
@@ -80,12 +90,25 @@ def sentence_split_counts(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE sections AS (SELECT doc_id::VARCHAR AS doc_id, doc_id || '_S001' AS section_id, {oracle._strip("replace(text, chr(10), chr(10) || chr(10))")} AS text FROM documents WHERE {oracle._strip('text')} <> ''),{oracle.chunk_cte()}
+SELECT doc_id, section_id || '_C' || lpad(chunk_ord::VARCHAR, greatest(3, length(chunk_ord::VARCHAR))::INTEGER, '0') AS chunk_id, (length(text) // 4)::INTEGER AS token_count, sha256(text) AS text_hash FROM chunked""")
 def chunk_fold(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("doc_key"), "text")
+    """Every line of a document is a paragraph; lines over the limit are cut at sentences."""
+    key = F.col("doc_id").cast("string")
+    docs = _read(spark, sf_dir, "documents").select(key.alias("doc_id"), key.alias("doc_key"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return structure.chunks(structure.markdown_sections(docs)).select("doc_id", "chunk_id", "token_count", F.sha2("text", 256).alias("text_hash"))
 
 
+@query("SELECT doc_id::VARCHAR AS doc_id, doc_id || '_S001_RAW' AS chunk_id, sha256(coalesce(text, '')) AS text_hash FROM documents")
+def raw_text_chunks(spark, sf_dir):
+    return stages.raw_text(_read(spark, sf_dir, "documents")).select("doc_id", "chunk_id", F.sha2("text", 256).alias("text_hash"))
+
+
+@query(f"WITH {oracle.SECTION_CTE} SELECT doc_id, count(*) AS sections, count(*) FILTER (text <> '') AS chunks FROM sections GROUP BY doc_id")
+def documents_listed(spark, sf_dir):
+    return views.list_documents(corpus.documents(spark, sf_dir), corpus.sections(spark, sf_dir), corpus.chunks(spark, sf_dir))
+
+
 @query(r"""SELECT page_id, 1 AS section_ord, trim(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS section_title, 1 AS hierarchy_level FROM pages""")
 def html_sections(spark, sf_dir):
     return structure.html_sections(_read(spark, sf_dir, "pages")).select("page_id", "section_ord", "section_title", "hierarchy_level")
@@ -115,6 +138,11 @@ def clause_components(spark, sf_dir):
     return corpus.parsed(spark, sf_dir).select("clause_id", "type", "actor", "verb", "object", "trigger")
 
 
+@query(f"WITH {oracle.PARSED_CTE} SELECT clause_id, actor, verb FROM parsed WHERE type = 'prohibition' AND doc_id IN ('DESK_1', 'DESK_2')")
+def clauses_filtered(spark, sf_dir):
+    return views.filter_clauses(corpus.parsed(spark, sf_dir), kind="prohibition", doc_ids=("DESK_1", "DESK_2")).select("clause_id", "actor", "verb")
+
+
 @query(f"WITH {oracle.PARSED_CTE} SELECT clause_id, deadline, duration, frequency FROM parsed WHERE coalesce(deadline, duration, frequency) IS NOT NULL")
 def clause_temporal(spark, sf_dir):
     return clauses.nested(corpus.parsed(spark, sf_dir)).where("temporal_scope IS NOT NULL").select("clause_id", "temporal_scope.deadline", "temporal_scope.duration", "temporal_scope.frequency")
@@ -172,7 +200,7 @@ def map_cascade(spark, sf_dir):
 
 @query(f"WITH {oracle.MAPPED_CTE} SELECT mapping_status, count(*) AS n FROM mapped GROUP BY 1")
 def mapping_status(spark, sf_dir):
-    return mapping.status_counts(mapping.map_clauses(corpus.parsed(spark, sf_dir), corpus.registry(spark)))
+    return mapping.status_counts(_mapped(spark, sf_dir))
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_cosine_similarity(q.e, i.e), 6) AS similarity FROM v q, v i WHERE q.vec_id % 100 = 0),
@@ -220,17 +248,21 @@ def _rendered(name: str):
         return _rules(spark, sf_dir, (name,)).select("artifact_id", "content")
 
     run.__name__ = f"render_{name}"
-    return query()(run)
+    return query(oracle.rendered(name))(run)
 
 
 for _name in ("yaml", "python", "terraform", "rego"):
     _rendered(_name)
 
 
-@query(f"""WITH {oracle.artifacts_cte(("yaml", "sql", "python", "terraform", "rego", "json"))} SELECT format, count(*) AS n, count(*) AS n_valid, 0::BIGINT AS n_warned FROM artifact GROUP BY format""")
+@query(f"""WITH {oracle.artifacts_cte(("yaml", "sql", "python", "terraform", "rego", "json"))}, a AS (SELECT format, ends_with(clause_id, 'CL002') AS spoilt FROM artifact)
+SELECT format, count(*) AS n, count(*) FILTER (NOT spoilt OR format = 'rego') AS n_valid, count(*) FILTER (spoilt AND format IN ('sql', 'rego')) AS n_warned FROM a GROUP BY format""")
 def artifact_syntax(spark, sf_dir):
-    a = artifacts.check_syntax(_rules(spark, sf_dir, tuple(artifacts.EXTENSIONS)))
-    return a.groupBy("format").agg(F.count("*").alias("n"), F.count_if("syntax_valid").alias("n_valid"), F.count_if(F.size("warnings") > 0).alias("n_warned"))
+    """Each second clause's artifacts are spoilt before they are checked."""
+    spoilt = {"yaml": "a: [1", "python": "def f(:", "json": "{", "terraform": "a {", "sql": "  ", "rego": "x"}
+    bad = F.element_at(F.create_map(*[F.lit(x) for kv in spoilt.items() for x in kv]), F.col("format"))
+    rows = _rules(spark, sf_dir, tuple(artifacts.EXTENSIONS)).withColumn("content", F.when(F.col("clause_id").endswith("CL002"), bad).otherwise(F.col("content")))
+    return artifacts.check_syntax(rows).groupBy("format").agg(F.count("*").alias("n"), F.count_if("syntax_valid").alias("n_valid"), F.count_if(F.size("warnings") > 0).alias("n_warned"))
 
 
 # -- validation and lineage
@@ -270,18 +302,88 @@ def prov_edges(spark, sf_dir):
 
 @query(_graph + " SELECT artifact_id, 'clause:' || clause_id AS clause, 'chunk:' || chunk_id AS chunk, 'section:' || section_id AS section, 'document:' || doc_id AS document FROM valid")
 def lineage_trace(spark, sf_dir):
-    v = _validated(spark, sf_dir)
-    return lineage.trace(lineage.edges(v), v.select("artifact_id"))
+    return lineage.traced(_validated(spark, sf_dir))
+
+
+@query(_graph + " SELECT artifact_id, 'clause:' || clause_id AS clause, 'chunk:' || chunk_id AS chunk, 'section:' || section_id AS section, 'document:' || doc_id AS document FROM valid")
+def lineage_walk(spark, sf_dir):
+    """The same through the graph's edges."""
+    v = stored(_validated(spark, sf_dir).select("artifact_id", "lineage", "confidence_score", "validation_status", "format", "type"), "validated")
+    return lineage.trace(stored(lineage.edges(v), "edges"), v.select("artifact_id"))
 
 
 @query(_graph + """ SELECT 0 AS ord, '' AS id, 'digraph provenance {' AS line UNION ALL SELECT 3, '', '}' UNION ALL
 SELECT 1, node_id, '  "' || node_id || '" [label="' || string_split(node_id, ':')[-1] || '", shape=' || CASE node_type WHEN 'document' THEN 'box' WHEN 'section' THEN 'folder' WHEN 'chunk' THEN 'note' WHEN 'clause' THEN 'ellipse' ELSE 'component' END || '];' FROM nodes UNION ALL
 SELECT 2, 'e:' || source_id || '->' || target_id, '  "' || source_id || '" -> "' || target_id || '" [label="' || relationship || '"];' FROM pairs""")
 def graph_dot(spark, sf_dir):
-    v = _validated(spark, sf_dir)
+    v = stored(_validated(spark, sf_dir).select("artifact_id", "lineage", "confidence_score", "validation_status", "format", "type"), "validated")
     return lineage.dot_lines(lineage.nodes(v), lineage.edges(v))
 
 
+_json_graph = _graph + """, prop AS (SELECT DISTINCT 'clause:' || clause_id AS node_id, '{"type":' || to_json(type)::VARCHAR || '}' AS p FROM valid UNION ALL SELECT 'artifact:' || artifact_id, '{"format":' || to_json(format)::VARCHAR || ',"status":' || to_json(validation_status)::VARCHAR || '}' FROM valid),
+n AS (SELECT node_id AS id, '{"node_id":' || to_json(node_id)::VARCHAR || ',"node_type":' || to_json(node_type)::VARCHAR || ',"properties":' || coalesce(p, '{}') || '}' AS line FROM nodes LEFT JOIN prop USING (node_id)),
+e AS (SELECT 'e:' || source_id || '->' || target_id AS id, '{"edge_id":' || to_json('e:' || source_id || '->' || target_id)::VARCHAR || ',"source_id":' || to_json(source_id)::VARCHAR || ',"target_id":' || to_json(target_id)::VARCHAR || ',"relationship":"' || relationship || '","confidence":' || coalesce(confidence::VARCHAR, 'null') || '}' AS line FROM pairs)"""
+
+
+@query(_json_graph + """ SELECT 0 AS ord, '' AS id, '{"nodes":[' AS line UNION ALL SELECT 2, '', '],"edges":[' UNION ALL SELECT 4, '', ']}' UNION ALL SELECT 1, id, CASE WHEN id = (SELECT min(id) FROM n) THEN '' ELSE ',' END || line FROM n
+UNION ALL SELECT 3, id, CASE WHEN id = (SELECT min(id) FROM e) THEN '' ELSE ',' END || line FROM e""")
+def graph_json(spark, sf_dir):
+    v = stored(_validated(spark, sf_dir).select("artifact_id", "lineage", "confidence_score", "validation_status", "format", "type"), "validated")
+    return lineage.json_lines(lineage.nodes(v), lineage.edges(v))
+
+
+@query(f"""WITH {oracle.artifacts_cte(("json",))}, good AS (SELECT artifact_id, round((0.75::DOUBLE + coalesce(conf, 0)) / (1 + n_mapped), 9) AS trace, clause_ord = 2 AS unknown FROM artifact)
+SELECT artifact_id, CASE WHEN trace < 0.5 THEN 'failed' WHEN trace < 0.85 OR unknown THEN 'needs_review' ELSE 'passed' END AS validation_status,
+  concat_ws(',', CASE WHEN trace < 0.7 THEN 'low_confidence' WHEN trace < 0.85 THEN 'below_threshold' END, CASE WHEN unknown THEN 'invalid_references' END, CASE WHEN trace < 0.5 THEN 'blocked_low_confidence' END) AS flags FROM good
+UNION ALL SELECT artifact_id || '_x', 'failed', 'incomplete_chain,low_confidence,semantic_drift' FROM artifact WHERE clause_ord = 1""")
+def validation_faults(spark, sf_dir):
+    """Unknown references in each second clause, and artifacts of clauses that nobody parsed."""
+    none = F.array().cast("array<string>")
+    parsed = stored(_parsed(spark, sf_dir).withColumn("cross_references", F.when(F.col("clause_ord") == 2, F.array(F.col("clause_id"), F.lit("nope"))).otherwise(none)), "clauses")
+    mapped = mapping.map_clauses(parsed, corpus.registry(spark))
+    made = artifacts.check_syntax(artifacts.compile_rules(mapped, ("json",)), ("json",))
+    lost = made.where(F.col("clause_id").endswith("CL001")).withColumns({"artifact_id": F.concat("artifact_id", F.lit("_x")), "clause_id": F.lit("absent"), "content": F.lit("{}")})
+    v = validation.validate(made.unionByName(lost), parsed, mapped)
+    return v.select("artifact_id", "validation_status", F.array_join("review_flags", ",").alias("flags"))
+
+
+# -- what the stages hand on as JSON
+
+
+def _through_json(rows: DataFrame, stage: str) -> DataFrame:
+    path = scratch_path(rows.sparkSession, f"json-{stage}")
+    stages.write_json(rows, path)
+    return stages.read_json(rows.sparkSession, path, stage)
+
+
+@query(f"WITH {oracle.CLAUSE_CTE} SELECT doc_id, section_id, chunk_id, 0 AS chunk_ord, (length(text) // 4)::INTEGER AS token_count, text FROM chunk")
+def json_documents(spark, sf_dir):
+    sections = corpus.sections(spark, sf_dir)
+    return stages.chunks_in(_through_json(stages.ingested(sections, structure.chunks(sections)), "documents"))
+
+
+@query(f"WITH {oracle.PARSED_CTE} SELECT doc_id, section_id, chunk_id, clause_id, source_text, type, actor, verb, nullif(object, '') AS object, trigger, deadline, duration, frequency, 0.75::DOUBLE AS confidence FROM parsed")
+def json_clauses(spark, sf_dir):
+    out = stages.parsed_out(clauses.nested(corpus.parsed(spark, sf_dir)), F.lit(AS_OF.isoformat()))
+    return stages.parsed_in(_through_json(out, "clauses")).drop("cross_references")
+
+
+@query(f"WITH {oracle.MAPPED_CTE} SELECT clause_id, mapping_status, n_mapped::INTEGER AS n_mapped, n_lost::INTEGER AS n_lost FROM mapped")
+def json_mappings(spark, sf_dir):
+    m = _through_json(_mapped(spark, sf_dir).select("clause_id", "mapping_status", "mapped_entities", "unmapped_entities"), "mappings")
+    return m.select("clause_id", "mapping_status", F.size("mapped_entities").alias("n_mapped"), F.size("unmapped_entities").alias("n_lost"))
+
+
+@query(oracle.rendered("python"))
+def json_artifacts(spark, sf_dir):
+    return _through_json(_rules(spark, sf_dir, ("python",)), "artifacts").select("artifact_id", "content")
+
+
+@query(f"WITH {oracle.artifacts_cte(FORMATS)} SELECT trace_id, artifact_id, validation_status, confidence_score, 'DESK_' || split_part(doc_id, '_', 2) AS document_id FROM valid")
+def json_validations(spark, sf_dir):
+    return _through_json(_validated(spark, sf_dir), "validations").select("trace_id", "artifact_id", "validation_status", "confidence_score", "lineage.document_id")
+
+
 # -- rules over data
 
 
@@ -352,9 +454,9 @@ def rule_fixtures(spark, sf_dir):
 
 @query(f"""WITH {oracle.artifacts_cte(FORMATS)} SELECT doc_id, count(DISTINCT clause_id) AS clause_count, count(DISTINCT artifact_id) AS artifact_count, round(avg(confidence), 6)::DOUBLE AS avg_confidence, 0.75::DOUBLE AS avg_clause_confidence FROM valid GROUP BY doc_id""")
 def document_summary(spark, sf_dir):
-    parsed = corpus.parsed(spark, sf_dir)
+    parsed = _parsed(spark, sf_dir)
     docs = corpus.documents(spark, sf_dir).select("doc_id")
-    s = views.document_summary(docs, parsed, _rules(spark, sf_dir, FORMATS))
+    s = views.document_summary(docs, parsed, artifacts.compile_rules(mapping.map_clauses(parsed, corpus.registry(spark)), FORMATS))
     return s.select("doc_id", "clause_count", "artifact_count", F.round("avg_confidence", 6).alias("avg_confidence"), F.round("avg_clause_confidence", 6).alias("avg_clause_confidence"))
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from normweave.functions.text import doc_key, hash_suffix
-from normweave.operators import structure
+from normweave.operators import artifacts, structure
 
 #: Document types by file extension.
 TYPES = {"pdf": "pdf", "docx": "docx", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html"}
@@ -42,6 +42,7 @@ def documents(files: DataFrame, as_of: Column) -> DataFrame:
     return files.select(F.concat(key, F.lit("_"), hash_suffix(F.col("content"), 6)).alias("doc_id"), key.alias("doc_key"), F.col("path").alias("source_file"), as_of.alias("ingestion_timestamp"), "document_type", F.lit(None).cast("int").alias("page_count"), F.lit("en").alias("language"), "hash", "content")
 
 
+UNTITLED = "Untitled Section"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -53,39 +54,63 @@ def _docx_paragraphs(content: bytes) -> list[tuple[int, str]]:
     for p in root.iter(f"{_W}p"):
         style = p.find(f"{_W}pPr/{_W}pStyle")
         name = style.get(f"{_W}val", "") if style is not None else ""
-        level = re.fullmatch(r"Heading\s*(\d*)", name)
-        out.append((min(6, max(1, int(level[1] or 1))) if level else 0, "".join(t.text or "" for t in p.iter(f"{_W}t")).strip()))
+        level = re.fullmatch(r"Heading\s*(\d+)", name)
+        out.append((min(6, max(1, int(level[1]))) if level else int(name.startswith("Heading")), "".join(t.text or "" for t in p.iter(f"{_W}t")).strip()))
     return out
 
 
-def docx_markdown(files: DataFrame) -> DataFrame:
-    """(doc_id, doc_key, text): DOCX files as Markdown; text before the first heading gets the title of an untitled
-    section. A damaged file gives a null text."""
+def docx_sections(files: DataFrame) -> DataFrame:
+    """(doc_id, doc_key, section_ord, section_title, hierarchy_level, text, problem): DOCX files cut at their headings.
+    Text before the first heading gets the title of an untitled section. A damaged file gives one row that states
+    the problem and nothing else."""
+
+    def cut(parts: list[tuple[int, str]]) -> list[tuple[str, int, list[str]]]:
+        found: list[tuple[str, int, list[str]]] = []
+        for level, text in parts:
+            if level:
+                found.append((text, level, []))
+            elif text:
+                if not found:
+                    found.append((UNTITLED, 1, []))
+                found[-1][2].append(text)
+        return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
-            for content in batch["content"]:
+            rows = []
+            for doc, key, content in zip(batch["doc_id"], batch["doc_key"], batch["content"]):
                 try:
-                    parts = [(n, t) for n, t in _docx_paragraphs(content) if t]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    texts.append(None)
+                    found = cut(_docx_paragraphs(content))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, EOFError, ValueError) as e:
+                    rows.append((doc, key, None, None, None, None, f"Damaged file: {type(e).__name__}"))
                     continue
-                head = "" if not parts or parts[0][0] else "# Untitled Section\n"
-                texts.append(head + "\n\n".join(f"{'#' * n} {t}" if n else t for n, t in parts))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "doc_key": batch["doc_key"], "text": texts})
+                rows += [(doc, key, n, title, level, "\n\n".join(body), None) for n, (title, level, body) in enumerate(found, 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "doc_key", "section_ord", "section_title", "hierarchy_level", "text", "problem"]).astype({"section_ord": "Int32", "hierarchy_level": "Int32"})
+
+    return files.select("doc_id", "doc_key", "content").mapInPandas(run, "doc_id string, doc_key string, section_ord int, section_title string, hierarchy_level int, text string, problem string")
+
+
+def damaged(docs: DataFrame) -> DataFrame:
+    """(path, reason) of DOCX documents that can't be read."""
+    own = docs.where("document_type = 'docx'")
+    broken = docx_sections(own).where("problem IS NOT NULL").select("doc_id", F.col("problem").alias("reason"))
+    return own.select("doc_id", F.col("source_file").alias("path")).join(broken, "doc_id").select("path", "reason")
+
 
-    return files.select("doc_id", "doc_key", "content").mapInPandas(run, "doc_id string, doc_key string, text string")
+def _with_ids(sections: DataFrame) -> DataFrame:
+    rows = structure.parents(sections)
+    of = lambda n: structure.section_id(F.col("doc_key"), n)
+    return rows.select("doc_id", of(F.col("section_ord")).alias("section_id"), "section_ord", "section_title", "hierarchy_level", F.when(F.col("parent_ord").isNotNull(), of(F.col("parent_ord"))).alias("parent_section"), "text")
 
 
 def sections_of(docs: DataFrame) -> DataFrame:
-    """Sections of documents of all supported formats."""
+    """Sections of documents of all supported formats; blank and damaged documents have none."""
     decoded = docs.withColumn("text", F.decode("content", "UTF-8"))
-    md = decoded.where("document_type = 'markdown'").select("doc_id", "doc_key", "text").unionByName(docx_markdown(docs.where("document_type = 'docx'")))
+    md = decoded.where("document_type = 'markdown'").select("doc_id", "doc_key", "text")
     pages = decoded.where("document_type = 'html'")
-    html = structure.parents(structure.html_sections(pages, "doc_id", "text").join(pages.select("doc_id", "doc_key"), "doc_id"))
-    html = html.select("doc_id", structure.section_id(F.col("doc_key"), F.col("section_ord")).alias("section_id"), "section_ord", "section_title", "hierarchy_level", F.when(F.col("parent_ord").isNotNull(), structure.section_id(F.col("doc_key"), F.col("parent_ord"))).alias("parent_section"), "text")
-    return structure.markdown_sections(md).unionByName(html)
+    html = structure.html_sections(pages, "doc_id", "text", keep=("doc_key",))
+    docx = docx_sections(docs.where("document_type = 'docx'")).where("problem IS NULL").drop("problem")
+    return structure.markdown_sections(md).unionByName(_with_ids(html)).unionByName(_with_ids(docx))
 
 
 REGISTRY = "registry_version string, schemas array<struct<schema_id:string,schema_type:string,version:string,tables:array<struct<table_name:string,description:string,fields:array<struct<field_name:string,field_type:string,semantic_labels:array<string>,description:string>>>>>>, synonyms map<string,array<string>>, manual_overrides map<string,string>"
@@ -102,9 +127,37 @@ def registry_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return fields, synonyms, overrides
 
 
-def write_artifacts(artifacts: DataFrame, path: str) -> None:
-    """Artifacts by document and format, replacing what stood there."""
-    artifacts.write.mode("overwrite").partitionBy("format").parquet(path)
+def save_registry(fields: DataFrame, synonyms: DataFrame, overrides: DataFrame, path: str, version: str = "1", schema_type: str = "sql") -> None:
+    """The tables of a registry as the JSON that registry_tables reads; a registry is configuration, so it is one row."""
+    field = F.struct("field_ord", F.struct("field_name", "field_type", F.col("labels").alias("semantic_labels"), "description").alias("x"))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["x"])
+    tables = fields.groupBy("schema_ord", "schema_id", "table_ord", "table_name").agg(ordered(field).alias("fields"))
+    table = F.struct("table_ord", F.struct("table_name", F.lit(None).cast("string").alias("description"), "fields").alias("x"))
+    schemas = tables.groupBy("schema_ord", "schema_id").agg(ordered(table).alias("tables"))
+    schema = F.struct("schema_ord", F.struct("schema_id", F.lit(schema_type).alias("schema_type"), F.lit(version).alias("version"), "tables").alias("x"))
+    terms = synonyms.groupBy("ord", "term").agg(F.transform(F.array_sort(F.collect_list(F.struct("syn_ord", "synonym"))), lambda s: s["synonym"]).alias("s"))
+    names = terms.agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", "term", "s"))), lambda x: F.struct(x["term"], x["s"]))).alias("synonyms"))
+    manual = overrides.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_lower", "target_path")))).alias("manual_overrides"))
+    one = schemas.agg(ordered(schema).alias("schemas")).crossJoin(names).crossJoin(manual)  # one row each
+    one.select(F.lit(version).alias("registry_version"), "schemas", "synonyms", "manual_overrides").coalesce(1).write.mode("overwrite").json(path)
+
+
+def templates_in(spark: SparkSession, path: str) -> dict[str, dict[str, artifacts.Renderer]]:
+    """Renderers from files <path>/<format>/<clause type>.txt, which hold `{{ name }}` for columns of
+    artifacts.context; `default.txt` serves the types without a file. Templates are configuration and come to the driver."""
+    found: dict[str, dict[str, artifacts.Renderer]] = {}
+    for r in spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path).select("value", F.input_file_name().alias("path")).collect():
+        folder, name = r["path"].split("/")[-2:]
+        found.setdefault(folder, {})[name.partition(".")[0]] = artifacts.from_text(r["value"])
+    for by_type in found.values():
+        by_type.setdefault("default", next(iter(by_type.values())))
+    return found
+
+
+def write_artifacts(rows: DataFrame, path: str) -> None:
+    """Artifacts in a folder for each format, replacing what stood there; file_path says where each belongs by
+    document and clause, and doc_id orders the rows, so one document's artifacts lie together."""
+    rows.sortWithinPartitions("format", "doc_id", "artifact_id").write.mode("overwrite").partitionBy("format").parquet(path)
 
 
 def merged_metadata(system: Column, user: Column) -> Column:

@@ -132,10 +132,110 @@ def test_files(spark, tmp_path):
     raw = files.raw_files(spark, str(tmp_path))
     assert [r["reason"] for r in files.rejected(raw).collect()] == ["Unsupported format: .xyz"]
     docs = files.documents(files.supported(raw), F.lit("2026-01-01T00:00:00"))
+    assert files.damaged(docs).count() == 0
     out = {(r["doc_id"][:-7], r["section_title"]): r["text"] for r in files.sections_of(docs).collect()}
     assert out == {("MY_POLICY", "A"): "Staff must go.", ("MY_POLICY", "B"): "x", ("PAGE", "T"): "Client may wait.", ("D", "Untitled Section"): "Intro.", ("D", "Sub"): "Body."}
 
 
+def docx(path, *paragraphs):
+    body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{s}"/></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>' for s, t in paragraphs)
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+
+
+def test_docx_is_not_markdown(spark, tmp_path):
+    docx(tmp_path / "a.docx", ("Heading1", "One"), ("Normal", "# no heading"), ("HeadingX", "Two"), ("Normal", "b"), ("Heading3", "Three"), ("Normal", "c"), ("Normal", "d"))
+    docx(tmp_path / "empty.docx")
+    (tmp_path / "bad.docx").write_bytes(b"PK no zip")
+    (tmp_path / "blank.md").write_text(" \n ")
+    docs = files.documents(files.supported(files.raw_files(spark, str(tmp_path))), F.lit("2026-01-01T00:00:00"))
+    out = {r["section_title"]: (r["hierarchy_level"], r["parent_section"], r["text"]) for r in files.sections_of(docs).collect()}
+    assert out == {"One": (1, None, "# no heading"), "Two": (1, None, "b"), "Three": (3, "A_S002", "c\n\nd")}
+    bad = files.damaged(docs).collect()
+    assert len(bad) == 1 and bad[0]["path"].endswith("bad.docx") and bad[0]["reason"].startswith("Damaged file")
+
+
+def test_registry_is_saved_as_it_is_read(spark, tmp_path):
+    reg, path = corpus.registry(spark), str(tmp_path / "saved")
+    files.save_registry(reg.fields, reg.synonyms, reg.overrides, path)
+    for old, new in zip((reg.fields, reg.synonyms, reg.overrides), files.registry_tables(spark, path)):
+        assert sorted(map(str, old.collect())) == sorted(map(str, new.select(*old.columns).collect()))
+
+
+def test_templates_from_a_folder(spark, tmp_path):
+    (tmp_path / "note").mkdir()
+    (tmp_path / "note" / "default.txt").write_text("{{ clause_id }}: {{actor}} {{ object }}!")
+    (tmp_path / "note" / "prohibition.txt").write_text("NO {{ verb }}")
+    p = parsed(spark, "Client must provide proof.", "Staff must not share data.", "Qqq may go.")
+    made = artifacts.compile_rules(mapping.map_clauses(p, corpus.registry(spark)), ("note",), files.templates_in(spark, str(tmp_path)))
+    assert {r["clause_id"]: (r["content"], r["template_used"]) for r in made.collect()} == {"D_CL001": ("D_CL001: Client proof!", "note/default"), "D_CL002": ("NO share", "note/prohibition"), "D_CL003": ("D_CL003: Qqq !", "note/default")}
+
+
+def test_hooks(spark):
+    """A parser's client and an embedding of the caller's."""
+    def client(texts):
+        return [None if "proof" in t else '```json\n{"actor": "Robot", "confidence": 0.9}\n```' if "Qqq" in t else "no idea" for t in texts]
+
+    rows = spark.createDataFrame([(1, "Client must provide proof."), (2, "Qqq must go."), (3, "Staff must stay.")], "n int, source_text string")
+    out = {r["n"]: (r["actor"], r["verb"], r["confidence"]) for r in clauses.parse_by_client(rows, client).collect()}
+    assert out == {1: ("Client", "provide", 0.75), 2: ("Robot", "go", 0.9), 3: ("Staff", "stay", 0.75)}
+    one = lambda text: F.array(F.lit(1.0), F.length(text) * 0.0)  # noqa: E731  everything is near everything
+    m = mapping.map_clauses(parsed(spark, "Zzz must go."), corpus.registry(spark), embed=one).first()
+    assert m["mapped_entities"][0]["mapping_method"] == "semantic" and m["mapping_status"] == "complete"
+
+
+def test_graph_upsert_and_json(spark):
+    kind = "node_id string, node_type string, properties map<string,string>"
+    old = spark.createDataFrame([("a", "x", {"k": "1"}), ("b", "x", {})], kind)
+    new = spark.createDataFrame([("b", "y", {"k": "1"}, 1), ("b", "z", {"k": "0"}, 2), ("c", "y", None, 1)], kind + ", at int")
+    out = {r["node_id"]: r["node_type"] for r in lineage.upsert(old, new, order="at").collect()}
+    assert out == {"a": "x", "b": "z", "c": "y"} and lineage.upsert(old, new.drop("at")).where("node_id = 'b'").first()["node_type"] == "z"
+    edge = spark.createDataFrame([("e:a->b", "a", "b", "R", None)], "edge_id string, source_id string, target_id string, relationship string, confidence double")
+    text = "\n".join(r["line"] for r in lineage.json_lines(old, edge).orderBy("ord", "id").collect())
+    assert json.loads(text) == {"nodes": [{"node_id": "a", "node_type": "x", "properties": {"k": "1"}}, {"node_id": "b", "node_type": "x", "properties": {}}], "edges": [{"edge_id": "e:a->b", "source_id": "a", "target_id": "b", "relationship": "R", "confidence": None}]}
+    none = "\n".join(r["line"] for r in lineage.json_lines(old.limit(0), edge.limit(0)).orderBy("ord", "id").collect())
+    assert json.loads(none) == {"nodes": [], "edges": []}
+
+
+def test_enforcement(spark):
+    facts = spark.createDataFrame([(1, "a", "go", "x", None, True, None, None)], "entity_id int, actor string, action string, object string, status string, completed boolean, attempted boolean, condition_met boolean")
+    rule = spark.createDataFrame([("o", "obligation", "a", "go", "x", False, "high")], "rule_id string, type string, actor string, action string, object string, has_condition boolean, severity string")
+    assert rules.enforce(facts, rule).first()["violated"] is False
+    broken = facts.withColumn("completed", F.lit(False))
+    assert rules.enforce(broken, rule, raise_on_violation=False).first()["violated"] is True
+    with pytest.raises(Exception, match="rule o violated by entity 1"):
+        rules.enforce(broken, rule).collect()
+    assert sorted(map(str, rules.joined(facts, rule, most=0).collect())) == sorted(map(str, rules.joined(facts, rule).collect()))  # by actor and salt
+
+
+def test_running_totals(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(g, rng.choice((None, *range(40))), i, rng.choice((None, 1, 2, 5))) for g in ("a", "b", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, at int, id int, v int")
+    out = {r["id"] if r["g"] == "a" else (r["g"], r["id"]): r["t"] for r in metrics.running_total(df, ["g"], ["at", "id"], "v", "t", parts=20).collect()}
+    for g in ("a", "b", None):
+        total = None
+        for _, at, i, v in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            total = total if v is None else (total or 0) + v
+            assert out[i if g == "a" else (g, i)] == total
+    assert metrics.running_total(df.limit(0), ["g"], ["at", "id"], "v", "t").count() == 0
+
+
+def test_metrics_exports(spark):
+    rows = [("m_requests_total", "counter", {"path": "/a"}, 2.0, 1), ("m_requests_total", "counter", {"path": "/a"}, 3.0, 2), ("m_requests_total", "counter", {}, 1.0, 1), ("m_documents_in_progress", "gauge", {}, 4.0, 1), ("m_documents_in_progress", "gauge", {}, 2.0, 2),
+            ("m_request_duration_seconds", "histogram", {"path": "/b"}, 0.2, 1), ("m_request_duration_seconds", "histogram", {"path": "/b"}, 3.0, 2)]
+    seen = metrics.observed(spark.createDataFrame(rows, "name string, kind string, labels map<string,string>, value double, ts int"))
+    known = metrics.default_metrics(spark, "m_")
+    lines = [r["line"] for r in metrics.prometheus(known, seen).orderBy("name", "ord", "label_key").collect()]
+    assert known.count() == 16 and lines.count("# TYPE m_requests_total counter") == 1 and 'm_requests_total{path="/a"} 5.0' in lines and "m_requests_total 1.0" in lines and "m_documents_in_progress 2.0" in lines
+    assert 'm_request_duration_seconds_bucket{path="/b",le="0.25"} 1' in lines and 'm_request_duration_seconds_bucket{path="/b",le="+Inf"} 2' in lines and 'm_request_duration_seconds_sum{path="/b"} 3.2' in lines
+    assert lines.index("# HELP m_requests_total Total number of API requests") < lines.index("m_requests_total 1.0")
+    out = {r["name"]: json.loads(r["json"]) for r in metrics.metrics_json(known, seen).collect()}
+    assert out["m_requests_total"]["values"] == {"": 1.0, "path=/a": 5.0} and out["m_request_duration_seconds"]["values"]["path=/b"]["count"] == 2 and out["m_active_connections"] == {"type": "gauge", "description": "Number of active connections", "values": {}}
+
+
 def test_registry_file(spark, tmp_path):
     path = tmp_path / "r.json"
     path.write_text(json.dumps({"registry_version": "1", "schemas": [{"schema_id": "s", "schema_type": "sql", "version": "1", "tables": [{"table_name": "t", "fields": [{"field_name": "f", "field_type": "INT"}]}]}], "synonyms": {"f": ["g"]}, "manual_overrides": {"H": "s:t.f"}}))

@@ -1,72 +1,38 @@
 import random
-import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from normweave.functions import text as T
 from normweave.operators import structure
 from normweave.operators.structure import ChunkSizes
+from normweave.plans import oracle
 
 
-def fold(text, s):
-    """The chunker as a plain loop."""
-    tok = lambda x: len(x) // 4
-    done, held, n = [], [], 0
-    for p in (q.strip() for q in re.split(r"\n\s*\n", text)):
-        if not p:
-            continue
-        if tok(p) > s.most:
-            if held:
-                done.append(" ".join(held))
-            held, n = [], 0
-            for q in (x.strip() for x in re.split(r"(?<=[.!?])\s+", p)):
-                if not q:
-                    continue
-                if n + tok(q) > s.target and held:
-                    done.append(" ".join(held))
-                    held, n = [], 0
-                held.append(q)
-                n += tok(q)
-            if held:
-                done.append(" ".join(held))
-            held, n = [], 0
-            continue
-        if n + tok(p) > s.target and n >= s.least and held:
-            done.append(" ".join(held))
-            last = held[-1]
-            over = last if tok(last) <= s.overlap else last[-4 * s.overlap :]
-            held, n = [over], tok(over)
-        held.append(p)
-        n += tok(p)
-    if held:
-        done.append(" ".join(held))
-    return done
-
-
-def test_chunks_equal_a_loop(spark):
+def test_chunks_equal_a_recursion(spark):
+    """Random texts, small sizes: the fold against DuckDB's recursion over paragraphs and sentences."""
     rng, sizes = random.Random(3), ChunkSizes(target=20, least=6, most=30, overlap=4)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9)))
     sentence = lambda: " ".join(word() for _ in range(rng.randint(1, 9))) + rng.choice(".!?,")
     texts = ["\n\n".join(" ".join(sentence() for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 7))) for _ in range(150)] + ["", "  \n\n \n", "x" * 500]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").withColumn("c", structure.chunk_texts(F.col("text"), sizes))
-    for r in df.collect():
-        assert r["c"] == fold(r["text"], sizes), repr(r["text"])
+    sections = spark.createDataFrame([(f"D{i}", f"D{i}_S001", t) for i, t in enumerate(texts)], "doc_id string, section_id string, text string")
+    frame = sections.toPandas()  # noqa: F841  DuckDB finds it by name
+    want = duckdb.sql(f"WITH RECURSIVE sections AS (SELECT * FROM frame), {oracle.chunk_cte(20, 6, 30, 4)} SELECT section_id, chunk_ord, text FROM chunked").fetchall()
+    got = [(r["section_id"], r["chunk_ord"], r["text"]) for r in structure.chunks(sections, sizes).collect()]
+    assert len(want) > 300 and sorted(got) == sorted(want)
 
 
-def test_parents_equal_a_stack(spark):
+def test_parents_are_the_nearest_earlier_smaller_level(spark):
     rng = random.Random(4)
-    docs = [[rng.randint(1, 6) for _ in range(rng.randint(0, 15))] for _ in range(80)]
+    docs = [[rng.randint(1, 6) for _ in range(rng.randint(1, 15))] for _ in range(80)]
     rows = [(f"D{i}", f"D{i}", "before\n" + "".join(f"{'#' * n} h{k}\nbody {k}\n" for k, n in enumerate(d))) for i, d in enumerate(docs)]
     found = structure.markdown_sections(spark.createDataFrame(rows, "doc_id string, doc_key string, text string")).collect()
     by_id = {r["section_id"]: r for r in found}
     for i, d in enumerate(docs):
-        stack = []
         for k, n in enumerate(d, 1):
-            while stack and stack[-1][1] >= n:
-                stack.pop()
+            above = max((j for j in range(1, k) if d[j - 1] < n), default=None)
             r = by_id[f"D{i}_S{k:03d}"]
-            assert (r["parent_section"], r["hierarchy_level"], r["text"]) == (f"D{i}_S{stack[-1][0]:03d}" if stack else None, n, f"body {k - 1}")
-            stack.append((k, n))
+            assert (r["parent_section"], r["hierarchy_level"], r["text"]) == (above and f"D{i}_S{above:03d}", n, f"body {k - 1}")
     sections = spark.createDataFrame([(r["doc_id"], r["section_ord"], r["hierarchy_level"], r["parent_section"]) for r in found], "doc_id string, section_ord int, hierarchy_level int, expected string")
     for r in structure.parents(sections).collect():
         assert r["expected"] == (f"{r['doc_id']}_S{r['parent_ord']:03d}" if r["parent_ord"] else None)
@@ -77,13 +43,19 @@ def test_markdown_edges(spark):
     out = {(r["doc_id"], r["section_ord"]): r for r in structure.markdown_sections(spark.createDataFrame(rows, "doc_id string, doc_key string, text string")).collect()}
     assert out["B", 1]["section_title"] == structure.DEFAULT_TITLE and out["B", 1]["text"] == "plain text\nno heading"
     assert [out["C", k]["section_title"] for k in (1, 2, 3)] == ["One", 'Two: "q" & (r)', "Last"]
-    assert out["C", 1]["text"] == "x" and out["C", 3]["text"] == "" and out["A", 1]["text"] == "" and ("E", 2) not in out
+    assert out["C", 1]["text"] == "x" and out["C", 3]["text"] == "" and ("A", 1) not in out and ("E", 2) not in out
 
 
 def test_html(spark):
     pages = [(1, "<nav>menu</nav><h1>A &amp; B</h1><p>one</p><!-- <h2>no</h2> --><h2>C</h2><div>two<br>three</div><script>x<y</script>"), (2, "<p>only</p><p>text</p>"), (3, None)]
     out = {(r["page_id"], r["section_ord"]): (r["section_title"], r["hierarchy_level"], r["text"]) for r in structure.html_sections(spark.createDataFrame(pages, "page_id int, html string")).collect()}
-    assert out[1, 1] == ("A & B", 1, "one") and out[1, 2] == ("C", 2, "two\n\nthree") and out[2, 1] == (structure.DEFAULT_TITLE, 1, "only\n\ntext") and out[3, 1][2] == ""
+    assert out[1, 1] == ("A & B", 1, "one") and out[1, 2] == ("C", 2, "two\n\nthree") and out[2, 1] == (structure.DEFAULT_TITLE, 1, "only\n\ntext") and (3, 1) not in out
+
+
+def test_character_references(spark):
+    texts = {"a &amp;lt; b": "a &lt; b", "&eacute;&#233;&#xE9;&#X1F600;": "\u00e9\u00e9\u00e9\U0001f600", "R&D &unknown; &; &#0; &#xD800; &#99999999;": "R&D &unknown; &; &#0; &#xD800; &#99999999;", "x&nbsp;y &lt;&quot;&#39;&apos;&gt;": "x y <\"''>", "": "", "&": "&", "&hellip;a;b": "\u2026a;b"}
+    rows = spark.createDataFrame([(k,) for k in texts], "t string").select("t", structure.unescape_html(F.col("t")).alias("u")).collect()
+    assert {r["t"]: r["u"] for r in rows} == texts
 
 
 def test_scalars(spark):
