@@ -1,8 +1,19 @@
 """The corpus pipeline: five operators over documents, each stage written as Parquet and read again.
 
-Stages: line rules reject poor documents; language ID rejects documents without a clear language; of each class of
-near copies one document stays; the mix drops or repeats documents towards the sources' target weights; BPE encodes
-what is left and decodes it again, of which the stage returns the SHA-256. A stage takes and returns DataFrames, so any stage can be run again from the table before it.
+A stage takes and returns DataFrames, so any stage can be run again from the table before it. All but the last return
+the columns of documents, in order, whatever further columns these have and whatever they are called: rows are packed
+into one column while a stage works.
+
+| Stage | null text | empty text | very long text | ties, repeated rows | empty table |
+|---|---|---|---|---|---|
+| quality rules | counts as empty | goes (under ten words) | judged whole | each row on its own | empty |
+| language ID | goes (`und`) | goes (`und`) | judged whole | judged alike | empty, nothing is learned |
+| near copies | counts as empty, copies of each other | the same | compared whole | of a class the least id stays (nulls last), then the least text hash, then the least hash of all columns | empty |
+| mixing | has no words, goes | goes | taken in blocks, kept 0 to 2 times whole | of rows equal in id and text a hash of all columns decides who is taken first | empty |
+| BPE | no ids, '' decoded | the same | coded whole | each row on its own | empty |
+
+Null ids, languages and sources are values like others, but no row without a language is learned from. Rows that a
+stage's rule doesn't name are kept as they are.
 """
 
 from __future__ import annotations
@@ -14,22 +25,27 @@ from normweave.llm.common import cut
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line rules reject poor documents; the others keep their whole text."""
     return quality_rules.keep_good(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID rejects documents without a clear language."""
     return language_id.keep_identified(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies one document stays."""
     return jaccard_join.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix drops or repeats documents towards the sources' target weights."""
     return source_mixing.repeat(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE encodes what is left and decodes it again, of which the SHA-256 is returned."""
     path = bpe_lexicon.default_path()
     coded = bpe_lexicon.encode(docs.select("doc_id", "lang", "source", "text"), path, bpe_lexicon.build_lexicon(docs, path), decoded="decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
