@@ -24,7 +24,7 @@ def by_bytes(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordB
 
 def gather(codes: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The value lists of codes, one after another, as (offsets, values)."""
-    sizes = (offsets[1:] - offsets[:-1])[codes]
+    sizes = offsets[codes + 1] - offsets[codes]
     out = np.concatenate(([0], np.cumsum(sizes)))
     at = np.arange(out[-1]) + np.repeat(offsets[codes] - out[:-1], sizes)
     return out, values[at]

@@ -16,11 +16,13 @@ only the named column is read and only `ids`/`decoded` are added, replacing colu
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import json
 import os
 import re
+import shutil
 import tempfile
 import unicodedata
 from collections import Counter, defaultdict
@@ -310,11 +312,13 @@ def encode_texts(model: WordBpe, lexicon: Transducer, texts: list[str | None]) -
     word_codes = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
     distinct = list(numbers)
     known = lexicon.numbers(distinct)
-    unseen = np.flatnonzero(known < 0)
+    seen, unseen = np.flatnonzero(known >= 0), np.flatnonzero(known < 0)
+    # the batch's distinct words only: the mapped file is read where they lie, and never copied whole
+    seen_at, seen_ids = gather(known[seen], lexicon.offsets, lexicon.ids)
     more, more_ids = model.merge([distinct[i] for i in unseen])
-    known[unseen] = len(lexicon.offsets) - 1 + np.arange(len(unseen))
-    offsets = np.concatenate((lexicon.offsets.astype(np.int64), lexicon.offsets[-1] + more[1:]))
-    word_at, word_ids = gather(known[word_codes], offsets, np.concatenate((lexicon.ids, more_ids)))
+    place = np.empty(len(distinct), dtype=np.int64)
+    place[np.concatenate((seen, unseen))] = np.arange(len(distinct))
+    word_at, word_ids = gather(place[word_codes], np.concatenate((seen_at, seen_at[-1] + more[1:])), np.concatenate((seen_ids, more_ids)))
     chunk_at = word_at[np.concatenate(([0], np.cumsum(per_chunk)))]
     special = {k: c[0] for k, c in enumerate(index) if isinstance(c, tuple)}
     if special:
@@ -363,6 +367,7 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", words: int = L
     top = sorted(top, key=str.encode)
     offsets, ids = _model(path).merge(top)
     folder = os.path.realpath(tempfile.mkdtemp(prefix="normweave-lexicon-"))
+    atexit.register(shutil.rmtree, folder, True)  # executors fetch the file from the driver until it ends
     local = f"{folder}/new"
     Transducer.compile(top, offsets, ids, local)
     with open(local, "rb") as file:

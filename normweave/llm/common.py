@@ -3,64 +3,27 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
+from normweave.sources.store import discard, scratch_path, stored  # noqa: F401
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir. Where that is unset, a local session gets a temporary
-    folder; on a cluster that is an error, for executors on other machines could not share it."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="normweave-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/normweave-{spark.sparkContext.applicationId}"
-
-
-def _fs_path(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the scratch folder, which goes when the driver ends."""
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, jvm_path = _fs_path(spark, path)
-    fs.deleteOnExit(jvm_path)
-    return path
-
-
 def cut(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back, so that later steps neither
     recompute it nor depend on the executors that made it. Arrow batches are small while it is written. `level` is
     that of zstd: higher for large tables that compress well."""
     spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(_BATCH_BYTES)
+    before = spark.conf.get(_BATCH_BYTES)
     small_batches(spark)
     try:
-        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+        return stored(df, name, level)
     finally:
         spark.conf.set(_BATCH_BYTES, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by cut that nothing reads any more."""
-    for table in tables:
-        spark = table.sparkSession
-        root = scratch(spark).partition(":")[2].lstrip("/") if ":" in scratch(spark) else scratch(spark).lstrip("/")
-        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            if f"/{root}/" in folder:
-                fs, jvm_path = _fs_path(spark, folder)
-                fs.delete(jvm_path, True)
 
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"

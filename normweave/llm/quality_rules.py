@@ -23,7 +23,7 @@ MARK = r"[.!?;:,\x{2026}\x{3002}]"
 SYMBOL_PER_100 = 8
 SHOUT_PER_100 = 30
 NAV_MARK = r"[|>\x{00BB}\x{2022}\x{00B7}]"
-BOILERPLATE = r"(?i)(all rights reserved|\x{00A9} ?[0-9]{4}|copyright [0-9]{4}|cookie policy|privacy policy|terms of (use|service)|subscribe to our|sign up for|click here|enable javascript|skip to (main )?content|share on (facebook|twitter))"
+BOILERPLATE = r"(?i)(all rights reserved|alle rechte vorbehalten|tous droits r[e\x{00E9}\x{00C9}]serv|todos los derechos reservados|\x{00A9} ?[0-9]{4}|copyright ([0-9]{4}|\x{00A9})|(cookie|privacy) (policy|settings|notice)|(accept|we use|uses) (all )?cookies|terms (of (use|service)|and conditions)|subscribe to (our|the)|unsubscribe|sign (up for|in to)|log in to|click here|read more|back to top|powered by|enable javascript|skip to (main )?content|(share|follow us) on (facebook|twitter|instagram|linkedin))"
 BOILERPLATE_MAX_WORDS = 40
 MAX_LOSS_PER_100 = 40
 
@@ -133,7 +133,7 @@ l AS (SELECT rid, line FROM (SELECT rid, unnest(string_split(text, chr(10))) AS
 m AS (SELECT rid, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS c,
   length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS sym, length(regexp_replace(line, '[^!]', '', 'g')) AS bang, length(regexp_replace(line, '[^|>\x{00BB}\x{2022}\x{00B7}]', '', 'g')) AS nav FROM l),
 v AS (SELECT rid, line, c, NOT ((n >= 12 AND NOT regexp_matches(line, '[.!?;:,\x{2026}\x{3002}]')) OR sym * 100 > 8 * c OR (bang * 100 > 30 * n AND n >= 4) OR (nav >= 3 AND nav * 3 >= n)
-  OR (n <= 40 AND regexp_matches(line, '(?i)(all rights reserved|\x{00A9} ?[0-9]{4}|copyright [0-9]{4}|cookie policy|privacy policy|terms of (use|service)|subscribe to our|sign up for|click here|enable javascript|skip to (main )?content|share on (facebook|twitter))'))) AS good FROM m),
+  OR (n <= 40 AND regexp_matches(line, '(?i)(all rights reserved|alle rechte vorbehalten|tous droits r[e\x{00E9}\x{00C9}]serv|todos los derechos reservados|\x{00A9} ?[0-9]{4}|copyright ([0-9]{4}|\x{00A9})|(cookie|privacy) (policy|settings|notice)|(accept|we use|uses) (all )?cookies|terms (of (use|service)|and conditions)|subscribe to (our|the)|unsubscribe|sign (up for|in to)|log in to|click here|read more|back to top|powered by|enable javascript|skip to (main )?content|(share|follow us) on (facebook|twitter|instagram|linkedin))'))) AS good FROM m),
 d AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines, sum(c) AS c, coalesce(sum(c) FILTER (good), 0) AS good_c FROM v GROUP BY rid),
 a AS (SELECT t.rid, doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(d.c, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(good_c, 0) AS good_c FROM t LEFT JOIN r USING (rid) LEFT JOIN d USING (rid))

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,7 +184,7 @@ def test_shards(spark, sf):
     groups = collections.defaultdict(set)
     for r in rows:
         raw = text[r["doc_id"]].encode()
-        assert r["size"] == len(raw) + 1 and r["law"] == "rows" and r["grown_shard"] is None
+        assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "rows" and r["grown_shard"] is None
         groups[text[r["doc_id"]]].add(r["shard"])
     assert all(len(g) == 1 for g in groups.values())  # all groups fit, so no edge is cut
 
@@ -216,6 +217,54 @@ def test_a_large_group_that_fits_a_shard_stays_whole(spark):
     assert sum(of[i] != of[i + 1] for i in range(288, n, 2)) <= 32  # at the edges of shards and gaps only
 
 
+@pytest.mark.parametrize(("n", "size"), [(200, 3), (200, 6), (1600, 20), (1600, 30), (1600, 50), (10_000, 3), (10_000, 100), (10_000, 312)])
+def test_groups_stay_whole(spark, n, size):
+    """All rows are linked, in groups of up to half a quota."""
+    rows = spark.range(n).select(F.col("id").alias("row"))
+    groups = n // size
+    key = F.concat(F.lit("g"), F.pmod(F.xxhash64("row"), F.lit(1 << 40)).cast("string"))
+    ranked = {r["row"]: i % groups for i, r in enumerate(rows.withColumn("k", key).orderBy("k").collect())}  # members lie anywhere
+    links = spark.createDataFrame([(r, f"g{g}") for r, g in ranked.items()], "row long, key string")
+    out = shard_balance.propagate(rows, links).collect()
+    check_shards(out)
+    shards = collections.defaultdict(set)
+    for r in out:
+        shards[ranked[r["row"]]].add(r["shard"])
+    whole = sum(len(s) == 1 for s in shards.values())
+    assert whole >= 0.9 * groups, (whole, groups)
+
+
+def plain_propagation(keys, shards=16, rounds=4):
+    """Rows move to the shard that most rows of their key are in, one after another, while there is room: cut keys."""
+    n = len(keys)
+    quota = -(-n // shards)
+    at = [hash((3, i)) % shards for i in range(n)]
+    votes, held = collections.defaultdict(collections.Counter), collections.Counter(at)
+    for i, k in enumerate(keys):
+        votes[k][at[i]] += 1
+    for _ in range(rounds):
+        for i, k in enumerate(keys):
+            best = max(votes[k], key=lambda s: (votes[k][s], -s))
+            if best != at[i] and held[best] < quota:
+                votes[k][at[i]] -= 1
+                votes[k][best] += 1
+                held[at[i]] -= 1
+                held[best] += 1
+                at[i] = best
+    return sum(len({at[i] for i in range(n) if keys[i] == k}) > 1 for k in set(keys))
+
+
+def test_shards_cut_no_more_than_a_plain_propagation(spark):
+    rng = random.Random(6)
+    keys = [f"k{min(rng.randrange(200), rng.randrange(200))}" for _ in range(900)] + [f"alone{i}" for i in range(300)]
+    rows = spark.range(len(keys)).select(F.col("id").alias("row"))
+    out = {r["row"]: r["shard"] for r in shard_balance.propagate(rows, spark.createDataFrame(list(enumerate(keys)), "row long, key string")).collect()}
+    of = collections.defaultdict(set)
+    for i, k in enumerate(keys):
+        of[k].add(out[i])
+    assert sum(len(s) > 1 for s in of.values()) <= plain_propagation(keys)
+
+
 def test_chats_round_trip(spark):
     hard = ["<|im_end|>", "\\", "\\<|", "<\\|im_start|>", "a\nb", "<", "|>", "\\n", "<<||", "é😀", "", "\\\\<|im_end|>\\"]
     turns = [(1, i, role, t) for i, (role, t) in enumerate(itertools.product(("user", "assistant", "od\nd\\<|x"), hard))] + [(2, 0, None, None), (None, None, "assistant", "x"), (3, 0, "assistant", "same"), (3, 0, "assistant", "same")]

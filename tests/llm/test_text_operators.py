@@ -259,6 +259,39 @@ def test_language(spark):
     assert out.count() == 1000 and np.mean([r["lang"] == r["lang_pred"] for r in held]) >= 0.98
 
 
+def test_language_codes_decode_as_by_hand(spark):
+    """Bits, losses and the nearest codeword by plain loops over the trigrams."""
+    texts = {"en": ["the cat and the dog went over the hill", "and the other one"], "fr": ["le chat et le chien sont dans la maison", "la rue et le pont"], "de": ["der hund und die katze gehen nach hause", "und das andere"]}
+    rows = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate((x, t) for x, ts in texts.items() for t in ts)], "doc_id long, text string, lang string")
+    model, names = language_id.fit(rows), sorted(texts)
+    assert model.languages == names
+
+    def grams(text):
+        raw = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in f"  {text} ".lower().encode()) + b"  "
+        return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32) >> 18 for i in range(len(raw) - 2)]
+
+    counts = {x: {} for x in names}
+    for x, ts in texts.items():
+        got = [g for t in ts for g in grams(t)[: len(f"  {t} ")]]
+        for g in got:
+            counts[x][g] = counts[x].get(g, 0) + 1
+    share = lambda x, g: (counts[x].get(g, 0) + 0.5) / (sum(counts[x].values()) + 0.5 * 2**14)
+    for text in ("the dog and the house", "le chat dans la rue", "der hund nach hause", "und the la"):
+        own, bits = grams(text)[: len(f"  {text} ")], model.code.shape[1]
+        losses = {}
+        for n, x in enumerate(names):
+            losses[x] = 0
+            for b in range(bits):
+                one, zero = ([y for m, y in enumerate(names) if model.code[m, b] * side > 0] for side in (1, -1))
+                mean = lambda ys, g: sum(share(y, g) for y in ys) / len(ys)
+                z = sum(np.log(mean(one, g)) - np.log(mean(zero, g)) for g in own) * min(1, language_id.EVIDENCE / len(own))
+                losses[x] += np.log1p(np.exp(-z * model.code[n, b]))
+        want = min(names, key=losses.get)
+        score = np.exp(-losses[want]) / sum(np.exp(-v) for v in losses.values())
+        lang, scores, doubt = model.predict([text])
+        assert lang == [want] and scores[0] == pytest.approx(score, rel=1e-3) and doubt[0] == (score < language_id.AMBIGUOUS_BELOW)
+
+
 def test_language_edges(spark):
     for n in (2, 3, 5, 7, 8, 30):
         code = language_id.codewords(n)
