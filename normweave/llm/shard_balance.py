@@ -24,6 +24,8 @@ from .common import cut, dense_positions, discard, read
 
 SHARDS = 16
 ROUNDS = 4
+#: A key of more than this part of a quota is large: it is dealt whole where it fits.
+FINE = 64
 SEED = 23
 _UNIT = 1 << 20
 #: Who stays first: pinned keys, small keys, keys that no shard holds, rows without links; rows of cut small keys go.
@@ -60,7 +62,7 @@ def _pins(large: list[tuple[str, int]], quota: list[int]) -> tuple[dict[str, int
 
 
 def _by_key(rows: DataFrame, table: DataFrame, large: list[str]) -> DataFrame:
-    """rows joined with table by key. The rows of large keys, fewer than 4 * shards keys for each key that a row has,
+    """rows joined with table by key. The rows of large keys, fewer than FINE * shards keys for each key that a row has,
     stay where they are: their part of the table, which has a row for each key and shard at most, goes to them."""
     if not large:
         return rows.join(table, "key")
@@ -107,10 +109,10 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
     """rows: (row long, distinct). links: (row, key string). Returns (row, shard int, slot long)."""
     n = rows.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    hot = max(1, n // shards // 4)
+    hot = max(1, n // shards // FINE)
     start = F.pmod(F.xxhash64(F.lit(SEED), "row"), F.lit(shards)).cast("int")
     sizes = cut(links.groupBy("key").agg(F.count("*").alias("key_n")).where("key_n > 1"), "shard-keys")
-    # fewer than 4 * shards keys for each key that a row has
+    # fewer than FINE * shards keys for each key that a row has
     large = [(r["key"], r["key_n"]) for r in sizes.where(F.col("key_n") > hot).collect()]
     names = [k for k, _ in large]
     state = _by_key(links, sizes, names).withColumns({"pinned": F.lit(False), "shard": start})
