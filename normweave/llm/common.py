@@ -13,15 +13,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+def cut(df: DataFrame, name: str, level: int = 3, page_mb: int = 1) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back, so that later steps neither
-    recompute it nor depend on the executors that made it. Arrow batches are small while it is written. `level` is
-    that of zstd: higher for large tables that compress well."""
+    recompute it nor depend on the executors that made it. Arrow batches are small while it is written. `level` and
+    `page_mb`: of stored; higher for large tables that compress well."""
     spark = df.sparkSession
     before = spark.conf.get(_BATCH_BYTES)
     small_batches(spark)
     try:
-        return stored(df, name, level)
+        return stored(df, name, level, page_mb)
     finally:
         spark.conf.set(_BATCH_BYTES, before)
 

@@ -31,7 +31,7 @@ TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 CODECS = tuple(sorted(TAGS))
 BATCH_BYTES = 1_000_000
 #: Of the stored tables: audio is kept, so its size weighs more than the time to write it.
-ZSTD_LEVEL = 9
+ZSTD_LEVEL, PAGE_MB = 10, 8
 #: Fixed values of the IMA ADPCM format: quantiser steps and index moves by the code's low three bits.
 STEP = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
@@ -97,16 +97,28 @@ def double_rate(pcm: np.ndarray) -> np.ndarray:
 
 
 def to_planes(pcm: np.ndarray) -> bytes:
-    """The even samples, then the odd ones less the mean of their neighbours (wrapping at 16 bits): the same PCM in
-    an order that compresses, for samples made by interpolation leave zeros."""
+    """The same PCM in an order that compresses: a byte for the mode, the even samples, then the odd ones less the mean
+    of their neighbours (wrapping at 16 bits), for samples made by interpolation leave zeros. Mode 0 keeps the even
+    samples as 16 bits; mode 1, for up to 256 different values, as companding makes them, keeps the number of values
+    less one, the values, and a byte for each sample."""
     even = pcm[0::2]
-    return even.astype("<i2").tobytes() + (pcm[1::2] - _between(even)[: len(pcm) // 2]).astype("<i2").tobytes()
+    odd = (pcm[1::2] - _between(even)[: len(pcm) // 2]).astype("<i2").tobytes()
+    values = np.unique(even)
+    if not 0 < len(values) <= 256:
+        return b"\0" + even.astype("<i2").tobytes() + odd
+    return bytes((1, len(values) - 1)) + values.astype("<i2").tobytes() + np.searchsorted(values, even).astype(np.uint8).tobytes() + odd
 
 
 def from_planes(stored: bytes) -> np.ndarray:
-    both = np.frombuffer(stored, dtype="<i2")
-    even, odd = np.split(both, [(len(both) + 1) // 2])
-    out = np.empty(len(both), dtype=np.int16)
+    if stored[0]:
+        first = 4 + 2 * stored[1]
+        n = (len(stored) - first + 2) // 3  # of even samples; the odd ones are as many or one less
+        even = np.frombuffer(stored, dtype="<i2", offset=2, count=stored[1] + 1)[np.frombuffer(stored, dtype=np.uint8, offset=first, count=n)]
+        odd = np.frombuffer(stored, dtype="<i2", offset=first + n)
+    else:
+        both = np.frombuffer(stored, dtype="<i2", offset=1)
+        even, odd = np.split(both, [(len(both) + 1) // 2])
+    out = np.empty(len(even) + len(odd), dtype=np.int16)
     out[0::2] = even
     out[1::2] = odd + _between(even)[: len(odd)]
     return out
@@ -258,6 +270,7 @@ def features(rows: DataFrame, planes: bool = False) -> DataFrame:
 
 
 def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = cut(store(read(spark, sf_dir, "documents").select("doc_id", "text")), "telephony", ZSTD_LEVEL)
-    resampled = cut(decode(stored, feature=False, planes=True), "telephony-pcm", ZSTD_LEVEL)
+    tag = F.substring("media", 21, 2)  # of the WAV's format: samples of one codec compress best side by side
+    stored = cut(store(read(spark, sf_dir, "documents").select("doc_id", "text")).sortWithinPartitions(tag), "telephony", ZSTD_LEVEL, PAGE_MB)
+    resampled = cut(decode(stored, feature=False, planes=True), "telephony-pcm", ZSTD_LEVEL, PAGE_MB)
     return features(resampled, planes=True).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.col("tail_crc32"), "media_bytes", "media_sha256", "feature")

@@ -170,6 +170,13 @@ def test_audio_codecs():
     assert len(telephony_audio.resample(x, 8000, 12000)) == 75
 
 
+def test_planes_keep_every_sample():
+    for n in (0, 1, 2, 3, 255, 1024, 1025):
+        for top in (2, 32767):
+            x = np.random.default_rng(n).integers(-top - 1, top + 1, size=n).astype(np.int16)
+            assert (telephony_audio.from_planes(telephony_audio.to_planes(x)) == x).all()
+
+
 def test_audio_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 500), (3, "é" * 500), (4, "x" * 100_000)], "doc_id long, text string").withColumns({"media": F.lit(1), "codec": F.lit(2)})
     out = telephony_audio.decode(telephony_audio.store(df)).collect()
@@ -313,8 +320,8 @@ def test_language_edges(spark):
 def test_telephony_stores_the_resampled_pcm(spark, sf, monkeypatch):
     tables = {}
 
-    def cut(df, name, level, plain=telephony_audio.cut):
-        tables[name] = plain(df, name, level)
+    def cut(df, name, level, page, plain=telephony_audio.cut):
+        tables[name] = plain(df, name, level, page)
         return tables[name]
 
     monkeypatch.setattr(telephony_audio, "cut", cut)
