@@ -12,6 +12,7 @@ from normweave.operators import artifacts, clauses, lineage, mapping, metrics, r
 from normweave.plans import corpus, oracle, pipeline
 from normweave.sources import stages
 from normweave.sources.store import scratch_path, stored
+from normweave.streaming import events
 
 AS_OF = datetime.datetime(2026, 1, 1)
 FORMATS = ("yaml", "sql")
@@ -384,6 +385,28 @@ def json_validations(spark, sf_dir):
     return _through_json(_validated(spark, sf_dir), "validations").select("trace_id", "artifact_id", "validation_status", "confidence_score", "lineage.document_id")
 
 
+@query(f"""WITH {oracle.artifacts_cte(FORMATS)}, n AS (SELECT doc_id AS key, count(DISTINCT clause_id) AS clauses, count(*) AS artifacts, count(DISTINCT section_id) AS sections FROM valid GROUP BY 1)
+SELECT 'policy.parsed' AS topic, key, clauses AS n FROM n UNION ALL SELECT 'policy.mapped', key, clauses FROM n UNION ALL SELECT 'policy.compiled', key, artifacts FROM n UNION ALL SELECT 'policy.validated', key, artifacts FROM n
+UNION ALL SELECT 'policy.ingested', doc_id, count(*) FROM sections GROUP BY 2""")
+def events_published(spark, sf_dir):
+    """Every stage's events, written and read back, with the number of items that each holds."""
+    sections, parsed = corpus.sections(spark, sf_dir), _parsed(spark, sf_dir)
+    mapped = mapping.map_clauses(parsed, corpus.registry(spark))
+    made = artifacts.compile_rules(mapped, FORMATS, carry=True)
+    judged = validation.judge(artifacts.check_syntax(made, FORMATS).withColumn("invalid_refs", F.lit(None).cast("array<string>")))
+    items = {
+        "policy.ingested": ("sections", stages.ingested(sections, structure.chunks(sections))), "policy.parsed": ("clauses", stages.parsed_out(clauses.nested(parsed), F.lit(AS_OF.isoformat()))),
+        "policy.mapped": ("clauses", events.by_document(mapped.select("doc_id", "clause_id", "mapping_status", "mapped_entities", "unmapped_entities"), F.col("doc_id"), "clauses")),
+        "policy.compiled": ("artifacts", events.by_document(made.drop("c", "m"), F.col("doc_id"), "artifacts")), "policy.validated": ("results", events.by_document(judged, F.col("lineage.document_id"), "results")),
+    }
+    path = scratch_path(spark, "events")
+    for topic, (_, objects) in items.items():
+        events.publish(events.events(objects, topic, F.lit(AS_OF)), path)
+    name = F.element_at(F.create_map(*[F.lit(x) for t, (n, _) in items.items() for x in (t, n)]), F.col("topic"))
+    size = F.json_array_length(F.when(name == "sections", F.get_json_object("value", "$.sections")).when(name == "clauses", F.get_json_object("value", "$.clauses")).when(name == "artifacts", F.get_json_object("value", "$.artifacts")).otherwise(F.get_json_object("value", "$.results")))
+    return spark.read.schema(events.EVENT).parquet(path).select("topic", "key", size.cast("long").alias("n"))
+
+
 # -- rules over data
 
 

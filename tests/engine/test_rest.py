@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from normweave.operators import artifacts, clauses, lineage, mapping, metrics, rules, validation, views
 from normweave.plans import corpus, pipeline
 from normweave.sources import files
-from normweave.streaming import validate as stream
+from normweave.streaming import events, validate as stream
 
 
 def parsed(spark, *texts):
@@ -255,6 +255,20 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(out).groupBy("format").count().collect()[0]["count"] == 3
 
 
+def test_events_are_followed_once(spark, tmp_path):
+    path, out = str(tmp_path / "events"), str(tmp_path / "out")
+    objects = events.by_document(spark.createDataFrame([("D1", "c2", 2), ("D1", "c1", 1), ("D2", "c3", None)], "doc_id string, clause_id string, n int"), F.col("doc_id"), "clauses")
+    for _ in range(2):  # published twice, followed once
+        events.publish(events.events(objects, "policy.parsed", F.lit(datetime.datetime(2026, 1, 1))), path)
+    kind = "doc_id string, clauses array<struct<doc_id:string,clause_id:string,n:int>>"
+    stream_of = events.follow(spark, path, "policy.parsed", kind)
+    stream_of.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["key"]: [c["clause_id"] for c in r["clauses"]] for r in spark.read.parquet(out).collect()}
+    assert got == {"D1": ["c1", "c2"], "D2": ["c3"]} and spark.read.parquet(out).count() == 2
+    with pytest.raises(ValueError):
+        events.events(objects, "policy.lost", F.lit(None))
+
+
 def test_top_k_in_blocks(spark):
     v = {n: [float(n % 7 + 1), float(n % 5), float(n % 3)] for n in range(60)}
     df = spark.createDataFrame(list(v.items()), "id long, embedding array<double>")
