@@ -103,13 +103,18 @@ def yaml_rule() -> Column:
     return _lines(
         *_head("#", 80), "control:", _line("  id: ", _quoted(F.col("clause_id"))), _line("  type: ", F.col("type")),
         _line("  rule: ", _quoted(F.when(banned, F.concat(F.lit("MUST NOT "), _phrase())).otherwise(_phrase()))),
-        "  actor:", _line("    entity: ", _quoted(F.col("actor"))), F.when(F.col("actor_path").isNotNull(), _line("    mapped_to: ", _quoted(F.col("actor_path")))),
-        F.when(banned, "  prohibited_action:").otherwise("  action:"), _line("    operation: ", _quoted(F.col("verb"))), F.when(banned, '    enforcement: "block"'),
-        F.when(F.col("object").isNotNull(), _line("  object:\n    entity: ", _quoted(F.col("object")))), F.when(F.col("object").isNotNull() & F.col("object_path").isNotNull(), _line("    mapped_to: ", _quoted(F.col("object_path")))),
-        F.when(F.col("trigger").isNotNull(), F.concat(F.when(banned, "  exception:\n    condition: ").otherwise("  trigger:\n    event: "), _quoted(F.col("trigger")))),
+        "  actor:", _line("    entity: ", _quoted(F.col("actor"))),
+            F.when(F.col("actor_path").isNotNull(), _line("    mapped_to: ", _quoted(F.col("actor_path")))),
+        F.when(banned, "  prohibited_action:").otherwise("  action:"), _line("    operation: ", _quoted(F.col("verb"))),
+            F.when(banned, '    enforcement: "block"'),
+        F.when(F.col("object").isNotNull(), _line("  object:\n    entity: ", _quoted(F.col("object")))),
+            F.when(F.col("object").isNotNull() & F.col("object_path").isNotNull(), _line("    mapped_to: ", _quoted(F.col("object_path")))),
+        F.when(F.col("trigger").isNotNull(), F.concat(F.when(banned, "  exception:\n    condition: ").otherwise("  trigger:\n    event: "),
+                    _quoted(F.col("trigger")))),
         F.when(~banned & F.coalesce("deadline", "frequency", "duration").isNotNull(), "  temporal_scope:"),
         *[F.when(~banned & F.col(c).isNotNull(), _line(f"    {c}: ", _quoted(F.col(c)))) for c in ("deadline", "frequency", "duration")],
-        _line("  severity: ", F.col("severity")), "  metadata:", _line("    source_document: ", _quoted(F.col("doc_id"))), _line("    confidence: ", F.col("mapping_confidence").cast("string")), f'    compiler_version: "{VERSION}"',
+        _line("  severity: ", F.col("severity")), "  metadata:", _line("    source_document: ", _quoted(F.col("doc_id"))),
+            _line("    confidence: ", F.col("mapping_confidence").cast("string")), f'    compiler_version: "{VERSION}"',
     )
 
 
@@ -117,12 +122,14 @@ def sql_rule(as_emitted: bool = False) -> Column:
     """A CHECK constraint for obligations and prohibitions, a comment for other types. as_emitted negates a
     prohibition's condition once more, so that it demands the forbidden status."""
     name = F.concat(F.lit("chk_"), F.col("rule_name"), F.when(F.col("type") == "prohibition", "_prohibit").otherwise(""))
-    condition = F.when(F.col("type") == "prohibition", F.concat(F.lit("NOT ("), F.col("check_condition"), F.lit(")"))).otherwise(F.col("check_condition")) if as_emitted else F.col("check_condition")
+    condition = F.when(F.col("type") == "prohibition", F.concat(F.lit("NOT ("), F.col("check_condition"),
+            F.lit(")"))).otherwise(F.col("check_condition")) if as_emitted else F.col("check_condition")
     binding = F.col("type").isin("obligation", "prohibition")
     return _lines(
         *_head("--"),
         F.when(binding, F.concat(F.lit("ALTER TABLE "), F.col("table_name"), F.lit(" ADD CONSTRAINT "), name, F.lit(" CHECK ("), condition, F.lit(");"))),
-        F.when(binding, F.concat(F.lit("COMMENT ON CONSTRAINT "), name, F.lit(" ON "), F.col("table_name"), F.lit(" IS "), _literal(shorten(_flat(F.col("source_text")), 200)), F.lit(";")))
+        F.when(binding, F.concat(F.lit("COMMENT ON CONSTRAINT "), name, F.lit(" ON "), F.col("table_name"), F.lit(" IS "),
+                _literal(shorten(_flat(F.col("source_text")), 200)), F.lit(";")))
         .otherwise(F.concat(F.lit("COMMENT ON TABLE "), F.col("table_name"), F.lit(" IS "), _literal(shorten(_flat(F.col("source_text")), 200)), F.lit(";"))),
     )
 
@@ -131,10 +138,15 @@ def python_rule() -> Column:
     field, wanted = F.concat(F.lower("verb"), F.lit("_status")), F.when(F.col("type") == "prohibition", "False").otherwise("True")
     other = F.when(F.col("type") == "prohibition", "True").otherwise("False")
     binding = F.col("type").isin("obligation", "prohibition")
-    case = lambda kind, status: F.concat(F.lit(f"def test_{kind}_"), F.col("rule_name"), F.lit("():\n    record = {\"id\": \""), F.lit(kind), F.lit('", "'), field, F.lit('": '), status, F.lit("}\n    assert (record[\""), field, F.lit('"] is '), wanted, F.lit(f") is {kind == 'compliant'}\n"))
+    case = lambda kind, status: F.concat(F.lit(f"def test_{kind}_"), F.col("rule_name"), F.lit("():\n    record = {\"id\": \""),
+        F.lit(kind), F.lit('", "'), field, F.lit('": '), status, F.lit("}\n    assert (record[\""), field, F.lit('"] is '), wanted,
+        F.lit(f") is {kind == 'compliant'}\n"))
     return _lines(
-        *_head("#"), _line("CLAUSE_ID = ", _quoted(F.col("clause_id"))), _line("CLAUSE_TYPE = ", _quoted(F.col("type"))), _line("SOURCE_TEXT = ", _quoted(F.col("source_text"))),
-        _line("CONFIDENCE = ", F.col("mapping_confidence").cast("string")), F.when(F.col("trigger").isNotNull(), _line("CONDITION = ", _quoted(F.col("trigger")))), F.when(F.col("deadline").isNotNull(), _line("DEADLINE = ", _quoted(F.col("deadline")))),
+        *_head("#"), _line("CLAUSE_ID = ", _quoted(F.col("clause_id"))), _line("CLAUSE_TYPE = ", _quoted(F.col("type"))),
+            _line("SOURCE_TEXT = ", _quoted(F.col("source_text"))),
+        _line("CONFIDENCE = ", F.col("mapping_confidence").cast("string")),
+            F.when(F.col("trigger").isNotNull(), _line("CONDITION = ", _quoted(F.col("trigger")))),
+            F.when(F.col("deadline").isNotNull(), _line("DEADLINE = ", _quoted(F.col("deadline")))),
         F.when(binding, F.concat(F.lit("\n\n"), case("compliant", wanted), F.lit("\n\n"), case("violating", other))),
     )
 
@@ -145,12 +157,20 @@ def _modal() -> Column:
 
 def terraform_rule() -> Column:
     kind, flag = F.col("type"), F.concat(F.lit("rc.change.after."), F.lower("verb"), F.lit("_enabled"))
-    every = lambda body: F.concat(F.lit("      all tfplan.resource_changes as _, rc {\n        rc.type is "), _quoted(F.col("resource_type")), body, F.lit("\n      }"))
+    every = lambda body: F.concat(F.lit("      all tfplan.resource_changes as _, rc {\n        rc.type is "),
+        _quoted(F.col("resource_type")), body, F.lit("\n      }"))
     return _lines(
-        *_head("#"), F.concat(F.lit('resource "sentinel_policy" '), _quoted(F.col("rule_name")), F.lit(" {")), _line("  name        = ", _quoted(F.col("clause_id"))), _line("  description = ", _quoted(F.replace(F.translate(shorten(_flat(F.col("source_text")), 200), '"{}', "'()"), F.lit("$"), F.lit("$$")))),
-        _line("  enforcement_level = ", F.when(kind == "prohibition", '"hard-mandatory"').otherwise('"soft-mandatory"')), "  policy = <<-POLICY", '    import "tfplan/v2" as tfplan', F.concat(F.lit("    # "), F.translate("actor", '"{}', "'()"), F.lit(" "), _modal(), F.lit(" "), F.col("verb")), "    main = rule {",
-        F.when(kind == "obligation", every(F.concat(F.lit(" and "), flag, F.lit(" is true")))).when(kind == "prohibition", every(F.concat(F.lit(" implies "), flag, F.lit(" is not true")))).otherwise("      true"),
-        "    }", "  POLICY", "  tags = {", _line("    clause_id  = ", _quoted(F.col("clause_id"))), _line("    type       = ", _quoted(kind)), F.concat(F.lit('    confidence = "'), F.col("mapping_confidence").cast("string"), F.lit('"')), "  }", "}",
+        *_head("#"), F.concat(F.lit('resource "sentinel_policy" '), _quoted(F.col("rule_name")), F.lit(" {")),
+            _line("  name        = ", _quoted(F.col("clause_id"))), _line("  description = ",
+                _quoted(F.replace(F.translate(shorten(_flat(F.col("source_text")), 200), '"{}', "'()"), F.lit("$"), F.lit("$$")))),
+        _line("  enforcement_level = ", F.when(kind == "prohibition", '"hard-mandatory"').otherwise('"soft-mandatory"')),
+            "  policy = <<-POLICY", '    import "tfplan/v2" as tfplan', F.concat(F.lit("    # "), F.translate("actor", '"{}', "'()"),
+                F.lit(" "), _modal(), F.lit(" "), F.col("verb")), "    main = rule {",
+        F.when(kind == "obligation", every(F.concat(F.lit(" and "), flag, F.lit(" is true")))).when(kind == "prohibition",
+                every(F.concat(F.lit(" implies "), flag, F.lit(" is not true")))).otherwise("      true"),
+        "    }", "  POLICY", "  tags = {", _line("    clause_id  = ", _quoted(F.col("clause_id"))),
+            _line("    type       = ", _quoted(kind)), F.concat(F.lit('    confidence = "'), F.col("mapping_confidence").cast("string"),
+                F.lit('"')), "  }", "}",
     )
 
 
@@ -159,14 +179,18 @@ def rego_rule() -> Column:
     actor, action = F.concat(F.lit("    input.actor == "), _quoted(F.lower("actor"))), F.concat(F.lit("    input.action == "), _quoted(F.lower("verb")))
     thing = F.when(F.col("object").isNotNull(), F.concat(F.lit("    input.object == "), _quoted(F.lower("object"))))
     met = F.when(F.col("trigger").isNotNull(), F.lit("    input.condition_met == true"))
-    message = F.concat(F.lit("    msg := "), _quoted(F.concat(F.col("clause_id"), F.lit(": "), F.col("actor"), F.lit(" "), _modal(), F.lit(" "), F.col("verb"))))
+    message = F.concat(F.lit("    msg := "), _quoted(F.concat(F.col("clause_id"), F.lit(": "), F.col("actor"), F.lit(" "), _modal(),
+                F.lit(" "), F.col("verb"))))
     block = lambda head, *body: F.concat_ws("\n", F.lit(head + " if {"), *body, F.lit("}"))
-    obligation = F.concat_ws("\n", block("allow", actor, action, thing, met), block("violation contains msg", actor, F.concat(F.lit("    not input."), F.lower("verb"), F.lit("_completed")), message))
-    prohibition = F.concat_ws("\n", block("attempted", action, thing), block("allow", actor, F.lit("    not attempted")), block("violation contains msg", actor, F.lit("    attempted"), message))
+    obligation = F.concat_ws("\n", block("allow", actor, action, thing, met),
+        block("violation contains msg", actor, F.concat(F.lit("    not input."), F.lower("verb"), F.lit("_completed")), message))
+    prohibition = F.concat_ws("\n", block("attempted", action, thing), block("allow", actor, F.lit("    not attempted")),
+        block("violation contains msg", actor, F.lit("    attempted"), message))
     return _lines(
         *_head("#"), F.concat(F.lit("package policy."), F.col("rule_name")), "import rego.v1", "default allow := false",
         F.when(kind == "obligation", obligation).when(kind == "prohibition", prohibition).otherwise(block("allow", actor)),
-        F.concat(F.lit("metadata := "), F.to_json(F.struct("clause_id", "type", F.col("mapping_confidence").alias("confidence"), shorten(F.col("source_text"), 200).alias("source_text")))),
+        F.concat(F.lit("metadata := "), F.to_json(F.struct("clause_id", "type", F.col("mapping_confidence").alias("confidence"),
+                        shorten(F.col("source_text"), 200).alias("source_text")))),
     )
 
 
@@ -201,7 +225,8 @@ TEMPLATES: dict[str, dict[str, Renderer]] = {
 }
 
 
-def compile_rules(mapped: DataFrame, formats: tuple[str, ...] = DEFAULT_FORMATS, templates: dict[str, dict[str, Renderer]] | None = None, carry: bool = False) -> DataFrame:
+def compile_rules(mapped: DataFrame, formats: tuple[str, ...] = DEFAULT_FORMATS, templates: dict[str, dict[str, Renderer]] | None = None,
+    carry: bool = False) -> DataFrame:
     """A row for each clause and format: artifact_id, clause_id, doc_id, format, content, file_path, template_used.
 
     carry: also the clause and its mappings, as structs c and m, so that a validation needs no join to find them.
@@ -227,7 +252,8 @@ def compile_rules(mapped: DataFrame, formats: tuple[str, ...] = DEFAULT_FORMATS,
     rows = rows.withColumn("__a", F.explode(F.array(*[artifact(f) for f in formats])))
     return rows.select(
         F.concat("clause_id", F.lit("_"), "__a.format").alias("artifact_id"), "clause_id", "doc_id", "__a.format", "__a.content",
-        F.concat("doc_id", F.lit("/"), "clause_id", "__a.ext").alias("file_path"), "__a.template_used", "type", "actor", "verb", "severity", "mapping_confidence",
+        F.concat("doc_id", F.lit("/"), "clause_id", "__a.ext").alias("file_path"), "__a.template_used", "type", "actor", "verb", "severity",
+            "mapping_confidence",
         *((clause_struct().alias("c"), mapping_struct().alias("m")) if carry else ()),
     )
 
@@ -271,16 +297,19 @@ def check_syntax(artifacts: DataFrame, formats: tuple[str, ...] | None = None) -
     """Add syntax_valid and warnings. Only YAML and Python contents are sent to Python; where `formats`, those that the
     artifacts have, names neither, no row is."""
     c = F.coalesce("content", F.lit(""))
-    first = F.regexp_extract(F.regexp_replace(c, r"(?m)^\s*--.*$", ""), r"(?i)^\s*(select|insert|update|delete|create|alter|drop|comment|grant|revoke|with|begin)\b", 1)
+    first = F.regexp_extract(F.regexp_replace(c, r"(?m)^\s*--.*$", ""),
+        r"(?i)^\s*(select|insert|update|delete|create|alter|drop|comment|grant|revoke|with|begin)\b", 1)
     warn = F.when(F.col("format") == "sql", F.array_compact(F.array(F.when(first == "", "statement of unknown kind")))).when(
         F.col("format") == "rego", F.array_compact(F.array(F.when(~c.contains("package "), "no package"), F.when(~c.contains("import "), "no import")))
     )
     native = (
-        F.when(F.col("format") == "sql", F.trim(c) != "").when(F.col("format") == "json", F.try_parse_json(c).isNotNull()).when(F.col("format") == "rego", F.lit(True))
+        F.when(F.col("format") == "sql", F.trim(c) != "").when(F.col("format") == "json",
+            F.try_parse_json(c).isNotNull()).when(F.col("format") == "rego", F.lit(True))
         .when(F.col("format") == "terraform", (_count(c, "{") == _count(c, "}")) & (_count(c, '"') % 2 == 0)).otherwise(F.lit(True))
     )
     by_parser = F.col("format").isin("yaml", "python")
     if formats is not None and not {"yaml", "python"} & set(formats):
         return artifacts.withColumn("warnings", F.coalesce(warn, F.array().cast("array<string>"))).withColumn("syntax_valid", native)
     parsed = _parses(F.col("format"), F.when(by_parser, c))  # other rows send a null
-    return artifacts.withColumn("warnings", F.coalesce(warn, F.array().cast("array<string>"))).withColumn("syntax_valid", F.when(by_parser, parsed).otherwise(native))
+    return artifacts.withColumn("warnings", F.coalesce(warn, F.array().cast("array<string>"))).withColumn("syntax_valid",
+        F.when(by_parser, parsed).otherwise(native))

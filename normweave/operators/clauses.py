@@ -60,7 +60,8 @@ def split_clauses(chunks: DataFrame) -> DataFrame:
     """Chunks (doc_id, section_id, chunk_id, text) to clauses, numbered from 1 in each chunk; no shuffle."""
     rows = chunks.select("doc_id", "section_id", "chunk_id", F.posexplode(clause_texts(F.col("text"))).alias("pos", "source_text"))
     number = F.col("pos") + 1
-    return rows.select("doc_id", "section_id", "chunk_id", number.alias("clause_ord"), F.format_string("%s_%s_CL%03d", "doc_id", "chunk_id", number).alias("clause_id"), "source_text")
+    return rows.select("doc_id", "section_id", "chunk_id", number.alias("clause_ord"),
+        F.format_string("%s_%s_CL%03d", "doc_id", "chunk_id", number).alias("clause_id"), "source_text")
 
 
 def clause_type(text: Column) -> Column:

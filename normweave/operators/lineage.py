@@ -17,7 +17,8 @@ def _node(kind: str, name: Column) -> Column:
 def chains(validations: DataFrame) -> DataFrame:
     """One row for each artifact with the node ids of its chain."""
     ids = {"document": "document_id", "section": "section_id", "chunk": "chunk_id", "clause": "clause_id", "artifact": "artifact_id"}
-    return validations.select(*[_node(k, F.col(f"lineage.{c}")).alias(k) for k, c in ids.items()], F.col("confidence_score").alias("confidence"), "validation_status", "format", "type")
+    return validations.select(*[_node(k, F.col(f"lineage.{c}")).alias(k) for k, c in ids.items()],
+        F.col("confidence_score").alias("confidence"), "validation_status", "format", "type")
 
 
 def nodes(validations: DataFrame, distinct: bool = True) -> DataFrame:
@@ -25,7 +26,8 @@ def nodes(validations: DataFrame, distinct: bool = True) -> DataFrame:
     c = chains(validations)
     none = F.create_map().cast("map<string,string>")
     of = lambda kind, props: F.struct(F.col(kind).alias("node_id"), F.lit(kind).alias("node_type"), props.alias("properties"))
-    every = [of("document", none), of("section", none), of("chunk", none), of("clause", F.create_map(F.lit("type"), F.col("type"))), of("artifact", F.create_map(F.lit("format"), F.col("format"), F.lit("status"), F.col("validation_status")))]
+    every = [of("document", none), of("section", none), of("chunk", none), of("clause", F.create_map(F.lit("type"), F.col("type"))),
+        of("artifact", F.create_map(F.lit("format"), F.col("format"), F.lit("status"), F.col("validation_status")))]
     rows = c.select(F.explode(F.array(*every)).alias("n")).select("n.*").where("node_id IS NOT NULL")
     shared = F.col("node_type").isin("document", "section", "chunk")
     if distinct:
@@ -36,9 +38,12 @@ def nodes(validations: DataFrame, distinct: bool = True) -> DataFrame:
 def edges(validations: DataFrame) -> DataFrame:
     """(edge_id, source_id, target_id, relationship, confidence): distinct; the last relation carries the confidence."""
     c = chains(validations)
-    of = lambda i: F.struct(F.col(LEVELS[i]).alias("source_id"), F.col(LEVELS[i + 1]).alias("target_id"), F.lit(RELATIONS[i]).alias("relationship"), (F.col("confidence") if i == 3 else F.lit(None).cast("double")).alias("confidence"))
+    of = lambda i: F.struct(F.col(LEVELS[i]).alias("source_id"), F.col(LEVELS[i + 1]).alias("target_id"),
+        F.lit(RELATIONS[i]).alias("relationship"), (F.col("confidence") if i == 3
+            else F.lit(None).cast("double")).alias("confidence"))
     rows = c.select(F.explode(F.array(*[of(i) for i in range(4)])).alias("e")).select("e.*").where("source_id IS NOT NULL AND target_id IS NOT NULL")
-    return rows.withColumn("edge_id", F.concat(F.lit("e:"), "source_id", F.lit("->"), "target_id")).dropDuplicates(["edge_id"]).select("edge_id", "source_id", "target_id", "relationship", "confidence")
+    return rows.withColumn("edge_id", F.concat(F.lit("e:"), "source_id", F.lit("->"), "target_id")).dropDuplicates(["edge_id"]).select(
+        "edge_id", "source_id", "target_id", "relationship", "confidence")
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str = "node_id", order: str | None = None) -> DataFrame:
@@ -61,8 +66,10 @@ def trace(graph_edges: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def traced(validations: DataFrame) -> DataFrame:
     """(artifact_id, clause, chunk, section, document) from the chain in each validation, broken off where a node lacks."""
-    c = validations.select("artifact_id", *[_node(k, F.col(f"lineage.{n}")).alias(k) for k, n in (("clause", "clause_id"), ("chunk", "chunk_id"), ("section", "section_id"), ("document", "document_id"))])
-    upto = lambda *names: F.when(F.coalesce(*[F.when(F.col(n).isNull(), True) for n in names], F.lit(False)), None).otherwise(F.col(names[-1])).alias(names[-1])
+    c = validations.select("artifact_id", *[_node(k, F.col(f"lineage.{n}")).alias(k) for k, n in (("clause", "clause_id"),
+                ("chunk", "chunk_id"), ("section", "section_id"), ("document", "document_id"))])
+    upto = lambda *names: F.when(F.coalesce(*[F.when(F.col(n).isNull(), True) for n in names], F.lit(False)),
+        None).otherwise(F.col(names[-1])).alias(names[-1])
     return c.select("artifact_id", upto("clause"), upto("clause", "chunk"), upto("clause", "chunk", "section"), upto("clause", "chunk", "section", "document"))
 
 
@@ -73,8 +80,10 @@ def json_lines(graph_nodes: DataFrame, graph_edges: DataFrame) -> DataFrame:
     n = graph_nodes.select("node_id", F.to_json(F.struct("node_id", "node_type", "properties"), keep).alias("line"))
     e = graph_edges.select("edge_id", F.to_json(F.struct("edge_id", "source_id", "target_id", "relationship", "confidence"), keep).alias("line"))
     first = lambda df, key: df.agg(F.min(key).alias("__first"))  # noqa: E731  one row
-    of = lambda df, key, at: df.crossJoin(first(df, key)).select(F.lit(at).alias("ord"), F.col(key).alias("id"), F.concat(F.when(F.col(key) == F.col("__first"), "").otherwise(","), "line").alias("line"))
-    frame = F.array(*[F.struct(F.lit(at).alias("ord"), F.lit("").alias("id"), F.lit(line).alias("line")) for at, line in ((0, '{"nodes":['), (2, '],"edges":['), (4, "]}"))])
+    of = lambda df, key, at: df.crossJoin(first(df, key)).select(F.lit(at).alias("ord"), F.col(key).alias("id"),
+        F.concat(F.when(F.col(key) == F.col("__first"), "").otherwise(","), "line").alias("line"))
+    frame = F.array(*[F.struct(F.lit(at).alias("ord"), F.lit("").alias("id"), F.lit(line).alias("line")) for at,
+            line in ((0, '{"nodes":['), (2, '],"edges":['), (4, "]}"))])
     return graph_nodes.sparkSession.range(1).select(F.explode(frame).alias("f")).select("f.*").unionByName(of(n, "node_id", 1)).unionByName(of(e, "edge_id", 3))
 
 
@@ -83,7 +92,12 @@ def dot_lines(graph_nodes: DataFrame, graph_edges: DataFrame) -> DataFrame:
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     shape = F.element_at(F.create_map(*[F.lit(x) for kv in _STYLE.items() for x in kv]), F.col("node_type"))
     label = F.element_at(F.split("node_id", ":"), -1)
-    n = graph_nodes.select(F.lit(1).alias("ord"), F.col("node_id").alias("id"), F.concat(F.lit("  "), quoted(F.col("node_id")), F.lit(" [label="), quoted(label), F.lit(", shape="), shape, F.lit("];")).alias("line"))
-    e = graph_edges.select(F.lit(2).alias("ord"), F.col("edge_id").alias("id"), F.concat(F.lit("  "), quoted(F.col("source_id")), F.lit(" -> "), quoted(F.col("target_id")), F.lit(" [label="), quoted(F.col("relationship")), F.lit("];")).alias("line"))
-    ends = graph_nodes.sparkSession.range(2).select(F.when(F.col("id") == 0, 0).otherwise(3).alias("ord"), F.lit("").alias("id"), F.when(F.col("id") == 0, "digraph provenance {").otherwise("}").alias("line"))
+    n = graph_nodes.select(F.lit(1).alias("ord"), F.col("node_id").alias("id"),
+        F.concat(F.lit("  "), quoted(F.col("node_id")), F.lit(" [label="), quoted(label), F.lit(", shape="), shape,
+            F.lit("];")).alias("line"))
+    e = graph_edges.select(F.lit(2).alias("ord"), F.col("edge_id").alias("id"),
+        F.concat(F.lit("  "), quoted(F.col("source_id")), F.lit(" -> "), quoted(F.col("target_id")), F.lit(" [label="),
+            quoted(F.col("relationship")), F.lit("];")).alias("line"))
+    ends = graph_nodes.sparkSession.range(2).select(F.when(F.col("id") == 0, 0).otherwise(3).alias("ord"), F.lit("").alias("id"),
+        F.when(F.col("id") == 0, "digraph provenance {").otherwise("}").alias("line"))
     return ends.unionByName(n).unionByName(e)

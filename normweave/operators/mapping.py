@@ -40,9 +40,11 @@ class Registry:
         return Registry(kept.unionByName(moved), self.synonyms, self.overrides)
 
     def with_synonym(self, term: str, synonym: str) -> Registry:
-        row = self.synonyms.agg(F.coalesce(F.max(F.when(F.col("term") == term, F.col("ord"))), F.max("ord") + 1, F.lit(0)).cast("int").alias("ord"), (F.coalesce(F.max("syn_ord"), F.lit(-1)) + 1).cast("int").alias("syn_ord"))
+        row = self.synonyms.agg(F.coalesce(F.max(F.when(F.col("term") == term, F.col("ord"))), F.max("ord") + 1,
+                F.lit(0)).cast("int").alias("ord"), (F.coalesce(F.max("syn_ord"), F.lit(-1)) + 1).cast("int").alias("syn_ord"))
         row = row.select("ord", F.lit(term).alias("term"), "syn_ord", F.lit(synonym).alias("synonym"))
-        return Registry(self.fields, self.synonyms.unionByName(row.join(self.synonyms, ["term", "synonym"], "left_anti").select(*self.synonyms.columns)), self.overrides)
+        return Registry(self.fields, self.synonyms.unionByName(row.join(self.synonyms, ["term", "synonym"],
+                    "left_anti").select(*self.synonyms.columns)), self.overrides)
 
     def with_override(self, entity: str, path: str) -> Registry:
         rest = self.overrides.where(F.col("entity_lower") != entity.lower())
@@ -77,7 +79,8 @@ def synonym_edges(synonyms: DataFrame) -> DataFrame:
     order = lambda first: F.struct(F.col("ord").alias("o"), first.alias("s"))
     of_term = s.select(F.col("term").alias("entity_lower"), F.col("synonym").alias("related"), order(F.col("syn_ord")).alias("rel_ord"))
     to_term = s.select(F.col("synonym").alias("entity_lower"), F.col("term").alias("related"), order(F.lit(-1)).alias("rel_ord"))
-    others = s.alias("a").join(s.alias("b"), F.col("a.ord") == F.col("b.ord")).select(F.col("a.synonym").alias("entity_lower"), F.col("b.synonym").alias("related"), F.struct(F.col("a.ord").alias("o"), F.col("b.syn_ord").alias("s")).alias("rel_ord"))
+    others = s.alias("a").join(s.alias("b"), F.col("a.ord") == F.col("b.ord")).select(F.col("a.synonym").alias("entity_lower"),
+        F.col("b.synonym").alias("related"), F.struct(F.col("a.ord").alias("o"), F.col("b.syn_ord").alias("s")).alias("rel_ord"))
     return of_term.unionByName(to_term).unionByName(others).groupBy("entity_lower", "related").agg(F.min("rel_ord").alias("rel_ord"))
 
 
@@ -91,7 +94,8 @@ def override_targets(registry: Registry, default_schema: str = "default") -> Dat
 def synonym_targets(registry: Registry) -> DataFrame:
     """(entity_lower, schema_id, path): the field of the first related name that is one."""
     hits = synonym_edges(registry.synonyms).join(field_keys(registry.fields), entity_key(F.col("related")) == F.col("key"))
-    return hits.groupBy("entity_lower").agg(F.min(F.struct("rel_ord", "place", "schema_id", "path")).alias("hit")).select("entity_lower", "hit.schema_id", "hit.path")
+    return hits.groupBy("entity_lower").agg(F.min(F.struct("rel_ord", "place", "schema_id", "path")).alias("hit")).select("entity_lower",
+        "hit.schema_id", "hit.path")
 
 
 def by_override(entities: DataFrame, registry: Registry, default_schema: str = "default") -> DataFrame:
@@ -109,12 +113,15 @@ def by_synonym(entities: DataFrame, registry: Registry) -> DataFrame:
 def _field_row(registry: Registry, embed) -> DataFrame:
     """All fields with their embeddings as one array in one row, in registry order."""
     text = F.concat_ws(" ", F.col("field_name"), F.array_join("labels", " "), F.nullif(F.coalesce("description", F.lit("")), F.lit("")))
-    return registry.fields.select(F.struct(_place().alias("place"), F.col("schema_id"), _path().alias("path"), embed(text).alias("e")).alias("f")).agg(F.array_sort(F.collect_list("f")).alias("__fields"))
+    return registry.fields.select(F.struct(_place().alias("place"), F.col("schema_id"), _path().alias("path"),
+            embed(text).alias("e")).alias("f")).agg(F.array_sort(F.collect_list("f")).alias("__fields"))
 
 
 def _top(entity: Column, k: int, embed) -> Column:
-    own = F.transform(F.array(embed(entity)), lambda e: F.transform("__fields", lambda f: F.struct((-F.round(cosine(e, f["e"]), 9)).alias("far"), f["place"].alias("place"), f["schema_id"].alias("schema_id"), f["path"].alias("path"))))
-    return F.transform(F.slice(F.array_sort(F.element_at(own, 1)), 1, k), lambda f: F.struct((-f["far"]).alias("similarity"), f["schema_id"].alias("schema_id"), f["path"].alias("path")))
+    own = F.transform(F.array(embed(entity)), lambda e: F.transform("__fields", lambda f: F.struct((-F.round(cosine(e, f["e"]),
+                        9)).alias("far"), f["place"].alias("place"), f["schema_id"].alias("schema_id"), f["path"].alias("path"))))
+    return F.transform(F.slice(F.array_sort(F.element_at(own, 1)), 1, k),
+        lambda f: F.struct((-f["far"]).alias("similarity"), f["schema_id"].alias("schema_id"), f["path"].alias("path")))
 
 
 def nearest(entities: DataFrame, registry: Registry, k: int = SUGGESTIONS, embed=hash_embedding) -> DataFrame:
@@ -133,16 +140,22 @@ def map_entities(entities: DataFrame, registry: Registry, threshold: float = THR
     o = override_targets(registry, default_schema).select(F.col("entity_lower").alias("__ol"), hit.alias("o"))
     x = field_keys(registry.fields).select(F.col("key").alias("__xk"), hit.alias("x"))
     s = synonym_targets(registry).select(F.col("entity_lower").alias("__sl"), hit.alias("s"))
-    rows = entities.join(o, low == F.col("__ol"), "left").join(x, entity_key(F.col("entity")) == F.col("__xk"), "left").join(s, low == F.col("__sl"), "left").crossJoin(_field_row(registry, embed))
-    rows = rows.select("entity", "o", "x", "s", F.coalesce("o", "x", "s").alias("found"), F.when(F.coalesce("o", "x", "s").isNull(), _top(F.col("entity"), SUGGESTIONS, embed)).alias("top"))
+    rows = entities.join(o, low == F.col("__ol"), "left").join(x, entity_key(F.col("entity")) == F.col("__xk"), "left").join(s,
+        low == F.col("__sl"), "left").crossJoin(_field_row(registry, embed))
+    rows = rows.select("entity", "o", "x", "s", F.coalesce("o", "x", "s").alias("found"),
+        F.when(F.coalesce("o", "x", "s").isNull(), _top(F.col("entity"), SUGGESTIONS, embed)).alias("top"))
     best = F.element_at("top", 1)
     good = F.coalesce(F.col("found").isNull() & (F.size("top") > 0) & (F.get("top", F.lit(0))["similarity"] >= threshold), F.lit(False))
     lost = F.col("found").isNull() & ~good
-    near = F.transform("top", lambda f: F.struct(F.concat(f["schema_id"], F.lit(":"), f["path"]).alias("target_path"), F.greatest(f["similarity"], F.lit(0.0)).alias("confidence")))
+    near = F.transform("top", lambda f: F.struct(F.concat(f["schema_id"], F.lit(":"), f["path"]).alias("target_path"),
+            F.greatest(f["similarity"], F.lit(0.0)).alias("confidence")))
     return rows.select(
-        "entity", F.when(good, best["path"]).otherwise(F.col("found.path")).alias("target_path"), F.when(good, best["schema_id"]).otherwise(F.col("found.schema_id")).alias("target_schema"),
-        F.when(good, F.least(F.lit(1.0), best["similarity"])).when(F.col("o").isNotNull(), OVERRIDE).when(F.col("x").isNotNull(), EXACT).when(F.col("s").isNotNull(), SYNONYM).alias("confidence"),
-        F.when(good, "semantic").when(F.col("o").isNotNull(), "manual").when(F.col("x").isNotNull(), "exact").when(F.col("s").isNotNull(), "synonym").alias("mapping_method"),
+        "entity", F.when(good, best["path"]).otherwise(F.col("found.path")).alias("target_path"),
+            F.when(good, best["schema_id"]).otherwise(F.col("found.schema_id")).alias("target_schema"),
+        F.when(good, F.least(F.lit(1.0), best["similarity"])).when(F.col("o").isNotNull(), OVERRIDE).when(F.col("x").isNotNull(),
+                EXACT).when(F.col("s").isNotNull(), SYNONYM).alias("confidence"),
+        F.when(good, "semantic").when(F.col("o").isNotNull(), "manual").when(F.col("x").isNotNull(), "exact").when(F.col("s").isNotNull(),
+                "synonym").alias("mapping_method"),
         F.when(lost, f"no field reaches similarity {threshold}").alias("reason"), F.when(lost, near).alias("suggestions"),
     )
 
@@ -184,11 +197,14 @@ def map_clauses(parsed: DataFrame, registry: Registry, threshold: float = THRESH
     lost = lambda m: m["target_path"].isNull() & (m["source_role"] != "condition_subject")
     part = lambda m, *names: F.struct(*[(m["entity"] if c == "source_entity" else m[c]).alias(c) for c in names])
     rows = rows.withColumn("__found", found).withColumns({
-        "mapped_entities": F.transform(F.filter("__found", hit), lambda m: part(m, "role_ord", "source_role", "source_entity", "target_path", "target_schema", "confidence", "mapping_method")),
+        "mapped_entities": F.transform(F.filter("__found", hit),
+                lambda m: part(m, "role_ord", "source_role", "source_entity", "target_path", "target_schema", "confidence",
+                    "mapping_method")),
         "unmapped_entities": F.transform(F.filter("__found", lost), lambda m: part(m, "role_ord", "source_role", "entity", "reason", "suggestions")),
     })
     low = F.exists("mapped_entities", lambda m: m["confidence"] < REVIEW_BELOW)
-    status = F.when((F.size("unmapped_entities") == 0) & low, "needs_review").when(F.size("unmapped_entities") == 0, "complete").when(F.size("mapped_entities") > 0, "partial").otherwise("needs_review")
+    status = F.when((F.size("unmapped_entities") == 0) & low, "needs_review").when(F.size("unmapped_entities") == 0,
+        "complete").when(F.size("mapped_entities") > 0, "partial").otherwise("needs_review")
     return rows.withColumn("mapping_status", status).drop("__found", *[f"__m{n}" for n in range(len(entity))])
 
 
@@ -196,7 +212,8 @@ def status_counts(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy("mapping_status").agg(F.count("*").alias("n"))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, embedding: str = "embedding", query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
+def top_k(queries: DataFrame, items: DataFrame, k: int, embedding: str = "embedding", query_block: int = QUERY_BLOCK,
+    item_block: int = ITEM_BLOCK) -> DataFrame:
     """(query_id, item_id, similarity, rank) of the k items nearest to each query by cosine, ties by item_id.
 
     Queries and items are cut into blocks of about query_block and item_block rows by hash, and each pair of blocks is

@@ -45,7 +45,8 @@ def running_total(rows: DataFrame, by: list[str], order: list[str], value: str,
     inside = W.partitionBy(*by, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("__inside", F.sum(value).over(inside))
     rows = rows.join(offsets, [*same(rows, offsets), rows["__part"] == offsets["__k_part"]])
-    total = F.when(F.col("__offset").isNull(), F.col("__inside")).when(F.col("__inside").isNull(), F.col("__offset")).otherwise(F.col("__offset") + F.col("__inside"))
+    total = F.when(F.col("__offset").isNull(), F.col("__inside")).when(F.col("__inside").isNull(),
+        F.col("__offset")).otherwise(F.col("__offset") + F.col("__inside"))
     return rows.withColumn(out, total).drop("__at", "__part", "__inside", "__offset", "__k_part", *[f"__k_{c}" for c in by])
 
 
@@ -65,9 +66,11 @@ def histogram_stats(events: DataFrame, by: list[str], value: str = "value", guar
     """count, sum, avg, min, max and the values at places floor(n * p) for p50, p95, p99; with guard, p95 needs 20
     values and p99 a hundred, else they are the greatest. Ranks come from counts of equal values, not from sorting
     whole groups in memory."""
-    sums = events.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("count"), F.sum(value).alias("sum"), F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"))
+    sums = events.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("count"), F.sum(value).alias("sum"),
+        F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"))
     ranked = distinct_sorted(events, by, value).join(sums.select(*by, "count"), by)
-    pick = lambda p, least: F.min(F.when(F.col("__upto") > F.when(F.col("count") >= (least if guard else 0), F.least(F.floor(F.col("count") * p), F.col("count") - 1)).otherwise(F.col("count") - 1), F.col("__v")))
+    pick = lambda p, least: F.min(F.when(F.col("__upto") > F.when(F.col("count") >= (least if guard else 0),
+                F.least(F.floor(F.col("count") * p), F.col("count") - 1)).otherwise(F.col("count") - 1), F.col("__v")))
     places = ranked.groupBy(*by).agg(pick(0.5, 0).alias("p50"), pick(0.95, 20).alias("p95"), pick(0.99, 100).alias("p99"))
     return sums.join(places, by)
 
@@ -76,7 +79,8 @@ def buckets(events: DataFrame, by: list[str], value: str = "value", bounds: tupl
     """(by, le, cumulative): one aggregation of conditional sums, then a row for each bound and +Inf."""
     columns = [F.count_if(F.col(value) <= b).alias(f"b{n}") for n, b in enumerate(bounds)]
     wide = events.groupBy(*by).agg(*columns, F.count(value).alias("all"))
-    rows = F.array(*[F.struct(F.lit(f"{b:g}").alias("le"), F.col(f"b{n}").alias("cumulative")) for n, b in enumerate(bounds)], F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("cumulative")))
+    rows = F.array(*[F.struct(F.lit(f"{b:g}").alias("le"), F.col(f"b{n}").alias("cumulative")) for n, b in enumerate(bounds)],
+        F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("cumulative")))
     return wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
 
 
@@ -96,11 +100,21 @@ def load_stats(requests: DataFrame, by: list[str], value: str = "value", failed:
 
 #: Kinds and help texts of the metrics that the engine's jobs record, by name after the prefix.
 DEFAULTS = (
-    ("requests_total", "counter", "Total number of API requests"), ("request_duration_seconds", "histogram", "Request duration in seconds"), ("request_errors_total", "counter", "Total number of request errors"),
-    ("documents_processed_total", "counter", "Total number of documents processed"), ("document_processing_duration_seconds", "histogram", "Document processing duration in seconds"), ("documents_in_progress", "gauge", "Number of documents currently being processed"),
-    ("clauses_extracted_total", "counter", "Total number of clauses extracted"), ("clauses_per_document", "histogram", "Number of clauses extracted per document"), ("artifacts_generated_total", "counter", "Total number of artifacts generated"),
-    ("compilation_duration_seconds", "histogram", "Artifact compilation duration in seconds"), ("validations_total", "counter", "Total number of validations performed"), ("validation_failures_total", "counter", "Total number of validation failures"),
-    ("llm_requests_total", "counter", "Total number of LLM API requests"), ("llm_request_duration_seconds", "histogram", "LLM API request duration in seconds"), ("llm_tokens_used_total", "counter", "Total number of LLM tokens used"), ("active_connections", "gauge", "Number of active connections"),
+    ("requests_total", "counter", "Total number of API requests"), ("request_duration_seconds", "histogram", "Request duration in seconds"),
+        ("request_errors_total", "counter", "Total number of request errors"),
+    ("documents_processed_total", "counter", "Total number of documents processed"),
+        ("document_processing_duration_seconds", "histogram", "Document processing duration in seconds"),
+        ("documents_in_progress", "gauge", "Number of documents currently being processed"),
+    ("clauses_extracted_total", "counter", "Total number of clauses extracted"),
+        ("clauses_per_document", "histogram", "Number of clauses extracted per document"),
+        ("artifacts_generated_total", "counter", "Total number of artifacts generated"),
+    ("compilation_duration_seconds", "histogram", "Artifact compilation duration in seconds"),
+        ("validations_total", "counter", "Total number of validations performed"),
+        ("validation_failures_total", "counter", "Total number of validation failures"),
+    ("llm_requests_total", "counter", "Total number of LLM API requests"),
+        ("llm_request_duration_seconds", "histogram", "LLM API request duration in seconds"),
+        ("llm_tokens_used_total", "counter", "Total number of LLM tokens used"),
+        ("active_connections", "gauge", "Number of active connections"),
 )
 
 
@@ -114,10 +128,12 @@ def observed(events: DataFrame) -> DataFrame:
     a row for each metric and its labels; counters have a total, gauges a last value, histograms statistics."""
     e = events.withColumn("label_key", label_key("labels"))
     by = ["name", "kind", "label_key"]
-    base = e.groupBy(*by).agg(F.any_value("labels").alias("labels"), F.sum("value").alias("total"), F.max_by("value", "ts").alias("last"), F.count("value").alias("count"))
+    base = e.groupBy(*by).agg(F.any_value("labels").alias("labels"), F.sum("value").alias("total"), F.max_by("value", "ts").alias("last"),
+        F.count("value").alias("count"))
     own = e.where("kind = 'histogram'")
     stats = histogram_stats(own, by).select(*by, F.struct("count", "sum", "avg", "min", "max", "p50", "p95", "p99").alias("stats"))
-    bounds = buckets(own, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("le") == "+Inf", float("inf")).otherwise(F.col("le").cast("double")).alias("bound"), "le", "cumulative"))).alias("buckets"))
+    bounds = buckets(own, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("le") == "+Inf",
+                        float("inf")).otherwise(F.col("le").cast("double")).alias("bound"), "le", "cumulative"))).alias("buckets"))
     return base.join(stats, by, "left").join(bounds, by, "left")
 
 
@@ -139,8 +155,10 @@ def prometheus(metrics: DataFrame, seen: DataFrame) -> DataFrame:
     braces = lambda inner: F.when(inner != "", F.concat(F.lit("{"), inner, F.lit("}"))).otherwise("")
     line = lambda suffix, inner, value: F.concat(F.col("name"), F.lit(suffix), braces(inner), F.lit(" "), value.cast("string"))
     with_le = lambda le: F.concat_ws(",", F.nullif(pairs, F.lit("")), F.concat(F.lit('le="'), le, F.lit('"')))
-    histogram = F.concat(F.transform("buckets", lambda b: line("_bucket", with_le(b["le"]), b["cumulative"])), F.array(line("_sum", pairs, F.col("stats.sum")), line("_count", pairs, F.col("count"))))
-    lines = F.when(F.col("kind") == "histogram", histogram).when(F.col("kind") == "gauge", F.array(line("", pairs, F.col("last")))).otherwise(F.array(line("", pairs, F.col("total"))))
+    histogram = F.concat(F.transform("buckets", lambda b: line("_bucket", with_le(b["le"]), b["cumulative"])),
+        F.array(line("_sum", pairs, F.col("stats.sum")), line("_count", pairs, F.col("count"))))
+    lines = F.when(F.col("kind") == "histogram", histogram).when(F.col("kind") == "gauge",
+        F.array(line("", pairs, F.col("last")))).otherwise(F.array(line("", pairs, F.col("total"))))
     samples = seen.select("name", "label_key", F.posexplode(lines).alias("pos", "line")).select("name", (F.col("pos") + 2).alias("ord"), "label_key", "line")
     heads = F.array(F.concat(F.lit("# HELP "), "name", F.lit(" "), "help"), F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind"))
     return metrics.select("name", F.posexplode(heads).alias("ord", "line")).select("name", "ord", F.lit("").alias("label_key"), "line").unionByName(samples)
@@ -148,8 +166,10 @@ def prometheus(metrics: DataFrame, seen: DataFrame) -> DataFrame:
 
 def metrics_json(metrics: DataFrame, seen: DataFrame) -> DataFrame:
     """(name, json): each metric as an object with its type, description and values by labels; a metric has few labels."""
-    value = F.when(F.col("kind") == "histogram", F.to_json("stats")).when(F.col("kind") == "gauge", F.col("last").cast("string")).otherwise(F.col("total").cast("string"))
+    value = F.when(F.col("kind") == "histogram", F.to_json("stats")).when(F.col("kind") == "gauge",
+        F.col("last").cast("string")).otherwise(F.col("total").cast("string"))
     values = seen.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("label_key", value.alias("value")))).alias("v"))
     entry = F.transform("v", lambda x: F.concat(F.regexp_replace(F.to_json(F.struct(x["label_key"].alias("k"))), r'^\{"k":|\}$', ""), F.lit(":"), x["value"]))
     head = F.regexp_replace(F.to_json(F.struct(F.col("kind").alias("type"), F.col("help").alias("description"))), r"\}$", "")
-    return metrics.join(values, "name", "left").select("name", F.concat(head, F.lit(',"values":{'), F.coalesce(F.array_join(entry, ","), F.lit("")), F.lit("}}")).alias("json"))
+    return metrics.join(values, "name", "left").select("name",
+        F.concat(head, F.lit(',"values":{'), F.coalesce(F.array_join(entry, ","), F.lit("")), F.lit("}}")).alias("json"))

@@ -38,20 +38,26 @@ def trigger_log(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """Audit rows as triggers would write them: an obligation that isn't met, a prohibition that is violated (always
     critical), and every event of another type. Nothing is raised in a batch."""
     hit = (
-        F.when(F.col("r_type") == "obligation", ~F.coalesce("completed", F.lit(False))).when(F.col("r_type") == "prohibition", F.coalesce("attempted", F.lit(False))).otherwise(F.lit(True))
+        F.when(F.col("r_type") == "obligation", ~F.coalesce("completed", F.lit(False))).when(F.col("r_type") == "prohibition",
+            F.coalesce("attempted", F.lit(False))).otherwise(F.lit(True))
     )
-    kind = F.when(F.col("r_type") == "obligation", "obligation_not_met").when(F.col("r_type") == "prohibition", "prohibition_violated").otherwise(F.concat("r_type", F.lit("_triggered")))
-    return joined(facts, rules).where(hit).select("entity_id", F.col("r_rule_id").alias("rule_id"), kind.alias("violation_type"), F.when(F.col("r_type") == "prohibition", "critical").otherwise(F.col("r_severity")).alias("severity"), F.col("r_type").isin("obligation", "prohibition").alias("blocking"), "ts")
+    kind = F.when(F.col("r_type") == "obligation", "obligation_not_met").when(F.col("r_type") == "prohibition",
+        "prohibition_violated").otherwise(F.concat("r_type", F.lit("_triggered")))
+    return joined(facts, rules).where(hit).select("entity_id", F.col("r_rule_id").alias("rule_id"), kind.alias("violation_type"),
+        F.when(F.col("r_type") == "prohibition", "critical").otherwise(F.col("r_severity")).alias("severity"),
+        F.col("r_type").isin("obligation", "prohibition").alias("blocking"), "ts")
 
 
 def validator_outcomes(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """Verdict of each (fact, rule): here a missing completion is a violation, unlike in a CHECK."""
     violated = (
-        F.when(F.col("r_type") == "obligation", ~F.coalesce("completed", F.lit(False))).when(F.col("r_type") == "prohibition", F.coalesce("attempted", F.lit(False)))
+        F.when(F.col("r_type") == "obligation", ~F.coalesce("completed", F.lit(False))).when(F.col("r_type") == "prohibition",
+            F.coalesce("attempted", F.lit(False)))
         .otherwise(F.coalesce(F.col("status") == "violation", F.lit(False)))
     )
     warned = (F.col("r_type") == "obligation") & F.col("r_object").isNotNull() & (F.coalesce("object", F.lit("")) == "")
-    return joined(facts, rules).select("entity_id", F.col("r_rule_id").alias("rule_id"), violated.alias("violated"), F.array_compact(F.array(F.when(warned, F.concat(F.lit("no value for "), "r_object")))).alias("warnings"))
+    return joined(facts, rules).select("entity_id", F.col("r_rule_id").alias("rule_id"), violated.alias("violated"),
+        F.array_compact(F.array(F.when(warned, F.concat(F.lit("no value for "), "r_object")))).alias("warnings"))
 
 
 def enforce(facts: DataFrame, rules: DataFrame, raise_on_violation: bool = True) -> DataFrame:
@@ -73,7 +79,8 @@ def decisions(requests: DataFrame, rules: DataFrame) -> DataFrame:
     allow = F.when(F.col("r_type") == "obligation", act & met).when(F.col("r_type") == "prohibition", ~act).otherwise(F.lit(True))
     broken = F.when(F.col("r_type") == "obligation", ~F.coalesce("completed", F.lit(False))).when(F.col("r_type") == "prohibition", act).otherwise(F.lit(False))
     found = joined(requests, rules).groupBy("entity_id").agg(F.bool_or(allow).alias("allow"), F.count_if(broken).alias("violations"))
-    return requests.select("entity_id").join(found, "entity_id", "left").select("entity_id", F.coalesce("allow", F.lit(False)).alias("allow"), F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
+    return requests.select("entity_id").join(found, "entity_id", "left").select("entity_id",
+        F.coalesce("allow", F.lit(False)).alias("allow"), F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
 
 
 def plan_verdicts(changes: DataFrame, kind: str, resource: str) -> DataFrame:
@@ -81,14 +88,16 @@ def plan_verdicts(changes: DataFrame, kind: str, resource: str) -> DataFrame:
     resource and enabled, a prohibition that none of the resource is; other types always pass."""
     own, on = F.col("resource") == resource, F.coalesce("enabled", F.lit(False))
     holds = own & on if kind == "obligation" else ~(own & on) if kind == "prohibition" else F.lit(True)
-    return changes.groupBy("plan_id").agg(F.every(holds).alias("passed")).withColumn("level", F.lit("hard-mandatory" if kind == "prohibition" else "soft-mandatory"))
+    return changes.groupBy("plan_id").agg(F.every(holds).alias("passed")).withColumn("level",
+        F.lit("hard-mandatory" if kind == "prohibition" else "soft-mandatory"))
 
 
 def fixture_pairs(rules: DataFrame) -> DataFrame:
     """A compliant and a violating fact for each rule."""
     good, banned = F.col("pair") == "compliant", F.col("type") == "prohibition"
     return rules.withColumn("pair", F.explode(F.array(F.lit("compliant"), F.lit("violating")))).select(
-        F.concat("rule_id", F.lit("_"), "pair").alias("entity_id"), "actor", "action", F.when(good, F.col("object")).alias("object"), F.when(good, "ok").otherwise("violation").alias("status"),
+        F.concat("rule_id", F.lit("_"), "pair").alias("entity_id"), "actor", "action", F.when(good, F.col("object")).alias("object"),
+            F.when(good, "ok").otherwise("violation").alias("status"),
         F.when(banned, F.lit(None)).otherwise(good).alias("completed"), (banned & ~good).alias("attempted"), good.alias("condition_met"),
     )
 
@@ -96,4 +105,6 @@ def fixture_pairs(rules: DataFrame) -> DataFrame:
 def retention(rules: DataFrame) -> DataFrame:
     """How long records of a rule are kept and who is told."""
     banned = F.col("type") == "prohibition"
-    return rules.select("rule_id", F.when(banned, 730).otherwise(365).alias("retention_days"), F.when(banned, F.array(F.lit("compliance_officer"), F.lit("legal"))).otherwise(F.array(F.lit("compliance_officer"))).alias("escalate_to"))
+    return rules.select("rule_id", F.when(banned, 730).otherwise(365).alias("retention_days"),
+        F.when(banned, F.array(F.lit("compliance_officer"),
+                F.lit("legal"))).otherwise(F.array(F.lit("compliance_officer"))).alias("escalate_to"))

@@ -52,12 +52,15 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     above = F.aggregate(F.transform("__parts", level), none, step, lambda a: a["parents"])
     rows = docs.select("doc_id", "doc_key", text.alias("__text"), parts.alias("__parts"))
     found = F.transform("__parts", lambda p, i: F.struct(
-        level(p).alias("level"), strip(F.regexp_extract(p, r"\A#{1,6}[ \t]+([^\n]*)", 1)).alias("title"), strip(F.regexp_replace(p, r"\A[^\n]*\n?", "")).alias("body"), F.get(F.col("__above"), i).alias("parent"),
+        level(p).alias("level"), strip(F.regexp_extract(p, r"\A#{1,6}[ \t]+([^\n]*)", 1)).alias("title"),
+            strip(F.regexp_replace(p, r"\A[^\n]*\n?", "")).alias("body"), F.get(F.col("__above"), i).alias("parent"),
     ))
     whole = F.array(F.struct(F.lit(1).alias("level"), F.lit(DEFAULT_TITLE).alias("title"), strip(F.col("__text")).alias("body"), F.lit(0).alias("parent")))
-    rows = rows.withColumn("__above", above).select("doc_id", "doc_key", F.posexplode(F.when(F.size("__parts") > 0, found).when(strip(F.col("__text")) != "", whole)).alias("pos", "s"))
+    rows = rows.withColumn("__above", above).select("doc_id", "doc_key",
+        F.posexplode(F.when(F.size("__parts") > 0, found).when(strip(F.col("__text")) != "", whole)).alias("pos", "s"))
     return rows.select(
-        "doc_id", section_id(F.col("doc_key"), F.col("pos") + 1).alias("section_id"), (F.col("pos") + 1).alias("section_ord"), F.col("s.title").alias("section_title"), F.col("s.level").alias("hierarchy_level"),
+        "doc_id", section_id(F.col("doc_key"), F.col("pos") + 1).alias("section_id"), (F.col("pos") + 1).alias("section_ord"),
+            F.col("s.title").alias("section_title"), F.col("s.level").alias("hierarchy_level"),
         F.when(F.col("s.parent") > 0, section_id(F.col("doc_key"), F.col("s.parent"))).alias("parent_section"), F.col("s.body").alias("text"),
     )
 
@@ -73,7 +76,8 @@ def unescape_html(text: Column) -> Column:
 
     def part(p: Column) -> Column:  # what follows an ampersand
         name, rest = F.regexp_extract(p, r"(?s)^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|\w{1,31});", 1), F.regexp_replace(p, r"(?s)^[^;]*;", "")
-        digits = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).when(name.startswith("#"), F.substring(name, F.lit(2), F.length(name))).cast("long")
+        digits = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).when(
+            name.startswith("#"), F.substring(name, F.lit(2), F.length(name))).cast("long")
         usable = digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
         numeric = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32"))
         char = F.coalesce(numeric, F.element_at(names, name))
@@ -103,7 +107,8 @@ def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html", ke
     rows = pages.select(key, *keep, clean.alias("__clean")).select(key, *keep, "__clean", found.alias("__found"))
     blank = plain_html(F.col("__clean")) == ""
     rows = rows.select(key, *keep, F.posexplode(F.when(F.size("__found") > 0, F.col("__found")).when(~blank, whole)).alias("pos", "s"))
-    return rows.select(key, *keep, (F.col("pos") + 1).alias("section_ord"), plain_html(F.col("s.title")).alias("section_title"), F.col("s.level").cast("int").alias("hierarchy_level"), plain_html(F.col("s.body")).alias("text"))
+    return rows.select(key, *keep, (F.col("pos") + 1).alias("section_ord"), plain_html(F.col("s.title")).alias("section_title"),
+        F.col("s.level").cast("int").alias("hierarchy_level"), plain_html(F.col("s.body")).alias("text"))
 
 
 def chunk_texts(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
@@ -130,7 +135,8 @@ def chunk_texts(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
         overlap = F.when(token_count(last) <= sizes.overlap, last).otherwise(F.right(last, F.lit(4 * sizes.overlap)))
         cut = state(flushed(a), F.array(overlap, p), token_count(overlap) + n)
         longer = state(a["done"], F.concat(a["held"], F.array(p)), a["tokens"] + n)
-        return F.when(n > sizes.most, by_sentence).when((a["tokens"] + n > sizes.target) & (a["tokens"] >= sizes.least) & (F.size(a["held"]) > 0), cut).otherwise(longer)
+        return F.when(n > sizes.most, by_sentence).when((a["tokens"] + n > sizes.target) & (a["tokens"] >= sizes.least)
+            & (F.size(a["held"]) > 0), cut).otherwise(longer)
 
     return F.aggregate(paragraphs(text), state(none, none, F.lit(0)).cast(kind), step, flushed)
 
@@ -138,7 +144,8 @@ def chunk_texts(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
 def chunks(sections: DataFrame, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
     """(doc_id, section_id, text) to (doc_id, section_id, chunk_id, chunk_ord, text, token_count); no shuffle."""
     rows = sections.select("doc_id", "section_id", F.posexplode(chunk_texts(F.col("text"), sizes)).alias("chunk_ord", "text"))
-    return rows.select("doc_id", "section_id", F.format_string("%s_C%03d", "section_id", "chunk_ord").alias("chunk_id"), "chunk_ord", "text", token_count(F.col("text")).alias("token_count"))
+    return rows.select("doc_id", "section_id", F.format_string("%s_C%03d", "section_id", "chunk_ord").alias("chunk_id"), "chunk_ord",
+        "text", token_count(F.col("text")).alias("token_count"))
 
 
 def first_of_equal(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:

@@ -43,9 +43,12 @@ def unknown_references(clauses: DataFrame) -> DataFrame:
 
 def judge(rows: DataFrame, require_complete_chain: bool = True) -> DataFrame:
     """Checks, flags and status of artifacts with their clause (c), mappings (m) and invalid_refs beside them."""
-    missing = F.array_compact(F.array(_present(F.col("c").isNotNull(), "parsed_clause"), _present(F.col("m").isNotNull(), "mapped_clause"), _present(F.col("artifact_id").isNotNull(), "artifact")))
-    lacking = F.array_compact(F.array(_present(F.col("c").isNull() | (F.col("c.source_text") != ""), "source_text"), _present(F.col("content") != "", "content")))
-    rows = rows.withColumn("missing", F.when(F.size(missing) > 0, missing).otherwise(lacking)).withColumn("trace", trace_confidence(F.col("c.confidence"), F.col("m.confidences")))
+    missing = F.array_compact(F.array(_present(F.col("c").isNotNull(), "parsed_clause"), _present(F.col("m").isNotNull(), "mapped_clause"),
+            _present(F.col("artifact_id").isNotNull(), "artifact")))
+    lacking = F.array_compact(F.array(_present(F.col("c").isNull() | (F.col("c.source_text") != ""), "source_text"),
+            _present(F.col("content") != "", "content")))
+    rows = rows.withColumn("missing", F.when(F.size(missing) > 0, missing).otherwise(lacking)).withColumn("trace",
+        trace_confidence(F.col("c.confidence"), F.col("m.confidences")))
     low = F.lower("content")
     hits = sum((F.coalesce((F.col(f"c.{n}") != "") & low.contains(F.lower(f"c.{n}")), F.lit(False)).cast("int") for n in ("type", "actor", "verb")), F.lit(0))
     rows = rows.withColumn("hits", hits)
@@ -54,7 +57,8 @@ def judge(rows: DataFrame, require_complete_chain: bool = True) -> DataFrame:
     check = lambda n, passed, message: F.struct(F.lit(CHECKS[n]).alias("check_name"), passed.alias("passed"), message.alias("message"))
     checks = F.array(
         check(0, chain, F.when(chain, "all stages present").otherwise(F.concat(F.lit("missing: "), F.array_join("missing", ", ")))),
-        check(1, syntax, F.when(syntax & (F.size("warnings") > 0), F.format_string("valid with %d warning(s)", F.size("warnings"))).when(syntax, "valid").otherwise("syntax error")),
+        check(1, syntax, F.when(syntax & (F.size("warnings") > 0), F.format_string("valid with %d warning(s)",
+                        F.size("warnings"))).when(syntax, "valid").otherwise("syntax error")),
         check(2, confident, F.format_string("confidence %.2f, threshold %.2f", F.col("trace"), F.lit(PASS_AT))),
         check(3, aligned, F.format_string("%d of 3 key terms found", F.col("hits"))),
         check(4, referred, F.when(referred, "references resolve").otherwise(F.concat(F.lit("unknown: "), F.array_join("invalid_refs", ", ")))),
@@ -68,9 +72,12 @@ def judge(rows: DataFrame, require_complete_chain: bool = True) -> DataFrame:
     rows = rows.withColumn("validation_checks", checks).withColumn("review_flags", flags)
     status = F.when((F.col("trace") < FAIL_BELOW) | critical, "failed").when(F.size("review_flags") > 0, "needs_review").otherwise("passed")
     return rows.select(
-        F.concat(F.lit("TRC_"), hash_suffix(F.col("artifact_id"), 8)).alias("trace_id"), "clause_id", "artifact_id", "format", F.col("c.type").alias("type"), status.alias("validation_status"),
+        F.concat(F.lit("TRC_"), hash_suffix(F.col("artifact_id"), 8)).alias("trace_id"), "clause_id", "artifact_id", "format",
+            F.col("c.type").alias("type"), status.alias("validation_status"),
         F.round("trace", 3).alias("confidence_score"), "validation_checks", "review_flags",
-        F.struct(F.coalesce("c.doc_id", "doc_id").alias("document_id"), F.col("c.section_id").alias("section_id"), F.col("c.chunk_id").alias("chunk_id"), F.col("clause_id"), F.concat(F.lit("map_"), F.col("clause_id")).alias("mapping_id"), F.col("artifact_id"), lineage_section(F.col("clause_id")).alias("lineage_section_id_compat")).alias("lineage"),
+        F.struct(F.coalesce("c.doc_id", "doc_id").alias("document_id"), F.col("c.section_id").alias("section_id"),
+                F.col("c.chunk_id").alias("chunk_id"), F.col("clause_id"), F.concat(F.lit("map_"), F.col("clause_id")).alias("mapping_id"),
+                F.col("artifact_id"), lineage_section(F.col("clause_id")).alias("lineage_section_id_compat")).alias("lineage"),
     )
 
 

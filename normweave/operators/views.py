@@ -20,8 +20,11 @@ def document_summary(documents: DataFrame, clauses: DataFrame, artifacts: DataFr
     before they are joined, so the join doesn't fan out."""
     per_clause = artifacts.groupBy("clause_id").agg(F.count_distinct("artifact_id").alias("n"))
     rows = clauses.join(per_clause, "clause_id", "left").withColumn("w", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)))
-    per_doc = rows.groupBy("doc_id").agg(F.count_distinct("clause_id").alias("clause_count"), F.sum(F.coalesce("n", F.lit(0))).alias("artifact_count"), (F.sum(F.col("confidence") * F.col("w")) / F.sum("w")).alias("avg_confidence"), F.avg("confidence").alias("avg_clause_confidence"))
-    return documents.join(per_doc, "doc_id", "left").select(*documents.columns, F.coalesce("clause_count", F.lit(0)).alias("clause_count"), F.coalesce("artifact_count", F.lit(0)).alias("artifact_count"), "avg_confidence", "avg_clause_confidence")
+    per_doc = rows.groupBy("doc_id").agg(F.count_distinct("clause_id").alias("clause_count"),
+        F.sum(F.coalesce("n", F.lit(0))).alias("artifact_count"),
+        (F.sum(F.col("confidence") * F.col("w")) / F.sum("w")).alias("avg_confidence"), F.avg("confidence").alias("avg_clause_confidence"))
+    return documents.join(per_doc, "doc_id", "left").select(*documents.columns, F.coalesce("clause_count", F.lit(0)).alias("clause_count"),
+        F.coalesce("artifact_count", F.lit(0)).alias("artifact_count"), "avg_confidence", "avg_clause_confidence")
 
 
 def validation_summary(validations: DataFrame) -> DataFrame:
@@ -36,7 +39,9 @@ def unresolved(audit: DataFrame, as_of: Column) -> DataFrame:
 
 def violation_summary(audit: DataFrame) -> DataFrame:
     return audit.groupBy("violation_type", "table_name", "severity").agg(
-        F.count("*").alias("total"), F.count_if("resolved").alias("resolved_count"), F.count_if(~F.col("resolved")).alias("unresolved_count"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at")
+        F.count("*").alias("total"), F.count_if("resolved").alias("resolved_count"),
+            F.count_if(~F.col("resolved")).alias("unresolved_count"), F.min("occurred_at").alias("first_at"),
+            F.max("occurred_at").alias("last_at")
     )
 
 
@@ -77,7 +82,8 @@ def version_diff(old: DataFrame, new: DataFrame, key: str = "clause_id", text: s
     """(key, change): added, removed, changed or same, on text without regard to case and spacing."""
     plain = lambda df, name: df.select(key, F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))).alias(name))
     both = plain(old, "__old").join(plain(new, "__new"), key, "full")
-    return both.select(key, F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("__old") == F.col("__new"), "same").otherwise("changed").alias("change"))
+    return both.select(key, F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(),
+            "removed").when(F.col("__old") == F.col("__new"), "same").otherwise("changed").alias("change"))
 
 
 def list_documents(documents: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:

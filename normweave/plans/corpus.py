@@ -10,14 +10,18 @@ from normweave.operators.mapping import Registry
 #: (level, title, body); {actor} and {n} stand for the customer's desk and number.
 SECTIONS = (
     (1, "Account Care Policy", "This policy sets out the duties of every desk. {actor} must verify client identity within 30 days."),
-    (2, "Identity & Onboarding", "Client must provide proof of address before activation. {actor} shall maintain identity records for 5 years. When a payment exceeds $10,000, staff must report the transaction daily."),
-    (3, "Exceptions: Low Risk", "Desk number {n} follows the same scheme. Reviews are required unless the account holder is dormant. Staff may not waive checks."),
+    (2, "Identity & Onboarding",
+            "Client must provide proof of address before activation. {actor} shall maintain identity records for 5 years. When a payment exceeds $10,000, staff must report the transaction daily."),
+    (3, "Exceptions: Low Risk",
+            "Desk number {n} follows the same scheme. Reviews are required unless the account holder is dormant. Staff may not waive checks."),
     (2, "Data Handling", "{actor} must not share client data. Employee shall not copy log entries. Export of files is prohibited."),
-    (2, "Access (Levels)", "Personnel may request access quarterly. Remote access is permitted for at least 12 months. A reviewer is the person named in section 2."),
+    (2, "Access (Levels)",
+            "Personnel may request access quarterly. Remote access is permitted for at least 12 months. A reviewer is the person named in section 2."),
     (3, "Terms", "Wire means a remittance of any value. Dormant is defined as without activity for 2 years."),
     (2, "Reserved", ""),
     (2, "Retention", "Record must ensure retention period, as section 14 says. Backups run weekly. The vault is old. {actor} must submit annual report by end of march."),
-    (1, "Closing Notes", "If a request fails, the clerk logs it. Where duties clash, the stricter rule applies. Notification requires care. Nothing else applies here."),
+    (1, "Closing Notes",
+            "If a request fails, the clerk logs it. Where duties clash, the stricter rule applies. Notification requires care. Nothing else applies here."),
     (2, "Plain Words", "All desks keep calm. Nothing binds them."),
     (3, "Night Desk", "Quiet house must submit statement monthly. Quiet house shall not copy record."),
     (4, "Reporting", "The following paragraph concerns every statement that leaves the house on paper or by wire and nothing else. Bank must provide statement annually. Bank and client shall confirm amount monthly."),
@@ -37,12 +41,14 @@ FIELDS = (
     ("archive", "ledger", "retention_period", "INTERVAL", ("retention",), "how long a record stays"),
 )
 #: (term, synonyms)
-SYNONYMS = (("client", ("account holder", "depositor")), ("employee", ("personnel", "clerk")), ("record", ("log", "log entries", "file")), ("payment", ("transaction", "the transaction", "remittance")))
+SYNONYMS = (("client", ("account holder", "depositor")), ("employee", ("personnel", "clerk")), ("record", ("log", "log entries", "file")),
+    ("payment", ("transaction", "the transaction", "remittance")))
 OVERRIDES = (("bank", "org:house.bank_id"), ("reviews", "people.review"))
 
 
 def _quoted(x) -> str:
-    return "NULL" if x is None else f"'{x.replace(chr(39), chr(39) * 2)}'" if isinstance(x, str) else f"[{', '.join(map(_quoted, x))}]" if isinstance(x, tuple) else str(x)
+    return "NULL" if x is None else f"'{x.replace(chr(39), chr(39) * 2)}'" if isinstance(x,
+        str) else f"[{', '.join(map(_quoted, x))}]" if isinstance(x, tuple) else str(x)
 
 
 def values(rows) -> str:
@@ -57,8 +63,10 @@ def registry(spark: SparkSession) -> Registry:
     for s, t, name, kind, labels, text in FIELDS:
         n = place[s, t] = place.get((s, t), -1) + 1
         rows.append((schemas.index(s), tables[s].index(t), n, s, t, name, kind, list(labels), text))
-    fields = spark.createDataFrame(rows, "schema_ord int, table_ord int, field_ord int, schema_id string, table_name string, field_name string, field_type string, labels array<string>, description string")
-    synonyms = spark.createDataFrame([(i, t, j, s) for i, (t, all_) in enumerate(SYNONYMS) for j, s in enumerate(all_)], "ord int, term string, syn_ord int, synonym string")
+    fields = spark.createDataFrame(rows,
+        "schema_ord int, table_ord int, field_ord int, schema_id string, table_name string, field_name string, field_type string, labels array<string>, description string")
+    synonyms = spark.createDataFrame([(i, t, j, s) for i, (t, all_) in enumerate(SYNONYMS) for j, s in enumerate(all_)],
+        "ord int, term string, syn_ord int, synonym string")
     return Registry(fields, synonyms, spark.createDataFrame(list(OVERRIDES), "entity_lower string, target_path string"))
 
 

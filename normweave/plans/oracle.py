@@ -113,24 +113,32 @@ CONTENTS = {
         *_head("#", 80), "'control:'", f"'  id: ' || {_q('clause_id')}", "'  type: ' || type",
         f"""'  rule: ' || {_q("(CASE WHEN banned THEN 'MUST NOT ' ELSE '' END || concat_ws(' ', verb, object))")}""",
         "'  actor:'", f"'    entity: ' || {_q('actor')}", _if("actor_path IS NOT NULL", f"'    mapped_to: ' || {_q('actor_path')}"),
-        "CASE WHEN banned THEN '  prohibited_action:' ELSE '  action:' END", f"'    operation: ' || {_q('verb')}", _if("banned", """'    enforcement: "block"'"""),
-        _if("object IS NOT NULL", f"'  object:' || chr(10) || '    entity: ' || {_q('object')}"), _if("object IS NOT NULL AND object_path IS NOT NULL", f"'    mapped_to: ' || {_q('object_path')}"),
-        _if("trigger IS NOT NULL", f"CASE WHEN banned THEN '  exception:' || chr(10) || '    condition: ' ELSE '  trigger:' || chr(10) || '    event: ' END || {_q('trigger')}"),
-        _if(f"NOT banned AND coalesce({', '.join(_times)}) IS NOT NULL", "'  temporal_scope:'"), *[_if(f"NOT banned AND {c} IS NOT NULL", f"'    {c}: ' || {_q(c)}") for c in _times],
-        "'  severity: ' || severity", "'  metadata:'", f"'    source_document: ' || {_q('doc_id')}", "'    confidence: ' || mapping_confidence::VARCHAR", """'    compiler_version: "1.0.0"'""",
+        "CASE WHEN banned THEN '  prohibited_action:' ELSE '  action:' END", f"'    operation: ' || {_q('verb')}",
+            _if("banned", """'    enforcement: "block"'"""),
+        _if("object IS NOT NULL", f"'  object:' || chr(10) || '    entity: ' || {_q('object')}"),
+            _if("object IS NOT NULL AND object_path IS NOT NULL", f"'    mapped_to: ' || {_q('object_path')}"),
+        _if("trigger IS NOT NULL",
+                f"CASE WHEN banned THEN '  exception:' || chr(10) || '    condition: ' ELSE '  trigger:' || chr(10) || '    event: ' END || {_q('trigger')}"),
+        _if(f"NOT banned AND coalesce({', '.join(_times)}) IS NOT NULL", "'  temporal_scope:'"),
+            *[_if(f"NOT banned AND {c} IS NOT NULL", f"'    {c}: ' || {_q(c)}") for c in _times],
+        "'  severity: ' || severity", "'  metadata:'", f"'    source_document: ' || {_q('doc_id')}",
+            "'    confidence: ' || mapping_confidence::VARCHAR", """'    compiler_version: "1.0.0"'""",
     ),
     "python": _lines(
-        *_head("#", 70), f"'CLAUSE_ID = ' || {_q('clause_id')}", f"'CLAUSE_TYPE = ' || {_q('type')}", f"'SOURCE_TEXT = ' || {_q('source_text')}", "'CONFIDENCE = ' || mapping_confidence::VARCHAR",
+        *_head("#", 70), f"'CLAUSE_ID = ' || {_q('clause_id')}", f"'CLAUSE_TYPE = ' || {_q('type')}",
+            f"'SOURCE_TEXT = ' || {_q('source_text')}", "'CONFIDENCE = ' || mapping_confidence::VARCHAR",
         _if("trigger IS NOT NULL", f"'CONDITION = ' || {_q('trigger')}"), _if("deadline IS NOT NULL", f"'DEADLINE = ' || {_q('deadline')}"),
         _if("type IN ('obligation', 'prohibition')", f"chr(10) || chr(10) || {_case('compliant')} || chr(10) || chr(10) || {_case('violating')}"),
     ),
     "terraform": _lines(
         *_head("#", 70), f"""'resource "sentinel_policy" ' || {_q('rule')} || ' {{'""", f"'  name        = ' || {_q('clause_id')}",
         f"""'  description = ' || {_q(f"replace({_calm('(' + _cut('source_text', 200) + ')')}, '$', '$$')")}""",
-        """'  enforcement_level = ' || CASE WHEN banned THEN '"hard-mandatory"' ELSE '"soft-mandatory"' END""", "'  policy = <<-POLICY'", """'    import "tfplan/v2" as tfplan'""",
+        """'  enforcement_level = ' || CASE WHEN banned THEN '"hard-mandatory"' ELSE '"soft-mandatory"' END""", "'  policy = <<-POLICY'",
+            """'    import "tfplan/v2" as tfplan'""",
         f"'    # ' || {_calm('actor')} || ' ' || modal || ' ' || verb", "'    main = rule {'",
         f"""CASE type WHEN 'obligation' THEN {_every("' and rc.change.after.' || lower(verb) || '_enabled is true'")} WHEN 'prohibition' THEN {_every("' implies rc.change.after.' || lower(verb) || '_enabled is not true'")} ELSE '      true' END""",
-        "'    }'", "'  POLICY'", "'  tags = {'", f"'    clause_id  = ' || {_q('clause_id')}", f"'    type       = ' || {_q('type')}", """'    confidence = "' || mapping_confidence::VARCHAR || '"'""", "'  }'", "'}'",
+        "'    }'", "'  POLICY'", "'  tags = {'", f"'    clause_id  = ' || {_q('clause_id')}", f"'    type       = ' || {_q('type')}",
+            """'    confidence = "' || mapping_confidence::VARCHAR || '"'""", "'  }'", "'}'",
     ),
     "rego": _lines(
         *_head("#", 70), "'package policy.' || rule", "'import rego.v1'", "'default allow := false'",
@@ -143,7 +151,8 @@ CONTENTS = {
 
 def rendered(name: str) -> str:
     """Contents of all artifacts of one format."""
-    resource = "CASE " + " ".join(f"WHEN contains(lower(actor), '{a}') OR contains(lower(actor), '{b}') THEN '{kind}'" for kind, (a, b) in RESOURCES) + f" ELSE '{FALLBACK_RESOURCE}' END"
+    resource = "CASE " + " ".join(f"WHEN contains(lower(actor), '{a}') OR contains(lower(actor), '{b}') THEN '{kind}'" for kind,
+        (a, b) in RESOURCES) + f" ELSE '{FALLBACK_RESOURCE}' END"
     return f"""WITH {MAPPED_CTE}, shown AS (SELECT * REPLACE (nullif(object, '') AS object), type = 'prohibition' AS banned, lower(replace(replace(clause_id, '-', '_'), '.', '_')) AS rule, lower(verb) || '_status' AS status,
   CASE type WHEN 'prohibition' THEN 'critical' WHEN 'obligation' THEN 'high' ELSE 'medium' END AS severity, CASE type WHEN 'obligation' THEN 'must' WHEN 'prohibition' THEN 'must not' ELSE 'may' END AS modal, {resource} AS resource FROM mapped)
 SELECT clause_id || '_{name}' AS artifact_id, {CONTENTS[name]} AS content FROM shown"""

@@ -146,7 +146,8 @@ def clauses_filtered(spark, sf_dir):
 
 @query(f"WITH {oracle.PARSED_CTE} SELECT clause_id, deadline, duration, frequency FROM parsed WHERE coalesce(deadline, duration, frequency) IS NOT NULL")
 def clause_temporal(spark, sf_dir):
-    return clauses.nested(corpus.parsed(spark, sf_dir)).where("temporal_scope IS NOT NULL").select("clause_id", "temporal_scope.deadline", "temporal_scope.duration", "temporal_scope.frequency")
+    return clauses.nested(corpus.parsed(spark, sf_dir)).where("temporal_scope IS NOT NULL").select("clause_id", "temporal_scope.deadline",
+        "temporal_scope.duration", "temporal_scope.frequency")
 
 
 @query(r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents)
@@ -162,7 +163,8 @@ def crossref_integrity(spark, sf_dir):
     parsed = corpus.parsed(spark, sf_dir).withColumn("ref", F.explode(clauses.cross_references(F.col("source_text"))))
     known = corpus.sections(spark, sf_dir).select("section_id", F.lit(True).alias("__known"))
     target = F.concat("doc_id", F.lit("_S"), F.lpad("ref", 3, "0"))
-    return parsed.select("clause_id", "ref", target.alias("section_id")).join(known, "section_id", "left").select("clause_id", "ref", F.coalesce("__known", F.lit(False)).alias("known"))
+    return parsed.select("clause_id", "ref", target.alias("section_id")).join(known, "section_id", "left").select("clause_id", "ref",
+        F.coalesce("__known", F.lit(False)).alias("known"))
 
 
 # -- mapping
@@ -191,12 +193,14 @@ def map_synonym(spark, sf_dir):
 def hash_embedding_cosine(spark, sf_dir):
     reg = corpus.registry(spark)
     rest = mapping.map_entities(_entities(spark, sf_dir), reg).where("mapping_method IS NULL OR mapping_method = 'semantic'").select("entity")
-    return mapping.nearest(rest, reg).select("entity", F.posexplode("top").alias("pos", "t")).select("entity", (F.col("pos") + 1).alias("place"), "t.schema_id", "t.path", "t.similarity")
+    return mapping.nearest(rest, reg).select("entity", F.posexplode("top").alias("pos", "t")).select("entity",
+        (F.col("pos") + 1).alias("place"), "t.schema_id", "t.path", "t.similarity")
 
 
 @query(f"WITH {oracle.MAPPED_CTE} SELECT clause_id, source_role, entity, target_path, target_schema, confidence::DOUBLE AS confidence, mapping_method FROM mention JOIN hit USING (entity)")
 def map_cascade(spark, sf_dir):
-    return mapping.map_mentions(mapping.mentions(corpus.parsed(spark, sf_dir)), corpus.registry(spark)).select("clause_id", "source_role", "entity", "target_path", "target_schema", "confidence", "mapping_method")
+    return mapping.map_mentions(mapping.mentions(corpus.parsed(spark, sf_dir)), corpus.registry(spark)).select("clause_id", "source_role",
+        "entity", "target_path", "target_schema", "confidence", "mapping_method")
 
 
 @query(f"WITH {oracle.MAPPED_CTE} SELECT mapping_status, count(*) AS n FROM mapped GROUP BY 1")
@@ -208,7 +212,8 @@ def mapping_status(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM s) SELECT query_id, item_id, similarity, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
 def embedding_topk(spark, sf_dir):
     v = _read(spark, sf_dir, "embeddings")
-    top = mapping.top_k(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("item_id"), "embedding"), 3)
+    top = mapping.top_k(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"),
+        v.select(F.col("vec_id").alias("item_id"), "embedding"), 3)
     return top.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -232,7 +237,9 @@ def artifact_matrix(spark, sf_dir):
 def render_json(spark, sf_dir):
     kind = "type string, rule_id string, confidence double, actor struct<entity:string,mapped_to:string>, action struct<enforcement:string>, object struct<entity:string,mapped_to:string>"
     r = _rules(spark, sf_dir, ("json",)).select(F.from_json("content", kind).alias("r")).select("r.*")
-    return r.select(F.col("rule_id").alias("clause_id"), "type", F.col("actor.entity").alias("actor"), F.col("actor.mapped_to").alias("actor_path"), F.col("object.entity").alias("object"), F.col("object.mapped_to").alias("object_path"), F.col("action.enforcement").alias("enforcement"), "confidence")
+    return r.select(F.col("rule_id").alias("clause_id"), "type", F.col("actor.entity").alias("actor"),
+        F.col("actor.mapped_to").alias("actor_path"), F.col("object.entity").alias("object"),
+        F.col("object.mapped_to").alias("object_path"), F.col("action.enforcement").alias("enforcement"), "confidence")
 
 
 @query(f"""WITH {oracle.MAPPED_CTE}, n AS (SELECT *, coalesce(nullif(regexp_extract(actor_path, '^([^.]*)\\.', 1), ''), nullif(regexp_extract(object_path, '^([^.]*)\\.', 1), ''), 'compliance_table') AS tbl, lower(replace(replace(clause_id, '-', '_'), '.', '_')) AS rule,
@@ -262,8 +269,10 @@ def artifact_syntax(spark, sf_dir):
     """Each second clause's artifacts are spoilt before they are checked."""
     spoilt = {"yaml": "a: [1", "python": "def f(:", "json": "{", "terraform": "a {", "sql": "  ", "rego": "x"}
     bad = F.element_at(F.create_map(*[F.lit(x) for kv in spoilt.items() for x in kv]), F.col("format"))
-    rows = _rules(spark, sf_dir, tuple(artifacts.EXTENSIONS)).withColumn("content", F.when(F.col("clause_id").endswith("CL002"), bad).otherwise(F.col("content")))
-    return artifacts.check_syntax(rows).groupBy("format").agg(F.count("*").alias("n"), F.count_if("syntax_valid").alias("n_valid"), F.count_if(F.size("warnings") > 0).alias("n_warned"))
+    rows = _rules(spark, sf_dir, tuple(artifacts.EXTENSIONS)).withColumn("content",
+        F.when(F.col("clause_id").endswith("CL002"), bad).otherwise(F.col("content")))
+    return artifacts.check_syntax(rows).groupBy("format").agg(F.count("*").alias("n"), F.count_if("syntax_valid").alias("n_valid"),
+        F.count_if(F.size("warnings") > 0).alias("n_warned"))
 
 
 # -- validation and lineage
@@ -272,7 +281,8 @@ def artifact_syntax(spark, sf_dir):
 @query(f"""WITH {oracle.artifacts_cte(FORMATS)} SELECT trace_id, artifact_id, validation_status, confidence_score, trace >= 0.85 AS confident, concat_ws(',', CASE WHEN trace < 0.7 THEN 'low_confidence' WHEN trace < 0.85 THEN 'below_threshold' END, CASE WHEN drift THEN 'semantic_drift' END) AS flags FROM valid""")
 def validation_checks(spark, sf_dir):
     v = _validated(spark, sf_dir)
-    return v.select("trace_id", "artifact_id", "validation_status", "confidence_score", F.col("validation_checks")[2]["passed"].alias("confident"), F.array_join("review_flags", ",").alias("flags"))
+    return v.select("trace_id", "artifact_id", "validation_status", "confidence_score",
+        F.col("validation_checks")[2]["passed"].alias("confident"), F.array_join("review_flags", ",").alias("flags"))
 
 
 @query(f"WITH {oracle.artifacts_cte(FORMATS)} SELECT count(*) AS total, count(*) FILTER (validation_status = 'passed') AS passed, count(*) FILTER (validation_status = 'failed') AS failed, count(*) FILTER (validation_status = 'needs_review') AS needs_review FROM valid")
@@ -340,10 +350,12 @@ UNION ALL SELECT artifact_id || '_x', 'failed', 'incomplete_chain,low_confidence
 def validation_faults(spark, sf_dir):
     """Unknown references in each second clause, and artifacts of clauses that nobody parsed."""
     none = F.array().cast("array<string>")
-    parsed = stored(_parsed(spark, sf_dir).withColumn("cross_references", F.when(F.col("clause_ord") == 2, F.array(F.col("clause_id"), F.lit("nope"))).otherwise(none)), "clauses")
+    parsed = stored(_parsed(spark, sf_dir).withColumn("cross_references",
+            F.when(F.col("clause_ord") == 2, F.array(F.col("clause_id"), F.lit("nope"))).otherwise(none)), "clauses")
     mapped = mapping.map_clauses(parsed, corpus.registry(spark))
     made = artifacts.check_syntax(artifacts.compile_rules(mapped, ("json",)), ("json",))
-    lost = made.where(F.col("clause_id").endswith("CL001")).withColumns({"artifact_id": F.concat("artifact_id", F.lit("_x")), "clause_id": F.lit("absent"), "content": F.lit("{}")})
+    lost = made.where(F.col("clause_id").endswith("CL001")).withColumns(
+        {"artifact_id": F.concat("artifact_id", F.lit("_x")), "clause_id": F.lit("absent"), "content": F.lit("{}")})
     v = validation.validate(made.unionByName(lost), parsed, mapped)
     return v.select("artifact_id", "validation_status", F.array_join("review_flags", ",").alias("flags"))
 
@@ -382,7 +394,8 @@ def json_artifacts(spark, sf_dir):
 
 @query(f"WITH {oracle.artifacts_cte(FORMATS)} SELECT trace_id, artifact_id, validation_status, confidence_score, 'DESK_' || split_part(doc_id, '_', 2) AS document_id FROM valid")
 def json_validations(spark, sf_dir):
-    return _through_json(_validated(spark, sf_dir), "validations").select("trace_id", "artifact_id", "validation_status", "confidence_score", "lineage.document_id")
+    return _through_json(_validated(spark, sf_dir), "validations").select("trace_id", "artifact_id", "validation_status",
+        "confidence_score", "lineage.document_id")
 
 
 @query(f"""WITH {oracle.artifacts_cte(FORMATS)}, n AS (SELECT doc_id AS key, count(DISTINCT clause_id) AS clauses, count(*) AS artifacts, count(DISTINCT section_id) AS sections FROM valid GROUP BY 1)
@@ -395,15 +408,20 @@ def events_published(spark, sf_dir):
     made = artifacts.compile_rules(mapped, FORMATS, carry=True)
     judged = validation.judge(artifacts.check_syntax(made, FORMATS).withColumn("invalid_refs", F.lit(None).cast("array<string>")))
     items = {
-        "policy.ingested": ("sections", stages.ingested(sections, structure.chunks(sections))), "policy.parsed": ("clauses", stages.parsed_out(clauses.nested(parsed), F.lit(AS_OF.isoformat()))),
-        "policy.mapped": ("clauses", events.by_document(mapped.select("doc_id", "clause_id", "mapping_status", "mapped_entities", "unmapped_entities"), F.col("doc_id"), "clauses")),
-        "policy.compiled": ("artifacts", events.by_document(made.drop("c", "m"), F.col("doc_id"), "artifacts")), "policy.validated": ("results", events.by_document(judged, F.col("lineage.document_id"), "results")),
+        "policy.ingested": ("sections", stages.ingested(sections, structure.chunks(sections))),
+            "policy.parsed": ("clauses", stages.parsed_out(clauses.nested(parsed), F.lit(AS_OF.isoformat()))),
+        "policy.mapped": ("clauses", events.by_document(mapped.select("doc_id", "clause_id", "mapping_status", "mapped_entities",
+                        "unmapped_entities"), F.col("doc_id"), "clauses")),
+        "policy.compiled": ("artifacts", events.by_document(made.drop("c", "m"), F.col("doc_id"), "artifacts")),
+            "policy.validated": ("results", events.by_document(judged, F.col("lineage.document_id"), "results")),
     }
     path = scratch_path(spark, "events")
     for topic, (_, objects) in items.items():
         events.publish(events.events(objects, topic, F.lit(AS_OF)), path)
     name = F.element_at(F.create_map(*[F.lit(x) for t, (n, _) in items.items() for x in (t, n)]), F.col("topic"))
-    size = F.json_array_length(F.when(name == "sections", F.get_json_object("value", "$.sections")).when(name == "clauses", F.get_json_object("value", "$.clauses")).when(name == "artifacts", F.get_json_object("value", "$.artifacts")).otherwise(F.get_json_object("value", "$.results")))
+    size = F.json_array_length(F.when(name == "sections", F.get_json_object("value", "$.sections")).when(name == "clauses",
+            F.get_json_object("value", "$.clauses")).when(name == "artifacts",
+            F.get_json_object("value", "$.artifacts")).otherwise(F.get_json_object("value", "$.results")))
     return spark.read.schema(events.EVENT).parquet(path).select("topic", "key", size.cast("long").alias("n"))
 
 
@@ -420,7 +438,9 @@ def rule_check_violations(spark, sf_dir):
 
 #: (rule_id, type, actor, action, object, has_condition, severity)
 RULES = (
-    ("R1", "obligation", "automobile", "close", "order", False, "high"), ("R2", "prohibition", "building", "hold", "order", False, "critical"), ("R3", "permission", "machinery", "review", None, False, "medium"),
+    ("R1", "obligation", "automobile", "close", "order", False, "high"),
+        ("R2", "prohibition", "building", "hold", "order", False, "critical"),
+        ("R3", "permission", "machinery", "review", None, False, "medium"),
     ("R4", "obligation", "building", "close", None, True, "high"), ("R5", "prohibition", "furniture", "close", None, False, "critical"),
 )
 _RULE_CTE = f"rule(rule_id, type, actor, action, object, has_condition, severity) AS ({corpus.values([(*r[:5], str(r[5]).lower() == 'true', r[6]) for r in RULES]).replace('True', 'true').replace('False', 'false')})"
@@ -437,8 +457,11 @@ def _facts(spark, sf_dir):
     o, c = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     s = F.col("o_orderstatus")
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("entity_id"), F.lower("c_mktsegment").alias("actor"), F.when(s == "F", "close").when(s == "O", "hold").otherwise("review").alias("action"), F.lit("order").alias("object"),
-        F.when(F.col("o_totalprice") > 300000, "violation").otherwise("ok").alias("status"), F.when(s != "P", s == "F").alias("completed"), (s == "O").alias("attempted"), F.col("o_orderpriority").startswith("1").alias("condition_met"), F.col("o_orderdate").alias("ts"),
+        F.col("o_orderkey").alias("entity_id"), F.lower("c_mktsegment").alias("actor"),
+            F.when(s == "F", "close").when(s == "O", "hold").otherwise("review").alias("action"), F.lit("order").alias("object"),
+        F.when(F.col("o_totalprice") > 300000, "violation").otherwise("ok").alias("status"), F.when(s != "P", s == "F").alias("completed"),
+            (s == "O").alias("attempted"), F.col("o_orderpriority").startswith("1").alias("condition_met"),
+            F.col("o_orderdate").alias("ts"),
     )
 
 
@@ -450,7 +473,8 @@ def rule_trigger_audit(spark, sf_dir):
 
 @query(f"""WITH {_FACT_CTE} SELECT rule_id, count(*) AS n, count(*) FILTER (CASE r_type WHEN 'obligation' THEN NOT coalesce(completed, false) WHEN 'prohibition' THEN attempted ELSE status = 'violation' END) AS violations FROM hit GROUP BY rule_id""")
 def rule_validator_outcomes(spark, sf_dir):
-    return rules.validator_outcomes(_facts(spark, sf_dir), _rule_table(spark)).groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("violated").alias("violations"))
+    return rules.validator_outcomes(_facts(spark, sf_dir), _rule_table(spark)).groupBy("rule_id").agg(F.count("*").alias("n"),
+        F.count_if("violated").alias("violations"))
 
 
 @query(f"""WITH {_FACT_CTE}, d AS (SELECT entity_id, bool_or(CASE r_type WHEN 'obligation' THEN action = r_action AND (r_object IS NULL OR object = r_object) AND (NOT has_condition OR condition_met) WHEN 'prohibition' THEN NOT (action = r_action AND (r_object IS NULL OR object = r_object)) ELSE true END) AS allow,
@@ -480,7 +504,8 @@ def document_summary(spark, sf_dir):
     parsed = _parsed(spark, sf_dir)
     docs = corpus.documents(spark, sf_dir).select("doc_id")
     s = views.document_summary(docs, parsed, artifacts.compile_rules(mapping.map_clauses(parsed, corpus.registry(spark)), FORMATS))
-    return s.select("doc_id", "clause_count", "artifact_count", F.round("avg_confidence", 6).alias("avg_confidence"), F.round("avg_clause_confidence", 6).alias("avg_clause_confidence"))
+    return s.select("doc_id", "clause_count", "artifact_count", F.round("avg_confidence", 6).alias("avg_confidence"),
+        F.round("avg_clause_confidence", 6).alias("avg_clause_confidence"))
 
 
 @query(f"WITH {oracle.artifacts_cte(FORMATS)} SELECT validation_status, count(*) AS count, round(avg(confidence_score), 6) AS avg_confidence FROM valid GROUP BY 1")
@@ -494,8 +519,10 @@ _AUDIT_CTE = """audit AS (SELECT event_id AS id, event_type AS violation_type, C
 def _audit(spark, sf_dir):
     k = F.col("event_id") % 4
     return _read(spark, sf_dir, "events").where("value IS NOT NULL").select(
-        F.col("event_id").alias("id"), F.col("event_type").alias("violation_type"), F.when(F.col("user_id") % 2 == 0, "client").otherwise("payment").alias("table_name"),
-        F.when(k == 0, "critical").when(k == 1, "high").when(k == 2, "medium").otherwise("low").alias("severity"), (F.col("value") > 50).alias("resolved"), F.col("ts").cast("timestamp").alias("occurred_at"),
+        F.col("event_id").alias("id"), F.col("event_type").alias("violation_type"),
+            F.when(F.col("user_id") % 2 == 0, "client").otherwise("payment").alias("table_name"),
+        F.when(k == 0, "critical").when(k == 1, "high").when(k == 2, "medium").otherwise("low").alias("severity"),
+            (F.col("value") > 50).alias("resolved"), F.col("ts").cast("timestamp").alias("occurred_at"),
     )
 
 
@@ -522,7 +549,8 @@ def referential_integrity(spark, sf_dir):
     o, c, li = (_read(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
     count = lambda df, name: df.agg(F.lit(name).alias("child"), F.count("*").alias("orphans"))
     lost = count(views.orphans(o.select(F.col("o_custkey").alias("k")), c.select(F.col("c_custkey").alias("k")), "k"), "orders")
-    return lost.unionByName(count(views.orphans(li.select(F.col("l_orderkey").alias("k")), o.select(F.col("o_orderkey").alias("k")), "k"), "lineitem")).unionByName(count(views.repeated_keys(o, "o_orderkey"), "repeated orders"))
+    return lost.unionByName(count(views.orphans(li.select(F.col("l_orderkey").alias("k")), o.select(F.col("o_orderkey").alias("k")), "k"),
+            "lineitem")).unionByName(count(views.repeated_keys(o, "o_orderkey"), "repeated orders"))
 
 
 @query(f"WITH {oracle.artifacts_cte(('yaml', 'sql', 'json'))} SELECT clause_id, min(artifact_id) AS artifact_id FROM artifact GROUP BY 1")
@@ -533,13 +561,15 @@ def rule_lookup_first(spark, sf_dir):
 @query("SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
 def job_status_latest(spark, sf_dir):
     e = _read(spark, sf_dir, "events")
-    return views.latest(e.select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("updated_at"), F.col("event_type").alias("status"))).select("job_id", "status")
+    return views.latest(e.select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("updated_at"),
+            F.col("event_type").alias("status"))).select("job_id", "status")
 
 
 @query(f"""WITH {oracle.CLAUSE_CTE}, changed AS (SELECT doc_id || chr(7) || clause_id AS x, clause_id, clause_ord FROM named) SELECT clause_id, CASE WHEN clause_ord = 1 THEN 'same' WHEN clause_ord = 2 THEN 'changed' ELSE 'removed' END AS change FROM changed""")
 def clause_version_diff(spark, sf_dir):
     old = clauses.split_clauses(corpus.chunks(spark, sf_dir))
-    new = old.where("clause_ord < 3").withColumn("source_text", F.when(F.col("clause_ord") == 1, F.concat(F.lit(" "), F.upper("source_text"))).otherwise(F.concat("source_text", F.lit(" again"))))
+    new = old.where("clause_ord < 3").withColumn("source_text",
+        F.when(F.col("clause_ord") == 1, F.concat(F.lit(" "), F.upper("source_text"))).otherwise(F.concat("source_text", F.lit(" again"))))
     return views.version_diff(old, new)
 
 
@@ -575,4 +605,5 @@ def gauge_running(spark, sf_dir):
   count(*) FILTER (v > 95) AS failures, count(*) FILTER (v > 95) <= 0.1 * count(*) AS passed FROM o GROUP BY 1""")
 def load_stats(spark, sf_dir):
     s = metrics.load_stats(_read(spark, sf_dir, "events").where("value IS NOT NULL"), ["event_type"], failed=F.col("value") > 95)
-    return s.select("event_type", "count", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"), F.round("median", 6).alias("median"), "p90", "p95", "p99", "failures", "passed")
+    return s.select("event_type", "count", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"),
+        F.round("median", 6).alias("median"), "p90", "p95", "p99", "failures", "passed")

@@ -33,13 +33,16 @@ def supported(files: DataFrame) -> DataFrame:
 
 def rejected(files: DataFrame) -> DataFrame:
     """Files of an unsupported format, with the reason. PDF needs a parser that isn't part of this library."""
-    return files.where(~F.coalesce(F.col("document_type").isin("markdown", "html", "docx"), F.lit(False))).select("path", F.concat(F.lit("Unsupported format: ."), "ext").alias("reason"))
+    return files.where(~F.coalesce(F.col("document_type").isin("markdown", "html", "docx"), F.lit(False))).select("path",
+        F.concat(F.lit("Unsupported format: ."), "ext").alias("reason"))
 
 
 def documents(files: DataFrame, as_of: Column) -> DataFrame:
     """Document metadata; ids end in hex of the content's hash, so that a file keeps its id."""
     key = doc_key(F.col("stem"))
-    return files.select(F.concat(key, F.lit("_"), hash_suffix(F.col("content"), 6)).alias("doc_id"), key.alias("doc_key"), F.col("path").alias("source_file"), as_of.alias("ingestion_timestamp"), "document_type", F.lit(None).cast("int").alias("page_count"), F.lit("en").alias("language"), "hash", "content")
+    return files.select(F.concat(key, F.lit("_"), hash_suffix(F.col("content"), 6)).alias("doc_id"), key.alias("doc_key"),
+        F.col("path").alias("source_file"), as_of.alias("ingestion_timestamp"), "document_type",
+        F.lit(None).cast("int").alias("page_count"), F.lit("en").alias("language"), "hash", "content")
 
 
 UNTITLED = "Untitled Section"
@@ -85,9 +88,11 @@ def docx_sections(files: DataFrame) -> DataFrame:
                     rows.append((doc, key, None, None, None, None, f"Damaged file: {type(e).__name__}"))
                     continue
                 rows += [(doc, key, n, title, level, "\n\n".join(body), None) for n, (title, level, body) in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "doc_key", "section_ord", "section_title", "hierarchy_level", "text", "problem"]).astype({"section_ord": "Int32", "hierarchy_level": "Int32"})
+            yield pd.DataFrame(rows, columns=["doc_id", "doc_key", "section_ord", "section_title", "hierarchy_level", "text",
+                    "problem"]).astype({"section_ord": "Int32", "hierarchy_level": "Int32"})
 
-    return files.select("doc_id", "doc_key", "content").mapInPandas(run, "doc_id string, doc_key string, section_ord int, section_title string, hierarchy_level int, text string, problem string")
+    return files.select("doc_id", "doc_key", "content").mapInPandas(run,
+        "doc_id string, doc_key string, section_ord int, section_title string, hierarchy_level int, text string, problem string")
 
 
 def damaged(docs: DataFrame) -> DataFrame:
@@ -100,7 +105,8 @@ def damaged(docs: DataFrame) -> DataFrame:
 def _with_ids(sections: DataFrame) -> DataFrame:
     rows = structure.parents(sections)
     of = lambda n: structure.section_id(F.col("doc_key"), n)
-    return rows.select("doc_id", of(F.col("section_ord")).alias("section_id"), "section_ord", "section_title", "hierarchy_level", F.when(F.col("parent_ord").isNotNull(), of(F.col("parent_ord"))).alias("parent_section"), "text")
+    return rows.select("doc_id", of(F.col("section_ord")).alias("section_id"), "section_ord", "section_title", "hierarchy_level",
+        F.when(F.col("parent_ord").isNotNull(), of(F.col("parent_ord"))).alias("parent_section"), "text")
 
 
 def sections_of(docs: DataFrame) -> DataFrame:
@@ -121,9 +127,12 @@ def registry_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     doc = spark.read.schema(REGISTRY).json(path, multiLine=True)
     tables = doc.select(F.posexplode("schemas").alias("schema_ord", "s")).select("schema_ord", "s.schema_id", F.posexplode("s.tables").alias("table_ord", "t"))
     fields = tables.select("schema_ord", "table_ord", "schema_id", "t.table_name", F.posexplode("t.fields").alias("field_ord", "f"))
-    fields = fields.select("schema_ord", "table_ord", "field_ord", "schema_id", "table_name", "f.field_name", "f.field_type", F.coalesce("f.semantic_labels", F.array().cast("array<string>")).alias("labels"), "f.description")
-    synonyms = doc.select(F.posexplode(F.map_entries("synonyms")).alias("ord", "e")).select("ord", F.col("e.key").alias("term"), F.posexplode("e.value").alias("syn_ord", "synonym"))
-    overrides = doc.select(F.explode(F.map_entries("manual_overrides")).alias("e")).select(F.lower("e.key").alias("entity_lower"), F.col("e.value").alias("target_path"))
+    fields = fields.select("schema_ord", "table_ord", "field_ord", "schema_id", "table_name", "f.field_name", "f.field_type",
+        F.coalesce("f.semantic_labels", F.array().cast("array<string>")).alias("labels"), "f.description")
+    synonyms = doc.select(F.posexplode(F.map_entries("synonyms")).alias("ord", "e")).select("ord", F.col("e.key").alias("term"),
+        F.posexplode("e.value").alias("syn_ord", "synonym"))
+    overrides = doc.select(F.explode(F.map_entries("manual_overrides")).alias("e")).select(F.lower("e.key").alias("entity_lower"),
+        F.col("e.value").alias("target_path"))
     return fields, synonyms, overrides
 
 
@@ -136,7 +145,8 @@ def save_registry(fields: DataFrame, synonyms: DataFrame, overrides: DataFrame,
     schemas = tables.groupBy("schema_ord", "schema_id").agg(ordered(table).alias("tables"))
     schema = F.struct("schema_ord", F.struct("schema_id", F.lit(schema_type).alias("schema_type"), F.lit(version).alias("version"), "tables").alias("x"))
     terms = synonyms.groupBy("ord", "term").agg(F.transform(F.array_sort(F.collect_list(F.struct("syn_ord", "synonym"))), lambda s: s["synonym"]).alias("s"))
-    names = terms.agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", "term", "s"))), lambda x: F.struct(x["term"], x["s"]))).alias("synonyms"))
+    names = terms.agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", "term", "s"))),
+                lambda x: F.struct(x["term"], x["s"]))).alias("synonyms"))
     manual = overrides.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_lower", "target_path")))).alias("manual_overrides"))
     one = schemas.agg(ordered(schema).alias("schemas")).crossJoin(names).crossJoin(manual)  # one row each
     one.select(F.lit(version).alias("registry_version"), "schemas", "synonyms", "manual_overrides").coalesce(1).write.mode("overwrite").json(path)
@@ -146,7 +156,8 @@ def templates_in(spark: SparkSession, path: str) -> dict[str, dict[str, artifact
     """Renderers from files <path>/<format>/<clause type>.txt, which hold `{{ name }}` for columns of
     artifacts.context; `default.txt` serves the types without a file. Templates are configuration and come to the driver."""
     found: dict[str, dict[str, artifacts.Renderer]] = {}
-    for r in spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path).select("value", F.input_file_name().alias("path")).collect():
+    for r in spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path).select("value",
+        F.input_file_name().alias("path")).collect():
         folder, name = r["path"].split("/")[-2:]
         found.setdefault(folder, {})[name.partition(".")[0]] = artifacts.from_text(r["value"])
     for by_type in found.values():

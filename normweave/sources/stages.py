@@ -46,7 +46,8 @@ def ingested(sections: DataFrame, chunks: DataFrame, metadata: DataFrame | None
         F.array_sort(F.collect_list(F.struct("chunk_ord", "chunk_id", "text", "token_count"))).alias("c")
     )
     no_chunks = F.array().cast(f"array<{_CHUNK}>")
-    texts = F.transform("c", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text"), c["token_count"].alias("token_count"), F.lit(None).cast("array<float>").alias("embedding_vector")))
+    texts = F.transform("c", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text"),
+            c["token_count"].alias("token_count"), F.lit(None).cast("array<float>").alias("embedding_vector")))
     rows = sections.drop("text").join(own, ["doc_id", "section_id"], "left").withColumn("text_chunks", F.coalesce(texts, no_chunks))
     of = F.struct("section_ord", F.struct("section_id", "section_title", "parent_section", "hierarchy_level", "text_chunks").alias("s"))
     docs = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(of)), lambda x: x["s"]).alias("sections"))
@@ -78,8 +79,10 @@ def parsed_in(collections: DataFrame) -> DataFrame:
     c = collections.select("doc_id", F.explode("clauses").alias("c")).select("doc_id", "c.*")
     section = F.regexp_replace("source_chunk_id", r"_C\d+$", "")
     return c.select(
-        "doc_id", section.alias("section_id"), F.col("source_chunk_id").alias("chunk_id"), "clause_id", "source_text", "type", F.col("actor.entity").alias("actor"), F.col("action.verb").alias("verb"),
-        F.col("object.entity").alias("object"), F.col("condition.trigger").alias("trigger"), "temporal_scope.deadline", "temporal_scope.duration", "temporal_scope.frequency", "confidence", "cross_references",
+        "doc_id", section.alias("section_id"), F.col("source_chunk_id").alias("chunk_id"), "clause_id", "source_text", "type",
+            F.col("actor.entity").alias("actor"), F.col("action.verb").alias("verb"),
+        F.col("object.entity").alias("object"), F.col("condition.trigger").alias("trigger"), "temporal_scope.deadline",
+            "temporal_scope.duration", "temporal_scope.frequency", "confidence", "cross_references",
     )
 
 
@@ -87,4 +90,5 @@ def raw_text(texts: DataFrame, chunk_id: str = "RAW", doc_id: str = "RAW") -> Da
     """(text, and maybe doc_id) to chunks: each whole text is one chunk of one section."""
     key = F.col("doc_id").cast("string") if "doc_id" in texts.columns else F.lit(doc_id)
     section = F.concat(key, F.lit("_S001"))
-    return texts.select(key.alias("doc_id"), section.alias("section_id"), F.concat(section, F.lit(f"_{chunk_id}")).alias("chunk_id"), F.lit(0).alias("chunk_ord"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.select(key.alias("doc_id"), section.alias("section_id"), F.concat(section, F.lit(f"_{chunk_id}")).alias("chunk_id"),
+        F.lit(0).alias("chunk_ord"), F.coalesce("text", F.lit("")).alias("text"))

@@ -16,7 +16,8 @@ EVENT = "topic string, key string, value string, at timestamp"
 
 def by_document(rows: DataFrame, doc_id: Column, name: str) -> DataFrame:
     """Rows as one object a document: (doc_id, name array of structs, ordered as structs are)."""
-    return rows.select(doc_id.alias("__doc"), F.struct(*rows.columns).alias("__row")).groupBy("__doc").agg(F.array_sort(F.collect_list("__row")).alias(name)).withColumnRenamed("__doc", "doc_id")
+    return rows.select(doc_id.alias("__doc"),
+        F.struct(*rows.columns).alias("__row")).groupBy("__doc").agg(F.array_sort(F.collect_list("__row")).alias(name)).withColumnRenamed("__doc", "doc_id")
 
 
 def events(objects: DataFrame, topic: str, at: Column, key: str = "doc_id") -> DataFrame:

@@ -14,10 +14,12 @@ def test_chunks_equal_a_recursion(spark):
     rng, sizes = random.Random(3), ChunkSizes(target=20, least=6, most=30, overlap=4)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9)))
     sentence = lambda: " ".join(word() for _ in range(rng.randint(1, 9))) + rng.choice(".!?,")
-    texts = ["\n\n".join(" ".join(sentence() for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 7))) for _ in range(150)] + ["", "  \n\n \n", "x" * 500]
+    texts = ["\n\n".join(" ".join(sentence() for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 7)))
+        for _ in range(150)] + ["", "  \n\n \n", "x" * 500]
     sections = spark.createDataFrame([(f"D{i}", f"D{i}_S001", t) for i, t in enumerate(texts)], "doc_id string, section_id string, text string")
     frame = sections.toPandas()  # noqa: F841  DuckDB finds it by name
-    want = duckdb.sql(f"WITH RECURSIVE sections AS (SELECT * FROM frame), {oracle.chunk_cte(20, 6, 30, 4)} SELECT section_id, chunk_ord, text FROM chunked").fetchall()
+    want = duckdb.sql(
+        f"WITH RECURSIVE sections AS (SELECT * FROM frame), {oracle.chunk_cte(20, 6, 30, 4)} SELECT section_id, chunk_ord, text FROM chunked").fetchall()
     got = [(r["section_id"], r["chunk_ord"], r["text"]) for r in structure.chunks(sections, sizes).collect()]
     assert len(want) > 300 and sorted(got) == sorted(want)
 
@@ -33,34 +35,45 @@ def test_parents_are_the_nearest_earlier_smaller_level(spark):
             above = max((j for j in range(1, k) if d[j - 1] < n), default=None)
             r = by_id[f"D{i}_S{k:03d}"]
             assert (r["parent_section"], r["hierarchy_level"], r["text"]) == (above and f"D{i}_S{above:03d}", n, f"body {k - 1}")
-    sections = spark.createDataFrame([(r["doc_id"], r["section_ord"], r["hierarchy_level"], r["parent_section"]) for r in found], "doc_id string, section_ord int, hierarchy_level int, expected string")
+    sections = spark.createDataFrame([(r["doc_id"], r["section_ord"], r["hierarchy_level"], r["parent_section"]) for r in found],
+        "doc_id string, section_ord int, hierarchy_level int, expected string")
     for r in structure.parents(sections).collect():
         assert r["expected"] == (f"{r['doc_id']}_S{r['parent_ord']:03d}" if r["parent_ord"] else None)
 
 
 def test_markdown_edges(spark):
-    rows = [("A", "A", None), ("B", "B", "plain text\nno heading"), ("C", "C", "# One\r\nx\r\n## Two: \"q\" & (r)\n\n# Last"), ("E", "E", "#no heading\n####### seven")]
-    out = {(r["doc_id"], r["section_ord"]): r for r in structure.markdown_sections(spark.createDataFrame(rows, "doc_id string, doc_key string, text string")).collect()}
+    rows = [("A", "A", None), ("B", "B", "plain text\nno heading"), ("C", "C", "# One\r\nx\r\n## Two: \"q\" & (r)\n\n# Last"),
+        ("E", "E", "#no heading\n####### seven")]
+    out = {(r["doc_id"], r["section_ord"]): r for r in structure.markdown_sections(spark.createDataFrame(rows,
+                "doc_id string, doc_key string, text string")).collect()}
     assert out["B", 1]["section_title"] == structure.DEFAULT_TITLE and out["B", 1]["text"] == "plain text\nno heading"
     assert [out["C", k]["section_title"] for k in (1, 2, 3)] == ["One", 'Two: "q" & (r)', "Last"]
     assert out["C", 1]["text"] == "x" and out["C", 3]["text"] == "" and ("A", 1) not in out and ("E", 2) not in out
 
 
 def test_html(spark):
-    pages = [(1, "<nav>menu</nav><h1>A &amp; B</h1><p>one</p><!-- <h2>no</h2> --><h2>C</h2><div>two<br>three</div><script>x<y</script>"), (2, "<p>only</p><p>text</p>"), (3, None)]
-    out = {(r["page_id"], r["section_ord"]): (r["section_title"], r["hierarchy_level"], r["text"]) for r in structure.html_sections(spark.createDataFrame(pages, "page_id int, html string")).collect()}
-    assert out[1, 1] == ("A & B", 1, "one") and out[1, 2] == ("C", 2, "two\n\nthree") and out[2, 1] == (structure.DEFAULT_TITLE, 1, "only\n\ntext") and (3, 1) not in out
+    pages = [(1, "<nav>menu</nav><h1>A &amp; B</h1><p>one</p><!-- <h2>no</h2> --><h2>C</h2><div>two<br>three</div><script>x<y</script>"),
+        (2, "<p>only</p><p>text</p>"), (3, None)]
+    out = {(r["page_id"], r["section_ord"]): (r["section_title"], r["hierarchy_level"], r["text"])
+        for r in structure.html_sections(spark.createDataFrame(pages, "page_id int, html string")).collect()}
+    assert out[1, 1] == ("A & B", 1, "one") and out[1, 2] == ("C", 2, "two\n\nthree") and out[2, 1] == (structure.DEFAULT_TITLE, 1,
+        "only\n\ntext") and (3, 1) not in out
 
 
 def test_character_references(spark):
-    texts = {"a &amp;lt; b": "a &lt; b", "&eacute;&#233;&#xE9;&#X1F600;": "\u00e9\u00e9\u00e9\U0001f600", "R&D &unknown; &; &#0; &#xD800; &#99999999;": "R&D &unknown; &; &#0; &#xD800; &#99999999;", "x&nbsp;y &lt;&quot;&#39;&apos;&gt;": "x y <\"''>", "": "", "&": "&", "&hellip;a;b": "\u2026a;b"}
+    texts = {"a &amp;lt; b": "a &lt; b", "&eacute;&#233;&#xE9;&#X1F600;": "\u00e9\u00e9\u00e9\U0001f600",
+        "R&D &unknown; &; &#0; &#xD800; &#99999999;": "R&D &unknown; &; &#0; &#xD800; &#99999999;",
+        "x&nbsp;y &lt;&quot;&#39;&apos;&gt;": "x y <\"''>", "": "", "&": "&", "&hellip;a;b": "\u2026a;b"}
     rows = spark.createDataFrame([(k,) for k in texts], "t string").select("t", structure.unescape_html(F.col("t")).alias("u")).collect()
     assert {r["t"]: r["u"] for r in rows} == texts
 
 
 def test_scalars(spark):
     row = spark.range(1).select(
-        T.doc_key(F.lit("  My file-(v2)  ")).alias("key"), T.doc_key(F.lit("日本")).alias("none"), T.shorten(F.lit("abcdef"), 3).alias("short"), T.first_words(F.lit("a  b c d"), 3).alias("three"),
-        T.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(0.0), F.lit(5.0))).alias("same"), T.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("zero"), T.strip(F.lit("\t a \n")).alias("s"),
+        T.doc_key(F.lit("  My file-(v2)  ")).alias("key"), T.doc_key(F.lit("日本")).alias("none"),
+            T.shorten(F.lit("abcdef"), 3).alias("short"), T.first_words(F.lit("a  b c d"), 3).alias("three"),
+        T.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(0.0), F.lit(5.0))).alias("same"),
+            T.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("zero"), T.strip(F.lit("\t a \n")).alias("s"),
     ).first()
-    assert (row["key"], row["none"], row["short"], row["three"], row["zero"], row["s"]) == ("MY_FILE_V2", "", "abc...", "a b c", 0.0, "a") and 0 < row["same"] < 1
+    assert (row["key"], row["none"], row["short"], row["three"], row["zero"], row["s"]) == ("MY_FILE_V2", "", "abc...", "a b c", 0.0,
+        "a") and 0 < row["same"] < 1
