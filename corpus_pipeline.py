@@ -48,7 +48,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encodes what is left and decodes it again, of which the SHA-256 is returned."""
     path = bpe_lexicon.default_path()
     coded = bpe_lexicon.encode(docs.select("doc_id", "lang", "source", "text"), path, bpe_lexicon.build_lexicon(docs, path), decoded="decoded")
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality rules", rules), ("language ID", language), ("near copies", near_copies), ("mixing", mixture), ("BPE", tokens)]
