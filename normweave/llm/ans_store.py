@@ -330,14 +330,17 @@ def write(ids: DataFrame, path: str, size: int, key: str = "doc_id") -> None:
             all_ids = np.frombuffer(b"".join(held), dtype=unpacked).astype("<u4")
             stream, states, before = coder.encode(all_ids)
             ends = [4 * x for x in [*before[1:].tolist(), len(stream) // 4]]
-            row = {"part": part, "seq": seq, "first": first, "n": total, "keys": keys, "lens": lens, "states": states.astype("<u8").tobytes(), "before": before.tolist(), "stream": stream}
+            row = {"part": part, "seq": seq, "first": first, "n": total, "keys": keys, "lens": lens,
+                "states": states.astype("<u8").tobytes(), "before": before.tolist(), "stream": stream}
             row["stream_crc32"] = [zlib.crc32(stream[4 * x : y]) for x, y in zip(before.tolist(), ends)]
             row["ids_crc32"] = [zlib.crc32(all_ids[x : x + BLOCK_TOKENS].tobytes()) for x in range(0, total, BLOCK_TOKENS)]
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
             key_type = batch.schema.field(key).type
-            schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(key_type)), ("lens", pa.list_(pa.int32())), ("states", pa.binary()), ("before", pa.list_(pa.int32())), ("stream", pa.binary()), ("stream_crc32", pa.list_(pa.int64())), ("ids_crc32", pa.list_(pa.int64()))])
+            schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n", pa.int64()),
+                    ("keys", pa.list_(key_type)), ("lens", pa.list_(pa.int32())), ("states", pa.binary()), ("before", pa.list_(pa.int32())),
+                    ("stream", pa.binary()), ("stream_crc32", pa.list_(pa.int64())), ("ids_crc32", pa.list_(pa.int64()))])
             for k, raw in zip(batch.column(key).to_pylist(), batch.column("ids").to_pylist()):
                 n = len(raw) // unpacked.itemsize
                 if held and total + n > BLOCK_TOKENS:
@@ -351,7 +354,8 @@ def write(ids: DataFrame, path: str, size: int, key: str = "doc_id") -> None:
             yield block()
 
     tie = "__tie"
-    order = ids.select(key, "ids", F.xxhash64("ids").alias(tie)).repartitionByRange(F.asc_nulls_first(key), tie).sortWithinPartitions(F.asc_nulls_first(key), tie).drop(tie)
+    order = ids.select(key, "ids", F.xxhash64("ids").alias(tie)).repartitionByRange(F.asc_nulls_first(key),
+        tie).sortWithinPartitions(F.asc_nulls_first(key), tie).drop(tie)
     order.mapInArrow(run, BLOCKS.format(kind=key_kind)).write.parquet(f"{path}/blocks")
     parts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each file only
@@ -387,7 +391,8 @@ def read_store(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bo
                 lens = row["lens"].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(lens)
                 own = [ids[4 * a : 4 * b] for a, b in zip((ends - lens).tolist(), ends.tolist())]
-                arrays = [row["keys"].values, pa.array(ends - lens + row["first"].as_py() + row["file_first"].as_py()), pa.array(lens), pa.array(list(map(zlib.crc32, own)), pa.int64())]
+                arrays = [row["keys"].values, pa.array(ends - lens + row["first"].as_py() + row["file_first"].as_py()), pa.array(lens),
+                    pa.array(list(map(zlib.crc32, own)), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array([bytes(x) for x in own], pa.binary())] if with_ids else [])], names=names)
 
     def run_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +403,8 @@ def read_store(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bo
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 c = row["c"].as_py()
                 ids = part_of(coder, row, row["part_n"].as_py(), row["stream"].as_py(), row["states"].as_py(), c)
-                out = {"key": row["keys"].values[0].as_py(), "start": row["first"].as_py() + row["file_first"].as_py(), "part": row["part"].as_py(), "seq": row["seq"].as_py(), "c": c, "n": len(ids) // 4, "crc": zlib.crc32(ids)}
+                out = {"key": row["keys"].values[0].as_py(), "start": row["first"].as_py() + row["file_first"].as_py(),
+                    "part": row["part"].as_py(), "seq": row["seq"].as_py(), "c": c, "n": len(ids) // 4, "crc": zlib.crc32(ids)}
                 yield pa.RecordBatch.from_pylist([out | ({"ids": bytes(ids)} if with_ids else {})], schema=parts_schema)
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,11 +412,14 @@ def read_store(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bo
             found = [sorted(x, key=lambda p: p["c"]) for x in batch.column("parts").to_pylist()]
             crc = [joined_crc32([(p["crc"], 4 * p["n"]) for p in x]) for x in found]
             arrays = [batch.column("key"), batch.column("start"), pa.array([sum(p["n"] for p in x) for x in found], pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array([b"".join(p["ids"] for p in x) for x in found], pa.binary())] if with_ids else [])], names=names)
+            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array([b"".join(p["ids"] for p in x) for x in found], pa.binary())]
+                        if with_ids else [])], names=names)
 
     names = ["key", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
     more = ", ids binary" * with_ids
-    parts_schema = pa.schema([("key", to_arrow_type(blocks.schema["keys"].dataType.elementType)), ("start", pa.int64()), ("part", pa.int32()), ("seq", pa.int32()), ("c", pa.int32()), ("n", pa.int64()), ("crc", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
+    parts_schema = pa.schema([("key", to_arrow_type(blocks.schema["keys"].dataType.elementType)), ("start", pa.int64()),
+            ("part", pa.int32()), ("seq", pa.int32()), ("c", pa.int32()), ("n", pa.int64()), ("crc", pa.int64()),
+            *([("ids", pa.binary())] if with_ids else [])])
     schema = f"key {kind}, start long, n_tokens long, ids_crc32 long" + more
     short = blocks.where(F.size("before") <= 1).mapInArrow(run, schema)
     # a block with more checkpoints is one long document; its parts decode in tasks of their own
@@ -418,7 +427,8 @@ def read_store(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bo
     begin, end = F.get("before", c), F.coalesce(F.get("before", c + 1), (F.octet_length("stream") / 4).cast("int"))
     lane_bytes = (F.octet_length("states") / F.size("before")).cast("int")
     long = blocks.where(F.size("before") > 1).withColumn("c", F.explode(F.sequence(F.lit(0), F.size("before") - 1)))
-    long = long.withColumns({"part_n": F.least(F.lit(BLOCK_TOKENS), total - c.cast("long") * BLOCK_TOKENS), "stream": F.substring("stream", 4 * begin + 1, 4 * (end - begin)), "states": F.substring("states", lane_bytes * c + 1, lane_bytes)})
+    long = long.withColumns({"part_n": F.least(F.lit(BLOCK_TOKENS), total - c.cast("long") * BLOCK_TOKENS), "stream": F.substring("stream",
+                4 * begin + 1, 4 * (end - begin)), "states": F.substring("states", lane_bytes * c + 1, lane_bytes)})
     parts = long.repartition("part", "seq", "c").mapInArrow(run_parts, f"key {kind}, start long, part int, seq int, c int, n long, crc long" + more)
     parts = parts.groupBy("part", "seq", "key", "start").agg(F.collect_list(F.struct("c", "n", "crc", *(["ids"] if with_ids else []))).alias("parts"))
     return short.unionByName(parts.select("key", "start", "parts").mapInArrow(run_joined, schema)).withColumnRenamed("key", key)

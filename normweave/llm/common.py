@@ -45,7 +45,8 @@ def pack(df: DataFrame, **columns: Column) -> DataFrame:
 
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns: an order for rows that agree in everything an operator reads."""
-    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in df.schema[n].dataType.simpleString() else c for n in df.columns for c in [F.col(f"`{n.replace('`', '``')}`")]])
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in df.schema[n].dataType.simpleString() else c for n in df.columns
+            for c in [F.col(f"`{n.replace('`', '``')}`")]])
 
 
 def let(value: Column, body) -> Column:
@@ -53,7 +54,8 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def dense_positions(df: DataFrame, group: list[str], order: list[str], weight: str | None, out: str, bucket: Column | None = None, rows: int | None = None, rows_a_bucket: int = 20_000) -> DataFrame:
+def dense_positions(df: DataFrame, group: list[str], order: list[str], weight: str | None, out: str, bucket: Column | None = None,
+    rows: int | None = None, rows_a_bucket: int = 20_000) -> DataFrame:
     """Add column `out`: the sum of `weight` (None: the number) of the rows of the same group before the row in `order`.
 
     Buckets that ascend with `order` split each group, so no task sorts a whole group: sums of buckets give each
@@ -71,10 +73,12 @@ def dense_positions(df: DataFrame, group: list[str], order: list[str], weight: s
     df = df.withColumn("__bucket", bucket)
     sums = df.groupBy(*group, "__bucket").agg(F.sum(size).cast("long").alias("__sum"))
     before = W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(g).alias(f"__o_{g}") for g in group], F.col("__bucket").alias("__o_bucket"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    offsets = sums.select(*[F.col(g).alias(f"__o_{g}") for g in group], F.col("__bucket").alias("__o_bucket"),
+        F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
     inside = W.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     df = df.withColumn("__inside", F.coalesce(F.sum(size).over(inside), F.lit(0)).cast("long"))
     on = F.col("__bucket") == F.col("__o_bucket")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"__o_{g}"))
-    return df.join(offsets, on).withColumn(out, F.col("__offset") + F.col("__inside")).drop("__bucket", "__o_bucket", "__offset", "__inside", *[f"__o_{g}" for g in group])
+    return df.join(offsets, on).withColumn(out, F.col("__offset") + F.col("__inside")).drop("__bucket", "__o_bucket", "__offset",
+        "__inside", *[f"__o_{g}" for g in group])

@@ -83,7 +83,8 @@ def signatures(docs: DataFrame, trees: int = TREES, length: int = LONGEST) -> Da
                 names = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else f"-{h}" for s, h in zip(sets, th)]
                 sizes = pa.array([len(s) for s in sets], pa.int32())
                 labels = pa.ListArray.from_arrays(pa.array(at), pa.array(found.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(names, pa.string()), sizes, labels], names=["doc_id", "th", "sfp", "n", "labels"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(names, pa.string()), sizes, labels],
+                    names=["doc_id", "th", "sfp", "n", "labels"])
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th string, sfp string, n int, labels array<smallint>")
 
@@ -147,10 +148,12 @@ def listed(asked: DataFrame, tries: DataFrame, dealt: DataFrame, near: DataFrame
     """(a, b), a < b, once each: the candidates below nodes of `crowd` sets at most, without those whose blocks are
     compared anyway."""
     found = asked.where(F.col("size") <= crowd).select("key", F.col("node").alias("x"))
-    pairs = found.join(tries.select("key", F.col("node").alias("y")), "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = found.join(tries.select("key", F.col("node").alias("y")), "key").where("x <> y").select(F.least("x", "y").alias("a"),
+        F.greatest("x", "y").alias("b")).distinct()
     own = lambda n: dealt.select(F.col("node").alias(n), F.col("block").alias(f"{n}_block"))
     pairs = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")
-    pairs = pairs.withColumn("x", F.when(F.col("b_block").isNotNull(), F.least("a_block", "b_block"))).withColumn("y", F.when(F.col("a_block").isNotNull(), F.greatest("a_block", "b_block")))
+    pairs = pairs.withColumn("x", F.when(F.col("b_block").isNotNull(), F.least("a_block", "b_block"))).withColumn("y",
+        F.when(F.col("a_block").isNotNull(), F.greatest("a_block", "b_block")))
     return pairs.join(near, ["x", "y"], "left_anti").select("a", "b")
 
 
@@ -260,7 +263,8 @@ def verify_blocks(placed: DataFrame) -> DataFrame:
         if pair:
             yield close()
 
-    return placed.select("x", "y", "side", "node", "text").repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(run, "node long, links long, head long")
+    return placed.select("x", "y", "side", "node", "text").repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(run,
+        "node long, links long, head long")
 
 
 def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -298,7 +302,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     least = sets.join(classes, "node").groupBy("label").agg(F.min(first).alias("keep"))
     keep = classes.join(least, "label").select("node", "keep")
     sets = sets.drop("labels").join(degree, "node", "left").join(keep, "node", "left")
-    return signed.select("doc_id", "th", "sfp"), sets.select("sfp", "doc_id", "th", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("keep", first).alias("keep"))
+    return signed.select("doc_id", "th", "sfp"), sets.select("sfp", "doc_id", "th", "n_copies",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("keep", first).alias("keep"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -113,7 +113,8 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "do
                     held[lang] = held.get(lang, 0) + found
         for lang, n in held.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": n[at]}, schema=pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": n[at]},
+                schema=pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())]))
 
     found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(found["lang"]))
@@ -127,13 +128,15 @@ def predict(docs: DataFrame, model: EcocModel, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**BUCKET_BITS numbers
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+            T.StructField("ambiguous", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, text, BATCH_BYTES):
                 lang, score, doubt = shared.value.predict(batch.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(doubt)], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(doubt)],
+                    names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
     return docs.mapInArrow(run, schema)
 
@@ -154,4 +157,5 @@ def held_out(key: str = "doc_id", of: int = 5, rest: int = 0):
 def op10_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        "lang_pred", "score", "ambiguous")

@@ -44,11 +44,13 @@ def _count(text: Column, kind: str) -> Column:
 def repeat_words(w: Column) -> Column:
     """Words inside windows of five words found twice or more. Windows compare by a 64-bit hash."""
     size = F.size(w)
-    hashes = F.when(size >= WINDOW, F.transform(F.sequence(F.lit(0), size - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.when(size >= WINDOW, F.transform(F.sequence(F.lit(0), size - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k)
+                    for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
 
     def covered(p: Column) -> Column:
         last = F.size(p) - 1
-        return F.aggregate(F.sequence(F.lit(0), last), F.lit(0).cast("long"), lambda a, k: a + F.when(k == last, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), F.get(p, k + 1) - F.get(p, k))).cast("long"))
+        return F.aggregate(F.sequence(F.lit(0), last), F.lit(0).cast("long"), lambda a, k: a
+            + F.when(k == last, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), F.get(p, k + 1) - F.get(p, k))).cast("long"))
 
     def places(z: Column) -> Column:
         last = F.size(z) - 1
@@ -67,7 +69,8 @@ def line_passes(line: Column) -> Column:
 
     def judge(x: Column) -> Column:
         n, chars = x["n"], x["c"]
-        punctuation = ((n >= LONG_LINE_WORDS) & ~line.rlike(MARK)) | (_count(line, SYMBOL) * 100 > SYMBOL_PER_100 * chars) | (_count(line, "!") * 100 > SHOUT_PER_100 * n) & (n >= 4)
+        punctuation = ((n >= LONG_LINE_WORDS) & ~line.rlike(MARK)) | (_count(line, SYMBOL) * 100 > SYMBOL_PER_100 * chars) | (_count(line,
+                "!") * 100 > SHOUT_PER_100 * n) & (n >= 4)
         marks = _count(line, NAV_MARK)
         navigation = (marks >= 3) & (marks * 3 >= n)
         boilerplate = (n <= BOILERPLATE_MAX_WORDS) & line.rlike(BOILERPLATE)
@@ -98,7 +101,8 @@ def measure(text: Column) -> Column:
         failed = (b["w"]["n_words"] < 10) | (100 * b["w"]["n_repeat_words"] > 20 * b["w"]["n_words"])
         lost = 100 * (b["word_chars"] - _chars(clean)) > MAX_LOSS_PER_100 * b["word_chars"]
         return F.struct(
-            b["w"]["n_words"].alias("n_words"), b["word_chars"].alias("word_chars"), b["n_symbols"].alias("n_symbols"), b["l"]["n_dup_lines"].alias("n_dup_lines"), b["w"]["n_repeat_words"].alias("n_repeat_words"),
+            b["w"]["n_words"].alias("n_words"), b["word_chars"].alias("word_chars"), b["n_symbols"].alias("n_symbols"),
+                b["l"]["n_dup_lines"].alias("n_dup_lines"), b["w"]["n_repeat_words"].alias("n_repeat_words"),
             failed.alias("base_failed"), (~failed & ~lost).alias("kept"), clean.alias("clean_text"),
         )
 

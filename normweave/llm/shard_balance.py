@@ -74,13 +74,15 @@ def _round(state: DataFrame, quota: list[int], room_left: list[int], shards: int
     """One round over (row, key, key_n, pinned, shard); a row may have several keys and then stands once for each."""
     votes = state.groupBy("key", "shard").agg(F.count("*").alias("votes"))
     seen = _by_key(state.select("row", "key", "key_n", "pinned", F.col("shard").alias("now")), votes, large)
-    per_row = seen.groupBy("row", "shard").agg(F.sum("votes").alias("votes"), F.first("now").alias("now"), F.first("pinned").alias("pinned"), F.max(F.struct("key_n", "key")).alias("main"))
+    per_row = seen.groupBy("row", "shard").agg(F.sum("votes").alias("votes"), F.first("now").alias("now"),
+        F.first("pinned").alias("pinned"), F.max(F.struct("key_n", "key")).alias("main"))
     # ties fall alike for all rows of a key, so that two neighbours don't just change places, and to each shard in
     # proportion to the room that pinned keys leave in it
     even = (F.pmod(F.xxhash64("main.key", "shard"), F.lit(_UNIT)) + 0.5) / _UNIT
     choice = F.struct("votes", (F.log(even) / F.greatest(_choose(F.col("shard"), room_left), F.lit(0.5))).alias("tie"), "shard")
     best = per_row.groupBy("row").agg(F.max(choice).alias("best"), F.first("now").alias("now"), F.first("pinned").alias("pinned"), F.max("main").alias("main"))
-    wish = cut(best.select("row", "now", F.when(~F.col("pinned") & (F.col("best.shard") != F.col("now")), F.col("best.shard")).alias("to"), "pinned", "main"), "shard-wishes")
+    wish = cut(best.select("row", "now", F.when(~F.col("pinned") & (F.col("best.shard") != F.col("now")), F.col("best.shard")).alias("to"),
+            "pinned", "main"), "shard-wishes")
     wish = wish.withColumn("loose", ~F.col("pinned") & (F.col("main.key_n") > hot))
     counts = wish.groupBy("loose", "now", "to").agg(F.count("*").alias("n")).collect()  # at most 2 * shards * (shards + 1) rows
     # rows of hot keys that aren't pinned fill what others leave, as rows without links do: they don't stand in the others' way
@@ -124,13 +126,16 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
     state = cut(state, "shard-links")
     for turn in range(rounds):
         state = _round(state, quota, room_left, shards, turn, hot, names)
-    linked = state.groupBy("row").agg(F.first("shard").alias("moved"), F.first("pinned").alias("pinned"), F.max(F.struct("key_n", "key")).alias("main"), F.count("*").alias("keys"))
+    linked = state.groupBy("row").agg(F.first("shard").alias("moved"), F.first("pinned").alias("pinned"),
+        F.max(F.struct("key_n", "key")).alias("main"), F.count("*").alias("keys"))
     linked = cut(linked, "shard-linked")
     # small keys that full shards kept apart, whose rows have no other key, are dealt again, side by side
-    apart = linked.where(~F.col("pinned") & (F.col("main.key_n") <= hot)).groupBy("main.key").agg(F.min("moved").alias("low"), F.max("moved").alias("high"), F.max("keys").alias("keys"))
+    apart = linked.where(~F.col("pinned") & (F.col("main.key_n") <= hot)).groupBy("main.key").agg(F.min("moved").alias("low"),
+        F.max("moved").alias("high"), F.max("keys").alias("keys"))
     apart = apart.where("low < high AND keys = 1").select(F.col("key").alias("apart"))
     small = F.col("main.key_n") <= hot
-    linked = linked.where(small).join(apart, F.col("main.key") == F.col("apart"), "left").unionByName(linked.where(~small).withColumn("apart", F.lit(None).cast("string")))
+    linked = linked.where(small).join(apart, F.col("main.key") == F.col("apart"), "left").unionByName(
+        linked.where(~small).withColumn("apart", F.lit(None).cast("string")))
     rank = F.when(F.col("main").isNull(), 3).when(F.col("pinned"), 0).when(F.col("main.key_n") > hot, 2).when(F.col("apart").isNotNull(), _CUT).otherwise(1)
     lot = F.when(rank.isin(1, _CUT), F.xxhash64("main.key")).otherwise(F.xxhash64(F.lit(SEED + 1), "row"))
     placed = rows.select("row").join(linked, "row", "left").select("row", F.coalesce("moved", start).alias("shard"), rank.alias("class"), lot.alias("h"))
@@ -141,7 +146,8 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
     place = F.col("place") + _choose(F.col("shard") * _CLASSES + F.col("class"), before)
     placed = placed.select("row", "h", "shard", place.alias("slot"), ((F.col("class") < _CUT) & (place < _choose(F.col("shard"), quota))).alias("stays"))
     # by the hash of the lot, so that the rows of a small key that must go fill neighbouring places
-    over = dense_positions(placed.where("NOT stays").select("row", F.xxhash64(F.lit(SEED + 2), "h").alias("h"), F.lit(0).alias("all")), ["all"], ["h", "row"], None, "rank", rows=max(1, sum(max(0, held[s] - quota[s]) + counts.get((s, _CUT), 0) for s in range(shards))))
+    over = dense_positions(placed.where("NOT stays").select("row", F.xxhash64(F.lit(SEED + 2), "h").alias("h"), F.lit(0).alias("all")),
+        ["all"], ["h", "row"], None, "rank", rows=max(1, sum(max(0, held[s] - quota[s]) + counts.get((s, _CUT), 0) for s in range(shards))))
     gaps, at = [], 0  # (first rank, shard) of each gap
     for s in range(shards):
         if held[s] < quota[s]:
@@ -149,14 +155,17 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
             at += quota[s] - held[s]
     shard = reduce(lambda e, g: F.when(F.col("rank") >= g[0], F.lit(g[1])).otherwise(e), gaps, F.lit(0))
     first = reduce(lambda e, g: F.when(F.col("rank") >= g[0], F.lit(g[0]).cast("long")).otherwise(e), gaps, F.lit(0).cast("long"))
-    filled = over.select("row", shard.alias("shard"), (F.col("rank") - first).alias("from_gap")).select("row", "shard", (_choose(F.col("shard"), held) + F.col("from_gap")).alias("slot"))
+    filled = over.select("row", shard.alias("shard"), (F.col("rank") - first).alias("from_gap")).select("row", "shard",
+        (_choose(F.col("shard"), held) + F.col("from_gap")).alias("slot"))
     return placed.where("stays").select("row", "shard", "slot").unionByName(filled)
 
 
 def op5_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = cut(read(spark, sf_dir, "documents").select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("key"),
+        F.monotonically_increasing_id().alias("row"), "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(text).alias("text_crc32"), F.md5(text).alias("key"),
     ), "shard-documents")
     dealt = propagate(base.select("row"), base.select("row", "key"))
-    return base.join(dealt, "row").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return base.join(dealt, "row").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
+        F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

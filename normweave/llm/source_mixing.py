@@ -63,7 +63,9 @@ def schedule(aims: DataFrame, slots: int, spark: SparkSession) -> DataFrame:
     last = F.max("ord").over(W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     spans = aims.where("target > 0").withColumn("hi", up_to).withColumn("hi", F.when(F.col("ord") == last, F.lit(1.0)).otherwise(F.col("hi")))
     spans = spans.withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("ord")), F.lit(0.0)))
-    spans = spans.where("lo < hi").select("ord", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * PARTS), F.least(F.floor(F.col("hi") * PARTS), F.lit(PARTS - 1).cast("long")))).alias("part"))
+    spans = spans.where("lo < hi").select("ord", "lo", "hi",
+        F.explode(F.sequence(F.floor(F.col("lo") * PARTS), F.least(F.floor(F.col("hi") * PARTS),
+                    F.lit(PARTS - 1).cast("long")))).alias("part"))
     points = spark.range(slots).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("u")).withColumn("part", F.floor(F.col("u") * PARTS))
     dealt = points.join(spans, "part").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "ord")
     return dense_positions(dealt, ["ord"], ["slot"], None, "rank", bucket=F.shiftright("slot", SLOT_CHUNK.bit_length() - 1))
@@ -74,7 +76,8 @@ def place_hash(key: str, text: str) -> Column:
     return F.xxhash64(F.lit(SEED), F.col(key), F.coalesce(F.col(text), F.lit("")))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, share: float = SHARE, epochs: int = EPOCHS, row: str | None = None, tie: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, share: float = SHARE,
+    epochs: int = EPOCHS, row: str | None = None, tie: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(plan, documents); `row` and `tie` may name columns that number the rows and order those equal in id and text. plan: (slot, row, doc_id, epoch, first_word, n_words), the mix's pieces by slot.
     documents: (row, doc_id, h, size, source, source_size, target, taken), a row for each input row."""
     spark = docs.sparkSession
@@ -97,7 +100,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     slots = schedule(aims, int(-(-total // block)), spark)
     plan = slots.join(pieces, ["ord", "rank"]).select("slot", "row", "doc_id", "epoch", "first_word", "n_words")
     taken = plan.groupBy("row").agg(F.sum("n_words").alias("taken"))
-    return plan, base.join(taken, "row", "left").select("row", "doc_id", "h", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return plan, base.join(taken, "row", "left").select("row", "doc_id", "h", "size", "source", "source_size", "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

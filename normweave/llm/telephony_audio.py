@@ -34,7 +34,10 @@ BATCH_BYTES = 1_000_000
 ZSTD_LEVEL, PAGE_MB = 10, 8
 #: Fixed values of the IMA ADPCM format: quantiser steps and index moves by the code's low three bits.
 STEP = np.array([
-    7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
+    7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157,
+        173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707,
+        1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635,
+        13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
 ], dtype=np.int32)
 MOVE = np.array([-1, -1, -1, -1, 2, 4, 6, 8], dtype=np.int32)
 
@@ -181,7 +184,8 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
                 made = [payload_of(t) for t in batch.column(text).to_pylist()]
                 others = [f.name for f in kept]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in others], pa.array([n for n, _ in made], pa.int64()), pa.array([wav(p, codec_of(p)) for _, p in made], pa.binary())],
+                    [*[batch.column(c) for c in others], pa.array([n for n, _ in made], pa.int64()),
+                            pa.array([wav(p, codec_of(p)) for _, p in made], pa.binary())],
                     names=[*others, "n_bytes", "media"],
                 )
 
@@ -226,7 +230,8 @@ def decode(rows: DataFrame, media: str = "media", pcm: bool = True, feature: boo
     feature, if wanted, and, if pcm, pcm: binary of little-endian 16-bit samples at RATE_OUT, as to_planes orders them if
     planes."""
     small_batches(rows.sparkSession)
-    added = {"codec": pa.string(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), **({"feature": pa.string()} if feature else {})}
+    added = {"codec": pa.string(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
+        "media_bytes": pa.int64(), "media_sha256": pa.string(), **({"feature": pa.string()} if feature else {})}
     rows = rows.drop(*added, "pcm")
     kept = [f for f in rows.schema.fields if f.name != media]
     kinds = {pa.string(): T.StringType(), pa.int64(): T.LongType()}
@@ -244,7 +249,9 @@ def decode(rows: DataFrame, media: str = "media", pcm: bool = True, feature: boo
                             c.append(None)
                         continue
                     codec, _, payload, samples = x
-                    values = (codec, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), *([describe(codec, samples)] if feature else []), *([to_planes(samples) if planes else samples.astype("<i2").tobytes()] if pcm else []))
+                    values = (codec, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m),
+                        hashlib.sha256(m).hexdigest(), *([describe(codec, samples)] if feature else []),
+                        *([to_planes(samples) if planes else samples.astype("<i2").tobytes()] if pcm else []))
                     for c, v in zip(columns.values(), values):
                         c.append(v)
                 others = [f.name for f in kept]
@@ -273,4 +280,5 @@ def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.substring("media", 21, 2)  # of the WAV's format: samples of one codec compress best side by side
     stored = cut(store(read(spark, sf_dir, "documents").select("doc_id", "text")).sortWithinPartitions(tag), "telephony", ZSTD_LEVEL, PAGE_MB)
     resampled = cut(decode(stored, feature=False, planes=True), "telephony-pcm", ZSTD_LEVEL, PAGE_MB)
-    return features(resampled, planes=True).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.col("tail_crc32"), "media_bytes", "media_sha256", "feature")
+    return features(resampled, planes=True).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.col("tail_crc32"),
+        "media_bytes", "media_sha256", "feature")

@@ -98,10 +98,13 @@ def test_recall_of_isolated_pairs(spark):
 
 def test_queries_shorten_their_prefixes(spark):
     """A crowd asks at its full paths, a lonely pair at the shortest prefixes."""
-    sets = [(k, [1] * jaccard_join.TREES * jaccard_join.LONGEST) for k in range(40)] + [(100 + k, [2] * jaccard_join.TREES * jaccard_join.LONGEST) for k in range(2)]
+    sets = [(k, [1] * jaccard_join.TREES * jaccard_join.LONGEST) for k in range(40)] + [
+        (100 + k, [2] * jaccard_join.TREES * jaccard_join.LONGEST) for k in range(2)]
     tries = jaccard_join.forest(spark.createDataFrame(sets, "node long, labels array<smallint>"))
-    asked = jaccard_join.queries(tries, enough=jaccard_join.TREES).join(tries.select("key", "level").distinct(), "key").groupBy("node").agg(F.collect_set("level").alias("l"), F.count("*").alias("n")).collect()
-    assert {r["node"]: (r["l"], r["n"]) for r in asked} == {**{k: ([jaccard_join.LONGEST], jaccard_join.TREES) for k in range(40)}, 100: ([jaccard_join.SHORTEST], jaccard_join.TREES), 101: ([jaccard_join.SHORTEST], jaccard_join.TREES)}
+    asked = jaccard_join.queries(tries, enough=jaccard_join.TREES).join(tries.select("key", "level").distinct(),
+        "key").groupBy("node").agg(F.collect_set("level").alias("l"), F.count("*").alias("n")).collect()
+    assert {r["node"]: (r["l"], r["n"]) for r in asked} == {**{k: ([jaccard_join.LONGEST], jaccard_join.TREES) for k in range(40)},
+        100: ([jaccard_join.SHORTEST], jaccard_join.TREES), 101: ([jaccard_join.SHORTEST], jaccard_join.TREES)}
 
 
 def test_join_edges(spark):
@@ -140,7 +143,9 @@ def check_mix(rows, docs, block=source_mixing.BLOCK):
 
 
 def test_mix(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 50 == 1, None).otherwise(F.col("source"))).withColumns({"size": F.lit("x"), "target": F.lit(1), "row": F.lit(2)})
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("source",
+        F.when(F.col("doc_id") % 3 == 0, "hot").when(F.col("doc_id") % 50 == 1,
+            None).otherwise(F.col("source"))).withColumns({"size": F.lit("x"), "target": F.lit(1), "row": F.lit(2)})
     docs = docs.unionByName(docs.limit(5)).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
     plan, rows = source_mixing.mix(docs)
     got = rows.collect()
@@ -207,7 +212,8 @@ def test_a_large_group_that_fits_a_shard_stays_whole(spark):
     n = 3200  # a group of 3 % of the rows; the others are without links, or in pairs
     rows = spark.range(n).select(F.col("id").alias("row"))
     alone = F.when(F.col("row") < 96, "big").otherwise(F.concat(F.lit("k"), F.col("row").cast("string")))
-    pairs = F.when(F.col("row") < 288, F.concat(F.lit("big"), (F.col("row") % 3).cast("string"))).otherwise(F.concat(F.lit("k"), F.floor(F.col("row") / 2).cast("string")))
+    pairs = F.when(F.col("row") < 288, F.concat(F.lit("big"), (F.col("row") % 3).cast("string"))).otherwise(
+        F.concat(F.lit("k"), F.floor(F.col("row") / 2).cast("string")))
     for key in (alone, pairs):
         out = shard_balance.propagate(rows, rows.select("row", key.alias("key"))).collect()
         check_shards(out)
@@ -267,8 +273,10 @@ def test_shards_cut_no_more_than_a_plain_propagation(spark):
 
 def test_chats_round_trip(spark):
     hard = ["<|im_end|>", "\\", "\\<|", "<\\|im_start|>", "a\nb", "<", "|>", "\\n", "<<||", "é😀", "", "\\\\<|im_end|>\\"]
-    turns = [(1, i, role, t) for i, (role, t) in enumerate(itertools.product(("user", "assistant", "od\nd\\<|x"), hard))] + [(2, 0, None, None), (None, None, "assistant", "x"), (3, 0, "assistant", "same"), (3, 0, "assistant", "same")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"seq": F.lit(1), "kind": F.lit("q")}).select("conv_id", "turn", "role", "text")
+    turns = [(1, i, role, t) for i, (role, t) in enumerate(itertools.product(("user", "assistant", "od\nd\\<|x"), hard))] + [
+        (2, 0, None, None), (None, None, "assistant", "x"), (3, 0, "assistant", "same"), (3, 0, "assistant", "same")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"seq": F.lit(1),
+            "kind": F.lit("q")}).select("conv_id", "turn", "role", "text")
     done = chat_events.render(chat_events.fold(chat_events.log_of(df)))
     out = {r["conv_id"]: r for r in done.withColumn("turns", chat_events.parse(F.col("formatted"))).collect()}
     assert [(t["role"], t["text"]) for t in out[1]["turns"]] == [(r, t) for c, _, r, t in turns if c == 1]
@@ -281,11 +289,15 @@ def test_chats_round_trip(spark):
 
 def test_chat_events(spark):
     log = [
-        (1, 0, "start", 1, "user", None), (1, 1, "delta", 1, None, "hel"), (1, 2, "delta", 1, None, "lo"), (1, 3, "start", 2, "assistant", None), (1, 4, "delta", 2, None, "bad"), (1, 5, "start", 3, "user", None), (1, 6, "delta", 3, None, "why"),
-        (1, 7, "regenerate", 2, None, None), (1, 8, "delta", 2, None, "good"), (1, 9, "edit", 1, None, "hi"), (1, 10, "delta", 1, None, "!"), (1, 11, "start", 4, "user", None), (1, 12, "delta", 4, None, None),
+        (1, 0, "start", 1, "user", None), (1, 1, "delta", 1, None, "hel"), (1, 2, "delta", 1, None, "lo"),
+            (1, 3, "start", 2, "assistant", None), (1, 4, "delta", 2, None, "bad"), (1, 5, "start", 3, "user", None),
+            (1, 6, "delta", 3, None, "why"),
+        (1, 7, "regenerate", 2, None, None), (1, 8, "delta", 2, None, "good"), (1, 9, "edit", 1, None, "hi"),
+            (1, 10, "delta", 1, None, "!"), (1, 11, "start", 4, "user", None), (1, 12, "delta", 4, None, None),
     ]
     random.Random(2).shuffle(log)
-    out = chat_events.fold(spark.createDataFrame(log, "conv_id long, seq long, kind string, message long, role string, payload string")).orderBy("message").collect()
+    out = chat_events.fold(spark.createDataFrame(log,
+            "conv_id long, seq long, kind string, message long, role string, payload string")).orderBy("message").collect()
     assert [(r["message"], r["role"], r["text"]) for r in out] == [(1, "user", "hi!"), (2, "assistant", "good"), (4, "user", "")]
 
 
@@ -311,9 +323,11 @@ def test_random_chat_logs(spark):
     """Streamed, edited and regenerated messages, many of them at equal places, against a plain loop."""
     rng = random.Random(4)
     kinds = ("start", "delta", "delta", "delta", "edit", "regenerate")
-    log = [(c, rng.randrange(12), rng.choice(kinds), rng.randrange(4), rng.choice(("user", "assistant", None)), rng.choice((None, "", "a", "b\\n", "<|", "long words"))) for c in range(60) for _ in range(rng.randint(1, 25))]
+    log = [(c, rng.randrange(12), rng.choice(kinds), rng.randrange(4), rng.choice(("user", "assistant", None)),
+            rng.choice((None, "", "a", "b\\n", "<|", "long words"))) for c in range(60) for _ in range(rng.randint(1, 25))]
     out = collections.defaultdict(list)
-    for r in chat_events.fold(spark.createDataFrame(log, "conv_id long, seq long, kind string, message long, role string, payload string")).orderBy("conv_id", "message").collect():
+    for r in chat_events.fold(spark.createDataFrame(log,
+            "conv_id long, seq long, kind string, message long, role string, payload string")).orderBy("conv_id", "message").collect():
         out[r["conv_id"]].append((r["message"], r["role"], r["text"]))
     assert all(out[c] == told([e for e in log if e[0] == c]) for c in range(60))
 

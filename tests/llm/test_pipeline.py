@@ -44,11 +44,15 @@ def test_stages(spark, sf):
 def hostile(spark):
     """Null and empty values in every column, long texts, repeated rows, and columns that the stages use themselves."""
     good = "This is a fine line of text, with some words in it; it goes on for a while.\nAnother one follows here, and it ends well.\nAnd a third line number {n} closes the whole text."
-    rows = [(k, good.format(n=k), "en", "web", 1) for k in range(30)] + [(None, good.format(n="none"), "en", None, 2), (None, None, None, None, None), (40, None, "en", "web", 1), (41, "", "en", "web", 1), (42, "12 34 !?", None, "web", 1)]
-    rows += [(50, good.format(n=50), "en", "web", n) for n in (1, 1, 2)] + [(51, good.format(n=50), None, "books", 1)] + [(60, " ".join(f"word{i % 977} goes{i}," for i in range(40_000)), "en", "books", 1)]
-    taken = ("row", "h", "th", "tie", "times", "place", "score", "lang_pred", "ambiguous", "node", "size", "target", "taken", "ids", "quality", "__bucket", "__doc", "doc")
+    rows = [(k, good.format(n=k), "en", "web", 1) for k in range(30)] + [(None, good.format(n="none"), "en", None, 2),
+        (None, None, None, None, None), (40, None, "en", "web", 1), (41, "", "en", "web", 1), (42, "12 34 !?", None, "web", 1)]
+    rows += [(50, good.format(n=50), "en", "web", n) for n in (1, 1, 2)] + [(51, good.format(n=50), None, "books", 1)] + [
+        (60, " ".join(f"word{i % 977} goes{i}," for i in range(40_000)), "en", "books", 1)]
+    taken = ("row", "h", "th", "tie", "times", "place", "score", "lang_pred", "ambiguous", "node", "size", "target", "taken", "ids",
+        "quality", "__bucket", "__doc", "doc")
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, extra int")
-    return docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")) for c in taken}).withColumn("tags", F.create_map(F.lit("k"), F.col("extra")))
+    return docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string"))
+            for c in taken}).withColumn("tags", F.create_map(F.lit("k"), F.col("extra")))
 
 
 def test_hostile_rows(spark, sf):
@@ -68,9 +72,11 @@ def test_hostile_rows(spark, sf):
         if name == "language ID":
             assert not {40, 41, 42} & set(kept) and 51 in kept and kept.count(None) == 1
         if name == "near copies":
-            assert kept.count(50) == 1 and 51 not in kept and kept.count(40) == 1 and 41 not in kept and [r["extra"] for r in rows if r["doc_id"] == 50] == [r["extra"] for r in stage(spark, docs, sf).where("doc_id = 50").collect()]
+            assert kept.count(50) == 1 and 51 not in kept and kept.count(40) == 1 and 41 not in kept and [r["extra"] for r in rows
+                if r["doc_id"] == 50] == [r["extra"] for r in stage(spark, docs, sf).where("doc_id = 50").collect()]
         if name == "mixing":
-            assert not {40, 41} & set(kept) and sorted(map(str, rows)) == sorted(map(str, stage(spark, docs.repartition(3), sf).collect()))  # reruns agree, however the rows lie
+            assert not {40, 41} & set(kept) and sorted(map(str, rows)) == sorted(map(str, stage(spark, docs.repartition(3),
+                        sf).collect()))  # reruns agree, however the rows lie
         chain = cut(stage(spark, chain, sf), "test-hostile")
     assert chain.count() > 0
     assert corpus_pipeline.tokens(spark, docs, sf).count() == docs.count() and corpus_pipeline.tokens(spark, chain, sf).count() == chain.count()
@@ -84,6 +90,7 @@ def test_empty(spark, sf):
 
 
 def test_tokens_decode(spark, sf):
-    docs = spark.createDataFrame([(1, "en", "a", "Rules apply, \u00e9\U0001f600 to  all."), (2, "en", "a", ""), (3, None, None, None)], "doc_id long, lang string, source string, text string")
+    docs = spark.createDataFrame([(1, "en", "a", "Rules apply, \u00e9\U0001f600 to  all."), (2, "en", "a", ""), (3, None, None, None)],
+        "doc_id long, lang string, source string, text string")
     lib, rows = Tokenizer.from_file(bpe_lexicon.default_path()), corpus_pipeline.tokens(spark, docs, sf).collect()
     assert len(rows) == 3 and all(r["decoded_sha256"] == hashlib.sha256(lib.decode(r["ids"], skip_special_tokens=False).encode()).hexdigest() for r in rows)

@@ -14,7 +14,8 @@ from normweave.llm import ans_store, bpe_lexicon, language_id, quality_ranking,
 
 QUERIES = registry.queries()
 HARD = [
-    "", " ", "\n\n", "a  b   c", "don't we'll 'S", "x\n y \n", "Σίσυφος ΟΔΟΣ İı ﬁ", "<|endoftext|>", "a<|startoftext|>b <|endoftext|> c", "٣½ 一二三", "\x1c\x85 \xa0z", "😀👍🏽", "A" * 500, "ab" * 3000, "..!?;", "tab\tsep", "é ́x", "trailing  ", "\r\n x\r y",
+    "", " ", "\n\n", "a  b   c", "don't we'll 'S", "x\n y \n", "Σίσυφος ΟΔΟΣ İı ﬁ", "<|endoftext|>", "a<|startoftext|>b <|endoftext|> c",
+        "٣½ 一二三", "\x1c\x85 \xa0z", "😀👍🏽", "A" * 500, "ab" * 3000, "..!?;", "tab\tsep", "é ́x", "trailing  ", "\r\n x\r y",
 ]
 
 
@@ -134,7 +135,8 @@ def test_audio_query(spark, sf):
     for k, r in enumerate(sorted(rows, key=lambda r: r["doc_id"])):
         raw = texts[r["doc_id"]].encode()
         padded = raw.ljust(max(192, -(-len(raw) // 192) * 192))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded),
+            hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
         codec = ("adpcm", "alaw", "mulaw")[zlib.crc32(padded) % 3]
         media = telephony_audio.wav(padded, codec)
         assert media.endswith(padded) and (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
@@ -178,7 +180,8 @@ def test_planes_keep_every_sample():
 
 
 def test_audio_edges(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 500), (3, "é" * 500), (4, "x" * 100_000)], "doc_id long, text string").withColumns({"media": F.lit(1), "codec": F.lit(2)})
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 500), (3, "é" * 500), (4, "x" * 100_000)],
+        "doc_id long, text string").withColumns({"media": F.lit(1), "codec": F.lit(2)})
     out = telephony_audio.decode(telephony_audio.store(df)).collect()
     by = {r["doc_id"]: r for r in out}
     assert len(out) == 5 and by[1]["payload_sha256"] == by[2]["payload_sha256"] == hashlib.sha256(b" " * 192).hexdigest() and by[4]["payload_bytes"] == 100_032
@@ -194,8 +197,11 @@ def test_audio_edges(spark):
 def test_rules_edges(spark):
     good = "This is a fine line, with some words in it.\nAnother one follows here; it ends well.\nAnd a third line closes the text."
     rows = {
-        1: (None, False), 2: ("", False), 3: (" \n\t", False), 4: (good, True), 5: ("Home | News | Sport | Contact\n" * 3 + "ok words here", False), 6: ("too short.", False), 7: (good.upper().replace(" ", "!! "), False), 8: (("same five words again now " * 20), False),
-        9: (good + "\nAll rights reserved. © 2020", True), 10: ("word$$$ and&&& more%%% of*** " * 5, False), 11: (" ".join(f"w{i}." for i in range(30_000)), True),
+        1: (None, False), 2: ("", False), 3: (" \n\t", False), 4: (good, True),
+            5: ("Home | News | Sport | Contact\n" * 3 + "ok words here", False), 6: ("too short.", False),
+            7: (good.upper().replace(" ", "!! "), False), 8: (("same five words again now " * 20), False),
+        9: (good + "\nAll rights reserved. © 2020", True), 10: ("word$$$ and&&& more%%% of*** " * 5, False),
+            11: (" ".join(f"w{i}." for i in range(30_000)), True),
     }
     df = spark.createDataFrame([(k, t, "clash") for k, (t, _) in rows.items()], "doc_id long, text string, n_words string")
     out = {r["doc_id"]: r["quality"] for r in quality_rules.line_first_clean(df).collect()}
@@ -214,7 +220,8 @@ def test_ranking(spark):
 
 
 def test_ranking_edges(spark):
-    df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "a " * 50_000, 1), (3, "a " * 50_000, 1), (4, "\ud83d\ude00 \u6f22\u5b57\u3002", 1)], "doc_id long, text string, f int")
+    df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "a " * 50_000, 1), (3, "a " * 50_000, 1),
+            (4, "\ud83d\ude00 \u6f22\u5b57\u3002", 1)], "doc_id long, text string, f int")
     f = quality_ranking.features(df)
     assert f.count() == 5 and f.columns == ["doc_id", "f"] and quality_ranking.features(df.limit(0)).count() == 0
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (None, 1), (4, None), (99, 0)], "doc_id long, quality int")
@@ -268,7 +275,9 @@ def test_language(spark):
 
 def test_language_codes_decode_as_by_hand(spark):
     """Bits, losses and the nearest codeword by plain loops over the trigrams."""
-    texts = {"en": ["the cat and the dog went over the hill", "and the other one"], "fr": ["le chat et le chien sont dans la maison", "la rue et le pont"], "de": ["der hund und die katze gehen nach hause", "und das andere"]}
+    texts = {"en": ["the cat and the dog went over the hill", "and the other one"],
+        "fr": ["le chat et le chien sont dans la maison", "la rue et le pont"],
+        "de": ["der hund und die katze gehen nach hause", "und das andere"]}
     rows = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate((x, t) for x, ts in texts.items() for t in ts)], "doc_id long, text string, lang string")
     model, names = language_id.fit(rows), sorted(texts)
     assert model.languages == names
@@ -303,11 +312,15 @@ def test_language_edges(spark):
     for n in (2, 3, 5, 7, 8, 30):
         code = language_id.codewords(n)
         assert len({tuple(c) for c in code}) == n and (np.abs(code.sum(axis=0)) < n).all()
-    train = spark.createDataFrame([(i, "the cat and the dog went over the hill", "en") for i in range(20)] + [(i, "le chat et le chien sont dans la maison", "fr") for i in range(20, 40)] + [(50, None, "en"), (51, "x", None)], "doc_id long, text string, lang string")
+    train = spark.createDataFrame([(i, "the cat and the dog went over the hill", "en") for i in range(20)]
+        + [(i, "le chat et le chien sont dans la maison", "fr") for i in range(20, 40)] + [(50, None, "en"), (51, "x", None)],
+        "doc_id long, text string, lang string")
     model = language_id.fit(train)
-    rows = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "123 !?", 9), (4, "the dog and the cat", 9), (5, "le chien et la maison " * 5000, 9), (6, "the dog le chat the hill la maison", 9)], "doc_id long, text string, score int")
+    rows = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "123 !?", 9), (4, "the dog and the cat", 9),
+            (5, "le chien et la maison " * 5000, 9), (6, "the dog le chat the hill la maison", 9)], "doc_id long, text string, score int")
     out = {r["doc_id"]: r for r in language_id.predict(rows, model).collect()}
-    assert [out[k]["lang_pred"] for k in range(1, 6)] == ["und", "und", "und", "en", "fr"] and all(0 <= r["score"] <= 1 for r in out.values()) and out[1]["score"] == 0
+    assert [out[k]["lang_pred"] for k in range(1, 6)] == ["und", "und", "und", "en", "fr"] and all(0 <= r["score"] <= 1
+        for r in out.values()) and out[1]["score"] == 0
     none = language_id.fit(train.limit(0))
     assert {r["lang_pred"] for r in language_id.predict(rows, none).collect()} == {"und"}
     one = language_id.fit(train.where("lang = 'en'"))
