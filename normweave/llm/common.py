@@ -55,7 +55,7 @@ def let(value: Column, body) -> Column:
 
 
 def dense_positions(df: DataFrame, group: list[str], order: list[str], weight: str | None, out: str, bucket: Column | None = None,
-    rows: int | None = None, rows_a_bucket: int = 20_000) -> DataFrame:
+    rows: int | None = None, rows_a_bucket: int = 2_000) -> DataFrame:
     """Add column `out`: the sum of `weight` (None: the number) of the rows of the same group before the row in `order`.
 
     Buckets that ascend with `order` split each group, so no task sorts a whole group: sums of buckets give each

@@ -163,6 +163,21 @@ def test_mix(spark, sf):
     assert out.columns == docs.columns and times == +want
 
 
+def test_positions_in_buckets(spark):
+    """Sums over many buckets of few rows against a plain loop, with a hot group and ties."""
+    from normweave.llm.common import dense_positions
+
+    rng = random.Random(8)
+    rows = [(rng.choice(("hot", "hot", None, "b")), rng.randrange(-(2**63), 2**63) if k % 5 else 7, k, rng.randrange(4)) for k in range(900)]
+    df = spark.createDataFrame(rows, "g string, h long, id long, w long")
+    out = {r["id"]: (r["sum"], r["n"]) for r in dense_positions(dense_positions(df, ["g"], ["h", "id"], "w", "sum", rows_a_bucket=20), ["g"], ["h", "id"], None, "n", rows_a_bucket=20).collect()}
+    total, count = collections.Counter(), collections.Counter()
+    for g, _, k, w in sorted(rows, key=lambda r: (r[1], r[2])):
+        assert out[k] == (total[g], count[g])
+        total[g] += w
+        count[g] += 1
+
+
 def test_mix_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert source_mixing.mix(empty)[1].count() == 0 and source_mixing.repeat(empty).count() == 0
