@@ -267,6 +267,10 @@ def mapping_struct() -> Column:
     return F.struct(F.lit(True).alias("there"), F.transform("mapped_entities", lambda x: x["confidence"]).alias("confidences"))
 
 
+#: Tags, merges, complex keys and what may be a date: YAML that can fail after it is parsed.
+_CONSTRUCTED = re.compile(r"!|<<|\?|[\]}]\s*:|\d{4}-\d")
+
+
 @F.pandas_udf(BooleanType())
 def _parses(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """YAML and Python need their own parsers."""
@@ -280,7 +284,12 @@ def _parses(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         if content is None:
             return True
         try:
-            yaml.load(content, loader) if kind == "yaml" else ast.parse(content)
+            if kind != "yaml":
+                ast.parse(content)
+            elif _CONSTRUCTED.search(content):
+                yaml.load(content, loader)
+            else:  # nothing that could fail once the nodes are composed
+                yaml.compose(content, loader)
             return True
         except (yaml.YAMLError, SyntaxError, ValueError):
             return False
