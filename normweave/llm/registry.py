@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ans_store, bpe_lexicon, chat_events, collocations, jaccard_join, language_id, quality_ranking, quality_rules, shard_balance, source_mixing, telephony_audio, whitening
+from . import ans_store, bpe_lexicon, chat_events, collocations, jaccard_join, language_id, quality_ranking, quality_rules, repeat_index, shard_balance, source_mixing, telephony_audio, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_golden_mix": source_mixing.op8_golden_mix,
         "op9_telephony_audio": telephony_audio.op9_telephony_audio,
         "op10_ecoc_language": language_id.op10_ecoc_language,
+        "op11_run_length_repeats": repeat_index.op11_run_length_repeats,
         "op12_collocations": collocations.op12_collocations,
         "op13_tiled_whitening": whitening.op13_tiled_whitening,
     }
