@@ -27,7 +27,7 @@ from .common import cut, read, small_batches
 
 DEPTH, LEAST, TOP = 4, 30, 2000
 #: Bytes of text of a shard, and of one tokenised slice of it; bytes of text whose tries meet in one prefix range.
-SHARD_BYTES, SLICE_BYTES, RANGE_BYTES = 16_000_000, 1_000_000, 32_000_000
+SHARD_BYTES, SLICE_BYTES, RANGE_BYTES = 5_000_000, 1_000_000, 32_000_000
 #: Bits of a filter, as a power of two: 8 MB whatever the data.
 FILTER_BITS = 26
 #: A phrase goes if a longer one around it has so many per cent of its occurrences.
