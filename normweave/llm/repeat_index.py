@@ -238,8 +238,9 @@ def _counted(parts: DataFrame) -> DataFrame:
     """parts (key, content, n, …) as one row for each content of the keys that occur more than once: (key, content, n, rep,
     kinds), where n sums the content's n, rep is one of its parts and kinds is the number of the key's contents."""
     rest = [c for c in parts.columns if c not in ("key", "content", "n")]
-    each = parts.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min(F.struct(*rest)).alias("rep"))
-    keys = each.groupBy("key").agg(F.sum("n").alias("of"), F.count("*").alias("kinds")).where("of > 1").select("key", "kinds")
+    each = cut(parts.groupBy("key", "content").agg(F.sum("n").alias("n"), F.min(F.struct(*rest)).alias("rep")), "repeat-each")
+    # stored, so that the rows of a key with very many contents can be split where they are joined
+    keys = cut(each.groupBy("key").agg(F.sum("n").alias("of"), F.count("*").alias("kinds")).where("of > 1").select("key", "kinds"), "repeat-keys")
     return each.join(keys, "key")
 
 
