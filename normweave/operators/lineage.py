@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from normweave.sources.store import stored
+
 #: Node types, relationships and their order along a chain.
 LEVELS = ("document", "section", "chunk", "clause", "artifact")
 RELATIONS = ("CONTAINS_SECTION", "CONTAINS_CHUNK", "PARSED_TO", "COMPILED_TO")
@@ -101,3 +105,42 @@ def dot_lines(graph_nodes: DataFrame, graph_edges: DataFrame) -> DataFrame:
     ends = graph_nodes.sparkSession.range(2).select(F.when(F.col("id") == 0, 0).otherwise(3).alias("ord"), F.lit("").alias("id"),
         F.when(F.col("id") == 0, "digraph provenance {").otherwise("}").alias("line"))
     return ends.unionByName(n).unionByName(e)
+
+
+#: Relations that may nest to any depth or close cycles: a section in a section, a clause that names a section.
+NESTED = ("CONTAINS_SUBSECTION", "NAMED_BY")
+
+
+def links(sections: DataFrame, chunks: DataFrame, clauses: DataFrame, artifacts: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """(source_id, target_id, relationship) of the whole graph, each level from its own table, so no level is repeated and
+    none needs a distinct: sections (doc_id, section_id, parent_section), chunks (section_id, chunk_id), clauses (chunk_id,
+    clause_id), artifacts (clause_id, artifact_id) and references (section_id, clause_id) of clauses that name a section."""
+
+    def of(rows: DataFrame, kind: str, source: str, to: str, target: str, relation: str) -> DataFrame:
+        ends = _node(kind, F.col(source)).alias("source_id"), _node(to, F.col(target)).alias("target_id")
+        return rows.select(*ends, F.lit(relation).alias("relationship")).where("source_id IS NOT NULL AND target_id IS NOT NULL")
+
+    parts = [of(sections, "document", "doc_id", "section", "section_id", RELATIONS[0]), of(chunks, "section", "section_id", "chunk", "chunk_id", RELATIONS[1]),
+        of(clauses, "chunk", "chunk_id", "clause", "clause_id", RELATIONS[2]), of(artifacts, "clause", "clause_id", "artifact", "artifact_id", RELATIONS[3]),
+        of(sections, "section", "parent_section", "section", "section_id", NESTED[0])]
+    if references is not None:
+        parts.append(of(references, "section", "section_id", "clause", "clause_id", NESTED[1]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def reach(graph: DataFrame, starts: DataFrame, upwards: bool = False) -> DataFrame:
+    """(start_id, node_id, depth): every node that (start_id) reach along, or against, the links (source_id, target_id), with
+    the fewest links between them; a start reaches itself at depth 0.
+
+    A semi-naive loop: each round joins only the pairs found in the round before with the links, and keeps those that are new,
+    so a cycle ends by itself and there are as many rounds as the deepest shortest path. Rounds are stored tables. Links of
+    null ends lead nowhere; repeated links and starts count once.
+    """
+    near, far = ("target_id", "source_id") if upwards else ("source_id", "target_id")
+    step = stored(graph.select(F.col(near).alias("node_id"), F.col(far).alias("next_id")).where("node_id IS NOT NULL AND next_id IS NOT NULL").distinct(), "links")
+    found = [stored(starts.select("start_id", F.col("start_id").alias("node_id")).distinct().withColumn("depth", F.lit(0)), "reach")]
+    while not found[-1].isEmpty():
+        seen = reduce(DataFrame.unionByName, found).select("start_id", "node_id")
+        new = found[-1].join(step, "node_id").select("start_id", F.col("next_id").alias("node_id")).distinct()
+        found.append(stored(new.join(seen, ["start_id", "node_id"], "left_anti").withColumn("depth", F.lit(len(found))), "reach"))
+    return reduce(DataFrame.unionByName, found)

@@ -98,6 +98,39 @@ def load_stats(requests: DataFrame, by: list[str], value: str = "value", failed:
     return sums.join(places, by).withColumn("passed", F.col("failures") <= 0.1 * F.col("count"))
 
 
+def window_stats(requests: DataFrame, window: Column, by: list[str], value: str = "value", failed: Column | None = None) -> DataFrame:
+    """(start, end, *by, count, failures, success_rate, per_second, mean, stdev, min, max) of each window of event time.
+
+    `window` is F.window or F.session_window over a timestamp. All aggregates are sums, so the same plan runs over a table and,
+    with a watermark, over a stream. per_second divides by the window's length, a session's with its closing gap; a null
+    timestamp is in no window; a value that is null counts as a request without a time.
+    """
+    lost = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
+    rows = requests.groupBy(window.alias("w"), *by).agg(F.count("*").alias("count"), F.count_if(lost).alias("failures"), F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("stdev"), F.min(value).alias("min"), F.max(value).alias("max"))
+    seconds = (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1_000_000
+    return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "count", "failures",
+        (1 - F.col("failures") / F.col("count")).alias("success_rate"), (F.col("count") / seconds).alias("per_second"), "mean", "stdev", "min", "max")
+
+
+#: Accuracy of the quantile sketches: the error of a rank falls with it, about 1.3 % at 200, 0.3 % at 1000.
+SKETCH_K = 1000
+
+
+def window_sketches(requests: DataFrame, window: Column, by: list[str], value: str = "value", k: int = SKETCH_K) -> DataFrame:
+    """(start, end, *by, sketch): a quantile sketch of bounded size a window and group. Sketches of any windows merge, so
+    longer spans need no second look at the requests."""
+    rows = requests.where(F.col(value).isNotNull()).groupBy(window.alias("w"), *by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+    return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "sketch")
+
+
+def merged_quantiles(sketches: DataFrame, by: list[str], places: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), k: int = SKETCH_K) -> DataFrame:
+    """(*by, count, p50, p90, …) of the merged sketches; each quantile's rank is within the sketch's error."""
+    rows = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", k).alias("s"))
+    names = [f"p{p * 100:g}".replace(".", "_") for p in places]
+    return rows.select(*by, F.kll_sketch_get_n_double("s").alias("count"), *[F.kll_sketch_get_quantile_double("s", F.lit(p)).alias(n) for p, n in zip(places, names, strict=True)])
+
+
 #: Kinds and help texts of the metrics that the engine's jobs record, by name after the prefix.
 DEFAULTS = (
     ("requests_total", "counter", "Total number of API requests"), ("request_duration_seconds", "histogram", "Request duration in seconds"),

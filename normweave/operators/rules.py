@@ -48,6 +48,47 @@ def trigger_log(facts: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("r_type").isin("obligation", "prohibition").alias("blocking"), "ts")
 
 
+#: Fields of a fact that an image of a changed row holds.
+IMAGE = "struct<actor:string,action:string,object:string,status:string,completed:boolean,attempted:boolean,condition_met:boolean>"
+
+
+def fired(changes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Audit rows of triggers over a change log (change_id, op, entity_id, before, after, ts), op insert, update or delete, the
+    images as IMAGE.
+
+    Obligations are checked on the row to be, before inserts and updates; prohibitions on any change, a delete on the row that
+    was. Both block the change. Rules of other types only note inserts and updates that go through, so they never fire for a
+    blocked change, and only if their condition, where they have one, is met. Rules join by the actor of the image they are
+    checked on. An unknown operation fires nothing; each row of the log is a change of its own; a null flag counts as false.
+    """
+    image = F.when(F.col("op") == "delete", F.col("before")).otherwise(F.col("after"))
+    known = changes.where(F.col("op").isin("insert", "update", "delete")).withColumn("image", image)
+    facts = known.select("change_id", "op", "entity_id", F.col("before.status").alias("status_before"), F.col("after.status").alias("status_after"), "ts", "image.*")
+    kind, deleted = F.col("r_type"), F.col("op") == "delete"
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    hit = F.when(kind == "obligation", ~deleted & ~flag("completed")).when(kind == "prohibition", flag("attempted")).otherwise(
+        ~deleted & (~flag("r_has_condition") | flag("condition_met")))
+    name = F.when(kind == "obligation", "obligation_not_met").when(kind == "prohibition", "prohibition_violated").otherwise(F.concat(kind, F.lit("_triggered")))
+    blocking = kind.isin("obligation", "prohibition")
+    rows = joined(facts, rules).where(hit).select("change_id", "op", "entity_id", F.col("r_rule_id").alias("rule_id"), name.alias("violation_type"),
+        F.when(kind == "prohibition", "critical").otherwise(F.col("r_severity")).alias("severity"), blocking.alias("blocking"), "status_before", "status_after", "ts")
+    stopped = rows.where("blocking").select("change_id").distinct()
+    return rows.where("blocking").unionByName(rows.where("NOT blocking").join(stopped, "change_id", "left_anti"))
+
+
+def split_changes(changes: DataFrame, audit: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined) changes, by whether a blocking rule fired."""
+    stopped = audit.where("blocking").select("change_id").distinct()
+    return changes.join(stopped, "change_id", "left_anti"), changes.join(stopped, "change_id", "left_semi")
+
+
+def replayed(accepted: DataFrame) -> DataFrame:
+    """(entity_id, after): the table that accepted changes leave, by each entity's last change in (ts, change_id); deleted
+    entities are gone."""
+    last = accepted.groupBy("entity_id").agg(F.max_by(F.struct("op", "after"), F.struct("ts", "change_id")).alias("c"))
+    return last.where("c.op <> 'delete'").select("entity_id", F.col("c.after").alias("after"))
+
+
 def validator_outcomes(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """Verdict of each (fact, rule): here a missing completion is a violation, unlike in a CHECK."""
     violated = (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from normweave.operators import clauses, structure
 from normweave.operators.mapping import Registry
+from normweave.sources.store import spread
 
 #: (level, title, body); {actor} and {n} stand for the customer's desk and number.
 SECTIONS = (
@@ -72,7 +73,7 @@ def registry(spark: SparkSession) -> Registry:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, doc_key, text)"""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment"), "c_custkey")
     text = "Preamble of desk {n}.\n" + "\n".join(f"{'#' * n} {title}\n{body}" for n, title, body in SECTIONS)
     actor = F.concat(F.lit("The "), F.lower("c_mktsegment"), F.lit(" desk"))
     filled = F.replace(F.replace(F.lit(text), F.lit("{actor}"), actor), F.lit("{n}"), F.col("c_custkey").cast("string"))
@@ -90,3 +91,23 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clauses.parse(clauses.split_clauses(chunks(spark, sf_dir)))
+
+
+#: (rule_id, type, actor, action, object, has_condition, severity)
+RULES = (
+    ("R1", "obligation", "automobile", "close", "order", False, "high"),
+    ("R2", "prohibition", "building", "hold", "order", False, "critical"),
+    ("R3", "permission", "machinery", "review", None, False, "medium"),
+    ("R4", "obligation", "building", "close", None, True, "high"),
+    ("R5", "prohibition", "furniture", "close", None, False, "critical"),
+)
+
+
+def rule_cte() -> str:
+    """The rules as a common table expression `rule`."""
+    rows = values([(*r[:5], str(r[5]), r[6]) for r in RULES]).replace("'True'", "true").replace("'False'", "false")
+    return f"rule(rule_id, type, actor, action, object, has_condition, severity) AS ({rows})"
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(RULES), "rule_id string, type string, actor string, action string, object string, has_condition boolean, severity string")

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from normweave.operators import artifacts, clauses, mapping, structure, validation
 from normweave.operators.mapping import Registry
-from normweave.sources.store import stored
+from normweave.sources.store import spread, stored
 
 
 def ingest(docs: DataFrame) -> DataFrame:
-    """Markdown documents (doc_id, doc_key, text) to chunks."""
-    return structure.chunks(structure.markdown_sections(docs))
+    """Markdown documents (doc_id, doc_key, text) to chunks, spread over the cores by document before they grow."""
+    return structure.chunks(structure.markdown_sections(spread(docs, "doc_id")))
 
 
 def parse_chunks(chunks: DataFrame) -> DataFrame:

@@ -3,44 +3,19 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from normweave.functions import text as T
 from normweave.operators import artifacts, clauses, lineage, mapping, metrics, rules, structure, validation, views
-from normweave.plans import corpus, oracle, pipeline
+from normweave.plans import corpus, history, oracle, pipeline  # noqa: F401  history registers queries of its own
+from normweave.plans.catalog import oracle_sql, queries, query, read  # noqa: F401
 from normweave.sources import stages
 from normweave.sources.store import scratch_path, stored
 from normweave.streaming import events
 
 AS_OF = datetime.datetime(2026, 1, 1)
 FORMATS = ("yaml", "sql")
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        name = f.__name__.strip("_")
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,23 +47,23 @@ def flagship(spark, sf_dir):
 
 @query("SELECT p_partkey, trim(regexp_replace(upper(p_name), '[^A-Z0-9]+', '_', 'g'), '_') AS doc_key FROM part")
 def doc_key_normalize(spark, sf_dir):
-    return _read(spark, sf_dir, "part").select("p_partkey", T.doc_key(F.col("p_name")).alias("doc_key"))
+    return read(spark, sf_dir, "part").select("p_partkey", T.doc_key(F.col("p_name")).alias("doc_key"))
 
 
 @query("SELECT sha256(coalesce(text, '')) AS hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
 def doc_hash_dedup(spark, sf_dir):
-    return structure.first_of_equal(_read(spark, sf_dir, "documents"))
+    return structure.first_of_equal(read(spark, sf_dir, "documents"))
 
 
 @query("SELECT lang, count(*) AS docs, sum(length(text) // 4)::BIGINT AS tokens, max(length(text) // 4)::INTEGER AS longest FROM documents GROUP BY lang")
 def token_count_by_lang(spark, sf_dir):
     n = T.token_count(F.col("text"))
-    return _read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(n).alias("tokens"), F.max(n).alias("longest"))
+    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(n).alias("tokens"), F.max(n).alias("longest"))
 
 
 @query(r"""SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> ''))::INTEGER AS sentences FROM documents""")
 def sentence_split_counts(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
 
 
 @query(rf"""WITH RECURSIVE sections AS (SELECT doc_id::VARCHAR AS doc_id, doc_id || '_S001' AS section_id, {oracle._strip("replace(text, chr(10), chr(10) || chr(10))")} AS text FROM documents WHERE {oracle._strip('text')} <> ''),{oracle.chunk_cte()}
@@ -96,13 +71,13 @@ SELECT doc_id, section_id || '_C' || lpad(chunk_ord::VARCHAR, greatest(3, length
 def chunk_fold(spark, sf_dir):
     """Every line of a document is a paragraph; lines over the limit are cut at sentences."""
     key = F.col("doc_id").cast("string")
-    docs = _read(spark, sf_dir, "documents").select(key.alias("doc_id"), key.alias("doc_key"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    docs = read(spark, sf_dir, "documents").select(key.alias("doc_id"), key.alias("doc_key"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return structure.chunks(structure.markdown_sections(docs)).select("doc_id", "chunk_id", "token_count", F.sha2("text", 256).alias("text_hash"))
 
 
 @query("SELECT doc_id::VARCHAR AS doc_id, doc_id || '_S001_RAW' AS chunk_id, sha256(coalesce(text, '')) AS text_hash FROM documents")
 def raw_text_chunks(spark, sf_dir):
-    return stages.raw_text(_read(spark, sf_dir, "documents")).select("doc_id", "chunk_id", F.sha2("text", 256).alias("text_hash"))
+    return stages.raw_text(read(spark, sf_dir, "documents")).select("doc_id", "chunk_id", F.sha2("text", 256).alias("text_hash"))
 
 
 @query(f"WITH {oracle.SECTION_CTE} SELECT doc_id, count(*) AS sections, count(*) FILTER (text <> '') AS chunks FROM sections GROUP BY doc_id")
@@ -112,7 +87,7 @@ def documents_listed(spark, sf_dir):
 
 @query(r"""SELECT page_id, 1 AS section_ord, trim(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS section_title, 1 AS hierarchy_level FROM pages""")
 def html_sections(spark, sf_dir):
-    return structure.html_sections(_read(spark, sf_dir, "pages")).select("page_id", "section_ord", "section_title", "hierarchy_level")
+    return structure.html_sections(read(spark, sf_dir, "pages")).select("page_id", "section_ord", "section_title", "hierarchy_level")
 
 
 @query(f"""WITH {oracle.SECTION_CTE} SELECT s.doc_id, s.doc_id || '_S' || lpad(s.sec::VARCHAR, 3, '0') AS section_id, s.sec::INTEGER AS section_ord, s.title AS section_title, s.lvl::INTEGER AS hierarchy_level,
@@ -153,7 +128,7 @@ def clause_temporal(spark, sf_dir):
 @query(r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents)
 SELECT doc_id, count(*) AS n FROM s WHERE regexp_matches(s, '(?i)(^|[^\p{L}\p{N}_])(must|shall|may|should|required|prohibited|permitted|means|defined|except|unless|if|when|where)($|[^\p{L}\p{N}_])') GROUP BY doc_id""")
 def clause_when_documents(spark, sf_dir):
-    s = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+    s = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
     return s.where(clauses.is_regulatory(F.col("s"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -211,16 +186,28 @@ def mapping_status(spark, sf_dir):
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_cosine_similarity(q.e, i.e), 6) AS similarity FROM v q, v i WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM s) SELECT query_id, item_id, similarity, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
 def embedding_topk(spark, sf_dir):
-    v = _read(spark, sf_dir, "embeddings")
+    v = read(spark, sf_dir, "embeddings")
     top = mapping.top_k(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"),
         v.select(F.col("vec_id").alias("item_id"), "embedding"), 3)
     return top.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES ('people', 0), ('books', 1), ('archive', 2)) t(schema_id, o)) SELECT schema_id, CASE schema_id WHEN 'archive' THEN 2 WHEN 'people' THEN 3 ELSE 1 END AS schema_ord, CASE schema_id WHEN 'people' THEN 1 WHEN 'books' THEN 3 ELSE 2 END::BIGINT AS n_fields FROM s""")
+_old_schemas = ", ".join(f"('{x}', {n}, {sum(f[0] == x for f in corpus.FIELDS)})" for n, x in enumerate(dict.fromkeys(f[0] for f in corpus.FIELDS)))
+
+
+@query(f"""WITH old(schema_id, schema_ord, n_fields) AS (VALUES {_old_schemas}), new AS (SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'people' ELSE 'region_' || r_regionkey END AS schema_id, count(*) AS n_fields FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
+placed AS (SELECT schema_id, n_fields, (SELECT max(schema_ord) FROM old) + row_number() OVER (ORDER BY schema_id) AS schema_ord FROM new)
+SELECT schema_id, schema_ord::INTEGER AS schema_ord, n_fields::BIGINT AS n_fields FROM old WHERE schema_id NOT IN (SELECT schema_id FROM new) UNION ALL SELECT schema_id, schema_ord::INTEGER, n_fields FROM placed""")
 def registry_upsert(spark, sf_dir):
+    """Regions as schemas whose nations are fields; those of even key replace a schema of the registry."""
     reg = corpus.registry(spark)
-    new = reg.fields.where("field_name = 'client_id'").withColumn("schema_ord", F.lit(0))
+    r, n = read(spark, sf_dir, "region").select("r_regionkey"), read(spark, sf_dir, "nation")
+    schema = F.when(F.col("r_regionkey") % 2 == 0, "people").otherwise(F.concat(F.lit("region_"), F.col("r_regionkey").cast("string")))
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(schema.alias("schema_id"), F.lit("nation").alias("table_name"),
+        F.col("n_name").alias("field_name"), F.col("n_nationkey").alias("field_ord"))
+    places = rows.select("schema_id").distinct().withColumn("schema_ord", (F.row_number().over(Window.orderBy("schema_id")) - 1).cast("int"))  # a row a schema
+    new = rows.join(F.broadcast(places), "schema_id").select("schema_ord", F.lit(0).alias("table_ord"), F.col("field_ord").cast("int").alias("field_ord"), "schema_id",
+        "table_name", "field_name", F.lit("VARCHAR").alias("field_type"), F.array().cast("array<string>").alias("labels"), F.lit("").alias("description"))
     return reg.with_schema(new).fields.groupBy("schema_id", "schema_ord").agg(F.count("*").alias("n_fields"))
 
 
@@ -430,31 +417,20 @@ def events_published(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, 'quantity' AS rule FROM lineitem WHERE NOT coalesce(l_quantity <= 45, true) UNION ALL SELECT l_orderkey, l_linenumber, 'late_return' FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate < TIMESTAMP '1995-01-01'")
 def rule_check_violations(spark, sf_dir):
-    li = _read(spark, sf_dir, "lineitem")
+    li = read(spark, sf_dir, "lineitem")
     late = (F.col("l_returnflag") == "R") & (F.col("l_shipdate") < F.lit(datetime.datetime(1995, 1, 1)))
     of = lambda p, name: rules.check_violations(li, p).select("l_orderkey", "l_linenumber", F.lit(name).alias("rule"))
     return of(F.col("l_quantity") <= 45, "quantity").unionByName(of(rules.prohibition_predicate(late), "late_return"))
 
 
-#: (rule_id, type, actor, action, object, has_condition, severity)
-RULES = (
-    ("R1", "obligation", "automobile", "close", "order", False, "high"),
-        ("R2", "prohibition", "building", "hold", "order", False, "critical"),
-        ("R3", "permission", "machinery", "review", None, False, "medium"),
-    ("R4", "obligation", "building", "close", None, True, "high"), ("R5", "prohibition", "furniture", "close", None, False, "critical"),
-)
-_RULE_CTE = f"rule(rule_id, type, actor, action, object, has_condition, severity) AS ({corpus.values([(*r[:5], str(r[5]).lower() == 'true', r[6]) for r in RULES]).replace('True', 'true').replace('False', 'false')})"
+_RULE_CTE = corpus.rule_cte()
 _FACT_CTE = _RULE_CTE + """, fact AS (SELECT o_orderkey AS entity_id, lower(c_mktsegment) AS actor, CASE o_orderstatus WHEN 'F' THEN 'close' WHEN 'O' THEN 'hold' ELSE 'review' END AS action, 'order' AS object,
   CASE WHEN o_totalprice > 300000 THEN 'violation' ELSE 'ok' END AS status, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'F' END AS completed, o_orderstatus = 'O' AS attempted, o_orderpriority LIKE '1%' AS condition_met, o_orderdate AS ts
   FROM orders JOIN customer ON o_custkey = c_custkey), hit AS (SELECT f.*, r.rule_id, r.type AS r_type, r.action AS r_action, r.object AS r_object, r.has_condition, r.severity FROM fact f JOIN rule r ON lower(f.actor) = lower(r.actor))"""
 
 
-def _rule_table(spark):
-    return spark.createDataFrame(list(RULES), "rule_id string, type string, actor string, action string, object string, has_condition boolean, severity string")
-
-
 def _facts(spark, sf_dir):
-    o, c = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     s = F.col("o_orderstatus")
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("entity_id"), F.lower("c_mktsegment").alias("actor"),
@@ -468,12 +444,12 @@ def _facts(spark, sf_dir):
 @query(f"""WITH {_FACT_CTE} SELECT entity_id, rule_id, CASE r_type WHEN 'obligation' THEN 'obligation_not_met' WHEN 'prohibition' THEN 'prohibition_violated' ELSE r_type || '_triggered' END AS violation_type,
   CASE WHEN r_type = 'prohibition' THEN 'critical' ELSE severity END AS severity, r_type IN ('obligation', 'prohibition') AS blocking, ts FROM hit WHERE CASE r_type WHEN 'obligation' THEN NOT coalesce(completed, false) WHEN 'prohibition' THEN attempted ELSE true END""")
 def rule_trigger_audit(spark, sf_dir):
-    return rules.trigger_log(_facts(spark, sf_dir), _rule_table(spark))
+    return rules.trigger_log(_facts(spark, sf_dir), corpus.rule_table(spark))
 
 
 @query(f"""WITH {_FACT_CTE} SELECT rule_id, count(*) AS n, count(*) FILTER (CASE r_type WHEN 'obligation' THEN NOT coalesce(completed, false) WHEN 'prohibition' THEN attempted ELSE status = 'violation' END) AS violations FROM hit GROUP BY rule_id""")
 def rule_validator_outcomes(spark, sf_dir):
-    return rules.validator_outcomes(_facts(spark, sf_dir), _rule_table(spark)).groupBy("rule_id").agg(F.count("*").alias("n"),
+    return rules.validator_outcomes(_facts(spark, sf_dir), corpus.rule_table(spark)).groupBy("rule_id").agg(F.count("*").alias("n"),
         F.count_if("violated").alias("violations"))
 
 
@@ -481,19 +457,31 @@ def rule_validator_outcomes(spark, sf_dir):
   count(*) FILTER (CASE r_type WHEN 'obligation' THEN NOT coalesce(completed, false) WHEN 'prohibition' THEN action = r_action AND (r_object IS NULL OR object = r_object) ELSE false END) AS violations FROM hit GROUP BY entity_id)
 SELECT entity_id, coalesce(allow, false) AS allow, coalesce(violations, 0)::BIGINT AS violations FROM fact LEFT JOIN d USING (entity_id)""")
 def policy_decisions(spark, sf_dir):
-    return rules.decisions(_facts(spark, sf_dir), _rule_table(spark))
+    return rules.decisions(_facts(spark, sf_dir), corpus.rule_table(spark))
 
 
 @query("SELECT l_orderkey AS plan_id, bool_and(NOT (l_linestatus = 'O' AND l_discount > 0.08)) AS passed, 'hard-mandatory' AS level FROM lineitem GROUP BY 1")
 def plan_policy_all(spark, sf_dir):
-    li = _read(spark, sf_dir, "lineitem")
+    li = read(spark, sf_dir, "lineitem")
     changes = li.select(F.col("l_orderkey").alias("plan_id"), F.col("l_linestatus").alias("resource"), (F.col("l_discount") > 0.08).alias("enabled"))
     return rules.plan_verdicts(changes, "prohibition", "O")
 
 
-@query(f"WITH {_RULE_CTE} SELECT rule_id || '_' || p AS entity_id, actor, CASE WHEN type = 'prohibition' THEN NULL ELSE p = 'compliant' END AS completed, type = 'prohibition' AND p = 'violating' AS attempted FROM rule, (VALUES ('compliant'), ('violating')) t(p)")
+@query("""WITH r AS (SELECT s_suppkey, lower(n_name) AS actor, CASE s_suppkey % 3 WHEN 0 THEN 'obligation' WHEN 1 THEN 'prohibition' ELSE 'permission' END AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'S' || s_suppkey || '_' || p AS entity_id, actor, CASE WHEN type = 'prohibition' THEN NULL ELSE p = 'compliant' END AS completed, type = 'prohibition' AND p = 'violating' AS attempted, 'S' || s_suppkey AS broken FROM r, (VALUES ('compliant'), ('violating')) t(p)
+WHERE p = 'violating' AND type <> 'permission' UNION ALL SELECT 'S' || s_suppkey || '_' || p, actor, CASE WHEN type = 'prohibition' THEN NULL ELSE p = 'compliant' END, type = 'prohibition' AND p = 'violating', NULL FROM r, (VALUES ('compliant'), ('violating')) t(p) WHERE p = 'compliant' OR type = 'permission'""")
 def rule_fixtures(spark, sf_dir):
-    return rules.fixture_pairs(_rule_table(spark)).select("entity_id", "actor", "completed", "attempted")
+    """A rule a supplier; each pair of facts is put to its own rule: who breaks it must be the violating one."""
+    k = F.col("s_suppkey") % 3
+    s = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    table = s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("rule_id"),
+        F.when(k == 0, "obligation").when(k == 1, "prohibition").otherwise("permission").alias("type"), F.lower("n_name").alias("actor"),
+        F.lit("close").alias("action"), F.lit("order").alias("object"), F.lit(False).alias("has_condition"), F.lit("high").alias("severity"))
+    facts = rules.fixture_pairs(table)
+    own = F.concat("rule_id", F.when(F.col("type") == "permission", "_none").otherwise("_violating")) == F.col("entity_id")
+    broken = rules.validator_outcomes(facts, table).where("violated").join(table.select("rule_id", "type"), "rule_id").where(own).select("entity_id",
+        F.col("rule_id").alias("broken"))
+    return facts.select("entity_id", "actor", "completed", "attempted").join(broken, "entity_id", "left")
 
 
 # -- reports
@@ -518,7 +506,7 @@ _AUDIT_CTE = """audit AS (SELECT event_id AS id, event_type AS violation_type, C
 
 def _audit(spark, sf_dir):
     k = F.col("event_id") % 4
-    return _read(spark, sf_dir, "events").where("value IS NOT NULL").select(
+    return read(spark, sf_dir, "events").where("value IS NOT NULL").select(
         F.col("event_id").alias("id"), F.col("event_type").alias("violation_type"),
             F.when(F.col("user_id") % 2 == 0, "client").otherwise("payment").alias("table_name"),
         F.when(k == 0, "critical").when(k == 1, "high").when(k == 2, "medium").otherwise("low").alias("severity"),
@@ -546,7 +534,7 @@ def erase_document(spark, sf_dir):
 
 @query("SELECT 'orders' AS child, count(*) AS orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'repeated orders', (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1))")
 def referential_integrity(spark, sf_dir):
-    o, c, li = (_read(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
+    o, c, li = (read(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
     count = lambda df, name: df.agg(F.lit(name).alias("child"), F.count("*").alias("orphans"))
     lost = count(views.orphans(o.select(F.col("o_custkey").alias("k")), c.select(F.col("c_custkey").alias("k")), "k"), "orders")
     return lost.unionByName(count(views.orphans(li.select(F.col("l_orderkey").alias("k")), o.select(F.col("o_orderkey").alias("k")), "k"),
@@ -560,7 +548,7 @@ def rule_lookup_first(spark, sf_dir):
 
 @query("SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
 def job_status_latest(spark, sf_dir):
-    e = _read(spark, sf_dir, "events")
+    e = read(spark, sf_dir, "events")
     return views.latest(e.select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("updated_at"),
             F.col("event_type").alias("status"))).select("job_id", "status")
 
@@ -578,7 +566,7 @@ def clause_version_diff(spark, sf_dir):
 
 @query("SELECT event_type, round(sum(value), 4) AS total, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
 def metric_counters(spark, sf_dir):
-    return metrics.counters(_read(spark, sf_dir, "events").where("value IS NOT NULL"), ["event_type"]).withColumn("total", F.round("total", 4))
+    return metrics.counters(read(spark, sf_dir, "events").where("value IS NOT NULL"), ["event_type"]).withColumn("total", F.round("total", 4))
 
 
 _ORDERED = "SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL"
@@ -587,23 +575,23 @@ _ORDERED = "SELECT event_type, value AS v, row_number() OVER (PARTITION BY event
 @query(f"""WITH o AS ({_ORDERED}) SELECT event_type, count(*) AS count, round(sum(v), 4) AS sum, round(avg(v), 6) AS avg, min(v) AS min, max(v) AS max, max(v) FILTER (i = least(floor(n * 0.5), n - 1)) AS p50,
   max(v) FILTER (i = CASE WHEN n >= 20 THEN floor(n * 0.95) ELSE n - 1 END) AS p95, max(v) FILTER (i = CASE WHEN n >= 100 THEN floor(n * 0.99) ELSE n - 1 END) AS p99 FROM o GROUP BY 1""")
 def metric_histogram_stats(spark, sf_dir):
-    s = metrics.histogram_stats(_read(spark, sf_dir, "events"), ["event_type"])
+    s = metrics.histogram_stats(read(spark, sf_dir, "events"), ["event_type"])
     return s.withColumns({"sum": F.round("sum", 4), "avg": F.round("avg", 6)})
 
 
 @query("WITH b(le, v) AS (VALUES ('0.005', 0.005), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1', 1), ('2.5', 2.5), ('5', 5), ('10', 10), ('+Inf', 1e300)) SELECT event_type, le, count(*) FILTER (value <= v) AS cumulative FROM events, b GROUP BY ALL")
 def metric_buckets(spark, sf_dir):
-    return metrics.buckets(_read(spark, sf_dir, "events"), ["event_type"])
+    return metrics.buckets(read(spark, sf_dir, "events"), ["event_type"])
 
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM events")
 def gauge_running(spark, sf_dir):
-    return metrics.gauge_running(_read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("event_id", F.round("running", 4).alias("running"))
+    return metrics.gauge_running(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("event_id", F.round("running", 4).alias("running"))
 
 
 @query(f"""WITH o AS ({_ORDERED}) SELECT event_type, count(*) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stdev, round(median(v), 6) AS median, max(v) FILTER (i = floor(n * 0.9)) AS p90, max(v) FILTER (i = floor(n * 0.95)) AS p95, max(v) FILTER (i = floor(n * 0.99)) AS p99,
   count(*) FILTER (v > 95) AS failures, count(*) FILTER (v > 95) <= 0.1 * count(*) AS passed FROM o GROUP BY 1""")
 def load_stats(spark, sf_dir):
-    s = metrics.load_stats(_read(spark, sf_dir, "events").where("value IS NOT NULL"), ["event_type"], failed=F.col("value") > 95)
+    s = metrics.load_stats(read(spark, sf_dir, "events").where("value IS NOT NULL"), ["event_type"], failed=F.col("value") > 95)
     return s.select("event_type", "count", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"),
         F.round("median", 6).alias("median"), "p90", "p95", "p99", "failures", "passed")
