@@ -1,17 +1,17 @@
 """Sharding by balanced label propagation (native).
 
-Documents start in shards by hash. In each round, joins over the links move linked documents towards the shard
-where most of their neighbours are, as far as the shard's quota and those that leave it make room. At the end every shard is brought to
-its exact share of rows: documents over the quota go to shards that lack some, those without links first, then those
-of keys that no shard can hold, then those of small keys, key by key. A large key that a shard can hold is dealt to one
-shard before the first round, the largest first, and stays there whole; small keys that full shards kept apart to the
-end are dealt again, side by side.
-
-Links are (row, key): rows with an equal key are neighbours. Votes are counted by key and shard before they are
-joined, so a key that holds a third of all rows sends at most one count a shard. Law `rows`: sizes differ by one
-row at most. Defined results: null texts count as size 1 and as equal to each other and to empty texts; repeated
-rows are rows of their own; ties between shards fall by a hash of the key and the shard; an empty table gives an empty table;
-only the named columns are read.
+Links are (row, key): rows with an equal key are neighbours. Rows start in shards by hash. A row moves with the rows of its
+largest key, which are one unit; in each round, joins over the links give every unit the votes of its neighbours, row by row,
+for the shards they are in, and it asks for the shard with most votes among those with room for all of it. A shard takes the
+units that ask, the largest first, while its quota holds; what it refuses asks again in the next round. Units that have
+moved go on voting and may follow their neighbours elsewhere. At the end every shard is brought to its exact share of rows:
+rows without links go first, then those of units that found no room. Law `rows`: sizes differ by one row at most.
+
+A key with more rows than a quota is cut into parts that fit, by a hash of the row; no other key is. Votes are counted by
+key and shard, and a unit's rows by key, before they meet, so a key that holds a third of all rows sends a few counts a shard.
+Defined results: null texts count as size 1 and as equal to each other and to empty texts; null keys link nothing;
+repeated rows are rows of their own; ties between shards fall by a hash of the unit and the shard, in proportion to room; an
+empty table gives an empty table; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import cut, dense_positions, discard, read
 
 SHARDS = 16
-ROUNDS = 4
-#: A key of more than this part of a quota is large: it is dealt whole where it fits.
-FINE = 64
+ROUNDS = 8
+#: Parts of a key above a quota have this share of it on average, so that chance doesn't lift one over it.
+PART = 0.75
 SEED = 23
 _UNIT = 1 << 20
-#: Who stays first: pinned keys, small keys, keys that no shard holds, rows without links; rows of cut small keys go.
-_CLASSES, _CUT = 5, 4
+#: Who stays first: units that found a shard, units that didn't, rows without links.
+_CLASSES = 3
 
 
 def _choose(by: Column, values: list[int]) -> Column:
@@ -37,73 +37,49 @@ def _choose(by: Column, values: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), by + 1)
 
 
-def _accepted(wanted: list[list[int]], held: list[int], quota: list[int]) -> list[float]:
-    """The share of each shard's applicants that it takes: as many as fill its quota once those that leave it for
-    other shards have gone. Shares start at 1 and only fall, so this ends at the largest shares that fit."""
-    shards = range(len(quota))
-    share = [1.0] * len(quota)
-    for _ in range(100):
-        for s in shards:
-            leave = sum(wanted[s][to] * share[to] for to in shards)
-            ask = sum(wanted[now][s] for now in shards)
-            share[s] = min(share[s], max(0.0, (quota[s] - held[s] + leave) / ask)) if ask else 0.0
-    return share
-
-
-def _pins(large: list[tuple[str, int]], quota: list[int]) -> tuple[dict[str, int], list[int]]:
-    """The shard of each (key, rows) that fits one whole, the largest first to the emptiest, and the room then left."""
-    room, pins = list(quota), {}
-    for key, size in sorted(large, key=lambda x: (-x[1], x[0])):
-        s = max(range(len(room)), key=lambda s: (room[s], -s))
-        if size <= room[s]:
-            pins[key] = s
-            room[s] -= size
-    return pins, room
-
-
-def _by_key(rows: DataFrame, table: DataFrame, large: list[str]) -> DataFrame:
-    """rows joined with table by key. The rows of large keys, fewer than FINE * shards keys for each key that a row has,
-    stay where they are: their part of the table, which has a row for each key and shard at most, goes to them."""
-    if not large:
-        return rows.join(table, "key")
-    is_large = F.col("key").isin(large)
-    return rows.where(~is_large).join(table.where(~is_large), "key").unionByName(rows.where(is_large).join(F.broadcast(table.where(is_large)), "key"))
-
-
-def _round(state: DataFrame, quota: list[int], room_left: list[int], shards: int, turn: int, hot: int, large: list[str]) -> DataFrame:
-    """One round over (row, key, key_n, pinned, shard); a row may have several keys and then stands once for each."""
-    votes = state.groupBy("key", "shard").agg(F.count("*").alias("votes"))
-    seen = _by_key(state.select("row", "key", "key_n", "pinned", F.col("shard").alias("now")), votes, large)
-    per_row = seen.groupBy("row", "shard").agg(F.sum("votes").alias("votes"), F.first("now").alias("now"),
-        F.first("pinned").alias("pinned"), F.max(F.struct("key_n", "key")).alias("main"))
-    # ties fall alike for all rows of a key, so that two neighbours don't just change places, and to each shard in
-    # proportion to the room that pinned keys leave in it
-    even = (F.pmod(F.xxhash64("main.key", "shard"), F.lit(_UNIT)) + 0.5) / _UNIT
-    choice = F.struct("votes", (F.log(even) / F.greatest(_choose(F.col("shard"), room_left), F.lit(0.5))).alias("tie"), "shard")
-    best = per_row.groupBy("row").agg(F.max(choice).alias("best"), F.first("now").alias("now"), F.first("pinned").alias("pinned"), F.max("main").alias("main"))
-    wish = cut(best.select("row", "now", F.when(~F.col("pinned") & (F.col("best.shard") != F.col("now")), F.col("best.shard")).alias("to"),
-            "pinned", "main"), "shard-wishes")
-    wish = wish.withColumn("loose", ~F.col("pinned") & (F.col("main.key_n") > hot))
-    counts = wish.groupBy("loose", "now", "to").agg(F.count("*").alias("n")).collect()  # at most 2 * shards * (shards + 1) rows
-    # rows of hot keys that aren't pinned fill what others leave, as rows without links do: they don't stand in the others' way
-    held, room = [0] * shards, []
-    for loose in (False, True):
-        wanted = [[0] * shards for _ in range(shards)]
-        for r in counts:
-            if r["loose"] == loose:
-                held[r["now"]] += r["n"]
-                if r["to"] is not None:
-                    wanted[r["now"]][r["to"]] += r["n"]
-        share = _accepted(wanted, held, quota)
-        held = [held[s] + int(sum(wanted[now][s] * share[s] - wanted[s][now] * share[now] for now in range(shards))) for s in range(shards)]
-        room.append([int(_UNIT * x) for x in share])
-    # a key's rows move together, those of a hot key one by one
-    lot = F.pmod(F.xxhash64(F.lit(turn), F.when(F.col("loose"), F.col("row").cast("string")).otherwise(F.col("main.key"))), F.lit(_UNIT))
-    to = F.coalesce("to", F.lit(0))
-    moves = F.col("to").isNotNull() & (lot < F.when(F.col("loose"), _choose(to, room[1])).otherwise(_choose(to, room[0])))
-    moved = wish.select("row", F.when(moves, F.col("to")).otherwise(F.col("now")).alias("shard"))
-    after = cut(state.drop("shard").join(moved, "row"), "shard-state")
-    discard(wish, state)
+def _units(links: DataFrame, quota: int, start: Column) -> tuple[DataFrame, DataFrame]:
+    """(row, unit), and (unit, key, shard, n): the rows of a unit that have a key, by the shard they start in."""
+    links = links.where("key IS NOT NULL")
+    sizes = cut(links.groupBy("key").agg(F.count("*").alias("key_n")).where("key_n > 1"), "shard-keys")
+    parts = F.when(F.col("key_n") > quota, F.ceil(F.col("key_n") / (PART * max(1, quota))).cast("int")).otherwise(1)
+    part = F.pmod(F.xxhash64(F.lit(SEED + 3), "row"), parts)
+    named = links.join(sizes, "key").select("row", F.struct((F.col("key_n") / parts).alias("n"), F.col("key"), part.alias("part")).alias("k"))
+    held = cut(named.groupBy("row").agg(F.max("k").alias("unit"), F.collect_set("k").alias("keys")), "shard-members")
+    name = lambda k: F.xxhash64(k["key"], k["part"])
+    counts = held.select(name(F.col("unit")).alias("unit"), F.explode("keys").alias("k"), start.alias("start")).select("unit", name(F.col("k")).alias("key"), "start")
+    return held.select("row", name(F.col("unit")).alias("unit")), counts.groupBy("unit", "key", "start").agg(F.count("*").alias("n"))
+
+
+def _round(units: DataFrame, counts: DataFrame, own: DataFrame, room: list[int], turn: int) -> DataFrame:
+    """units (unit, size, inner, shard) after one round. `inner`: the votes that a unit's rows give each other; they count while
+    it is scattered, and not once it is in one shard. room: what the units in its shard leave of each shard's quota."""
+    shards = len(room)
+    placed = units.where("shard IS NOT NULL").select("unit", "shard")
+    now = counts.join(placed, "unit", "left").groupBy("key", F.coalesce("shard", "start").alias("shard")).agg(F.sum("n").alias("there"))
+    votes = own.join(now, "key").groupBy("unit", "shard").agg(F.sum(F.col("n") * F.col("there")).alias("votes"))
+    ballot = votes.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("shard", "votes"))).alias("votes"))  # `shards` entries at most
+    rows = units.join(ballot, "unit")
+
+    def offer(s: Column) -> Column:
+        even = (F.pmod(F.xxhash64(F.lit(turn), "unit", s), F.lit(_UNIT)) + 0.5) / _UNIT
+        here = F.coalesce(F.col("shard") == s, F.lit(False))
+        count = F.coalesce(F.element_at("votes", s.cast("long")), F.lit(0)) - F.when(here, F.col("inner")).otherwise(0)
+        return F.struct((here | (_choose(s, room) >= F.col("size"))).alias("fits"), count.alias("votes"), here.alias("here"),
+            (F.log(even) / F.greatest(_choose(s, room), F.lit(1))).alias("tie"), s.alias("shard"))
+
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), offer))
+    rows = rows.withColumn("best", best)
+    # two units in shards of each other must not just change places, so half of them keep still
+    moves = F.col("best.fits") & ~F.col("best.here") & (F.col("shard").isNull() | (F.pmod(F.xxhash64(F.lit(turn), "unit"), F.lit(2)) == 0))
+    asked = cut(rows.select("unit", "size", "inner", "shard", F.when(moves, F.col("best.shard").cast("long")).alias("to"),
+        F.xxhash64("unit").alias("h"), (40 - F.floor(F.log2("size"))).cast("long").alias("order")), "shard-wishes")
+    movers = asked.where("to IS NOT NULL")
+    bits = (max(1, movers.count()) // 2_000).bit_length()
+    bucket = F.col("order") * (1 << bits) + (F.shiftright("h", 64 - bits) if bits else F.lit(0))
+    queue = dense_positions(movers, ["to"], ["order", "h", "unit"], "size", "before", bucket=bucket)
+    taken = queue.where(F.col("before") + F.col("size") <= _choose(F.col("to").cast("int"), room)).select("unit", F.col("to").alias("taken"))
+    after = cut(asked.join(taken, "unit", "left").select("unit", "size", "inner", F.coalesce("taken", "shard").alias("shard")), "shard-units")
+    discard(asked, units)
     return after
 
 
@@ -111,43 +87,28 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: i
     """rows: (row long, distinct). links: (row, key string). Returns (row, shard int, slot long)."""
     n = rows.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    hot = max(1, n // shards // FINE)
-    start = F.pmod(F.xxhash64(F.lit(SEED), "row"), F.lit(shards)).cast("int")
-    sizes = cut(links.groupBy("key").agg(F.count("*").alias("key_n")).where("key_n > 1"), "shard-keys")
-    # fewer than FINE * shards keys for each key that a row has
-    large = [(r["key"], r["key_n"]) for r in sizes.where(F.col("key_n") > hot).collect()]
-    names = [k for k, _ in large]
-    state = _by_key(links, sizes, names).withColumns({"pinned": F.lit(False), "shard": start})
-    pins, room_left = _pins([x for x in large if x[1] <= max(quota)], quota)
-    if pins:
-        dealt = F.broadcast(rows.sparkSession.createDataFrame(list(pins.items()), "key string, pin int"))
-        pinned = _by_key(links, sizes, names).join(dealt, "key").groupBy("row").agg(F.max(F.struct("key_n", "key", "pin"))["pin"].alias("pin"))
-        state = state.join(pinned, "row", "left").withColumns({"pinned": F.col("pin").isNotNull(), "shard": F.coalesce("pin", "shard")}).drop("pin")
-    state = cut(state, "shard-links")
+    start = F.pmod(F.xxhash64(F.lit(SEED), "row"), F.lit(shards)).cast("long")
+    members, counts = _units(links, max(quota), start)
+    counts = cut(counts, "shard-counts")
+    own = cut(counts.groupBy("unit", "key").agg(F.sum("n").alias("n")), "shard-own")
+    units = cut(members.groupBy("unit").agg(F.count("*").alias("size")).join(own.groupBy("unit").agg(F.sum(F.col("n") * F.col("n")).alias("inner")), "unit").withColumn(
+        "shard", F.lit(None).cast("long")), "shard-units")
     for turn in range(rounds):
-        state = _round(state, quota, room_left, shards, turn, hot, names)
-    linked = state.groupBy("row").agg(F.first("shard").alias("moved"), F.first("pinned").alias("pinned"),
-        F.max(F.struct("key_n", "key")).alias("main"), F.count("*").alias("keys"))
-    linked = cut(linked, "shard-linked")
-    # small keys that full shards kept apart, whose rows have no other key, are dealt again, side by side
-    apart = linked.where(~F.col("pinned") & (F.col("main.key_n") <= hot)).groupBy("main.key").agg(F.min("moved").alias("low"),
-        F.max("moved").alias("high"), F.max("keys").alias("keys"))
-    apart = apart.where("low < high AND keys = 1").select(F.col("key").alias("apart"))
-    small = F.col("main.key_n") <= hot
-    linked = linked.where(small).join(apart, F.col("main.key") == F.col("apart"), "left").unionByName(
-        linked.where(~small).withColumn("apart", F.lit(None).cast("string")))
-    rank = F.when(F.col("main").isNull(), 3).when(F.col("pinned"), 0).when(F.col("main.key_n") > hot, 2).when(F.col("apart").isNotNull(), _CUT).otherwise(1)
-    lot = F.when(rank.isin(1, _CUT), F.xxhash64("main.key")).otherwise(F.xxhash64(F.lit(SEED + 1), "row"))
-    placed = rows.select("row").join(linked, "row", "left").select("row", F.coalesce("moved", start).alias("shard"), rank.alias("class"), lot.alias("h"))
+        held = {r["shard"]: r["n"] for r in units.where("shard IS NOT NULL").groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # a row a shard
+        units = _round(units, counts, own, [max(0, quota[s] - held.get(s, 0)) for s in range(shards)], turn)
+    linked = members.join(units.select("unit", F.col("shard").alias("moved")), "unit").select("row", "unit", "moved")
+    rank = F.when(F.col("unit").isNull(), 2).when(F.col("moved").isNull(), 1).otherwise(0)
+    lot = F.when(rank == 1, F.xxhash64(F.lit(SEED + 2), "unit")).otherwise(F.xxhash64(F.lit(SEED + 1), "row"))
+    placed = rows.select("row").join(linked, "row", "left").select("row", F.coalesce("moved", start).cast("int").alias("shard"), rank.alias("class"), lot.alias("h"))
     placed = cut(dense_positions(cut(placed, "shard-placed"), ["shard", "class"], ["h", "row"], None, "place", rows=n), "shard-ranked")
     counts = {(r["shard"], r["class"]): r["n"] for r in placed.groupBy("shard", "class").agg(F.count("*").alias("n")).collect()}
-    held = [sum(counts.get((s, c), 0) for c in range(_CUT)) for s in range(shards)]
+    held = [sum(counts.get((s, c), 0) for c in range(_CLASSES)) for s in range(shards)]
     before = [sum(counts.get((s, d), 0) for d in range(c)) for s in range(shards) for c in range(_CLASSES)]
     place = F.col("place") + _choose(F.col("shard") * _CLASSES + F.col("class"), before)
-    placed = placed.select("row", "h", "shard", place.alias("slot"), ((F.col("class") < _CUT) & (place < _choose(F.col("shard"), quota))).alias("stays"))
-    # by the hash of the lot, so that the rows of a small key that must go fill neighbouring places
-    over = dense_positions(placed.where("NOT stays").select("row", F.xxhash64(F.lit(SEED + 2), "h").alias("h"), F.lit(0).alias("all")),
-        ["all"], ["h", "row"], None, "rank", rows=max(1, sum(max(0, held[s] - quota[s]) + counts.get((s, _CUT), 0) for s in range(shards))))
+    placed = placed.select("row", "h", "shard", place.alias("slot"), (place < _choose(F.col("shard"), quota)).alias("stays"))
+    # by the hash of the lot, so that the rows of a unit that must go fill neighbouring places
+    over = dense_positions(placed.where("NOT stays").select("row", "h", F.lit(0).alias("all")),
+        ["all"], ["h", "row"], None, "rank", rows=max(1, sum(max(0, held[s] - quota[s]) for s in range(shards))))
     gaps, at = [], 0  # (first rank, shard) of each gap
     for s in range(shards):
         if held[s] < quota[s]:

@@ -286,6 +286,63 @@ def test_shards_cut_no_more_than_a_plain_propagation(spark):
     assert sum(len(s) > 1 for s in of.values()) <= plain_propagation(keys)
 
 
+@pytest.mark.parametrize(("n", "group"), [(1600, 3), (20_000, 10), (20_000, 100), (20_000, 625)])
+def test_propagation_itself_gathers_the_groups(spark, n, group):
+    """Also where groups fill every shard to the last row; without rounds hardly any is whole."""
+    rows = spark.range(n).select(F.col("id").alias("row"))
+    links = rows.select("row", F.concat(F.lit("k"), F.floor(F.col("row") / group).cast("string")).alias("key"))
+    whole = {}
+    for rounds in (0, shard_balance.ROUNDS):
+        out = shard_balance.propagate(rows, links, rounds=rounds).collect()
+        check_shards(out)
+        shards = collections.defaultdict(set)
+        for r in out:
+            shards[r["row"] // group].add(r["shard"])
+        whole[rounds] = sum(len(s) == 1 for s in shards.values()) / len(shards)
+    assert whole[shard_balance.ROUNDS] >= 0.9 and whole[0] < 0.2
+
+
+def cut_edges(links, of):
+    """Pairs of a key's rows in different shards."""
+    rows = collections.defaultdict(list)
+    for row, key in links:
+        rows[key].append(of[row])
+    return sum(len(s) * (len(s) - 1) // 2 - sum(c * (c - 1) // 2 for c in collections.Counter(s).values()) for s in rows.values())
+
+
+def test_rows_with_several_keys(spark):
+    """Communities whose rows share several keys, against rows that move one after another to the shard of most neighbours."""
+    rng = random.Random(12)
+    n, community = 1600, 20
+    links = [(i, f"c{i // community}-{rng.randrange(4)}") for i in range(n) for _ in range(2)] + [(i, f"far{rng.randrange(300)}") for i in range(0, n, 10)]
+    links = sorted(set(links))
+    rows = spark.range(n).select(F.col("id").alias("row"))
+    run = lambda rounds: shard_balance.propagate(rows, spark.createDataFrame(links, "row long, key string"), rounds=rounds).collect()
+    out = run(shard_balance.ROUNDS)
+    check_shards(out)
+    members, keys = collections.defaultdict(list), collections.defaultdict(list)
+    for row, key in links:
+        members[key].append(row)
+        keys[row].append(key)
+    at, room = {i: hash((5, i)) % 16 for i in range(n)}, collections.Counter()
+    room.update(at.values())
+    for _ in range(4):
+        for i in range(n):
+            votes = collections.Counter(at[j] for k in keys[i] for j in members[k] if j != i)
+            best = max(range(16), key=lambda s: (votes[s], s == at[i]))
+            if best != at[i] and room[best] < n // 16:
+                room[at[i]] -= 1
+                room[best] += 1
+                at[i] = best
+    ours, start = cut_edges(links, {r["row"]: r["shard"] for r in out}), cut_edges(links, {r["row"]: r["shard"] for r in run(0)})
+    assert ours <= cut_edges(links, at) and ours < start / 2
+
+
+def test_null_keys_link_nothing(spark):
+    rows = spark.range(40).select(F.col("id").alias("row"))
+    check_shards(shard_balance.propagate(rows, rows.select("row", F.lit(None).cast("string").alias("key"))).collect())
+
+
 def test_chats_round_trip(spark):
     hard = ["<|im_end|>", "\\", "\\<|", "<\\|im_start|>", "a\nb", "<", "|>", "\\n", "<<||", "é😀", "", "\\\\<|im_end|>\\"]
     turns = [(1, i, role, t) for i, (role, t) in enumerate(itertools.product(("user", "assistant", "od\nd\\<|x"), hard))] + [
