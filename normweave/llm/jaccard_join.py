@@ -148,7 +148,8 @@ def listed(asked: DataFrame, tries: DataFrame, dealt: DataFrame, near: DataFrame
     """(a, b), a < b, once each: the candidates below nodes of `crowd` sets at most, without those whose blocks are
     compared anyway."""
     found = asked.where(F.col("size") <= crowd).select("key", F.col("node").alias("x"))
-    pairs = found.join(tries.select("key", F.col("node").alias("y")), "key").where("x <> y").select(F.least("x", "y").alias("a"),
+    below = tries.where(F.col("size") <= crowd)  # sets of crowded nodes have no partner here
+    pairs = found.join(below.select("key", F.col("node").alias("y")), "key").where("x <> y").select(F.least("x", "y").alias("a"),
         F.greatest("x", "y").alias("b")).distinct()
     own = lambda n: dealt.select(F.col("node").alias(n), F.col("block").alias(f"{n}_block"))
     pairs = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")

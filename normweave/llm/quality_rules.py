@@ -115,8 +115,12 @@ def line_first_clean(df: DataFrame, text: str = "text", out: str = "quality") ->
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that the rules keep, with all their columns."""
-    return df.where(measure(F.col(text))["kept"])
+    """The rows that the rules keep, with all their columns; the text is what the lines that passed leave, joined by line
+    ends. Measured once a row: a filter on the verdict would measure again."""
+    named = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    good = F.explode(F.filter(F.array(measure(named(text))), lambda q: q["kept"]))
+    rows = df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), good.alias("quality"))
+    return rows.select(*[(F.col("quality.clean_text") if c == text else F.col("row")[c]).alias(c) for c in df.columns])
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

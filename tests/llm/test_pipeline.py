@@ -94,3 +94,12 @@ def test_tokens_decode(spark, sf):
         "doc_id long, lang string, source string, text string")
     lib, rows = Tokenizer.from_file(bpe_lexicon.default_path()), corpus_pipeline.tokens(spark, docs, sf).collect()
     assert len(rows) == 3 and all(r["decoded_sha256"] == hashlib.sha256(lib.decode(r["ids"], skip_special_tokens=False).encode()).hexdigest() for r in rows)
+
+
+def test_cleaned_text_goes_on(spark, sf):
+    good = [" ".join(f"word{k}{c}" for c in "abcdefghij") + ", and so on." for k in range(6)]
+    text = "\n".join([good[0], "Home | News | Shop | Login", "", *good[1:], "Click here to read more"])
+    docs = spark.createDataFrame([(1, text, len(text), "mine")], "doc_id long, text string, n_chars int, quality string")
+    (row,) = corpus_pipeline.rules(spark, docs, sf).collect()
+    assert row["text"] == "\n".join(good) and row["n_chars"] == len(row["text"]) and row["quality"] == "mine"
+    assert corpus_pipeline.rules(spark, docs.drop("n_chars"), sf).columns == ["doc_id", "text", "quality"]
