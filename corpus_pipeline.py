@@ -6,7 +6,7 @@ into one column while a stage works.
 
 | Stage | null text | empty text | very long text | ties, repeated rows | empty table |
 |---|---|---|---|---|---|
-| quality rules | counts as empty | goes (under ten words) | judged whole | each row on its own | empty |
+| quality rules | counts as empty | goes (under ten words) | judged and cleaned whole | each row on its own | empty |
 | language ID | goes (`und`) | goes (`und`) | judged whole | judged alike | empty, nothing is learned |
 | near copies | counts as empty, copies of each other | the same | compared whole | of a class the least id stays (nulls last), then the least text hash, then the least hash of all columns | empty |
 | mixing | has no words, goes | goes | taken in blocks, kept 0 to 2 times whole | of rows equal in id and text a hash of all columns decides who is taken first | empty |
@@ -25,8 +25,9 @@ from normweave.llm.common import cut
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line rules reject poor documents; the others keep their whole text."""
-    return quality_rules.keep_good(docs)
+    """Line rules remove poor lines and reject documents that lose too much; n_chars, where there is one, follows."""
+    kept = quality_rules.keep_good(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType)) if "n_chars" in kept.columns else kept
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
