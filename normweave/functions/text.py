@@ -8,6 +8,32 @@ SENTENCE_END = r"(?<=[.!?])\s+"
 PARAGRAPH_GAP = r"\n\s*\n"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once a row, also where body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Items of a block of scan: appending to a list copies it, so short lists are filled and then joined.
+SCAN_BLOCK = 256
+
+
+def scan(items: Column, zero: Column, state: str, step, emit, kind: str) -> Column:
+    """What emit(state, item) gives for each item, in order, where step(state, item) gives the state for the next: a fold
+    over an array that keeps a value an item. state and kind are the types; work grows with the items' number."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def inside(a: Column, item: Column) -> Column:
+        return F.struct(step(a["s"], item).cast(state).alias("s"), F.concat(a["out"], F.array(emit(a["s"], item).cast(kind))).alias("out"))
+
+    def block(a: Column, start: Column) -> Column:
+        of = F.aggregate(F.slice(items, start + 1, F.lit(SCAN_BLOCK)), F.struct(a["s"].alias("s"), none.alias("out")), inside)
+        return let(of, lambda r: F.struct(r["s"].alias("s"), F.concat(a["parts"], F.array(r["out"])).alias("parts")))
+
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, F.lit(SCAN_BLOCK))).otherwise(F.array().cast("array<int>"))
+    first = F.struct(zero.cast(state).alias("s"), F.array().cast(f"array<array<{kind}>>").alias("parts"))
+    return F.aggregate(starts, first, block, lambda a: F.flatten(a["parts"]))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end; Spark's trim takes blanks only."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -208,14 +208,116 @@ def json_rule() -> Column:
     ), {"ignoreNullFields": "false"})
 
 
-def from_text(template: str) -> Renderer:
-    """A renderer that puts columns of `context` in place of `{{ name }}`; nulls become empty."""
-    parts = re.split(r"\{\{\s*(\w+)\s*\}\}", template)
+#: Filters of templates: functions of a text and of literal arguments.
+FILTERS: dict[str, Callable[..., Column]] = {
+    "lower": F.lower,
+    "upper": F.upper,
+    "trim": F.trim,
+    "truncate": lambda c, n: shorten(c, int(n)),
+    "replace": lambda c, old, new: F.replace(c, F.lit(old), F.lit(new)),
+    "default": lambda c, text: F.when(c == "", F.lit(text)).otherwise(c),
+    "json": lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r'^\{"x":|\}$', ""),
+}
+_ARGUMENT = r"""\s*(?:"([^"]*)"|'([^']*)'|(\d+))\s*"""
+
 
-    def render() -> Column:
-        return F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+def from_text(template: str) -> Renderer:
+    """A renderer of a template's text over the columns of `context`.
 
-    return render
+    `{{ name | filter(arguments) }}` puts a value in, null as nothing; `{% if name %}`, `{% if not name %}`, `{% if name ==
+    "text" %}` and `!=` with `{% elif … %}`, `{% else %}` and `{% endif %}` choose, where null, empty, false and 0 count as no; `{% for x in
+    name %}` … `{% endfor %}` repeats for the entries of an array, whose fields are `x.field`. A template with other
+    tags, an unknown filter or an open block is an error when it is read.
+    """
+    tokens = re.split(r"(\{\{.*?\}\}|\{%.*?%\})", template, flags=re.DOTALL)
+    Piece = Callable[[dict[str, Column]], Column]
+    at = 0
+
+    def tag() -> str | None:
+        return tokens[at][2:-2].strip() if at % 2 and tokens[at].startswith("{%") else None
+
+    def named(name: str) -> Piece:
+        if not re.fullmatch(r"\w+(\.\w+)*", name):
+            raise ValueError(f"not a name in a template: {name}")
+        head, *rest = name.split(".")
+
+        def value(env: dict[str, Column]) -> Column:
+            c = env[head] if head in env else F.col(head)
+            for field in rest:
+                c = c[field]
+            return c
+
+        return value
+
+    def valued(source: str) -> Piece:
+        name, *uses = [x.strip() for x in source.split("|")]
+        value, steps = named(name), []
+        for use in uses:
+            found = re.fullmatch(rf"(\w+)(?:\(((?:{_ARGUMENT},)*{_ARGUMENT})\))?", use)
+            if not found or found[1] not in FILTERS:
+                raise ValueError(f"unknown filter in a template: {use}")
+            steps.append((FILTERS[found[1]], [a or b or c for a, b, c in re.findall(_ARGUMENT + "(?:,|$)", found[2])] if found[2] else []))
+
+        def render(env: dict[str, Column]) -> Column:
+            c = F.coalesce(value(env).cast("string"), F.lit(""))
+            for f, arguments in steps:
+                c = f(c, *arguments)
+            return c
+
+        return render
+
+    def condition(source: str) -> Piece:
+        compared = re.fullmatch(rf"([\w.]+)\s*(==|!=){_ARGUMENT}", source)
+        if compared:
+            value, text = named(compared[1]), compared[3] or compared[4] or compared[5] or ""
+            same = lambda env: F.coalesce(value(env).cast("string") == text, F.lit(False))
+            return same if compared[2] == "==" else lambda env: ~same(env)
+        plain = source.removeprefix("not ").strip()
+        value = named(plain)
+        there = lambda env: F.coalesce(~F.lower(value(env).cast("string")).isin("", "false", "0", "0.0", "[]"), F.lit(False))
+        return there if plain == source else lambda env: ~there(env)
+
+    def block(*ends: str) -> Piece:
+        nonlocal at
+        pieces: list[Piece] = []
+        while at < len(tokens):
+            token, inner = tokens[at], tag()
+            if inner is not None and inner.split()[0] in ends:
+                break
+            at += 1
+            if inner is None:
+                pieces.append(valued(token[2:-2]) if token.startswith("{{") else lambda env, t=token: F.lit(t))
+            elif inner.startswith("if "):
+                pieces.append(choice(inner[3:]))
+            elif found := re.fullmatch(r"for (\w+) in ([\w.]+)", inner):
+                pieces.append(loop(found[1], named(found[2])))
+            else:
+                raise ValueError(f"unknown tag in a template: {inner}")
+        else:
+            if ends:
+                raise ValueError(f"a template lacks {ends[-1]}")
+        return lambda env: F.concat(F.lit(""), *[p(env) for p in pieces])
+
+    def choice(source: str) -> Piece:
+        nonlocal at
+        test, body = condition(source), block("elif", "else", "endif")
+        end, other = tag(), lambda env: F.lit("")
+        at += 1
+        if end.startswith("elif "):
+            other = choice(end[5:])
+        elif end == "else":
+            other = block("endif")
+            at += 1
+        return lambda env: F.when(test(env), body(env)).otherwise(other(env))
+
+    def loop(name: str, items: Piece) -> Piece:
+        nonlocal at
+        body = block("endfor")
+        at += 1
+        return lambda env: F.coalesce(F.array_join(F.transform(items(env), lambda x: body({**env, name: x})), ""), F.lit(""))
+
+    whole = block()
+    return lambda: whole({})
 
 
 #: Renderers by format and clause type; `default` serves the types that have none of their own.
@@ -239,13 +341,17 @@ def compile_rules(mapped: DataFrame, formats: tuple[str, ...] = DEFAULT_FORMATS,
 
     def artifact(f: str) -> Column:
         own = {k: r for k, r in templates[f].items() if k != "default"}
-        content, used = templates[f]["default"](), F.lit(f"{f}/default")
+        if "default" in templates[f]:
+            content, used = templates[f]["default"](), F.lit(f"{f}/default")
+        else:  # a clause of a type that no template serves ends the job
+            content = F.raise_error(F.concat(F.lit(f"no template for {f}/"), F.col("type"))).cast("string")
+            used = F.lit(None).cast("string")
         by_renderer: dict[Renderer, list[str]] = {}
         for kind, r in own.items():
             by_renderer.setdefault(r, []).append(kind)
             used = F.when(F.col("type") == kind, f"{f}/{kind}").otherwise(used)
         for r, kinds in by_renderer.items():
-            if r is not templates[f]["default"]:
+            if r is not templates[f].get("default"):
                 content = F.when(F.col("type").isin(*kinds), r()).otherwise(content)
         return F.struct(F.lit(f).alias("format"), content.alias("content"), used.alias("template_used"), F.lit(EXTENSIONS.get(f, f".{f}")).alias("ext"))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from normweave.functions.text import extract, first_words, sentences, strip
+from normweave.functions.text import extract, first_words, let, sentences, strip
 
 #: Words that make a sentence regulatory.
 REGULATORY = ("must", "shall", "may", "should", "required", "prohibited", "permitted", "means", "defined", "except", "unless", "if", "when", "where")
@@ -39,21 +39,23 @@ def is_regulatory(sentence: Column) -> Column:
 
 
 def clause_texts(text: Column) -> Column:
-    """Array of clause texts of a chunk: a fold over its sentences that never leaves the row.
+    """Array of clause texts of a chunk, by the places of its regulatory sentences; nothing leaves the row.
 
     Other sentences wait as context; the next regulatory sentence takes them as a prefix if they are short, else
     they go. Without any regulatory sentence the whole text is one clause.
     """
-    none = F.array().cast("array<string>")
-    state = lambda done, held: F.struct(done.alias("done"), held.alias("held"))
 
-    def step(a: Column, s: Column) -> Column:
-        context = F.array_join(a["held"], " ")
-        clause = F.when((F.size(a["held"]) > 0) & (F.length(context) < CONTEXT_BELOW), F.concat(context, F.lit(" "), s)).otherwise(s)
-        return F.when(is_regulatory(s), state(F.concat(a["done"], F.array(clause)), none)).otherwise(state(a["done"], F.concat(a["held"], F.array(s))))
+    def of(x: Column) -> Column:
+        def one(end: Column, k: Column) -> Column:  # ends count from 1
+            begin, sentence = F.coalesce(F.get(x["ends"], k - 1), F.lit(0)), F.get(x["s"], end - 1)
+            context = F.array_join(F.slice(x["s"], begin + 1, end - begin - 1), " ")
+            return F.when((end - begin > 1) & (F.length(context) < CONTEXT_BELOW), F.concat(context, F.lit(" "), sentence)).otherwise(sentence)
 
-    end = lambda a: F.when((F.size(a["done"]) == 0) & (F.size(a["held"]) > 0), F.array(F.array_join(a["held"], " "))).otherwise(a["done"])
-    return F.aggregate(sentences(text), state(none, none), step, end)
+        whole = F.when(F.size(x["s"]) > 0, F.array(F.array_join(x["s"], " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(x["ends"]) > 0, F.transform(x["ends"], one)).otherwise(whole)
+
+    ends = lambda s: F.array_compact(F.transform(s, lambda t, i: F.when(is_regulatory(t), i + 1)))
+    return let(sentences(text), lambda s: let(F.struct(s.alias("s"), ends(s).alias("ends")), of))
 
 
 def split_clauses(chunks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from normweave.functions.text import paragraphs, sentences, strip, token_count
+from normweave.functions.text import let, paragraphs, scan, sentences, strip, token_count
 
 DEFAULT_TITLE = "Document Content"
 
@@ -42,14 +42,11 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     parts = F.filter(F.split(text, r"(?m)^(?=#{1,6}[ \t]+\S)"), lambda p: p.rlike(r"\A#{1,6}[ \t]+\S"))
     level = lambda p: F.length(F.regexp_extract(p, r"\A(#{1,6})", 1))
 
-    def step(a: Column, n: Column) -> Column:  # last[k]: the last section of level k + 1 so far, 0 for none
-        at = F.size(a["parents"]) + 1
-        parent = F.when(n > 1, F.array_max(F.slice(a["last"], F.lit(1), n - 1))).otherwise(0)
-        last = F.transform(a["last"], lambda x, k: F.when(k + 1 == n, at).otherwise(x))
-        return F.struct(F.concat(a["parents"], F.array(parent)).alias("parents"), last.alias("last"))
-
-    none = F.struct(F.array().cast("array<int>").alias("parents"), F.array(*[F.lit(0)] * 6).alias("last"))
-    above = F.aggregate(F.transform("__parts", level), none, step, lambda a: a["parents"])
+    # last[k]: the number of the last section of level k + 1 so far, 0 for none; their greatest is the number of sections
+    place = lambda last: F.array_max(last) + 1
+    step = lambda last, n: F.transform(last, lambda x, k: F.when(k + 1 == n, place(last)).otherwise(x))
+    parent = lambda last, n: F.when(n > 1, F.array_max(F.slice(last, F.lit(1), n - 1))).otherwise(0)
+    above = scan(F.transform("__parts", level), F.array(*[F.lit(0)] * 6), "array<int>", step, parent, "int")
     rows = docs.select("doc_id", "doc_key", text.alias("__text"), parts.alias("__parts"))
     found = F.transform("__parts", lambda p, i: F.struct(
         level(p).alias("level"), strip(F.regexp_extract(p, r"\A#{1,6}[ \t]+([^\n]*)", 1)).alias("title"),
@@ -112,33 +109,52 @@ def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html", ke
 
 
 def chunk_texts(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
-    """Array of chunk texts of one section, a left fold over its paragraphs.
+    """Array of chunk texts of one section: a scan over its paragraphs finds where chunks begin, then they are sliced.
 
     A paragraph over `most` flushes what is held and is cut at sentences by itself. One that would lift the held
     tokens over `target` flushes them first, but only from `least` on; the next chunk then begins with an overlap:
     the last paragraph if it is short, else its last characters.
     """
-    kind = "struct<done:array<string>,held:array<string>,tokens:int>"
-    none = F.array().cast("array<string>")
-    state = lambda done, held, tokens: F.struct(done.alias("done"), held.alias("held"), tokens.cast("int").alias("tokens"))
-    flushed = lambda a: F.when(F.size(a["held"]) > 0, F.concat(a["done"], F.array(F.array_join(a["held"], " ")))).otherwise(a["done"])
-
-    def fill(a: Column, s: Column) -> Column:  # sentences of an over-long paragraph
-        n = token_count(s)
-        full = (a["tokens"] + n > sizes.target) & (F.size(a["held"]) > 0)
-        return F.when(full, state(flushed(a), F.array(s), n)).otherwise(state(a["done"], F.concat(a["held"], F.array(s)), a["tokens"] + n))
-
-    def step(a: Column, p: Column) -> Column:
-        n = token_count(p)
-        by_sentence = F.aggregate(sentences(p), state(flushed(a), none, F.lit(0)), fill, lambda b: state(flushed(b), none, F.lit(0)))
-        last = F.element_at(a["held"], -1)
-        overlap = F.when(token_count(last) <= sizes.overlap, last).otherwise(F.right(last, F.lit(4 * sizes.overlap)))
-        cut = state(flushed(a), F.array(overlap, p), token_count(overlap) + n)
-        longer = state(a["done"], F.concat(a["held"], F.array(p)), a["tokens"] + n)
-        return F.when(n > sizes.most, by_sentence).when((a["tokens"] + n > sizes.target) & (a["tokens"] >= sizes.least)
-            & (F.size(a["held"]) > 0), cut).otherwise(longer)
-
-    return F.aggregate(paragraphs(text), state(none, none, F.lit(0)).cast(kind), step, flushed)
+    item = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("text"), token_count(t).alias("n"))
+    wall = F.array(item("wall", F.lit(None).cast("string")))  # what is held ends here
+
+    def of_paragraph(p: Column) -> Column:
+        by_sentence = F.concat(wall, F.transform(sentences(p), lambda s: item("sentence", s)), wall)
+        return F.when(token_count(p) > sizes.most, by_sentence).otherwise(F.array(item("paragraph", p)))
+
+    def opens(a: Column, i: Column) -> Column:  # whether a chunk begins at the item, and with an overlap
+        full = (a["parts"] > 0) & (a["tokens"] + i["n"] > sizes.target)
+        cut = full & (i["kind"] == "paragraph") & (a["tokens"] >= sizes.least)
+        begins = (i["kind"] != "wall") & ((a["parts"] == 0) | cut | (full & (i["kind"] == "sentence")))
+        return F.struct(begins.alias("begins"), (cut & (i["kind"] == "paragraph")).alias("overlaps"))
+
+    def step(a: Column, i: Column) -> Column:
+        def after(o: Column) -> Column:
+            kept = F.when(o["overlaps"], F.least(a["last"], F.lit(sizes.overlap))).when(o["begins"], 0).otherwise(a["tokens"])
+            wall = i["kind"] == "wall"
+            return F.struct(F.when(wall, 0).otherwise(kept + i["n"]).alias("tokens"), F.when(wall, 0).otherwise(1).alias("parts"), i["n"].alias("last"))
+
+        return let(opens(a, i), after)
+
+    zero = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("parts"), F.lit(0).alias("last"))
+
+    def chunked(items: Column) -> Column:
+        found = scan(items, zero, "struct<tokens:int,parts:int,last:int>", step, opens, "struct<begins:boolean,overlaps:boolean>")
+        starts = F.filter(F.transform(found, lambda o, k: F.struct(o["begins"].alias("begins"), o["overlaps"].alias("overlaps"), k.alias("at"))), lambda o: o["begins"])
+        texts = F.transform(items, lambda i: i["text"])
+        return let(F.struct(starts.alias("starts"), texts.alias("texts")), sliced)
+
+    def sliced(x: Column) -> Column:
+        def one(o: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(x["starts"], k + 1)["at"], F.size(x["texts"]))
+            body = F.array_join(F.slice(x["texts"], o["at"] + 1, end - o["at"]), " ")  # walls have no text
+            last = F.get(x["texts"], o["at"] - 1)
+            overlap = F.when(token_count(last) <= sizes.overlap, last).otherwise(F.right(last, F.lit(4 * sizes.overlap)))
+            return F.when(o["overlaps"], F.concat(overlap, F.lit(" "), body)).otherwise(body)
+
+        return F.transform(x["starts"], one)
+
+    return let(F.flatten(F.transform(paragraphs(text), of_paragraph)), chunked)
 
 
 def chunks(sections: DataFrame, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:

@@ -100,3 +100,24 @@ def filter_clauses(parsed: DataFrame, kind: str | None = None, doc_ids: tuple[st
     if doc_ids is not None:
         parsed = parsed.where(F.col("doc_id").isin(*doc_ids))
     return parsed if least_confidence is None else parsed.where(F.col("confidence") >= least_confidence)
+
+
+# -- stored JSON of any shape
+
+
+def as_variant(rows: DataFrame, column: str, out: str = "v") -> DataFrame:
+    """rows with the JSON text of `column` as a variant. Null or blank text gives null, and so does damaged JSON, which
+    `<out>_damaged` tells apart."""
+    blank = F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
+    parsed = F.when(~blank, F.try_parse_json(column))
+    return rows.withColumn(out, parsed).withColumn(f"{out}_damaged", ~blank & F.col(out).isNull())
+
+
+def at_path(v: Column, path: str, kind: str = "string") -> Column:
+    """What lies at a path such as $.actor.entity; null where nothing does or where it isn't of the kind."""
+    return F.try_variant_get(v, path, kind)
+
+
+def shapes(rows: DataFrame, by: list[str], v: str = "v") -> DataFrame:
+    """(*by, n, shape): the schema that all variants of a group fit, one aggregation over any mixture of shapes."""
+    return rows.where(F.col(v).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.schema_of_variant_agg(v).alias("shape"))

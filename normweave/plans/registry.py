@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from normweave.functions import text as T
 from normweave.operators import artifacts, clauses, lineage, mapping, metrics, rules, structure, validation, views
-from normweave.plans import corpus, history, oracle, pipeline  # noqa: F401  history registers queries of its own
+from normweave.plans import corpus, history, oracle, outputs, pipeline  # noqa: F401  history and outputs register queries
 from normweave.plans.catalog import oracle_sql, queries, query, read  # noqa: F401
 from normweave.sources import stages
 from normweave.sources.store import scratch_path, stored

@@ -153,15 +153,13 @@ def save_registry(fields: DataFrame, synonyms: DataFrame, overrides: DataFrame,
 
 
 def templates_in(spark: SparkSession, path: str) -> dict[str, dict[str, artifacts.Renderer]]:
-    """Renderers from files <path>/<format>/<clause type>.txt, which hold `{{ name }}` for columns of
-    artifacts.context; `default.txt` serves the types without a file. Templates are configuration and come to the driver."""
+    """Renderers from files <path>/<format>/<clause type>.txt, in the language of artifacts.from_text; `default.txt` serves the
+    types without a file, and without it a clause of such a type is an error. Templates are configuration and come to the driver."""
     found: dict[str, dict[str, artifacts.Renderer]] = {}
     for r in spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(path).select("value",
         F.input_file_name().alias("path")).collect():
         folder, name = r["path"].split("/")[-2:]
         found.setdefault(folder, {})[name.partition(".")[0]] = artifacts.from_text(r["value"])
-    for by_type in found.values():
-        by_type.setdefault("default", next(iter(by_type.values())))
     return found
 
 

@@ -1,10 +1,12 @@
 import random
+import time
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from normweave.functions import text as T
-from normweave.operators import structure
+from normweave.operators import clauses, structure
 from normweave.operators.structure import ChunkSizes
 from normweave.plans import oracle
 
@@ -77,3 +79,24 @@ def test_scalars(spark):
     ).first()
     assert (row["key"], row["none"], row["short"], row["three"], row["zero"], row["s"]) == ("MY_FILE_V2", "", "abc...", "a b c", 0.0,
         "a") and 0 < row["same"] < 1
+
+
+@pytest.mark.parametrize("kind", ["headings", "paragraphs", "sentences"])
+def test_folds_grow_with_the_text(spark, kind):
+    """Twice the headings, paragraphs or sentences take at most two and a half times as long."""
+
+    def seconds(n):
+        if kind == "headings":
+            df = structure.markdown_sections(spark.createDataFrame([("d", "d", "".join(f"{'#' * (i % 6 + 1)} t{i}\nbody {i}\n" for i in range(n)))], "doc_id string, doc_key string, text string"))
+        elif kind == "paragraphs":
+            df = structure.chunks(spark.createDataFrame([("d", "s", "\n\n".join("word " * 30 for _ in range(n)))], "doc_id string, section_id string, text string"))
+        else:
+            df = clauses.split_clauses(spark.createDataFrame([("d", "s", "c", " ".join(f"Staff must do item {i}." for i in range(n)))], "doc_id string, section_id string, chunk_id string, text string"))
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(20_000) <= 2.5 * seconds(10_000)
