@@ -17,13 +17,13 @@ def let(value: Column, body) -> Column:
 SCAN_BLOCK = 256
 
 
-def scan(items: Column, zero: Column, state: str, step, emit, kind: str) -> Column:
-    """What emit(state, item) gives for each item, in order, where step(state, item) gives the state for the next: a fold
-    over an array that keeps a value an item. state and kind are the types; work grows with the items' number."""
+def scan(items: Column, zero: Column, state: str, step, kind: str) -> Column:
+    """A value an item, in order: step(state, item) gives a struct of s, the state for the next item, and out, this item's value:
+    a fold over an array that keeps what it finds. state and kind are the types; work grows with the items' number."""
     none = F.array().cast(f"array<{kind}>")
 
     def inside(a: Column, item: Column) -> Column:
-        return F.struct(step(a["s"], item).cast(state).alias("s"), F.concat(a["out"], F.array(emit(a["s"], item).cast(kind))).alias("out"))
+        return let(step(a["s"], item), lambda r: F.struct(r["s"].cast(state).alias("s"), F.concat(a["out"], F.array(r["out"].cast(kind))).alias("out")))
 
     def block(a: Column, start: Column) -> Column:
         of = F.aggregate(F.slice(items, start + 1, F.lit(SCAN_BLOCK)), F.struct(a["s"].alias("s"), none.alias("out")), inside)

@@ -44,9 +44,9 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
 
     # last[k]: the number of the last section of level k + 1 so far, 0 for none; their greatest is the number of sections
     place = lambda last: F.array_max(last) + 1
-    step = lambda last, n: F.transform(last, lambda x, k: F.when(k + 1 == n, place(last)).otherwise(x))
     parent = lambda last, n: F.when(n > 1, F.array_max(F.slice(last, F.lit(1), n - 1))).otherwise(0)
-    above = scan(F.transform("__parts", level), F.array(*[F.lit(0)] * 6), "array<int>", step, parent, "int")
+    step = lambda last, n: F.struct(F.transform(last, lambda x, k: F.when(k + 1 == n, place(last)).otherwise(x)).alias("s"), parent(last, n).alias("out"))
+    above = scan(F.transform("__parts", level), F.array(*[F.lit(0)] * 6), "array<int>", step, "int")
     rows = docs.select("doc_id", "doc_key", text.alias("__text"), parts.alias("__parts"))
     found = F.transform("__parts", lambda p, i: F.struct(
         level(p).alias("level"), strip(F.regexp_extract(p, r"\A#{1,6}[ \t]+([^\n]*)", 1)).alias("title"),
@@ -62,7 +62,10 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     )
 
 
-_DROPPED = r"(?is)<(script|style|nav|footer|header)\b.*?</\1\s*>|<!--.*?-->"
+#: Elements whose content doesn't count, and those that never hold any.
+DROPPED = ("nav", "footer", "header")
+_RAW = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->"
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 #: Characters by the names of HTML's named entities, from the standard library's rule.
 _NAMED = {name: chr(point) for name, point in name2codepoint.items()} | {"nbsp": " ", "apos": "'"}
 
@@ -72,13 +75,14 @@ def unescape_html(text: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in _NAMED.items() for x in kv])
 
     def part(p: Column) -> Column:  # what follows an ampersand
-        name, rest = F.regexp_extract(p, r"(?s)^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|\w{1,31});", 1), F.regexp_replace(p, r"(?s)^[^;]*;", "")
+        name = F.regexp_extract(p, r"^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|\w{1,31});", 1)
+        rest = F.substring(p, F.length(name) + 2, F.length(p))
         digits = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).when(
             name.startswith("#"), F.substring(name, F.lit(2), F.length(name))).cast("long")
         usable = digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
         numeric = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32"))
         char = F.coalesce(numeric, F.element_at(names, name))
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), p))
+        return F.coalesce(F.when(name != "", F.concat(char, rest)), F.concat(F.lit("&"), p))
 
     parts = F.split(text, "&")
     first = F.element_at(parts, 1)
@@ -93,19 +97,103 @@ def plain_html(html: Column) -> Column:
     return strip(F.regexp_replace(unescape_html(text), r"[ \t]*\n\s*\n\s*", "\n\n"))
 
 
-def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, section_ord, section_title, hierarchy_level, text): each heading opens a section up to the next
-    one; a page without headings is one section of all its text, a blank page none."""
-    clean = F.regexp_replace(F.coalesce(html, F.lit("")), _DROPPED, " ")
-    heading = r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>(.*?)(?=<h[1-6]\b|\z)"
-    part = lambda n: F.regexp_extract_all("__clean", F.lit(heading), F.lit(n))
-    found = F.arrays_zip(part(1).alias("level"), part(2).alias("title"), part(3).alias("body"))
-    whole = F.array(F.struct(F.lit("1").alias("level"), F.lit(DEFAULT_TITLE).alias("title"), F.col("__clean").alias("body")))
-    rows = pages.select(key, *keep, clean.alias("__clean")).select(key, *keep, "__clean", found.alias("__found"))
-    blank = plain_html(F.col("__clean")) == ""
-    rows = rows.select(key, *keep, F.posexplode(F.when(F.size("__found") > 0, F.col("__found")).when(~blank, whole)).alias("pos", "s"))
+_TOKEN = "struct<text:string,name:string,turn:int,level:int,at:int>"
+_PLACE = "struct<depth:int,number:int>"
+_TAGS = f"struct<stack:array<string>,hidden:int,open:array<{_PLACE}>,live:array<{_PLACE}>,count:int>"
+_MARK = "struct<hidden:boolean,opened:int,closed:array<int>,begun:int,ended:array<int>>"
+
+
+def _tokens(html: Column) -> Column:
+    """Tags and texts of an HTML page, in order: turn is 1 for an opening tag, -1 for a closing one, 0 for others; level is
+    that of a heading, else 0."""
+
+    def of(t: Column, at: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+        turn = F.when((name == "") | name.isin(*_VOID) | t.endswith("/>"), 0).when(t.startswith("</"), -1).otherwise(1)
+        level = F.coalesce(F.regexp_extract(name, "^h([1-6])$", 1).try_cast("int"), F.lit(0))
+        return F.struct(t.alias("text"), name.alias("name"), turn.alias("turn"), level.alias("level"), at.alias("at")).cast(_TOKEN)
+
+    return F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<[^<>]*>|[^<]+|<"), F.lit(0)), of)
+
+
+def _tag_scan(tokens: Column, siblings: bool) -> Column:
+    """For each token, by a stack of open elements: whether it is hidden in a dropped element, the number of the heading that it
+    opens (0: none), the headings that it closes, the one whose section then begins, and those whose section ends before it.
+
+    A section lives at the depth of its heading's parent: the next heading at this depth ends it, and so does the parent's
+    end. Unless siblings, any next heading ends it, and nothing else. A closing tag closes the last open element of its
+    name with all inside, or nothing.
+    """
+    numbers = lambda places, test: F.transform(F.filter(places, test), lambda p: p["number"])
+
+    def look(a: Column, t: Column) -> Column:
+        depth = F.size(a["stack"])
+        down = F.coalesce(F.array_max(F.transform(a["stack"], lambda x, k: F.when(x == t["name"], k))), F.lit(-1))  # the depth after a closing tag
+        heads = (t["turn"] == 1) & (t["level"] > 0) & (a["hidden"] == 0)
+        closes = (t["turn"] == -1) & (down >= 0)
+        ends = lambda p: (heads & ((p["depth"] == depth) if siblings else F.lit(True))) | (closes & (p["depth"] > down) & F.lit(siblings))
+        closed = F.filter(a["open"], lambda p: closes & (p["depth"] >= down))
+        begun = F.get(F.filter(closed, lambda p: p["depth"] == down), F.lit(0)) if siblings else F.try_element_at(closed, F.lit(-1))
+        return F.struct(depth.alias("depth"), down.alias("down"), heads.alias("heads"), closes.alias("closes"), closed.alias("closed"),
+            begun.alias("begun"), numbers(a["live"], ends).alias("ended"))
+
+    no_numbers = F.array().cast("array<int>")
+
+    def plain(a: Column) -> Column:  # a text or a tag that holds nothing
+        mark = F.struct((a["hidden"] > 0).alias("hidden"), F.lit(0).alias("opened"), no_numbers.alias("closed"), F.lit(0).alias("begun"), no_numbers.alias("ended"))
+        return F.struct(a.cast(_TAGS).alias("s"), mark.cast(_MARK).alias("out"))
+
+    def tag(a: Column, t: Column) -> Column:
+        drop = (t["turn"] == 1) & t["name"].isin(*DROPPED)
+
+        def after(x: Column) -> Column:
+            mark = F.struct(((a["hidden"] > 0) | drop).alias("hidden"), F.when(x["heads"], a["count"] + 1).otherwise(0).alias("opened"),
+                F.transform(x["closed"], lambda p: p["number"]).alias("closed"), F.coalesce(x["begun"]["number"], F.lit(0)).alias("begun"), x["ended"].alias("ended"))
+            own = F.struct(x["depth"].alias("depth"), (a["count"] + 1).alias("number"))
+            live = F.when(F.size(x["ended"]) > 0, F.filter(a["live"], lambda p: ~F.array_contains(x["ended"], p["number"]))).otherwise(a["live"])
+            state = F.struct(
+                F.when(t["turn"] == 1, F.concat(a["stack"], F.array(t["name"]))).when(x["closes"], F.slice(a["stack"], F.lit(1), F.greatest(x["down"], F.lit(0)))).otherwise(a["stack"]).alias("stack"),
+                F.when(drop & (a["hidden"] == 0), x["depth"] + 1).when(x["closes"] & (x["down"] < a["hidden"]), 0).otherwise(a["hidden"]).alias("hidden"),
+                F.when(x["heads"], F.concat(a["open"], F.array(own))).when(F.size(x["closed"]) > 0, F.filter(a["open"], lambda p: p["depth"] < x["down"])).otherwise(a["open"]).alias("open"),
+                F.when(x["begun"].isNotNull(), F.concat(live, F.array(x["begun"]))).otherwise(live).alias("live"),
+                F.when(x["heads"], a["count"] + 1).otherwise(a["count"]).alias("count"))
+            return F.struct(state.cast(_TAGS).alias("s"), mark.cast(_MARK).alias("out"))
+
+        return let(look(a, t), after)
+
+    step = lambda a, t: F.when(t["turn"] == 0, plain(a)).otherwise(tag(a, t))
+    none = F.array().cast(f"array<{_PLACE}>")
+    zero = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(0).alias("hidden"), none.alias("open"), none.alias("live"), F.lit(0).alias("count"))
+    return scan(tokens, zero, _TAGS, step, _MARK)
+
+
+def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = (), siblings: bool = True) -> DataFrame:
+    """(key, *keep, section_ord, section_title, hierarchy_level, text): each heading with what follows it among its siblings, up
+    to the next heading there; unless siblings, with all up to the next heading anywhere. A page without headings is one
+    section of all its text, a blank or null page none. Navigation, headers, footers, scripts, styles and comments go,
+    however they nest."""
+    clean = F.regexp_replace(F.coalesce(html, F.lit("")), _RAW, " ")
+    rows = pages.select(key, *keep, _tokens(clean).alias("__t")).select(key, *keep, "__t", _tag_scan(F.col("__t"), siblings).alias("__m"))
+    kept = F.zip_with("__t", "__m", lambda t, m: F.when(m["hidden"], " ").otherwise(t["text"]))
+    at = lambda pick: F.map_from_entries(F.flatten(F.transform("__m", lambda m, k: F.transform(pick(m), lambda n: F.struct(n, k)))))
+    only = lambda n: F.filter(F.array(n), lambda x: x > 0)
+    rows = rows.select(key, *keep, "__t", kept.alias("__k"), at(lambda m: only(m["opened"])).alias("__opened"), at(lambda m: m["closed"]).alias("__closed"),
+        at(lambda m: only(m["begun"])).alias("__begun"), at(lambda m: m["ended"]).alias("__ended"))
+    size = F.size("__k")
+    joined = lambda start, end: F.array_join(F.slice("__k", start + 1, F.greatest(F.lit(0), end - start)), "")
+
+    def section(n: Column) -> Column:
+        opened, begun = F.element_at("__opened", n), F.element_at("__begun", n)
+        title = joined(opened + 1, F.coalesce(F.element_at("__closed", n), size))
+        body = F.when(begun.isNotNull(), joined(begun + 1, F.coalesce(F.element_at("__ended", n), size))).otherwise("")
+        return F.struct(F.get("__t", opened)["level"].alias("level"), title.alias("title"), body.alias("body"))
+
+    count = F.size("__opened")
+    whole = F.array(F.struct(F.lit(1).alias("level"), F.lit(DEFAULT_TITLE).alias("title"), F.array_join("__k", "").alias("body")))
+    found = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), section)).when(plain_html(F.array_join("__k", "")) != "", whole)
+    rows = rows.select(key, *keep, F.posexplode(found).alias("pos", "s"))
     return rows.select(key, *keep, (F.col("pos") + 1).alias("section_ord"), plain_html(F.col("s.title")).alias("section_title"),
-        F.col("s.level").cast("int").alias("hierarchy_level"), plain_html(F.col("s.body")).alias("text"))
+        F.col("s.level").alias("hierarchy_level"), plain_html(F.col("s.body")).alias("text"))
 
 
 def chunk_texts(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
@@ -132,14 +220,15 @@ def chunk_texts(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
         def after(o: Column) -> Column:
             kept = F.when(o["overlaps"], F.least(a["last"], F.lit(sizes.overlap))).when(o["begins"], 0).otherwise(a["tokens"])
             wall = i["kind"] == "wall"
-            return F.struct(F.when(wall, 0).otherwise(kept + i["n"]).alias("tokens"), F.when(wall, 0).otherwise(1).alias("parts"), i["n"].alias("last"))
+            after = F.struct(F.when(wall, 0).otherwise(kept + i["n"]).alias("tokens"), F.when(wall, 0).otherwise(1).alias("parts"), i["n"].alias("last"))
+            return F.struct(after.alias("s"), o.alias("out"))
 
         return let(opens(a, i), after)
 
     zero = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("parts"), F.lit(0).alias("last"))
 
     def chunked(items: Column) -> Column:
-        found = scan(items, zero, "struct<tokens:int,parts:int,last:int>", step, opens, "struct<begins:boolean,overlaps:boolean>")
+        found = scan(items, zero, "struct<tokens:int,parts:int,last:int>", step, "struct<begins:boolean,overlaps:boolean>")
         starts = F.filter(F.transform(found, lambda o, k: F.struct(o["begins"].alias("begins"), o["overlaps"].alias("overlaps"), k.alias("at"))), lambda o: o["begins"])
         texts = F.transform(items, lambda i: i["text"])
         return let(F.struct(starts.alias("starts"), texts.alias("texts")), sliced)
