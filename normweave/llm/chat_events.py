@@ -91,17 +91,26 @@ def parse(formatted: Column) -> Column:
 
 
 def log_of(rows: DataFrame) -> DataFrame:
-    """The events of finished rows (conv_id, turn, role, text): a start and two deltas for each."""
+    """An event log that ends in the given rows (conv_id, turn, role, text). By a hash of the row, a third of them streamed in
+    halves; a third first streamed a draft, which an edit then replaced by the first half in the same place as the last delta;
+    and a third streamed a draft and had a follow-up, which a regeneration dropped before the halves came."""
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("message", F.row_number().over(order).cast("long"))
-    body = F.coalesce("text", F.lit(""))
+    body, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     half = F.floor(F.length(body) / 2).cast("int")
-    event = lambda k, kind, role, payload: F.struct((F.col("message") * 3 + k).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"),
-        payload.alias("payload"))
+    first, second, draft = F.substring(body, F.lit(1), half), F.substring(body, half + 1, F.length(body) - half), F.reverse(body)
     none = F.lit(None).cast("string")
-    events = F.array(event(0, "start", F.coalesce("role", F.lit("")), none), event(1, "delta", none, F.substring(body, F.lit(1), half)),
-        event(2, "delta", none, F.substring(body, half + 1, F.length(body) - half)))
-    return rows.select("conv_id", "message", F.explode(events).alias("e")).select("conv_id", "message", "e.*")
+    # odd messages are follow-ups that don't last
+    event = lambda k, kind, role=none, payload=none, after=0: F.struct((F.col("message") * 8 + k).alias("seq"), (F.col("message") * 2 + after).alias("message"),
+        F.lit(kind).alias("kind"), role.alias("role"), payload.alias("payload"))
+    begun = event(0, "start", role)
+    streamed = F.array(begun, event(1, "delta", payload=first), event(2, "delta", payload=second))
+    edited = F.array(begun, event(1, "delta", payload=draft), event(2, "edit", payload=first), event(2, "delta", payload=second))
+    again = F.array(begun, event(1, "delta", payload=draft), event(2, "start", F.lit("user"), after=1), event(3, "delta", payload=draft, after=1),
+        event(4, "regenerate"), event(5, "delta", payload=first), event(6, "delta", payload=second))
+    way = F.pmod(F.crc32(F.concat(role, body).cast("binary")) + F.col("message"), F.lit(3))
+    events = F.when(way == 0, streamed).when(way == 1, edited).otherwise(again)
+    return rows.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
 
 
 def op4_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
