@@ -305,14 +305,14 @@ pieces AS (SELECT rid, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]'
 p AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
 w AS (SELECT pid, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM p),
 g AS (SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY pid ORDER BY i)),
-f AS (SELECT lang, 1 AS k, w1 AS phrase, count(*) AS f FROM g GROUP BY ALL UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+f AS MATERIALIZED (SELECT lang, 1 AS k, w1 AS phrase, count(*) AS f FROM g GROUP BY ALL UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
   UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL
   UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM g WHERE w4 IS NOT NULL GROUP BY ALL),
 t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE k > 1 AND f >= 30),
 s AS (SELECT lang, size, phrase, ws, a, unnest(range(1, size)) AS k FROM c),
-v AS (SELECT s.lang, s.phrase, s.size, s.a, s.k, fl.f AS l, fr.f AS r, (2000000::HUGEINT * s.a) // (fl.f::HUGEINT + fr.f) AS score FROM s
-  JOIN f fl ON fl.lang = s.lang AND fl.phrase = array_to_string(s.ws[1:s.k], ' ') JOIN f fr ON fr.lang = s.lang AND fr.phrase = array_to_string(s.ws[s.k + 1:], ' ')),
+x AS MATERIALIZED (SELECT s.lang, s.phrase, s.a, s.k, f.f AS l, array_to_string(s.ws[s.k + 1:], ' ') AS rest FROM s JOIN f ON f.lang = s.lang AND f.phrase = array_to_string(s.ws[1:s.k], ' ')),
+v AS (SELECT x.lang, x.phrase, x.a, x.k, x.l, f.f AS r, (2000000::HUGEINT * x.a) // (x.l::HUGEINT + f.f::HUGEINT) AS score FROM x JOIN f ON f.lang = x.lang AND f.phrase = x.rest),
 b AS (SELECT lang, phrase, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM v GROUP BY lang, phrase, a),
 i AS (SELECT lang, a, ws, unnest(range(1, size + 1)) AS x, size FROM c WHERE size > 2),
 j AS (SELECT lang, a, ws, x, unnest(range(x + 1, size + 1)) AS y, size FROM i),
