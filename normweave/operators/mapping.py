@@ -12,14 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from normweave.functions.text import cosine, first_words, hash_embedding
-from normweave.sources.store import stored
+from normweave.sources.store import expected_bytes, stored
 
 OVERRIDE, EXACT, SYNONYM = 1.0, 0.95, 0.85
 THRESHOLD, REVIEW_BELOW, SUGGESTIONS = 0.7, 0.8, 3
 #: Rows of a block of queries and of items in top_k.
 QUERY_BLOCK, ITEM_BLOCK = 512, 8192
-#: Distinct entities whose mappings go to all tasks at most.
-BROADCAST_ROWS = 100_000
+#: Distinct entities whose mappings go to all tasks at most, and the bytes that the optimizer expects of them.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -167,10 +167,10 @@ def mentions(parsed: DataFrame) -> DataFrame:
     return parsed.select("clause_id", F.explode(F.filter(every, lambda m: F.coalesce(m["entity"], F.lit("")) != "")).alias("m")).select("clause_id", "m.*")
 
 
-def _small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """table, stored; marked for broadcast if it has `most` rows at most."""
+def _small(table: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """table, stored; marked for broadcast if it has `most` rows and its files `most_bytes` at most."""
     table = stored(table, "entities")
-    return F.broadcast(table) if table.count() <= most else table
+    return F.broadcast(table) if expected_bytes(table) <= most_bytes and table.count() <= most else table
 
 
 def map_mentions(found: DataFrame, registry: Registry, threshold: float = THRESHOLD, default_schema: str = "default", embed=hash_embedding) -> DataFrame:

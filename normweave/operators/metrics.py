@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from normweave.sources.store import stored
+
 #: Upper bounds of the histogram's buckets in seconds.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -59,6 +61,7 @@ def distinct_sorted(events: DataFrame, by: list[str], value: str = "value") -> D
     """(by, __v, __c, __upto): each group's distinct values, their counts and the counts up to them: equal values meet
     before the shuffle, and no task sorts a whole group."""
     per = events.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    per = stored(per, "distinct-values")  # running_total reads it three times
     return running_total(per, by, ["__v"], "__c", "__upto")
 
 
@@ -131,23 +134,23 @@ def merged_quantiles(sketches: DataFrame, by: list[str], places: tuple[float, ..
     return rows.select(*by, F.kll_sketch_get_n_double("s").alias("count"), *[F.kll_sketch_get_quantile_double("s", F.lit(p)).alias(n) for p, n in zip(places, names, strict=True)])
 
 
-#: Kinds and help texts of the metrics that the engine's jobs record, by name after the prefix.
+#: Names and kinds of the metrics that the engine's jobs record, after the prefix; the help texts are our own.
 DEFAULTS = (
-    ("requests_total", "counter", "Total number of API requests"), ("request_duration_seconds", "histogram", "Request duration in seconds"),
-        ("request_errors_total", "counter", "Total number of request errors"),
-    ("documents_processed_total", "counter", "Total number of documents processed"),
-        ("document_processing_duration_seconds", "histogram", "Document processing duration in seconds"),
-        ("documents_in_progress", "gauge", "Number of documents currently being processed"),
-    ("clauses_extracted_total", "counter", "Total number of clauses extracted"),
-        ("clauses_per_document", "histogram", "Number of clauses extracted per document"),
-        ("artifacts_generated_total", "counter", "Total number of artifacts generated"),
-    ("compilation_duration_seconds", "histogram", "Artifact compilation duration in seconds"),
-        ("validations_total", "counter", "Total number of validations performed"),
-        ("validation_failures_total", "counter", "Total number of validation failures"),
-    ("llm_requests_total", "counter", "Total number of LLM API requests"),
-        ("llm_request_duration_seconds", "histogram", "LLM API request duration in seconds"),
-        ("llm_tokens_used_total", "counter", "Total number of LLM tokens used"),
-        ("active_connections", "gauge", "Number of active connections"),
+    ("requests_total", "counter", "Calls of the interface"), ("request_duration_seconds", "histogram", "Time that a call took, in seconds"),
+        ("request_errors_total", "counter", "Calls that ended in an error"),
+    ("documents_processed_total", "counter", "Documents that went through the engine"),
+        ("document_processing_duration_seconds", "histogram", "Time from a document to its rules, in seconds"),
+        ("documents_in_progress", "gauge", "Documents under way"),
+    ("clauses_extracted_total", "counter", "Clauses found in all documents"),
+        ("clauses_per_document", "histogram", "Clauses that one document gave"),
+        ("artifacts_generated_total", "counter", "Rule artifacts rendered"),
+    ("compilation_duration_seconds", "histogram", "Time that rendering took, in seconds"),
+        ("validations_total", "counter", "Artifacts that were judged"),
+        ("validation_failures_total", "counter", "Artifacts that were judged and failed"),
+    ("llm_requests_total", "counter", "Calls of a language model"),
+        ("llm_request_duration_seconds", "histogram", "Time that a language model took to answer, in seconds"),
+        ("llm_tokens_used_total", "counter", "Tokens that language models read and wrote"),
+        ("active_connections", "gauge", "Connections that are open"),
 )
 
 
@@ -175,12 +178,6 @@ def _label_pairs(names: Column, value) -> Column:
     return F.array_join(F.transform(names, lambda n: F.concat(n, F.lit('="'), escaped(value(n)), F.lit('"'))), ",")
 
 
-def exposition(counts: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
-    """Lines of the Prometheus text format, for one table of one metric."""
-    pairs = F.concat_ws(",", *[_label_pairs(F.array(F.lit(c)), lambda _, c=c: F.col(c).cast("string")) for c in labels])
-    return counts.select(F.concat(F.lit(name + "{"), pairs, F.lit("} "), F.col(value).cast("string")).alias("line"))
-
-
 def prometheus(metrics: DataFrame, seen: DataFrame) -> DataFrame:
     """(name, ord, label_key, line): the text format of all metrics (name, kind, help) with what `observed` found, to be
     written in this order: HELP and TYPE of each metric, then its samples."""

@@ -7,6 +7,8 @@ that a rule is about.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -101,14 +103,15 @@ def validator_outcomes(facts: DataFrame, rules: DataFrame) -> DataFrame:
         F.array_compact(F.array(F.when(warned, F.concat(F.lit("no value for "), "r_object")))).alias("warnings"))
 
 
-def enforce(facts: DataFrame, rules: DataFrame, raise_on_violation: bool = True) -> DataFrame:
+def enforce(facts: DataFrame, rules: DataFrame, raise_on_violation: bool = True, before: Callable[[DataFrame], DataFrame] | None = None,
+    after: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """validator_outcomes; unless told otherwise, the first violation that a task meets ends the job with the rule's and
-    the entity's id."""
-    out = validator_outcomes(facts, rules)
-    if not raise_on_violation:
-        return out
-    message = F.format_string("rule %s violated by entity %s", F.col("rule_id"), F.col("entity_id").cast("string"))
-    return out.withColumn("violated", F.when(F.col("violated"), F.raise_error(message).cast("boolean")).otherwise(False))
+    the entity's id. before and after are hooks: functions of the facts before they are judged, and of the outcomes."""
+    out = validator_outcomes(before(facts) if before else facts, rules)
+    if raise_on_violation:
+        message = F.format_string("rule %s violated by entity %s", F.col("rule_id"), F.col("entity_id").cast("string"))
+        out = out.withColumn("violated", F.when(F.col("violated"), F.raise_error(message).cast("boolean")).otherwise(False))
+    return after(out) if after else out
 
 
 def decisions(requests: DataFrame, rules: DataFrame) -> DataFrame:

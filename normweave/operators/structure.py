@@ -128,7 +128,8 @@ def _tag_scan(tokens: Column, siblings: bool) -> Column:
 
     def look(a: Column, t: Column) -> Column:
         depth = F.size(a["stack"])
-        down = F.coalesce(F.array_max(F.transform(a["stack"], lambda x, k: F.when(x == t["name"], k))), F.lit(-1))  # the depth after a closing tag
+        last = F.array_max(F.transform(a["stack"], lambda x, k: F.when(x == t["name"], k)))
+        down = F.when(t["turn"] == -1, F.coalesce(last, F.lit(-1))).otherwise(-1)  # the depth after a closing tag
         heads = (t["turn"] == 1) & (t["level"] > 0) & (a["hidden"] == 0)
         closes = (t["turn"] == -1) & (down >= 0)
         ends = lambda p: (heads & ((p["depth"] == depth) if siblings else F.lit(True))) | (closes & (p["depth"] > down) & F.lit(siblings))

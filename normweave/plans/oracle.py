@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from normweave.operators import clauses
 from normweave.operators.artifacts import FALLBACK_RESOURCE, RESOURCES
 from normweave.plans.corpus import FIELDS, OVERRIDES, SECTIONS, SYNONYMS, values
 
@@ -15,26 +16,24 @@ CLAUSE_CTE = SECTION_CTE + r""",
 chunk AS (SELECT doc_id, sec, doc_id || '_S' || lpad(sec::VARCHAR, 3, '0') AS section_id, doc_id || '_S' || lpad(sec::VARCHAR, 3, '0') || '_C000' AS chunk_id, text FROM sections WHERE text <> ''),
 parts AS (SELECT chunk_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM chunk),
 sent AS (SELECT chunk_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM parts),
-flagged AS (SELECT *, regexp_matches(s, '(?i)\b(must|shall|may|should|required|prohibited|permitted|means|defined|except|unless|if|when|where)\b') AS reg FROM sent),
+flagged AS (SELECT *, regexp_matches(s, '(?i)\b(@REGULATORY)\b') AS reg FROM sent),
 grouped AS (SELECT *, coalesce(sum(reg::INT) OVER (PARTITION BY chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g, bool_or(reg) OVER (PARTITION BY chunk_id) AS any_reg FROM flagged),
 folded AS (SELECT chunk_id, g, any_value(any_reg) AS any_reg, string_agg(s, ' ' ORDER BY i) FILTER (NOT reg) AS ctx, max(s) FILTER (reg) AS reg FROM grouped GROUP BY chunk_id, g),
 texts AS (SELECT chunk_id, g, CASE WHEN reg IS NULL THEN ctx WHEN length(ctx) < 100 THEN ctx || ' ' || reg ELSE reg END AS source_text FROM folded WHERE reg IS NOT NULL OR NOT any_reg),
 clause AS (SELECT doc_id, section_id, chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY g)::INTEGER AS clause_ord, source_text FROM texts JOIN chunk USING (chunk_id)),
-named AS (SELECT doc_id, section_id, chunk_id, clause_ord, doc_id || '_' || chunk_id || '_CL' || lpad(clause_ord::VARCHAR, 3, '0') AS clause_id, source_text, lower(source_text) AS low FROM clause)"""
+named AS (SELECT doc_id, section_id, chunk_id, clause_ord, doc_id || '_' || chunk_id || '_CL' || lpad(clause_ord::VARCHAR, 3, '0') AS clause_id, source_text, lower(source_text) AS low FROM clause)""".replace("@REGULATORY", "|".join(clauses.REGULATORY))
 
-_x = lambda p, n=1: f"nullif(trim(regexp_extract(source_text, '(?i){p}', {n})), '')"
+_x = lambda p: f"nullif(trim(regexp_extract(source_text, '(?i){p}', 1)), '')"
+_any = lambda patterns: ", ".join(_x(p) for p in patterns)
+_kinds = " ".join(f"WHEN {' OR '.join(f'contains(low, {chr(39)}{p}{chr(39)})' for p in parts)} THEN '{kind}'" for kind, parts in clauses.TYPE_RULES)
 
 PARSED_CTE = CLAUSE_CTE + rf""",
 parsed AS (SELECT doc_id, section_id, chunk_id, clause_ord, clause_id, source_text,
-  CASE WHEN starts_with(low, 'if ') OR starts_with(low, 'when ') THEN 'conditional' WHEN contains(low, 'must not') OR contains(low, 'shall not') OR contains(low, 'prohibited') THEN 'prohibition'
-    WHEN contains(low, 'defined as') OR contains(low, 'means') THEN 'definition' WHEN contains(low, 'except') OR contains(low, 'unless') THEN 'exception' WHEN contains(low, 'may') OR contains(low, 'permitted') THEN 'permission'
-    WHEN contains(low, 'must') OR contains(low, 'shall') OR contains(low, 'required') THEN 'obligation' WHEN contains(low, 'if') OR contains(low, 'when') THEN 'conditional' ELSE 'obligation' END AS type,
-  coalesce({_x(r'^([\w\s]+?)\s+(?:must|shall|may|should|can)\s')}, 'unspecified entity') AS actor,
-  coalesce({_x(r'(?:must|shall|may|should|can)\s+(?:not\s+)?(\w+)')}, 'comply') AS verb,
-  array_to_string(string_split_regex(coalesce({_x(r'(?:verify|maintain|report|submit|provide|ensure)\s+([\w\s]+?)(?:\.|,|$)')}, {_x(r'(?:must|shall)\s+\w+\s+([\w\s]+?)(?:\.|,|$)')}), '\s+')[1:5], ' ') AS object,
-  coalesce({_x(r'(?:if|when|where)\s+([\w\s]+?)(?:,|then|$)')}, {_x(r'(?:before|after|upon)\s+([\w\s]+?)(?:,|\.|$)')}) AS trigger,
-  {_x(r'(?:within|by|before)\s+([\w\s]+?)(?:\.|,|$)')} AS deadline, {_x(r'(?:for|at least|up to)\s+(\d+\s*(?:days?|months?|years?))')} AS duration,
-  {_x(r'(annually|monthly|weekly|daily|quarterly)')} AS frequency, 0.75 AS confidence FROM named)"""
+  CASE WHEN starts_with(low, 'if ') OR starts_with(low, 'when ') THEN 'conditional' {_kinds} ELSE 'obligation' END AS type,
+  coalesce({_x(clauses.ACTOR)}, '{clauses.NO_ACTOR}') AS actor, coalesce({_x(clauses.VERB)}, '{clauses.NO_VERB}') AS verb,
+  array_to_string(string_split_regex(coalesce({_any(clauses.OBJECTS)}), '\s+')[1:5], ' ') AS object,
+  coalesce({_any(clauses.TRIGGERS)}) AS trigger, {_x(clauses.DEADLINE)} AS deadline, {_x(clauses.DURATION)} AS duration, {_x(clauses.FREQUENCY)} AS frequency,
+  {clauses.CONFIDENCE} AS confidence FROM named)"""
 
 REGISTRY_CTE = f"""
 field(ord, schema_id, table_name, field_name, labels, description) AS ({values([(i, f[0], f[1], f[2], f[4], f[5]) for i, f in enumerate(FIELDS)])}),

@@ -8,7 +8,7 @@ from normweave.operators import artifacts, lineage, mapping, metrics, rules, str
 from normweave.plans import corpus, oracle, pipeline
 from normweave.plans.catalog import query, read
 from normweave.sources import files
-from normweave.sources.store import scratch_path
+from normweave.sources.store import scratch_path, spread
 from normweave.streaming import jobs
 
 # -- registry and graph
@@ -115,11 +115,11 @@ _BLOCKS = "(?i)</?(p|div|section|article|ul|ol|li|table|tr|br|h[1-6])\\b[^>]*>"
 _ENTITIES = "".join(f", '{a}', {b})" for a, b in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "'&'")))
 
 
-@query(f"""WITH b AS (SELECT page_id, regexp_extract(html, '(?is)</h1>(.*?)</article>', 1) AS x FROM pages), t AS (SELECT page_id, regexp_replace(regexp_replace(x, '{_BLOCKS}', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM b),
+@query(rf"""WITH b AS (SELECT page_id, regexp_extract(html, '(?is)</h1>(.*?)</article>', 1) AS x FROM pages), t AS (SELECT page_id, regexp_replace(regexp_replace(x, '{_BLOCKS}', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM b),
 u AS (SELECT page_id, {"replace(" * 6}x{_ENTITIES} AS x FROM t) SELECT page_id, 1 AS section_ord, sha256(regexp_replace(regexp_replace(x, '[ \t]*\n\s*\n\s*', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS body_hash FROM u""")
 def html_bodies(spark, sf_dir):
     """What stands among a heading's siblings, of every page."""
-    rows = structure.html_sections(read(spark, sf_dir, "pages"))
+    rows = structure.html_sections(spread(read(spark, sf_dir, "pages"), "page_id"))
     return rows.select("page_id", "section_ord", F.sha2("text", 256).alias("body_hash"))
 
 

@@ -11,7 +11,7 @@ from normweave.operators import artifacts, clauses, lineage, mapping, metrics, r
 from normweave.plans import corpus, history, oracle, outputs, pipeline  # noqa: F401  history and outputs register queries
 from normweave.plans.catalog import oracle_sql, queries, query, read  # noqa: F401
 from normweave.sources import stages
-from normweave.sources.store import scratch_path, stored
+from normweave.sources.store import scratch_path, spread, stored
 from normweave.streaming import events
 
 AS_OF = datetime.datetime(2026, 1, 1)
@@ -87,7 +87,7 @@ def documents_listed(spark, sf_dir):
 
 @query(r"""SELECT page_id, 1 AS section_ord, trim(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS section_title, 1 AS hierarchy_level FROM pages""")
 def html_sections(spark, sf_dir):
-    return structure.html_sections(read(spark, sf_dir, "pages")).select("page_id", "section_ord", "section_title", "hierarchy_level")
+    return structure.html_sections(spread(read(spark, sf_dir, "pages"), "page_id")).select("page_id", "section_ord", "section_title", "hierarchy_level")
 
 
 @query(f"""WITH {oracle.SECTION_CTE} SELECT s.doc_id, s.doc_id || '_S' || lpad(s.sec::VARCHAR, 3, '0') AS section_id, s.sec::INTEGER AS section_ord, s.title AS section_title, s.lvl::INTEGER AS hierarchy_level,

@@ -43,14 +43,18 @@ def stored(df: DataFrame, name: str, level: int = 3, page_mb: int = 1) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def expected_bytes(df: DataFrame) -> int:
+    """The size that the optimizer expects of df, for a table read from files that of the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df over at least as many tasks as there are cores. Rows that grow in the steps to come, such as documents that are
     cut into clauses, would otherwise stay in the few splits that they are read in. Where the optimizer expects enough
     splits, nothing is shuffled."""
     spark = df.sparkSession
     cores, split = spark.sparkContext.defaultParallelism, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df if expected >= cores * split else df.repartition(cores, key)
+    return df if expected_bytes(df) >= cores * split else df.repartition(cores, key)
 
 
 def discard(*tables: DataFrame) -> None:

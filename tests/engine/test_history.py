@@ -83,6 +83,16 @@ def test_triggers_by_operation(spark):
     assert sorted(r["entity_id"] for r in rules.replayed(known).collect()) == [3, 6]
 
 
+def test_hooks_of_validators(spark):
+    facts = spark.createDataFrame([(1, "desk", "a", None, "ok", None, None, True, None), (2, "desk", "a", None, "ok", True, None, True, None)],
+        "entity_id long, actor string, action string, object string, status string, completed boolean, attempted boolean, condition_met boolean, ts timestamp")
+    table = spark.createDataFrame(RULES[:1], RULE)
+    seen = rules.enforce(facts, table, before=lambda f: f.where("completed"), after=lambda o: o.withColumn("noted", F.lit(True))).collect()
+    assert [(r["entity_id"], r["violated"], r["noted"]) for r in seen] == [(2, False, True)]
+    with pytest.raises(Exception, match="rule O violated by entity 1"):
+        rules.enforce(facts, table).collect()
+
+
 def test_a_repeated_batch_changes_nothing(spark, sf, tmp_path):
     """The batch plan's rows, also after a batch ran twice and after a restart from the checkpoint."""
     whole = history.change_log(spark, sf)
@@ -106,7 +116,8 @@ def test_a_repeated_batch_changes_nothing(spark, sf, tmp_path):
 
 def test_windows_as_a_stream(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.repartitionByRange(5, "ts").write.parquet(f"{tmp_path}/events")
+    for k in range(5):  # one after another, for the source takes files by their time
+        e.where(F.least(F.floor((F.dayofyear("ts") - 1) / 6), F.lit(4)) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/events")
     for name, window, by in (("day", F.window("ts", "1 day"), ["event_type"]), ("session", F.session_window("ts", "6 hours"), ["user_id"])):
         failed = F.col("value") > 95
