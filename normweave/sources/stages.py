@@ -26,8 +26,8 @@ SCHEMAS = {
 
 
 def write_json(rows: DataFrame, path: str, mode: str = "error") -> None:
-    """A line for each row, nulls kept."""
-    rows.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """A line for each row, nulls kept; gzipped, for names and messages repeat in every line. A task's part is one file."""
+    rows.write.mode(mode).option("ignoreNullFields", "false").option("compression", "gzip").json(path)
 
 
 def read_json(spark: SparkSession, path: str, stage: str) -> DataFrame:
