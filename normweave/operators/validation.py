@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from normweave.functions.text import hash_suffix
 from normweave.operators.artifacts import clause_struct, mapping_struct
+from normweave.sources.store import grows
 
 PASS_AT, REVIEW_BELOW, FAIL_BELOW = 0.85, 0.70, 0.50
 #: Names of the checks, in order.
@@ -30,7 +31,8 @@ def validate(artifacts: DataFrame, clauses: DataFrame, mapped: DataFrame, requir
     mapped_entities). Left joins on clause_id keep artifacts whose chain is broken.
     """
     c, m = clauses.select("clause_id", clause_struct().alias("c")), mapped.select("clause_id", mapping_struct().alias("m"))
-    rows = artifacts.drop("c", "m").join(c, "clause_id", "left").join(m, "clause_id", "left").join(unknown_references(clauses), "clause_id", "left")
+    rows = artifacts.drop("c", "m").join(grows(c), "clause_id", "left").join(grows(m), "clause_id", "left").join(grows(unknown_references(clauses)),
+        "clause_id", "left")
     return judge(rows, require_complete_chain)
 
 
@@ -38,7 +40,7 @@ def unknown_references(clauses: DataFrame) -> DataFrame:
     """(clause_id, invalid_refs): references to clauses that the document lacks."""
     refs = clauses.where(F.size("cross_references") > 0).select("clause_id", F.col("doc_id").alias("ref_doc"), F.explode("cross_references").alias("ref"))
     ids = clauses.select(F.col("clause_id").alias("ref"), F.col("doc_id").alias("ref_doc")).distinct()
-    return refs.join(ids, ["ref", "ref_doc"], "left_anti").groupBy("clause_id").agg(F.array_sort(F.collect_set("ref")).alias("invalid_refs"))
+    return refs.join(grows(ids), ["ref", "ref_doc"], "left_anti").groupBy("clause_id").agg(F.array_sort(F.collect_set("ref")).alias("invalid_refs"))
 
 
 def judge(rows: DataFrame, require_complete_chain: bool = True) -> DataFrame:

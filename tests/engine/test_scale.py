@@ -2,9 +2,21 @@
 
 import glob
 
+import pytest
+
+from normweave.plans import registry
 from normweave.sources import stages
 
 
+@pytest.mark.parametrize("name", ["validation_faults"])
+def test_growing_sides_are_not_broadcast(spark, sf, name):
+    """The optimizer takes sections and stored clauses for small; only the registry's mappings may go to every task."""
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert not [k for k in keys if "clause_id#" in k or "section_id#" in k or "ref#" in k]
+    assert "SortMergeJoin" in plan
+
+
 def test_json_of_stages_is_compressed(spark, tmp_path):
     rows = spark.range(2000).selectExpr("concat('TRC_', id) AS trace_id", "array('low_confidence', 'semantic_drift') AS review_flags")
     stages.write_json(rows, f"{tmp_path}/v")
