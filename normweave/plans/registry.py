@@ -11,7 +11,7 @@ from normweave.operators import artifacts, clauses, lineage, mapping, metrics, r
 from normweave.plans import corpus, history, oracle, outputs, pipeline  # noqa: F401  history and outputs register queries
 from normweave.plans.catalog import oracle_sql, queries, query, read  # noqa: F401
 from normweave.sources import stages
-from normweave.sources.store import scratch_path, spread, stored
+from normweave.sources.store import grows, scratch_path, spread, stored
 from normweave.streaming import events
 
 AS_OF = datetime.datetime(2026, 1, 1)
@@ -138,7 +138,7 @@ def crossref_integrity(spark, sf_dir):
     parsed = corpus.parsed(spark, sf_dir).withColumn("ref", F.explode(clauses.cross_references(F.col("source_text"))))
     known = corpus.sections(spark, sf_dir).select("section_id", F.lit(True).alias("__known"))
     target = F.concat("doc_id", F.lit("_S"), F.lpad("ref", 3, "0"))
-    return parsed.select("clause_id", "ref", target.alias("section_id")).join(known, "section_id", "left").select("clause_id", "ref",
+    return parsed.select("clause_id", "ref", target.alias("section_id")).join(grows(known), "section_id", "left").select("clause_id", "ref",
         F.coalesce("__known", F.lit(False)).alias("known"))
 
 

@@ -8,7 +8,7 @@ from normweave.plans import registry
 from normweave.sources import stages
 
 
-@pytest.mark.parametrize("name", ["validation_faults"])
+@pytest.mark.parametrize("name", ["crossref_integrity", "validation_faults"])
 def test_growing_sides_are_not_broadcast(spark, sf, name):
     """The optimizer takes sections and stored clauses for small; only the registry's mappings may go to every task."""
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
