@@ -8,7 +8,11 @@ synonym) and overrides (entity_lower, target_path).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from normweave.functions.text import cosine, first_words, hash_embedding
@@ -16,8 +20,8 @@ from normweave.sources.store import expected_bytes, stored
 
 OVERRIDE, EXACT, SYNONYM = 1.0, 0.95, 0.85
 THRESHOLD, REVIEW_BELOW, SUGGESTIONS = 0.7, 0.8, 3
-#: Rows of a block of queries and of items in top_k.
-QUERY_BLOCK, ITEM_BLOCK = 512, 8192
+#: Rows of a block of queries and of items in top_k, and of queries that are multiplied at once.
+QUERY_BLOCK, ITEM_BLOCK, QUERY_SLICE = 2048, 8192, 256
 #: Distinct entities whose mappings go to all tasks at most, and the bytes that the optimizer expects of them.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
@@ -212,23 +216,72 @@ def status_counts(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy("mapping_status").agg(F.count("*").alias("n"))
 
 
+def _vectors(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of each length; a null vector or one with a null has no length."""
+    column = table.column("v").combine_chunks()
+    flat, sizes = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values, owner = flat.cast(pa.float64()).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
+    starts, own = np.cumsum(sizes) - sizes, sizes.copy()
+    own[owner[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = 0
+    found = [(size, np.flatnonzero(own == size)) for size in np.unique(own)]
+    return [(rows, values[starts[rows][:, None] + np.arange(size)]) for size, rows in found]
+
+
+def _half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as Spark's round does; what may be a tie is judged by its shortest decimal form."""
+    scaled = x * 10.0**digits
+    out = np.floor(scaled + 0.5) / 10.0**digits
+    unit = Decimal(1).scaleb(-digits)
+    for n in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4):
+        out[n] = float(Decimal(repr(float(x[n]))).quantize(unit, ROUND_HALF_UP))
+    return out
+
+
+def _best_of_block(q: pa.Table, i: pa.Table, k: int, digits: int) -> pa.Table:
+    """The k best items of each query of one pair of blocks."""
+    order = pc.sort_indices(i.column("item_id"), null_placement="at_start").to_numpy()
+    i, found = i.take(order), []
+    items = [(rows, m, np.sqrt((m * m).sum(axis=1))) for rows, m in _vectors(i)]
+    for q_rows, q_m in _vectors(q):
+        for low in range(0, len(q_rows), QUERY_SLICE):
+            rows, m = q_rows[low : low + QUERY_SLICE], q_m[low : low + QUERY_SLICE]
+            near, size = np.zeros((len(rows), i.num_rows)), np.sqrt((m * m).sum(axis=1))
+            for i_rows, i_m, i_size in items:
+                n, length = min(m.shape[1], i_m.shape[1]), size[:, None] * i_size[None, :]
+                with np.errstate(all="ignore"):
+                    cos = (m[:, :n] @ i_m[:, :n].T) / length
+                near[:, i_rows] = np.where(length == 0, 0.0, np.where(cos < 1, cos, 1.0))
+            last = np.partition(near, -k, axis=1)[:, -k] if k < i.num_rows else np.full(len(rows), -np.inf)
+            at, item = np.nonzero(near >= (last - 2 * 10.0**-digits)[:, None])  # what rounding may make equal to the last
+            rounded = _half_up(near[at, item], digits)
+            sorted_ = np.lexsort((item, -rounded, at))
+            at, item, rounded = at[sorted_], item[sorted_], rounded[sorted_]
+            keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+            found.append((rows[at[keep]], item[keep], rounded[keep]))
+    at, item, near = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, dtype=np.int64) for n in range(3))
+    return pa.table({"query_id": q.column("query_id").take(pa.array(at)), "item_id": i.column("item_id").take(pa.array(item)), "similarity": pa.array(near, pa.float64())})
+
+
 def top_k(queries: DataFrame, items: DataFrame, k: int, embedding: str = "embedding", query_block: int = QUERY_BLOCK,
-    item_block: int = ITEM_BLOCK) -> DataFrame:
-    """(query_id, item_id, similarity, rank) of the k items nearest to each query by cosine, ties by item_id.
+    item_block: int = ITEM_BLOCK, digits: int = 9) -> DataFrame:
+    """(query_id, item_id, similarity, rank) of the k items nearest to each query by cosine, rounded to `digits`, ties by item_id.
 
     Queries and items are cut into blocks of about query_block and item_block rows by hash, and each pair of blocks is
-    joined by itself: no side goes through the driver, and neither may be bounded. The k best of a query in a pair of
-    blocks are kept by a window before they are merged, so the merge gets k rows a query and item block, never all pairs.
+    multiplied by itself as matrices: no side goes through the driver, and neither may be bounded. A pair of blocks hands on the k
+    best of each query, so the merge gets k rows a query and item block, never all pairs. The work is that of all pairs.
     """
     blocks = lambda df, size: max(1, -(-df.count() // size))
     n_q, n_i = blocks(queries, query_block), blocks(items, item_block)
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("query_id", F.col(embedding).alias("q"), block("query_id", n_q).alias("q_block"), every(n_i).alias("i_block"))
-    i = items.select("item_id", F.col(embedding).alias("i"), block("item_id", n_i).alias("i_block"), every(n_q).alias("q_block"))
-    pairs = q.hint("shuffle_hash").join(i, ["q_block", "i_block"])
-    near = pairs.select("q_block", "i_block", "query_id", "item_id", F.round(cosine(F.col("q"), F.col("i")), 9).alias("similarity"))
+    q = queries.select("query_id", F.col(embedding).alias("v"), block("query_id", n_q).alias("q_block"), every(n_i).alias("i_block"))
+    i = items.select("item_id", F.col(embedding).alias("v"), block("item_id", n_i).alias("i_block"), every(n_q).alias("q_block"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _best_of_block(left, right, k, digits)
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, similarity double"
+    of_block = q.groupBy("q_block", "i_block").cogroup(i.groupBy("q_block", "i_block")).applyInArrow(run, kinds)
     order = [F.desc("similarity"), F.col("item_id")]
-    of_block = near.withColumn("rank", F.row_number().over(W.partitionBy("q_block", "i_block", "query_id").orderBy(*order))).where(F.col("rank") <= k)
-    best = of_block.select("query_id", "item_id", "similarity").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+    best = of_block.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
     return best.where(F.col("rank") <= k)

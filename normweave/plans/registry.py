@@ -188,8 +188,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DES
 def embedding_topk(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")
     top = mapping.top_k(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"),
-        v.select(F.col("vec_id").alias("item_id"), "embedding"), 3)
-    return top.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), "rank")
+        v.select(F.col("vec_id").alias("item_id"), "embedding"), 3, digits=6)
+    return top.select("query_id", "item_id", "similarity", "rank")
 
 
 _old_schemas = ", ".join(f"('{x}', {n}, {sum(f[0] == x for f in corpus.FIELDS)})" for n, x in enumerate(dict.fromkeys(f[0] for f in corpus.FIELDS)))

@@ -4,6 +4,7 @@ import glob
 
 import pytest
 
+from normweave.operators import mapping
 from normweave.plans import registry
 from normweave.sources import stages
 
@@ -22,3 +23,15 @@ def test_json_of_stages_is_compressed(spark, tmp_path):
     stages.write_json(rows, f"{tmp_path}/v")
     assert glob.glob(f"{tmp_path}/v/*.json.gz") and not glob.glob(f"{tmp_path}/v/*.json")
     assert stages.read_json(spark, f"{tmp_path}/v", "validations").where("review_flags[1] = 'semantic_drift'").count() == 2000
+
+
+def test_top_k_ranks_what_rounds_alike_by_id(spark):
+    """Similarities equal to six places are a tie, as in the SQL; odd vectors are measured as cosine does."""
+    rows = [(1, [1.0, 1e-5]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [-1.0, 0.0]), (7, [1.0, None])]
+    items = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.0]), (8, None)], "query_id long, embedding array<double>")
+    for block in (1, 3, 100):
+        top = mapping.top_k(q, items, 4, query_block=block, item_block=block, digits=6)
+        got = {(r.query_id, r.rank): (r.item_id, r.similarity) for r in top.collect()}
+        assert [got[9, n] for n in (1, 2, 3, 4)] == [(1, 1.0), (2, 1.0), (5, 1.0), (3, 0.0)]
+        assert [got[8, n] for n in (1, 2, 3, 4)] == [(n, 0.0) for n in (1, 2, 3, 4)]
