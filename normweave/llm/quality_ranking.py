@@ -6,7 +6,8 @@ shares of Unicode classes of characters, counts of words and lines, and hashed s
 a score sees letters of any script and the wording. The threshold is one quantile of the learned rows' scores: the one
 that leaves as many rows above it as are labelled good. It maps to 0.7, so predicted = score >= 0.7.
 
-Learning reads the texts of at most TRAIN_ROWS labelled ids; then one pass over all whole texts measures and scores.
+Learning reads the texts of all labelled ids once and keeps their features in blocks; each Newton step sums over the
+blocks on the executors, and the threshold is an exact quantile of all learned rows. Then one pass over all whole texts measures and scores.
 Defined results: null text is empty; an empty text has zero counts and a score like any other; repeated rows score
 alike; labels without a document, without a label or of null id are left out; of several texts of one id the least is
 learned from; equal labels of one id count once; ties at the threshold are kept; an empty table gives an empty table;
@@ -23,15 +24,16 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .batches import by_bytes
-from .common import read, small_batches
+from .common import discard, read, small_batches, stored
 
-#: Learning takes so many labelled ids at most, the first by a hash, and so many pairs a row.
-TRAIN_ROWS = 20_000
+#: Pairs a labelled row, and labelled rows of a block, within which pairs are made.
 PAIRS_A_ROW = 2
+BLOCK_ROWS = 20_000
 CUT_SCORE = 0.7
 BATCH_BYTES = 1_000_000
 #: Buckets of hashed words and of hashed byte trigrams.
@@ -145,17 +147,120 @@ class BradleyTerry:
         return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(labels: DataFrame, docs: DataFrame, most: int = TRAIN_ROWS, key: str = "doc_id", label: str = "quality", text: str = "text") -> BradleyTerry:
-    """Learn from the texts of at most `most` labelled ids: the driver gets so many rows of features, the executors
-    so many rows of labels."""
+def _untaught() -> BradleyTerry:
+    return BradleyTerry(np.zeros((0, len(FEATURES))), np.zeros(0, dtype=bool))
+
+
+def _pairs(good: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that win and rows that lose: each row of a block meets PAIRS_A_ROW rows of the other class in it."""
+    up, down = np.flatnonzero(good), np.flatnonzero(~good)
+    if not len(up) or not len(down):
+        return up[:0], down[:0]
+    rng = np.random.default_rng((SEED, block))
+    return (np.concatenate((np.repeat(up, PAIRS_A_ROW), rng.choice(up, len(down) * PAIRS_A_ROW))),
+        np.concatenate((rng.choice(down, len(up) * PAIRS_A_ROW), np.repeat(down, PAIRS_A_ROW))))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(block, f, good) of rows (id, good, f): about BLOCK_ROWS rows by hash are one row of bytes, so that each round of learning
+    reads them without a shuffle."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("hash", "ascending"), ("id", "ascending"), ("good", "ascending")]))
+        f = table.column("f").combine_chunks().flatten().to_numpy().astype(np.float32)
+        good = table.column("good").to_numpy().astype(np.uint8)
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "f": pa.array([f.tobytes()], pa.binary()),
+            "good": pa.array([good.tobytes()], pa.binary())})
+
+    n = max(1, -(-rows.count() // BLOCK_ROWS))
+    hashed = F.xxhash64(F.lit(SEED), "id")
+    return rows.select("id", F.col("good").cast("byte").alias("good"), "f", hashed.alias("hash"), F.pmod(hashed, F.lit(n)).cast("int").alias("block")).groupBy("block").applyInArrow(run,
+        "block int, f binary, good binary")
+
+
+def _summed(blocks: DataFrame, of, size: int) -> np.ndarray:
+    """The sum of of(f, good, block), an array of `size` numbers, over all blocks; sums meet two and more at a time on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for block, f, good in zip(*(c.to_pylist() for c in batch.columns)):
+                total += of(np.frombuffer(f, dtype=np.float32).reshape(-1, len(FEATURES)), np.frombuffer(good, dtype=np.uint8).astype(bool), block)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+    parts = blocks.select("block", "f", "good").mapInArrow(run, "s binary").rdd.map(lambda r: np.frombuffer(bytes(r.s)))
+    return parts.treeAggregate(np.zeros(size), np.add, np.add)
+
+
+def _quantile(scores: DataFrame, q: float) -> float:
+    """The exact quantile, between two ranks in proportion: bins narrow down to the values around the rank."""
+    n, low, high = scores.agg(F.count("*"), F.min("s"), F.max("s")).first()
+    place = q * (n - 1)
+
+    def ranked(rank: int) -> float:
+        a, b, left = low, high, rank  # values in [a, b], of which the wanted one has rank `left`
+        while True:
+            inside = scores.where((F.col("s") >= a) & (F.col("s") <= b))
+            if a == b:
+                return a
+            if inside.count() <= 10_000:
+                return sorted(r.s for r in inside.collect())[left]
+            bins = inside.groupBy(F.least(F.lit(1023), F.floor((F.col("s") - a) / (b - a) * 1024)).alias("bin")).agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"))
+            for r in sorted(bins.collect()):  # 1,024 rows at most
+                if left < r.n:
+                    a, b = r.a, r.b
+                    break
+                left -= r.n
+
+    floor = ranked(int(np.floor(place)))
+    part = place - np.floor(place)
+    return floor if part == 0 else floor + part * (ranked(int(np.floor(place)) + 1) - floor)
+
+
+def fit(labels: DataFrame, docs: DataFrame, key: str = "doc_id", label: str = "quality", text: str = "text") -> BradleyTerry:
+    """Learn from the texts of all labelled ids. The driver gets sums over them, whose size is that of the features."""
+    model, d = _untaught(), len(FEATURES)
     named = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("id"), (F.col(label) > 0).alias("good")).distinct()
-    chosen = F.broadcast(named.orderBy(F.xxhash64(F.lit(SEED), "id"), "id", "good").limit(most))
-    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, "id").groupBy("id",
+    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(named, "id").groupBy("id",
         "good").agg(F.min("text").alias("text"))
-    found = features(texts.select(F.struct("id", "good").alias("row"), "text"), "row").select("row.id", "row.good",
-        "f").toPandas().sort_values(["id", "good"], kind="stable")
-    f = np.stack(found["f"].to_list()) if len(found) else np.zeros((0, len(FEATURES)), dtype=np.float32)
-    return BradleyTerry(f, found["good"].to_numpy(dtype=bool))
+    rows = stored(features(texts.select(F.struct("id", "good").alias("row"), "text"), "row").select("row.id", "row.good", "f"), "learned")
+    blocks = stored(_blocks(rows), "blocks")
+    n, n_up, n_pairs = (int(x) for x in _summed(blocks, lambda f, good, block: np.array([len(good), good.sum(), len(_pairs(good, block)[0])], dtype=float), 3))
+    if not n_pairs:
+        return model
+    mean = _summed(blocks, lambda f, good, block: f.sum(axis=0, dtype=np.float64), d) / n
+    spread = np.sqrt(_summed(blocks, lambda f, good, block: np.square(f - mean).sum(axis=0), d) / n)
+    spread[spread < 1e-9] = 1.0
+    w, ridge = np.zeros(d), 1e-3 * n_pairs
+
+    def newton(f: np.ndarray, good: np.ndarray, block: int) -> np.ndarray:
+        (i, j), slope, curve = _pairs(good, block), np.zeros(d), np.zeros((d, d))
+        for low in range(0, len(i), 8_192):
+            x = (f[i[low : low + 8_192]] - f[j[low : low + 8_192]]) / spread
+            p = 1 / (1 + np.exp(np.minimum(x @ w, 500)))
+            slope += x.T @ p
+            curve += (x * (p * (1 - p))[:, None]).T @ x
+        return np.concatenate((slope, curve.reshape(-1)))
+
+    for _ in range(30):  # Newton steps on the logistic loss of all pairs
+        found = _summed(blocks, newton, d + d * d)
+        step = np.linalg.solve(found[d:].reshape(d, d) + ridge * np.eye(d), found[:d] - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    model.weights = weights = w / spread
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f, good in zip(*(c.to_pylist() for c in batch.columns)):
+                s = np.frombuffer(f, dtype=np.float32).reshape(-1, d) @ weights
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.frombuffer(good, dtype=np.uint8).astype(bool))], names=["s", "good"])
+
+    scores = stored(blocks.select("f", "good").mapInArrow(scored, "s double, good boolean"), "scores")
+    model.threshold = _quantile(scores, (n - n_up) / n)
+    model.scale = 4.0 / max(1e-6, _quantile(scores.where("good"), 0.5) - model.threshold)
+    discard(rows, blocks, scores)
+    return model
 
 
 def score(docs: DataFrame, model: BradleyTerry, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,7 +268,7 @@ def score(docs: DataFrame, model: BradleyTerry, key: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.threshold, model.scale))  # a number a feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = BradleyTerry(np.zeros((0, len(FEATURES))), np.zeros(0, dtype=bool))
+        own = _untaught()
         own.weights, own.threshold, own.scale = shared.value
         for whole in batches:
             for batch in by_bytes(whole, "text", BATCH_BYTES):
