@@ -35,8 +35,8 @@ def scan(items: Column, zero: Column, state: str, step, kind: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space at either end; Spark's trim takes blanks only."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space (that of the regular expression \\s) at either end; Spark's trim alone takes blanks only."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def pieces(text: Column, pattern: str) -> Column:
@@ -79,7 +79,8 @@ def shorten(text: Column, n: int) -> Column:
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """First match without regard to case and with Unicode classes, stripped; null if none."""
-    return F.nullif(strip(F.regexp_extract(text, "(?iU)" + pattern, group)), F.lit(""))
+    found = strip(F.regexp_extract(text, "(?iU)" + pattern, group))
+    return F.get(F.array_remove(F.array(found), ""), F.lit(0))  # as nullif, which would evaluate the pattern twice
 
 
 def hash_embedding(text: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType
@@ -32,7 +33,7 @@ def _last_path(role: str) -> Column:
 
 
 def _table(path: Column) -> Column:
-    return F.nullif(F.regexp_extract(path, r"^([^.]*)\.", 1), F.lit(""))
+    return F.when(path.contains(".") & ~path.startswith("."), F.substring_index(path, ".", 1))
 
 
 def resource_type(actor: Column) -> Column:
@@ -54,7 +55,7 @@ def context(mapped: DataFrame) -> DataFrame:
     """Mapped clauses with the columns that renderers use."""
     total = F.aggregate(F.coalesce("mapped_entities", F.array()), F.lit(0.0), lambda a, m: a + m["confidence"])
     n = F.size(F.coalesce("mapped_entities", F.array()))
-    name = F.lower(F.regexp_replace("clause_id", r"[-.]", "_"))
+    name = F.lower(F.replace(F.replace("clause_id", F.lit("-"), F.lit("_")), F.lit("."), F.lit("_")))
     status = F.concat(F.lower("verb"), F.lit("_status"))
     return mapped.withColumns({
         "actor_path": _last_path("actor"), "object_path": _last_path("object"),
@@ -65,12 +66,19 @@ def context(mapped: DataFrame) -> DataFrame:
 
 
 def _flat(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\r\n]+", " ")
+    return F.when(text.contains("\n") | text.contains("\r"), F.regexp_replace(text, r"[\r\n]+", " ")).otherwise(text)
 
 
 def _quoted(text: Column) -> Column:
     """Double-quoted scalar of JSON, which YAML, Rego and HCL read alike."""
-    return F.regexp_replace(F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("v"))), r'^\{"v":|\}$', "")
+    text = F.coalesce(text, F.lit(""))
+    escaped = F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'^\{"v":|\}$', "")
+    return F.when(text.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
+def _calm(text: Column) -> Column:
+    """Quotes and braces as apostrophes and brackets, characters that HCL and its heredocs would read."""
+    return F.when(text.rlike(r'["{}]'), F.translate(text, '"{}', "'()")).otherwise(text)
 
 
 def _literal(text: Column) -> Column:
@@ -162,9 +170,9 @@ def terraform_rule() -> Column:
     return _lines(
         *_head("#"), F.concat(F.lit('resource "sentinel_policy" '), _quoted(F.col("rule_name")), F.lit(" {")),
             _line("  name        = ", _quoted(F.col("clause_id"))), _line("  description = ",
-                _quoted(F.replace(F.translate(shorten(_flat(F.col("source_text")), 200), '"{}', "'()"), F.lit("$"), F.lit("$$")))),
+                _quoted(F.replace(_calm(shorten(_flat(F.col("source_text")), 200)), F.lit("$"), F.lit("$$")))),
         _line("  enforcement_level = ", F.when(kind == "prohibition", '"hard-mandatory"').otherwise('"soft-mandatory"')),
-            "  policy = <<-POLICY", '    import "tfplan/v2" as tfplan', F.concat(F.lit("    # "), F.translate("actor", '"{}', "'()"),
+            "  policy = <<-POLICY", '    import "tfplan/v2" as tfplan', F.concat(F.lit("    # "), _calm(F.col("actor")),
                 F.lit(" "), _modal(), F.lit(" "), F.col("verb")), "    main = rule {",
         F.when(kind == "obligation", every(F.concat(F.lit(" and "), flag, F.lit(" is true")))).when(kind == "prohibition",
                 every(F.concat(F.lit(" implies "), flag, F.lit(" is not true")))).otherwise("      true"),
@@ -377,6 +385,24 @@ def mapping_struct() -> Column:
 _CONSTRUCTED = re.compile(r"!|<<|\?|[\]}]\s*:|\d{4}-\d")
 
 
+_SHORT, _TEXT = 2_000, r"[\x20-\x7e\u00a1-\u1fff]"
+_STRING = r'"[\x20\x21\x23-\x5b\x5d-\x7e\u00a1-\u1fff]*+(?:\\["\\bfnrt][\x20\x21\x23-\x5b\x5d-\x7e\u00a1-\u1fff]*+)*+"'
+_KEY, _PLAIN = "[a-z_]{1,64}+", rf"(?:{_STRING}|[A-Za-z_]++|\d++\.\d++)"
+#: Patterns of contents that are valid whatever their texts say: comments, then mappings of two or three levels whose keys are
+#: words and whose values are quoted texts, words or decimals; comments, assignments of such constants and tests of a record.
+_SURELY = {
+    "yaml": rf"\A(?:#{_TEXT}*+\n)*+(?:{_KEY}:\n(?:  {_KEY}:(?: {_PLAIN}\n|\n(?:    {_KEY}: {_PLAIN}\n)++))++)\z",
+    "python": rf"\A(?:#{_TEXT}*+\n|\n|[A-Z_]{{1,64}}+ = (?:{_STRING}|\d++\.\d++)\n|def test_[a-z0-9_]++\(\):\n    record = \{{{_STRING}: {_STRING}, {_STRING}: (?:True|False)\}}\n"
+    rf"    assert \(record\[{_STRING}\] is (?:True|False)\) is (?:True|False)\n)*+\z",
+}
+
+
+def surely_valid(kind: Column, content: Column) -> Column:
+    """Whether a short YAML or Python content is of a form that can't fail; false tells nothing, that is for the parser."""
+    short = F.length(content) <= _SHORT
+    return short & F.when(kind == "yaml", content.rlike(_SURELY["yaml"])).when(kind == "python", content.rlike(_SURELY["python"])).otherwise(False)
+
+
 @F.pandas_udf(BooleanType())
 def _parses(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """YAML and Python need their own parsers."""
@@ -387,8 +413,6 @@ def _parses(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # the C parser where it is built in
 
     def good(kind: str, content: str) -> bool:
-        if content is None:
-            return True
         try:
             if kind != "yaml":
                 ast.parse(content)
@@ -401,7 +425,10 @@ def _parses(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             return False
 
     for kind, content in rows:
-        yield pd.Series([good(k, c) for k, c in zip(kind, content)])
+        out, asked = np.ones(len(content), dtype=bool), np.flatnonzero(content.notna().to_numpy())
+        for n in asked:
+            out[n] = good(kind.iat[n], content.iat[n])
+        yield pd.Series(out)
 
 
 def _count(text: Column, char: str) -> Column:
@@ -409,8 +436,8 @@ def _count(text: Column, char: str) -> Column:
 
 
 def check_syntax(artifacts: DataFrame, formats: tuple[str, ...] | None = None) -> DataFrame:
-    """Add syntax_valid and warnings. Only YAML and Python contents are sent to Python; where `formats`, those that the
-    artifacts have, names neither, no row is."""
+    """Add syntax_valid and warnings. Only YAML and Python contents that no pattern proves valid are sent to Python; where
+    `formats`, those that the artifacts have, names neither, no row is."""
     c = F.coalesce("content", F.lit(""))
     first = F.regexp_extract(F.regexp_replace(c, r"(?m)^\s*--.*$", ""),
         r"(?i)^\s*(select|insert|update|delete|create|alter|drop|comment|grant|revoke|with|begin)\b", 1)
@@ -425,6 +452,6 @@ def check_syntax(artifacts: DataFrame, formats: tuple[str, ...] | None = None) -
     by_parser = F.col("format").isin("yaml", "python")
     if formats is not None and not {"yaml", "python"} & set(formats):
         return artifacts.withColumn("warnings", F.coalesce(warn, F.array().cast("array<string>"))).withColumn("syntax_valid", native)
-    parsed = _parses(F.col("format"), F.when(by_parser, c))  # other rows send a null
+    parsed = _parses(F.col("format"), F.when(by_parser & ~surely_valid(F.col("format"), c), c))  # other rows send a null, which is valid
     return artifacts.withColumn("warnings", F.coalesce(warn, F.array().cast("array<string>"))).withColumn("syntax_valid",
         F.when(by_parser, parsed).otherwise(native))

@@ -3,8 +3,9 @@
 import glob
 
 import pytest
+from pyspark.sql import functions as F
 
-from normweave.operators import mapping
+from normweave.operators import artifacts, mapping
 from normweave.plans import registry
 from normweave.sources import stages
 
@@ -25,6 +26,17 @@ def test_json_of_stages_is_compressed(spark, tmp_path):
     assert stages.read_json(spark, f"{tmp_path}/v", "validations").where("review_flags[1] = 'semantic_drift'").count() == 2000
 
 
+def test_rendered_artifacts_need_no_parser(spark, sf):
+    """What the renderers make is proved valid by a pattern; what isn't still reaches the parser."""
+    made = registry._rules(spark, sf, ("yaml", "python")).select("format", "content")
+    assert made.count() > 0 and made.where(~artifacts.surely_valid(F.col("format"), F.col("content"))).count() == 0
+    odd = ["a: [1", "# x\na:\n  b: \"c\"\n   d: \"e\"\n", "a:\n  b: \"\\q\"\n", "a:\n  b: c: d\n", "a:\n  b: \"x\" y\n", "a:\n\tb: c\n", "a:\n  b:\n    c: \"d\n", "a: b\n", "a:\n  b: \x01\n", ""]
+    bad = ["def f(:", "X = \"a\nb\"\n", "X = 1.5 2\n", "x = \"\\\"\n", "X = \"\x00\"\n", "def test_a():\n    record = {\"a\": 1\n", "# ok\nX = \"y\"\n"]
+    rows = spark.createDataFrame([("yaml", c) for c in odd] + [("python", c) for c in bad], "format string, content string")
+    sure = {(r[0], r[1]) for r in rows.where(artifacts.surely_valid(F.col("format"), F.col("content"))).collect()}
+    assert sure == {("python", "# ok\nX = \"y\"\n")}
+
+
 def test_top_k_ranks_what_rounds_alike_by_id(spark):
     """Similarities equal to six places are a tie, as in the SQL; odd vectors are measured as cosine does."""
     rows = [(1, [1.0, 1e-5]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [-1.0, 0.0]), (7, [1.0, None])]
