@@ -30,6 +30,11 @@ TRIGGERS = (r"(?:if|when|where)\s+([\w\s]+?)(?:,|then|$)", r"(?:before|after|upo
 DEADLINE = r"(?:within|by|before)\s+([\w\s]+?)(?:\.|,|$)"
 DURATION = r"(?:for|at least|up to)\s+(\d+\s*(?:days?|months?|years?))"
 FREQUENCY = r"(annually|monthly|weekly|daily|quarterly)"
+#: Words of which a match of each pattern holds one at least.
+_MODALS = ("must", "shall", "may", "should", "can")
+_WORDS = {ACTOR: _MODALS, VERB: _MODALS, OBJECTS[0]: ("verify", "maintain", "report", "submit", "provide", "ensure"), OBJECTS[1]: ("must", "shall"),
+    TRIGGERS[0]: ("if", "when", "where"), TRIGGERS[1]: ("before", "after", "upon"), DEADLINE: ("within", "by", "before"),
+    DURATION: ("for", "at least", "up to"), FREQUENCY: ("annually", "monthly", "weekly", "daily", "quarterly")}
 CONFIDENCE = 0.75
 NO_ACTOR, NO_VERB = "unspecified entity", "comply"
 
@@ -77,24 +82,33 @@ def clause_type(text: Column) -> Column:
     return kind.otherwise("obligation")
 
 
+def _guarded(text: Column, pattern: str) -> Column:
+    """extract, which is left out where `__low` (the text in lower case, null unless it is ASCII) holds none of the pattern's words."""
+    hit = F.lit(False)
+    for word in _WORDS[pattern]:
+        hit = hit | F.col("__low").contains(word)
+    return F.when(F.coalesce(hit, F.lit(True)), extract(text, pattern))
+
+
 def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
-    return F.coalesce(*[extract(text, p) for p in patterns])
+    return F.coalesce(*[_guarded(text, p) for p in patterns])
 
 
 def parse(clauses: DataFrame) -> DataFrame:
     """Add type, actor, verb, object, trigger, deadline, duration, frequency and confidence to (…, source_text)."""
     text = F.col("source_text")
-    return clauses.withColumns({
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text))
+    return clauses.withColumn("__low", low).withColumns({
         "type": clause_type(text),
-        "actor": F.coalesce(extract(text, ACTOR), F.lit(NO_ACTOR)),
-        "verb": F.coalesce(extract(text, VERB), F.lit(NO_VERB)),
+        "actor": F.coalesce(_guarded(text, ACTOR), F.lit(NO_ACTOR)),
+        "verb": F.coalesce(_guarded(text, VERB), F.lit(NO_VERB)),
         "object": first_words(first_match(text, OBJECTS), 5),
         "trigger": first_match(text, TRIGGERS),
-        "deadline": extract(text, DEADLINE),
-        "duration": extract(text, DURATION),
-        "frequency": extract(text, FREQUENCY),
+        "deadline": _guarded(text, DEADLINE),
+        "duration": _guarded(text, DURATION),
+        "frequency": _guarded(text, FREQUENCY),
         "confidence": F.lit(CONFIDENCE),
-    })
+    }).drop("__low")
 
 
 #: Fields that a model's answer may give, as text.

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from normweave.functions.text import let, paragraphs, scan, sentences, strip, token_count
 
 DEFAULT_TITLE = "Document Content"
+#: Sections up to which string functions find the parents; their work grows with the square, but its unit is a byte.
+SHORT_SCAN = 128
 
 
 @dataclass(frozen=True)
@@ -38,19 +40,27 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     shuffled. Text before the first heading goes; without any heading the document is one section; a
     null or blank document has none.
     """
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
-    parts = F.filter(F.split(text, r"(?m)^(?=#{1,6}[ \t]+\S)"), lambda p: p.rlike(r"\A#{1,6}[ \t]+\S"))
-    level = lambda p: F.length(F.regexp_extract(p, r"\A(#{1,6})", 1))
+    raw = F.coalesce("text", F.lit(""))
+    text = F.when(F.contains(raw, F.lit("\r")), F.regexp_replace(raw, "\r\n?", "\n")).otherwise(raw)
+    # only the first part may lack a heading, for the others are cut before one
+    parts = F.filter(F.split("__text", r"(?m)^(?=#{1,6}[ \t]+\S)"), lambda p, i: (i > 0) | p.rlike(r"\A#{1,6}[ \t]+\S"))
+    head = lambda p: F.substring_index(p, "\n", 1)
+    rest = lambda p: F.when(F.contains(p, F.lit("\n")), F.substr(p, F.locate("\n", p) + 1)).otherwise("")
+    level = lambda p: F.length(F.substring_index(F.translate(head(p), "\t", " "), " ", 1))  # noqa: E731  the run of # ends at a blank
 
     # last[k]: the number of the last section of level k + 1 so far, 0 for none; their greatest is the number of sections
     place = lambda last: F.array_max(last) + 1
     parent = lambda last, n: F.when(n > 1, F.array_max(F.slice(last, F.lit(1), n - 1))).otherwise(0)
     step = lambda last, n: F.struct(F.transform(last, lambda x, k: F.when(k + 1 == n, place(last)).otherwise(x)).alias("s"), parent(last, n).alias("out"))
-    above = scan(F.transform("__parts", level), F.array(*[F.lit(0)] * 6), "array<int>", step, "int")
-    rows = docs.select("doc_id", "doc_key", text.alias("__text"), parts.alias("__parts"))
+    long = scan(F.col("__levels"), F.array(*[F.lit(0)] * 6), "array<int>", step, "int")
+    # of few sections, whose levels are a short string of digits: what is left of those before without the deeper or equal ones at their end
+    short = F.transform("__levels", lambda n, i: F.length(F.rtrim(F.left("__digits", i), F.substring(F.lit("123456"), n, F.lit(6)))))
+    above = F.when(F.size("__levels") <= SHORT_SCAN, short).otherwise(long)
+    rows = docs.select("doc_id", "doc_key", text.alias("__text")).withColumn("__parts", parts)
+    rows = rows.withColumn("__levels", F.transform("__parts", level)).withColumn("__digits", F.array_join(F.col("__levels").cast("array<string>"), ""))
     found = F.transform("__parts", lambda p, i: F.struct(
-        level(p).alias("level"), strip(F.regexp_extract(p, r"\A#{1,6}[ \t]+([^\n]*)", 1)).alias("title"),
-            strip(F.regexp_replace(p, r"\A[^\n]*\n?", "")).alias("body"), F.get(F.col("__above"), i).alias("parent"),
+        F.get(F.col("__levels"), i).alias("level"), strip(F.substr(head(p), F.get(F.col("__levels"), i) + 1)).alias("title"),
+            strip(rest(p)).alias("body"), F.get(F.col("__above"), i).alias("parent"),
     ))
     whole = F.array(F.struct(F.lit(1).alias("level"), F.lit(DEFAULT_TITLE).alias("title"), strip(F.col("__text")).alias("body"), F.lit(0).alias("parent")))
     rows = rows.withColumn("__above", above).select("doc_id", "doc_key",
@@ -244,7 +254,10 @@ def chunk_texts(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
 
         return F.transform(x["starts"], one)
 
-    return let(F.flatten(F.transform(paragraphs(text), of_paragraph)), chunked)
+    # a text within the target is never flushed, for its paragraphs have no more tokens than it has
+    one_chunk = F.filter(F.array(F.array_join(paragraphs(text), " ")), lambda t: t != "")
+    small = token_count(text) <= min(sizes.target, sizes.most)
+    return F.when(small, one_chunk).otherwise(let(F.flatten(F.transform(paragraphs(text), of_paragraph)), chunked))
 
 
 def chunks(sections: DataFrame, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:

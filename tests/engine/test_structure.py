@@ -122,3 +122,18 @@ def test_html_by_a_tag_stack(spark, html, want, wide):
         rows = structure.html_sections(df, siblings=siblings).orderBy("section_ord").collect()
         assert [(r["section_title"], r["hierarchy_level"], " ".join(r["text"].split(" "))) for r in rows] == expected or [
             (r["section_title"], r["hierarchy_level"], " ".join(r["text"].split())) for r in rows] == [(t, n, " ".join(x.split())) for t, n, x in expected]
+
+
+def test_short_ways_equal_the_folds(spark, monkeypatch):
+    """Parents by string functions and chunks of short texts, against the folds that serve long ones."""
+    texts = ["# a\n### b\n## c\n#\td\r\nbody\r\n##### e\n###### f\n## g # h", "intro\n## x\n\n y \n\nz\n# \u00e9t\u00e9\n", "no heading\n\n\n two ", " \n", None, "#x\n####### y\n",
+        "".join(f"{'#' * (1 + i * i % 6)} t{i}\n{'word. ' * (i % 5)}\n\n" for i in range(200))]
+    docs = spark.createDataFrame([(f"d{i}", f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, doc_key string, text string")
+    found = lambda: (sorted(map(tuple, structure.markdown_sections(docs).collect()), key=str),
+        sorted(map(tuple, structure.chunks(structure.markdown_sections(docs), structure.ChunkSizes(most=40)).collect()), key=str))
+    short = found()
+    monkeypatch.setattr(structure, "SHORT_SCAN", 0)
+    long = found()
+    assert short == long and len(short[0]) > 200
+    monkeypatch.setattr(structure, "SHORT_SCAN", 1_000)
+    assert found()[0] == long[0]
