@@ -335,6 +335,16 @@ TEMPLATES: dict[str, dict[str, Renderer]] = {
 }
 
 
+def artifact_id(format: Column) -> Column:
+    return F.concat("clause_id", F.lit("_"), format)
+
+
+def artifact_ids(clauses: DataFrame, formats: tuple[str, ...] = DEFAULT_FORMATS) -> DataFrame:
+    """(clause_id, artifact_id) of the artifacts that compile_rules makes of clauses, which needs neither mappings nor contents."""
+    rows = clauses.select("clause_id", F.explode(F.array(*[F.lit(f) for f in formats])).alias("format"))
+    return rows.select("clause_id", artifact_id(F.col("format")).alias("artifact_id"))
+
+
 def compile_rules(mapped: DataFrame, formats: tuple[str, ...] = DEFAULT_FORMATS, templates: dict[str, dict[str, Renderer]] | None = None,
     carry: bool = False) -> DataFrame:
     """A row for each clause and format: artifact_id, clause_id, doc_id, format, content, file_path, template_used.
@@ -365,7 +375,7 @@ def compile_rules(mapped: DataFrame, formats: tuple[str, ...] = DEFAULT_FORMATS,
 
     rows = rows.withColumn("__a", F.explode(F.array(*[artifact(f) for f in formats])))
     return rows.select(
-        F.concat("clause_id", F.lit("_"), "__a.format").alias("artifact_id"), "clause_id", "doc_id", "__a.format", "__a.content",
+        artifact_id(F.col("__a.format")).alias("artifact_id"), "clause_id", "doc_id", "__a.format", "__a.content",
         F.concat("doc_id", F.lit("/"), "clause_id", "__a.ext").alias("file_path"), "__a.template_used", "type", "actor", "verb", "severity",
             "mapping_confidence",
         *((clause_struct().alias("c"), mapping_struct().alias("m")) if carry else ()),

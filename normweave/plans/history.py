@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from normweave.operators import artifacts, clauses, lineage, mapping, metrics, rules, structure
+from normweave.operators import artifacts, clauses, lineage, metrics, rules, structure
 from normweave.plans import corpus, oracle, pipeline
 from normweave.plans.catalog import query, read
 from normweave.sources.store import scratch_path, stored
@@ -24,8 +24,7 @@ def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parsed = pipeline.parse_chunks(chunks)
     refs = parsed.select("doc_id", "clause_id", F.explode(clauses.cross_references(F.col("source_text"))).alias("ref"))
     refs = refs.select("clause_id", F.concat("doc_id", F.lit("_S"), F.lpad("ref", 3, "0")).alias("section_id"))
-    made = artifacts.compile_rules(mapping.map_clauses(parsed, corpus.registry(spark)), FORMATS).select("clause_id", "artifact_id")
-    return lineage.links(sections, chunks, parsed, made, refs), sections
+    return lineage.links(sections, chunks, parsed, artifacts.artifact_ids(parsed, FORMATS), refs), sections
 
 
 _LINKS = rf"""WITH RECURSIVE {oracle.artifacts_cte(FORMATS)}, sid AS (SELECT doc_id, sec, title, doc_id || '_S' || lpad(sec::VARCHAR, 3, '0') AS section_id,
