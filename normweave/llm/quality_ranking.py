@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from normweave.sources.store import grows
+
 from .batches import by_bytes
 from .common import discard, read, small_batches, stored
 
@@ -221,7 +223,7 @@ def fit(labels: DataFrame, docs: DataFrame, key: str = "doc_id", label: str = "q
     """Learn from the texts of all labelled ids. The driver gets sums over them, whose size is that of the features."""
     model, d = _untaught(), len(FEATURES)
     named = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("id"), (F.col(label) > 0).alias("good")).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(named, "id").groupBy("id",
+    texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(grows(named), "id").groupBy("id",
         "good").agg(F.min("text").alias("text"))
     rows = stored(features(texts.select(F.struct("id", "good").alias("row"), "text"), "row").select("row.id", "row.good", "f"), "learned")
     blocks = stored(_blocks(rows), "blocks")

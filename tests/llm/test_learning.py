@@ -26,3 +26,15 @@ def test_exact_quantile_of_many_values(spark):
     scores = spark.createDataFrame([(float(v),) for v in values], "s double")
     for q in (0.0, 0.1234, 0.6, 0.75, 1.0):
         assert abs(Q._quantile(scores, q) - np.quantile(values, q)) < 1e-12
+
+
+def test_texts_meet_labels_the_same_way_at_any_size(spark, monkeypatch):
+    """Few labels are not broadcast either, so the disk that learning takes is in proportion to its input."""
+    from normweave.llm import quality_ranking as q
+
+    plans, real = [], q.features
+    monkeypatch.setattr(q, "features", lambda docs, *names: (plans.append(docs._jdf.queryExecution().executedPlan().toString()), real(docs, *names))[1])
+    docs = spark.createDataFrame([(i, f"word {i}" * (1 + i % 3)) for i in range(20)], "doc_id long, text string")
+    model = q.fit(spark.createDataFrame([(i, float(i % 2)) for i in range(20)], "doc_id long, quality double"), docs)
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+    assert q.score(docs, model).count() == 20
