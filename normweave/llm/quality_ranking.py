@@ -168,11 +168,15 @@ def _blocks(rows: DataFrame) -> DataFrame:
     reads them without a shuffle."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, [("hash", "ascending"), ("id", "ascending"), ("good", "ascending")]))
-        f = table.column("f").combine_chunks().flatten().to_numpy().astype(np.float32)
-        good = table.column("good").to_numpy().astype(np.uint8)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "f": pa.array([f.tobytes()], pa.binary()),
-            "good": pa.array([good.tobytes()], pa.binary())})
+        order = pc.sort_indices(table, [("hash", "ascending"), ("id", "ascending"), ("good", "ascending")]).to_numpy()
+        good = table.column("good").to_numpy().astype(np.uint8)[order]
+        block, f, at = table.column("block")[0].as_py(), np.empty((len(order), len(FEATURES)), dtype=np.float32), np.argsort(order)
+        low = 0
+        for chunk in table.column("f").chunks:  # a block's features are held twice at most: as they came, and in order
+            f[at[low : low + len(chunk)]] = chunk.flatten().to_numpy().reshape(-1, len(FEATURES))
+            low += len(chunk)
+        packed = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, f.nbytes], dtype=np.int32)), pa.py_buffer(f)])
+        return pa.table({"block": pa.array([block], pa.int32()), "f": packed, "good": pa.array([good.tobytes()], pa.binary())})
 
     n = max(1, -(-rows.count() // BLOCK_ROWS))
     hashed = F.xxhash64(F.lit(SEED), "id")
@@ -180,18 +184,28 @@ def _blocks(rows: DataFrame) -> DataFrame:
         "block int, f binary, good binary")
 
 
-def _summed(blocks: DataFrame, of, size: int) -> np.ndarray:
-    """The sum of of(f, good, block), an array of `size` numbers, over all blocks; sums meet two and more at a time on the executors."""
+def _summed(blocks: DataFrame, groups: int, of, size: int) -> np.ndarray:
+    """The sum of of(f, good, block), an array of `size` numbers, over all blocks. Each task's sum is a row; these meet on the
+    executors in `groups` groups, about the root of the number of blocks, so neither a group nor the driver gets all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total, last = np.zeros(size), None
         for batch in batches:
-            for block, f, good in zip(*(c.to_pylist() for c in batch.columns)):
-                total += of(np.frombuffer(f, dtype=np.float32).reshape(-1, len(FEATURES)), np.frombuffer(good, dtype=np.uint8).astype(bool), block)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+            for i in range(batch.num_rows):  # views of the batch, no copies
+                last, f, good = batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer(), batch.column(2)[i].as_buffer()
+                total += of(np.frombuffer(f, dtype=np.float32).reshape(-1, len(FEATURES)), np.frombuffer(good, dtype=np.uint8).astype(bool), last)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "s"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size)
+        for k in pc.sort_indices(table.column("block")).to_pylist():
+            total += np.frombuffer(table.column("s")[k].as_buffer())
+        return pa.table({"block": pa.array([pc.min(table.column("block")).as_py()], pa.int32()), "s": pa.array([total.tobytes()], pa.binary())})
 
-    parts = blocks.select("block", "f", "good").mapInArrow(run, "s binary").rdd.map(lambda r: np.frombuffer(bytes(r.s)))
-    return parts.treeAggregate(np.zeros(size), np.add, np.add)
+    each = blocks.select("block", "f", "good").mapInArrow(run, "block int, s binary").withColumn("group", F.pmod("block", F.lit(groups)))
+    met = each.groupBy("group").applyInArrow(add, "block int, s binary").collect()
+    return sum((np.frombuffer(bytes(r.s)) for r in sorted(met)), np.zeros(size))
 
 
 def _quantile(scores: DataFrame, q: float) -> float:
@@ -227,11 +241,12 @@ def fit(labels: DataFrame, docs: DataFrame, key: str = "doc_id", label: str = "q
         "good").agg(F.min("text").alias("text"))
     rows = stored(features(texts.select(F.struct("id", "good").alias("row"), "text"), "row").select("row.id", "row.good", "f"), "learned")
     blocks = stored(_blocks(rows), "blocks")
-    n, n_up, n_pairs = (int(x) for x in _summed(blocks, lambda f, good, block: np.array([len(good), good.sum(), len(_pairs(good, block)[0])], dtype=float), 3))
+    groups = 1 + int(np.sqrt(blocks.count()))
+    n, n_up, n_pairs = (int(x) for x in _summed(blocks, groups, lambda f, good, block: np.array([len(good), good.sum(), len(_pairs(good, block)[0])], dtype=float), 3))
     if not n_pairs:
         return model
-    mean = _summed(blocks, lambda f, good, block: f.sum(axis=0, dtype=np.float64), d) / n
-    spread = np.sqrt(_summed(blocks, lambda f, good, block: np.square(f - mean).sum(axis=0), d) / n)
+    mean = _summed(blocks, groups, lambda f, good, block: f.sum(axis=0, dtype=np.float64), d) / n
+    spread = np.sqrt(_summed(blocks, groups, lambda f, good, block: np.square(f - mean).sum(axis=0), d) / n)
     spread[spread < 1e-9] = 1.0
     w, ridge = np.zeros(d), 1e-3 * n_pairs
 
@@ -245,7 +260,7 @@ def fit(labels: DataFrame, docs: DataFrame, key: str = "doc_id", label: str = "q
         return np.concatenate((slope, curve.reshape(-1)))
 
     for _ in range(30):  # Newton steps on the logistic loss of all pairs
-        found = _summed(blocks, newton, d + d * d)
+        found = _summed(blocks, groups, newton, d + d * d)
         step = np.linalg.solve(found[d:].reshape(d, d) + ridge * np.eye(d), found[:d] - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-6:

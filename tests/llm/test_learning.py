@@ -38,3 +38,21 @@ def test_texts_meet_labels_the_same_way_at_any_size(spark, monkeypatch):
     model = q.fit(spark.createDataFrame([(i, float(i % 2)) for i in range(20)], "doc_id long, quality double"), docs)
     assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
     assert q.score(docs, model).count() == 20
+
+
+def test_sums_meet_in_groups_without_a_second_python_worker(spark, monkeypatch):
+    """A task that learns runs in one Python worker, not in a chain of two, each with memory of its own; any number of groups gives the sums."""
+    rng = np.random.default_rng(3)
+    f = rng.normal(size=(90, len(Q.FEATURES))).astype(np.float32)
+    rows = spark.createDataFrame([(i, i % 2, f[i].tolist()) for i in range(90)], "id long, good int, f array<float>")
+    monkeypatch.setattr(Q, "BLOCK_ROWS", 12)
+    blocks = Q._blocks(rows).cache()
+    assert blocks.count() > 4 and sum(len(bytes(r.good)) for r in blocks.collect()) == 90
+
+    def chained(self):
+        raise AssertionError("a second worker")
+
+    monkeypatch.setattr(type(rows), "rdd", property(chained))
+    for groups in (1, 3):
+        assert np.allclose(Q._summed(blocks, groups, lambda f, good, block: np.append(f.sum(axis=0), good.sum()), f.shape[1] + 1), np.append(f.sum(axis=0), 45), atol=1e-4)
+    blocks.unpersist()
