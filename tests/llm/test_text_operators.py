@@ -343,3 +343,17 @@ def test_telephony_stores_the_resampled_pcm(spark, sf, monkeypatch):
     assert len(out) == len(pcm) and all(f == telephony_audio.describe(*pcm[k]) for k, f in out.items())
     bad = telephony_audio.decode(spark.createDataFrame([(1, None)], "doc_id long, media binary"), feature=False)
     assert [r["feature"] for r in telephony_audio.features(bad).collect()] == [None]
+
+
+def test_pieces_of_letters_go_to_the_merges_already_cut(monkeypatch):
+    """Pieces of letters alone skip the pattern and the byte mapping of the library; all others still go through it, and ids are the same."""
+    coder = ans_store.PieceTokenizer(ans_store.default_path())
+    asked, real = [], coder._mixed
+    monkeypatch.setattr(coder, "_mixed", lambda pieces: (asked.extend(pieces.to_pylist()), real(pieces))[1])
+    words = ["Stra\u00dfe", "ci\u00f3nier", "\u6f22\u5b57\u6f22", "\u0416\u0438\u0437\u043d\u044c", "plain", "\u01c0\u02af", *(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(450))]
+    others = ["a1", "x\ny", "e\u0301t", "don't", "\u0e01\u0e33", "\U0001f600", "a\u00b7b", "\u00d7", "\u00d7a", "\u00aa"]
+    texts = ["head " + " ".join(words + others), "one " + " ".join(others[::-1] + words[::-1]), "", "\u00e9t\u00e9 \u00e9t\u00e9"]
+    at, ids = coder.encode(texts, 2)
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert asked and not set(asked) & set(words)
