@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
-from normweave.functions.text import shorten
+from normweave.functions.text import let, shorten
 
 VERSION = "1.0.0"
 #: File extensions by format.
@@ -357,7 +357,7 @@ def compile_rules(mapped: DataFrame, formats: tuple[str, ...] = DEFAULT_FORMATS,
         raise ValueError(f"no template for {unknown}")
     rows = context(mapped)
 
-    def artifact(f: str) -> Column:
+    def rendered(f: str) -> tuple[Column, Column]:
         own = {k: r for k, r in templates[f].items() if k != "default"}
         if "default" in templates[f]:
             content, used = templates[f]["default"](), F.lit(f"{f}/default")
@@ -371,14 +371,27 @@ def compile_rules(mapped: DataFrame, formats: tuple[str, ...] = DEFAULT_FORMATS,
         for r, kinds in by_renderer.items():
             if r is not templates[f].get("default"):
                 content = F.when(F.col("type").isin(*kinds), r()).otherwise(content)
-        return F.struct(F.lit(f).alias("format"), content.alias("content"), used.alias("template_used"), F.lit(EXTENSIONS.get(f, f".{f}")).alias("ext"))
-
-    rows = rows.withColumn("__a", F.explode(F.array(*[artifact(f) for f in formats])))
+        return content, used
+
+    # The lambda in the same select keeps Spark from fusing it with its neighbours: a renderer's code in one method is over
+    # the 8,000 bytes that the JVM compiles at most, and would be interpreted.
+    made = {f: rendered(f) for f in formats}
+    rows = rows.withColumns({
+        "clause_id": let(F.col("clause_id"), lambda x: x), **{f"__content{n}": made[f][0] for n, f in enumerate(formats)},
+        **({"c": clause_struct(), "m": mapping_struct()} if carry else {}),
+    })
+
+    def of_format(value: Callable[[int, str], Column]) -> Column:
+        found = F.when(F.col("format") == formats[0], value(0, formats[0]))
+        for n, f in list(enumerate(formats))[1:]:
+            found = found.when(F.col("format") == f, value(n, f))
+        return found
+
+    rows = rows.withColumn("format", F.explode(F.array(*[F.lit(f) for f in formats])))
     return rows.select(
-        artifact_id(F.col("__a.format")).alias("artifact_id"), "clause_id", "doc_id", "__a.format", "__a.content",
-        F.concat("doc_id", F.lit("/"), "clause_id", "__a.ext").alias("file_path"), "__a.template_used", "type", "actor", "verb", "severity",
-            "mapping_confidence",
-        *((clause_struct().alias("c"), mapping_struct().alias("m")) if carry else ()),
+        artifact_id(F.col("format")).alias("artifact_id"), "clause_id", "doc_id", "format", of_format(lambda n, f: F.col(f"__content{n}")).alias("content"),
+        F.concat("doc_id", F.lit("/"), "clause_id", of_format(lambda n, f: F.lit(EXTENSIONS.get(f, f".{f}")))).alias("file_path"),
+        of_format(lambda n, f: made[f][1]).alias("template_used"), "type", "actor", "verb", "severity", "mapping_confidence", *(("c", "m") if carry else ()),
     )
 
 

@@ -17,6 +17,11 @@ def _present(test: Column, name: str) -> Column:
     return F.when(~F.coalesce(test, F.lit(False)), name)
 
 
+def _names(*found: Column) -> Column:
+    """An array of those names that are not null. Unlike array_compact, whose lambda is interpreted, it is compiled."""
+    return F.array_remove(F.array(*[F.coalesce(n, F.lit("")) for n in found]), "")
+
+
 def trace_confidence(clause: Column, mappings: Column) -> Column:
     """Mean of the clause's and the mappings' confidences, 0.5 for an absent one; rounded to nine places so that
     means that lie on a threshold compare alike everywhere."""
@@ -45,14 +50,13 @@ def unknown_references(clauses: DataFrame) -> DataFrame:
 
 def judge(rows: DataFrame, require_complete_chain: bool = True) -> DataFrame:
     """Checks, flags and status of artifacts with their clause (c), mappings (m) and invalid_refs beside them."""
-    missing = F.array_compact(F.array(_present(F.col("c").isNotNull(), "parsed_clause"), _present(F.col("m").isNotNull(), "mapped_clause"),
-            _present(F.col("artifact_id").isNotNull(), "artifact")))
-    lacking = F.array_compact(F.array(_present(F.col("c").isNull() | (F.col("c.source_text") != ""), "source_text"),
-            _present(F.col("content") != "", "content")))
+    missing = _names(_present(F.col("c").isNotNull(), "parsed_clause"), _present(F.col("m").isNotNull(), "mapped_clause"),
+        _present(F.col("artifact_id").isNotNull(), "artifact"))
+    lacking = _names(_present(F.col("c").isNull() | (F.col("c.source_text") != ""), "source_text"), _present(F.col("content") != "", "content"))
     rows = rows.withColumn("missing", F.when(F.size(missing) > 0, missing).otherwise(lacking)).withColumn("trace",
         trace_confidence(F.col("c.confidence"), F.col("m.confidences")))
     low = F.lower("content")
-    hits = sum((F.coalesce((F.col(f"c.{n}") != "") & low.contains(F.lower(f"c.{n}")), F.lit(False)).cast("int") for n in ("type", "actor", "verb")), F.lit(0))
+    hits = sum((F.coalesce(low.contains(F.lower(f"c.{n}")) & (F.col(f"c.{n}") != ""), F.lit(False)).cast("int") for n in ("type", "actor", "verb")), F.lit(0))
     rows = rows.withColumn("hits", hits)
     chain, syntax = F.size("missing") == 0, F.coalesce("syntax_valid", F.lit(False))
     confident, aligned, referred = F.col("trace") >= PASS_AT, F.col("hits") >= 1, F.col("invalid_refs").isNull()
@@ -65,11 +69,11 @@ def judge(rows: DataFrame, require_complete_chain: bool = True) -> DataFrame:
         check(3, aligned, F.format_string("%d of 3 key terms found", F.col("hits"))),
         check(4, referred, F.when(referred, "references resolve").otherwise(F.concat(F.lit("unknown: "), F.array_join("invalid_refs", ", ")))),
     )
-    flags = F.array_compact(F.array(
+    flags = _names(
         F.when(~chain, "incomplete_chain"), F.when(~syntax, "syntax_error"),
         F.when(F.col("trace") < REVIEW_BELOW, "low_confidence").when(F.col("trace") < PASS_AT, "below_threshold"),
         F.when(~aligned, "semantic_drift"), F.when(~referred, "invalid_references"), F.when(F.col("trace") < FAIL_BELOW, "blocked_low_confidence"),
-    ))
+    )
     critical = (~chain | ~syntax) if require_complete_chain else F.lit(False)
     rows = rows.withColumn("validation_checks", checks).withColumn("review_flags", flags)
     status = F.when((F.col("trace") < FAIL_BELOW) | critical, "failed").when(F.size("review_flags") > 0, "needs_review").otherwise("passed")
@@ -94,4 +98,5 @@ def summary(validations: DataFrame) -> DataFrame:
 
 
 def flag_counts(validations: DataFrame) -> DataFrame:
-    return validations.select(F.explode("review_flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+    """An outer explode, for before a plain one Spark filters by the flags, and finds them, with the syntax check, twice."""
+    return validations.select(F.explode_outer("review_flags").alias("flag")).where("flag IS NOT NULL").groupBy("flag").agg(F.count("*").alias("n"))

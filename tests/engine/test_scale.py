@@ -47,3 +47,23 @@ def test_top_k_ranks_what_rounds_alike_by_id(spark):
         got = {(r.query_id, r.rank): (r.item_id, r.similarity) for r in top.collect()}
         assert [got[9, n] for n in (1, 2, 3, 4)] == [(1, 1.0), (2, 1.0), (5, 1.0), (3, 0.0)]
         assert [got[8, n] for n in (1, 2, 3, 4)] == [(n, 0.0) for n in (1, 2, 3, 4)]
+
+
+@pytest.mark.parametrize("name", ["review_flag_counts", "artifact_matrix", "variant_paths", "render_terraform", "render_python", "prov_edges"])
+def test_methods_are_short_enough_for_the_jvm(spark, sf, name):
+    """The JVM interprets methods over 8,000 bytes for good; a renderer fused with its neighbours makes one of 20,000."""
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan()
+        codes = debug.codegenStringSeq(plan)
+        assert codes.size() > 0 and max(codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_syntax_is_checked_once_and_contents_only_where_asked(spark, sf):
+    """No filter by the flags runs the parser a second time; a query of ids renders nothing."""
+    plan = lambda name: registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan("review_flag_counts").count("ArrowEvalPython") == 1
+    assert "ALTER TABLE" in plan("review_flag_counts") and "ALTER TABLE" not in plan("artifact_matrix")
