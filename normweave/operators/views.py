@@ -105,11 +105,15 @@ def filter_clauses(parsed: DataFrame, kind: str | None = None, doc_ids: tuple[st
 # -- stored JSON of any shape
 
 
+#: How no JSON begins; the parser would raise and catch an error for each such text.
+_NEVER_JSON = r"\A[ \t\r\n]*+(?:[A-HJ-MO-Za-eg-mo-su-z]|-[^0-9I])"
+
+
 def as_variant(rows: DataFrame, column: str, out: str = "v") -> DataFrame:
     """rows with the JSON text of `column` as a variant. Null or blank text gives null, and so does damaged JSON, which
     `<out>_damaged` tells apart."""
     blank = F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
-    parsed = F.when(~blank, F.try_parse_json(column))
+    parsed = F.when(~blank & ~F.col(column).rlike(_NEVER_JSON), F.try_parse_json(column))
     return rows.withColumn(out, parsed).withColumn(f"{out}_damaged", ~blank & F.col(out).isNull())
 
 

@@ -5,7 +5,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from normweave.operators import artifacts, mapping
+from normweave.operators import artifacts, mapping, structure, views
 from normweave.plans import registry
 from normweave.sources import stages
 
@@ -67,3 +67,22 @@ def test_syntax_is_checked_once_and_contents_only_where_asked(spark, sf):
     plan = lambda name: registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan("review_flag_counts").count("ArrowEvalPython") == 1
     assert "ALTER TABLE" in plan("review_flag_counts") and "ALTER TABLE" not in plan("artifact_matrix")
+
+
+def test_derived_arrays_are_made_once(spark, sf):
+    """No filter by an array's size makes sections, chunks, clauses or entities a second time."""
+    plan = registry.queries()["clause_split_context"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 3
+    assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]
+    texts = ["", " ", None, "# A\n", "# A\n\n# B\nStaff must go. ", "no heading"]
+    docs = spark.createDataFrame([(f"d{n}", f"d{n}", t) for n, t in enumerate(texts)], "doc_id string, doc_key string, text string")
+    assert [(r.section_id, r.text) for r in structure.markdown_sections(docs).orderBy("section_id").collect()] == [
+        ("d3_S001", ""), ("d4_S001", ""), ("d4_S002", "Staff must go."), ("d5_S001", "no heading")]
+    assert [r.chunk_ord for r in structure.chunks(structure.markdown_sections(docs)).collect()] == [0, 0]
+
+
+def test_texts_that_cannot_be_json_are_not_parsed(spark):
+    texts = ["-- x", "ALTER", " \n-a", "-1", " {\"a\": 1}", "true", "null", "nope", "\"x\"", "[", "-", "é", "", None]
+    v = views.as_variant(spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, body string"), "body").orderBy("n")
+    assert [r[0] for r in v.select("v_damaged").collect()] == [True, True, True, False, False, False, False, True, False, True, True, True, False, False]
+    assert "RLIKE" in v._jdf.queryExecution().optimizedPlan().toString()
