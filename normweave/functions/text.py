@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SENTENCE_END = r"(?<=[.!?])\s+"
 PARAGRAPH_GAP = r"\n\s*\n"
@@ -13,6 +13,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def exploded(rows: DataFrame, keep: list[Column | str], items: Column, pos: str, item: str) -> DataFrame:
+    """rows of keep, place and item of an array, none for an empty or null one. The explode is an outer one whose nulls are
+    dropped, for before a plain one Spark filters by the array's size, and so makes a derived array twice."""
+    return rows.select(*keep, F.posexplode_outer(items).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
 #: Items of a block of scan: appending to a list copies it, so short lists are filled and then joined.
 SCAN_BLOCK = 256
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from normweave.functions.text import extract, first_words, let, sentences, strip
+from normweave.functions.text import exploded, extract, first_words, let, sentences, strip
 
 #: Words that make a sentence regulatory.
 REGULATORY = ("must", "shall", "may", "should", "required", "prohibited", "permitted", "means", "defined", "except", "unless", "if", "when", "where")
@@ -65,7 +65,7 @@ def clause_texts(text: Column) -> Column:
 
 def split_clauses(chunks: DataFrame) -> DataFrame:
     """Chunks (doc_id, section_id, chunk_id, text) to clauses, numbered from 1 in each chunk; no shuffle."""
-    rows = chunks.select("doc_id", "section_id", "chunk_id", F.posexplode(clause_texts(F.col("text"))).alias("pos", "source_text"))
+    rows = exploded(chunks, ["doc_id", "section_id", "chunk_id"], clause_texts(F.col("text")), "pos", "source_text")
     number = F.col("pos") + 1
     return rows.select("doc_id", "section_id", "chunk_id", number.alias("clause_ord"),
         F.format_string("%s_%s_CL%03d", "doc_id", "chunk_id", number).alias("clause_id"), "source_text")

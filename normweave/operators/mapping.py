@@ -190,7 +190,7 @@ def map_clauses(parsed: DataFrame, registry: Registry, threshold: float = THRESH
     """
     of_role = {"actor": F.col("actor"), "object": F.col("object"), "condition_subject": first_words(F.col("trigger"), 3)}
     entity = {role: F.nullif(F.coalesce(e, F.lit("")), F.lit("")) for role, e in of_role.items()}
-    names = parsed.select(F.explode(F.array_compact(F.array(*entity.values()))).alias("entity")).distinct()
+    names = parsed.select(F.explode(F.array(*entity.values())).alias("entity")).where("entity IS NOT NULL").distinct()
     hits = _small(map_entities(names, registry, threshold, default_schema, embed))
     rows = parsed
     for n, (role, e) in enumerate(entity.items()):

@@ -7,7 +7,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from normweave.functions.text import let, paragraphs, scan, sentences, strip, token_count
+from normweave.functions.text import exploded, let, paragraphs, scan, sentences, strip, token_count
 
 DEFAULT_TITLE = "Document Content"
 #: Sections up to which string functions find the parents; their work grows with the square, but its unit is a byte.
@@ -63,8 +63,8 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
             strip(rest(p)).alias("body"), F.get(F.col("__above"), i).alias("parent"),
     ))
     whole = F.array(F.struct(F.lit(1).alias("level"), F.lit(DEFAULT_TITLE).alias("title"), strip(F.col("__text")).alias("body"), F.lit(0).alias("parent")))
-    rows = rows.withColumn("__above", above).select("doc_id", "doc_key",
-        F.posexplode(F.when(F.size("__parts") > 0, found).when(strip(F.col("__text")) != "", whole)).alias("pos", "s"))
+    of = F.when(F.size("__parts") > 0, found).when(strip(F.col("__text")) != "", whole)
+    rows = exploded(rows.withColumn("__above", above), ["doc_id", "doc_key"], of, "pos", "s")
     return rows.select(
         "doc_id", section_id(F.col("doc_key"), F.col("pos") + 1).alias("section_id"), (F.col("pos") + 1).alias("section_ord"),
             F.col("s.title").alias("section_title"), F.col("s.level").alias("hierarchy_level"),
@@ -202,7 +202,7 @@ def html_sections(pages: DataFrame, key: str = "page_id", html: str = "html", ke
     count = F.size("__opened")
     whole = F.array(F.struct(F.lit(1).alias("level"), F.lit(DEFAULT_TITLE).alias("title"), F.array_join("__k", "").alias("body")))
     found = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), section)).when(plain_html(F.array_join("__k", "")) != "", whole)
-    rows = rows.select(key, *keep, F.posexplode(found).alias("pos", "s"))
+    rows = exploded(rows, [key, *keep], found, "pos", "s")
     return rows.select(key, *keep, (F.col("pos") + 1).alias("section_ord"), plain_html(F.col("s.title")).alias("section_title"),
         F.col("s.level").alias("hierarchy_level"), plain_html(F.col("s.body")).alias("text"))
 
@@ -262,7 +262,7 @@ def chunk_texts(text: Column, sizes: ChunkSizes = ChunkSizes()) -> Column:
 
 def chunks(sections: DataFrame, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
     """(doc_id, section_id, text) to (doc_id, section_id, chunk_id, chunk_ord, text, token_count); no shuffle."""
-    rows = sections.select("doc_id", "section_id", F.posexplode(chunk_texts(F.col("text"), sizes)).alias("chunk_ord", "text"))
+    rows = exploded(sections, ["doc_id", "section_id"], chunk_texts(F.col("text"), sizes), "chunk_ord", "text")
     return rows.select("doc_id", "section_id", F.format_string("%s_C%03d", "section_id", "chunk_ord").alias("chunk_id"), "chunk_ord",
         "text", token_count(F.col("text")).alias("token_count"))
 
