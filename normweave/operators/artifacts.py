@@ -475,6 +475,10 @@ def check_syntax(artifacts: DataFrame, formats: tuple[str, ...] | None = None) -
     by_parser = F.col("format").isin("yaml", "python")
     if formats is not None and not {"yaml", "python"} & set(formats):
         return artifacts.withColumn("warnings", F.coalesce(warn, F.array().cast("array<string>"))).withColumn("syntax_valid", native)
-    parsed = _parses(F.col("format"), F.when(by_parser & ~surely_valid(F.col("format"), c), c))  # other rows send a null, which is valid
-    return artifacts.withColumn("warnings", F.coalesce(warn, F.array().cast("array<string>"))).withColumn("syntax_valid",
-        F.when(by_parser, parsed).otherwise(native))
+    # Spark keeps each row that waits for Python's answer, on disk where memory is short, and as Python is the faster side, all rows
+    # of a task wait. What isn't deterministic is not moved, so what is asked of content and other wide columns next to this is
+    # found before, and they don't wait.
+    asked = by_parser & ~surely_valid(F.col("format"), c) & (F.spark_partition_id() >= 0)
+    rows = artifacts.withColumns({"warnings": F.coalesce(warn, F.array().cast("array<string>")), "__native": native, "__asked": F.when(asked, c)})
+    parsed = _parses(F.col("format"), F.col("__asked"))  # other rows send a null, which is valid
+    return rows.withColumn("syntax_valid", F.when(by_parser, parsed).otherwise(F.col("__native"))).drop("__native", "__asked")

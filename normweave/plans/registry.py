@@ -400,7 +400,7 @@ def events_published(spark, sf_dir):
     sections, parsed = corpus.sections(spark, sf_dir), _parsed(spark, sf_dir)
     mapped = mapping.map_clauses(parsed, corpus.registry(spark))
     made = artifacts.compile_rules(mapped, FORMATS, carry=True)
-    judged = validation.judge(artifacts.check_syntax(made, FORMATS).withColumn("invalid_refs", F.lit(None).cast("array<string>")))
+    judged = pipeline.judge_rules(made, FORMATS)
     items = {
         "policy.ingested": ("sections", stages.ingested(sections, structure.chunks(sections))),
             "policy.parsed": ("clauses", stages.parsed_out(clauses.nested(parsed), F.lit(AS_OF.isoformat()))),

@@ -5,8 +5,8 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from normweave.operators import artifacts, mapping, structure, views
-from normweave.plans import registry
+from normweave.operators import artifacts, mapping, structure, validation, views
+from normweave.plans import pipeline, registry
 from normweave.sources import stages
 
 
@@ -86,3 +86,37 @@ def test_texts_that_cannot_be_json_are_not_parsed(spark):
     v = views.as_variant(spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, body string"), "body").orderBy("n")
     assert [r[0] for r in v.select("v_damaged").collect()] == [True, True, True, False, False, False, False, True, False, True, True, True, False, False]
     assert "RLIKE" in v._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["artifact_syntax", "validation_summary", "validation_status_summary", "review_flag_counts", "json_validations", "graph_json"])
+def test_rows_that_wait_for_python_are_narrow(spark, sf, name):
+    """They wait in a queue that goes to disk: neither contents, nor clauses, nor mappings may be among their columns."""
+    if name in ("json_validations", "graph_json"):  # these store the validations first
+        df = registry._validated(spark, sf)
+    else:
+        df = registry.queries()[name](spark, sf)
+    lines = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").splitlines()
+    inputs = [lines[n + 1] for n, line in enumerate(lines) if line.endswith(") ArrowEvalPython")]
+    waiting = {c.split("#")[0].strip() for c in inputs[0].partition("[")[2].partition("[")[2].strip("]").split(",")}
+    assert len(inputs) == 1 and "__asked" in waiting
+    assert not waiting & {"content", "c", "m", "source_text", "__content0", "mapped_entities"}
+
+
+def test_stored_clauses_lie_in_small_files(spark, sf, monkeypatch):
+    """Tasks that read them have clauses in proportion to a file's."""
+    monkeypatch.setattr(pipeline, "CLAUSES_A_FILE", 50)
+    parsed = registry._parsed(spark, sf)
+    assert parsed.groupBy(F.input_file_name().alias("f")).count().where("count > 50").count() == 0 and parsed.count() == 3300
+
+
+def test_syntax_is_checked_of_weighed_artifacts(spark):
+    """A damaged content fails, also beside good ones, and a null one or a broken chain is told apart."""
+    c = "doc_id string, section_id string, chunk_id string, source_text string, type string, actor string, verb string, confidence double, cross_references array<string>"
+    kind = f"artifact_id string, clause_id string, doc_id string, format string, content string, c struct<{c}>, m struct<there:boolean,confidences:array<double>>, invalid_refs array<string>"
+    clause = ("d", "s", "k", "Staff must go.", "obligation", "Staff", "go", 0.9, [])
+    rows = [("a1", "x", "d", "yaml", "a: staff", clause, (True, [0.9]), None), ("a2", "x", "d", "yaml", "a: [staff", clause, (True, [0.9]), None),
+        ("a3", "x", "d", "python", "staff = (", clause, (True, [0.9]), None), ("a4", "x", "e", "yaml", None, None, None, None), ("a5", "x", "d", "sql", " ", clause, (True, [0.9]), ["n"])]
+    v = validation.verdicts(artifacts.check_syntax(validation.weigh(spark.createDataFrame(rows, kind))))
+    got = {r.artifact_id: (r.validation_status, r.type, r.lineage.document_id, ",".join(r.review_flags)) for r in v.collect()}
+    assert got == {"a1": ("passed", "obligation", "d", ""), "a2": ("failed", "obligation", "d", "syntax_error"), "a3": ("failed", "obligation", "d", "syntax_error"),
+        "a4": ("failed", None, "e", "incomplete_chain,low_confidence,semantic_drift"), "a5": ("failed", "obligation", "d", "syntax_error,semantic_drift,invalid_references")}
