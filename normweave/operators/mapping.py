@@ -182,17 +182,28 @@ def map_mentions(found: DataFrame, registry: Registry, threshold: float = THRESH
     return found.join(_small(map_entities(found.select("entity").distinct(), registry, threshold, default_schema, embed)), "entity")
 
 
-def map_clauses(parsed: DataFrame, registry: Registry, threshold: float = THRESHOLD, default_schema: str = "default", embed=hash_embedding) -> DataFrame:
+def _entities_of_roles() -> dict[str, Column]:
+    """A clause's entity of each role, null for none."""
+    of_role = {"actor": F.col("actor"), "object": F.col("object"), "condition_subject": first_words(F.col("trigger"), 3)}
+    return {role: F.nullif(F.coalesce(e, F.lit("")), F.lit("")) for role, e in of_role.items()}
+
+
+def clause_hits(parsed: DataFrame, registry: Registry, threshold: float = THRESHOLD, default_schema: str = "default", embed=hash_embedding) -> DataFrame:
+    """The mappings of the distinct entities of parsed clauses, stored."""
+    names = parsed.select(F.explode(F.array(*_entities_of_roles().values())).alias("entity")).where("entity IS NOT NULL").distinct()
+    return _small(map_entities(names, registry, threshold, default_schema, embed))
+
+
+def map_clauses(parsed: DataFrame, registry: Registry, threshold: float = THRESHOLD, default_schema: str = "default", embed=hash_embedding,
+    hits: DataFrame | None = None) -> DataFrame:
     """Parsed clauses with mapped and unmapped entities and mapping_status; clauses without mentions are complete.
 
     Each distinct entity is mapped once; then a clause finds the mappings of its two or three mentions beside its own
-    row. parsed is read twice, so it should be stored where it is costly.
+    row. parsed is read twice, so it should be stored where it is costly. hits: what clause_hits gave for these clauses.
     """
-    of_role = {"actor": F.col("actor"), "object": F.col("object"), "condition_subject": first_words(F.col("trigger"), 3)}
-    entity = {role: F.nullif(F.coalesce(e, F.lit("")), F.lit("")) for role, e in of_role.items()}
-    names = parsed.select(F.explode(F.array(*entity.values())).alias("entity")).where("entity IS NOT NULL").distinct()
-    hits = _small(map_entities(names, registry, threshold, default_schema, embed))
-    rows = parsed
+    if hits is None:
+        hits = clause_hits(parsed, registry, threshold, default_schema, embed)
+    rows, entity = parsed, _entities_of_roles()
     for n, (role, e) in enumerate(entity.items()):
         own = hits.select(F.col("entity").alias(f"__e{n}"), F.struct(F.lit(n).alias("role_ord"), F.lit(role).alias("source_role"), "*").alias(f"__m{n}"))
         rows = rows.join(own, e == F.col(f"__e{n}"), "left").drop(f"__e{n}")

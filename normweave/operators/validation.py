@@ -67,8 +67,8 @@ def weigh(rows: DataFrame) -> DataFrame:
     }).drop("c", "m")
 
 
-def verdicts(rows: DataFrame, require_complete_chain: bool = True) -> DataFrame:
-    """Checks, flags and status of weighed artifacts with syntax_valid, warnings and invalid_refs."""
+def verdicts(rows: DataFrame, require_complete_chain: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Checks, flags and status of weighed artifacts with syntax_valid, warnings and invalid_refs. keep: columns to leave beside."""
     chain, syntax = F.size("missing") == 0, F.coalesce("syntax_valid", F.lit(False))
     confident, aligned, referred = F.col("trace") >= PASS_AT, F.col("hits") >= 1, F.col("invalid_refs").isNull()
     check = lambda n, passed, message: F.struct(F.lit(CHECKS[n]).alias("check_name"), passed.alias("passed"), message.alias("message"))
@@ -93,7 +93,7 @@ def verdicts(rows: DataFrame, require_complete_chain: bool = True) -> DataFrame:
             "type", status.alias("validation_status"),
         F.round("trace", 3).alias("confidence_score"), "validation_checks", "review_flags",
         F.struct("document_id", "section_id", "chunk_id", F.col("clause_id"), F.concat(F.lit("map_"), F.col("clause_id")).alias("mapping_id"),
-                F.col("artifact_id"), lineage_section(F.col("clause_id")).alias("lineage_section_id_compat")).alias("lineage"),
+                F.col("artifact_id"), lineage_section(F.col("clause_id")).alias("lineage_section_id_compat")).alias("lineage"), *keep,
     )
 
 

@@ -14,10 +14,10 @@ TOPICS = ("policy.ingested", "policy.parsed", "policy.mapped", "policy.compiled"
 EVENT = "topic string, key string, value string, at timestamp"
 
 
-def by_document(rows: DataFrame, doc_id: Column, name: str) -> DataFrame:
-    """Rows as one object a document: (doc_id, name array of structs, ordered as structs are)."""
+def by_document(rows: DataFrame, doc_id: Column, name: str, apart: tuple[str, ...] = ()) -> DataFrame:
+    """Rows as one object a document: (doc_id, name array of structs, ordered as structs are, without the columns apart)."""
     return rows.select(doc_id.alias("__doc"),
-        F.struct(*rows.columns).alias("__row")).groupBy("__doc").agg(F.array_sort(F.collect_list("__row")).alias(name)).withColumnRenamed("__doc", "doc_id")
+        F.struct(*[c for c in rows.columns if c not in apart]).alias("__row")).groupBy("__doc").agg(F.array_sort(F.collect_list("__row")).alias(name)).withColumnRenamed("__doc", "doc_id")
 
 
 def events(objects: DataFrame, topic: str, at: Column, key: str = "doc_id") -> DataFrame:
@@ -28,8 +28,9 @@ def events(objects: DataFrame, topic: str, at: Column, key: str = "doc_id") -> D
 
 
 def publish(rows: DataFrame, path: str) -> None:
-    """Add events to the folder; a job that runs again adds them again, so followers drop repeats."""
-    rows.write.mode("append").partitionBy("topic").parquet(path)
+    """Add events to the folder; a job that runs again adds them again, so followers drop repeats. Their JSON repeats names and
+    texts, which zstd finds within a page."""
+    rows.write.mode("append").option("compression", "zstd").option("parquet.page.size", 1 << 20).partitionBy("topic").parquet(path)
 
 
 def follow(spark: SparkSession, path: str, topic: str, schema: str, late: str = "1 hour") -> DataFrame:
