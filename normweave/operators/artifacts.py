@@ -339,10 +339,10 @@ def artifact_id(format: Column) -> Column:
     return F.concat("clause_id", F.lit("_"), format)
 
 
-def artifact_ids(clauses: DataFrame, formats: tuple[str, ...] = DEFAULT_FORMATS) -> DataFrame:
-    """(clause_id, artifact_id) of the artifacts that compile_rules makes of clauses, which needs neither mappings nor contents."""
-    rows = clauses.select("clause_id", F.explode(F.array(*[F.lit(f) for f in formats])).alias("format"))
-    return rows.select("clause_id", artifact_id(F.col("format")).alias("artifact_id"))
+def artifact_ids(clauses: DataFrame, formats: tuple[str, ...] = DEFAULT_FORMATS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(clause_id, artifact_id, *keep) of the artifacts that compile_rules makes of clauses, which needs neither mappings nor contents."""
+    rows = clauses.select("clause_id", *keep, F.explode(F.array(*[F.lit(f) for f in formats])).alias("format"))
+    return rows.select("clause_id", artifact_id(F.col("format")).alias("artifact_id"), *keep)
 
 
 def compile_rules(mapped: DataFrame, formats: tuple[str, ...] = DEFAULT_FORMATS, templates: dict[str, dict[str, Renderer]] | None = None,

@@ -17,14 +17,14 @@ CHANGED = "Identity & Onboarding"
 # -- lineage of any depth
 
 
-def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph's links and its sections."""
+def _links(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The graph's links and its sections. keep: columns beside the links, doc_id at most."""
     sections = stored(corpus.sections(spark, sf_dir), "sections")
     chunks = structure.chunks(sections)
     parsed = pipeline.parse_chunks(chunks)
     refs = parsed.select("doc_id", "clause_id", F.explode(clauses.cross_references(F.col("source_text"))).alias("ref"))
-    refs = refs.select("clause_id", F.concat("doc_id", F.lit("_S"), F.lpad("ref", 3, "0")).alias("section_id"))
-    return lineage.links(sections, chunks, parsed, artifacts.artifact_ids(parsed, FORMATS), refs), sections
+    refs = refs.select("doc_id", "clause_id", F.concat("doc_id", F.lit("_S"), F.lpad("ref", 3, "0")).alias("section_id"))
+    return lineage.links(sections, chunks, parsed, artifacts.artifact_ids(parsed, FORMATS, keep), refs, keep), sections
 
 
 _LINKS = rf"""WITH RECURSIVE {oracle.artifacts_cte(FORMATS)}, sid AS (SELECT doc_id, sec, title, doc_id || '_S' || lpad(sec::VARCHAR, 3, '0') AS section_id,
@@ -66,12 +66,12 @@ def lineage_of_documents(spark, sf_dir):
 @query(f"""{_LINKS}, {_walk("SELECT 'artifact:' || artifact_id AS id FROM artifact", "t", "s")} SELECT start_id, count(*) - 1 AS sources, max(depth) AS furthest, min(depth) FILTER (starts_with(node_id, 'document:')) AS to_document FROM reached GROUP BY start_id""")
 def lineage_sources(spark, sf_dir):
     """From each artifact up to all that it rests on."""
-    graph, _ = _links(spark, sf_dir)
-    graph = stored(graph, "graph")
-    tips = graph.where(F.col("target_id").startswith("artifact:")).select(F.col("target_id").alias("start_id"))
-    up = lineage.reach(graph, tips, upwards=True)
-    return up.groupBy("start_id").agg((F.count("*") - 1).alias("sources"), F.max("depth").alias("furthest"),
-        F.min(F.when(F.col("node_id").startswith("document:"), F.col("depth"))).alias("to_document"))
+    graph, _ = _links(spark, sf_dir, ("doc_id",))
+    tips = graph.where(F.col("target_id").startswith("artifact:")).select("doc_id", F.col("target_id").alias("start_id"))
+    up = lineage.reach_in_parts(graph, tips, "doc_id", upwards=True)
+    documents = F.filter("reached", lambda n: n["node_id"].startswith("document:"))
+    return up.select("start_id", (F.size("reached") - 1).cast("long").alias("sources"), F.array_max("reached.depth").alias("furthest"),
+        F.array_min(F.transform(documents, lambda n: n["depth"])).alias("to_document"))
 
 
 # -- triggers on a change log
