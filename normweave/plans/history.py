@@ -57,10 +57,10 @@ _of = lambda kind: f"count(*) FILTER (starts_with(node_id, '{kind}:'))"  # noqa:
 @query(f"{_LINKS}, {_walk('SELECT DISTINCT s AS id FROM link WHERE starts_with(s, ' + chr(39) + 'document:' + chr(39) + ')')} SELECT start_id, {_of('section')} AS sections, {_of('clause')} AS clauses, {_of('artifact')} AS artifacts, max(depth) AS deepest FROM reached GROUP BY start_id")
 def lineage_of_documents(spark, sf_dir):
     """From each document down to all its artifacts."""
-    graph, sections = _links(spark, sf_dir)
-    down = lineage.reach(graph, sections.select(F.concat(F.lit("document:"), "doc_id").alias("start_id")))
-    count = lambda kind: F.count_if(F.col("node_id").startswith(f"{kind}:")).alias(f"{kind}s")
-    return down.groupBy("start_id").agg(count("section"), count("clause"), count("artifact"), F.max("depth").alias("deepest"))
+    graph, sections = _links(spark, sf_dir, ("doc_id",))
+    down = lineage.reach_in_parts(graph, sections.where("section_ord = 1").select("doc_id", F.concat(F.lit("document:"), "doc_id").alias("start_id")), "doc_id")
+    count = lambda kind: F.size(F.filter("reached", lambda n: n["node_id"].startswith(f"{kind}:"))).cast("long").alias(f"{kind}s")
+    return down.select("start_id", count("section"), count("clause"), count("artifact"), F.array_max("reached.depth").alias("deepest"))
 
 
 @query(f"""{_LINKS}, {_walk("SELECT 'artifact:' || artifact_id AS id FROM artifact", "t", "s")} SELECT start_id, count(*) - 1 AS sources, max(depth) AS furthest, min(depth) FILTER (starts_with(node_id, 'document:')) AS to_document FROM reached GROUP BY start_id""")

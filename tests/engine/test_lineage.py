@@ -92,6 +92,6 @@ def test_few_pairs_at_once_find_the_same(spark, monkeypatch):
 
 def test_lineage_queries_walk_documents_in_tasks(spark, sf):
     """No round of joins over all documents."""
-    for name in ("lineage_sources",):
+    for name in ("lineage_sources", "lineage_of_documents"):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "Join" not in plan and plan.count("hashpartitioning(") == 1
